@@ -25,14 +25,14 @@ DOMAINS = ("high", "low", "toxic")
 #: Target share of the tokens of each domain.
 TARGETS = {"high": 0.88, "low": 0.10, "toxic": 0.02}
 #: Labelled documents that the classifier learns from at most (those with the smallest hash of doc_id).
-LABELLED = 5000
+LABELLED = 20_000
 VOCABULARY = 4096
 #: Least labelled documents that hold a word of the vocabulary.
-MIN_DOCUMENTS = 3
+MIN_DOCUMENTS = 8
 #: Documents of the prior that each word's counts are smoothed with.
-SMOOTH = 8.0
+SMOOTH = 20.0
 #: Scales summed word weights before the softmax: words of a text aren't independent.
-TEMPER = 0.25
+TEMPER = 0.5
 RIDGE = 0.05
 STEPS = 32
 #: Steps after which rates are written, so that the update column stays short.

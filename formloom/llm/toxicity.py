@@ -28,6 +28,8 @@ BUCKETS = 1 << 17
 POSITIVES = 3000
 UNLABELLED = 6000
 STEPS = 120
+#: Buckets in fewer sampled documents than this have no weight; others weigh by their rarity.
+MIN_DOCUMENTS = 10
 REJECT = 0.7
 CACHED_WORDS = 400_000
 
@@ -67,12 +69,24 @@ class Rows:
         return np.bincount(self.col, weights=self.val * g[self.row], minlength=BUCKETS)
 
 
+def rarity(*rows: Rows) -> np.ndarray:
+    """Feature scale: half the log of how rare a bucket is among the rows, at most 3; 0 below MIN_DOCUMENTS."""
+    df = np.bincount(np.concatenate([r.col for r in rows]), minlength=BUCKETS)
+    n = sum(r.n for r in rows)
+    return np.where(df >= min(MIN_DOCUMENTS, max(1, n // 20)), np.minimum(3.0, np.log(n / np.maximum(df, 1)) / 2), 0.0)
+
+
 def train(positive: Rows, unlabelled: Rows, prior: float, steps: int = STEPS, rate: float = 0.2) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative PU risk with the logistic loss (Adam, full batches)."""
+    """Weights and intercept that minimise the non-negative PU risk with the logistic loss: Adam on full batches with a
+    falling rate; the mean of the second half of the steps, as steps at the bound go back and forth."""
+    scale = rarity(positive, unlabelled)
+    ridge = 1e-4 * float(np.clip(np.sqrt(1500 / positive.n), 1, 4))
     w, b = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
+    mean_w, mean_b, n = np.zeros(BUCKETS), 0.0, 0
     for t in range(1, steps + 1):
-        zp, zu = positive.dot(w) + b, unlabelled.dot(w) + b
+        scaled = w * scale
+        zp, zu = positive.dot(scaled) + b, unlabelled.dot(scaled) + b
         pp, pu = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp, gu = -prior * pp / positive.n, pu / unlabelled.n
@@ -80,12 +94,14 @@ def train(positive: Rows, unlabelled: Rows, prior: float, steps: int = STEPS, ra
             gp, gu = -gp, -gu
         else:
             gp = gp - prior * (1 - pp) / positive.n
-        g, gb = positive.back(gp) + unlabelled.back(gu) + 1e-6 * w, float(gp.sum() + gu.sum())
+        g, gb = (positive.back(gp) + unlabelled.back(gu)) * scale + ridge * w, float(gp.sum() + gu.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        c, d = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / c) / (np.sqrt(v / d) + 1e-8)
-        b -= rate / 2 * (mb / c) / (np.sqrt(vb / d) + 1e-8)
-    return w, b
+        c, d, r = 1 - 0.9**t, 1 - 0.99**t, rate * (1 - 0.9 * t / steps)
+        w -= r * (m / c) / (np.sqrt(v / d) + 1e-8)
+        b -= r / 2 * (mb / c) / (np.sqrt(vb / d) + 1e-8)
+        if 2 * t > steps:
+            mean_w, mean_b, n = mean_w + w, mean_b + b, n + 1
+    return mean_w / n * scale, mean_b / n
 
 
 def best_cut(z: np.ndarray, toxic: np.ndarray) -> float:
