@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 #: Words longer than this aren't kept in the cache of encoded words.
 CACHED_CHARS = 64
 #: The cache of encoded words is emptied beyond so many words.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+#: Marks that are cut off a word before it is looked up, so that the cache holds the bare word once.
+MARKS = ".,!?;:"
 
 
 def byte_alphabet() -> list[str]:
@@ -79,6 +81,12 @@ class Vocabulary:
         self.alphabet = byte_alphabet()
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
+    def spelled_pieces(self, word: str) -> list[str]:
+        """The pieces of a word, in the byte alphabet (in which printable ASCII stands for itself)."""
+        if word.isascii() and word.isalpha():
+            return [word]
+        return [self.spelled(p) for p in self.pieces.findall(word)]
+
     def spelled(self, piece: str) -> str:
         return "".join([self.alphabet[b] for b in piece.encode("utf-8", "replace")])
 
@@ -203,6 +211,8 @@ class Encoder(dict):
         self.words, self.vocabulary, self.encode_word, self.kind = Words(), vocabulary, encode_word, kind
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > 1 and word[-1] in MARKS and word[-2].isalnum():
+            return self[word[:-1]] + self[word[-1]]  # after a letter or digit a mark is a piece of its own
         packed = np.array(self.encode_word(word), self.kind).tobytes()
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
@@ -254,8 +264,8 @@ def encoder(path: str, kind: str = "<u4") -> Encoder:
 
     def word(w: str) -> list[int]:
         out: list[int] = []
-        for piece in v.pieces.findall(w):
-            out += bpe(v.spelled(piece), bool(v.suffix))
+        for piece in v.spelled_pieces(w):
+            out += bpe(piece, bool(v.suffix))
         return out
 
     return Encoder(v, word, kind)

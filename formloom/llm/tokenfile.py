@@ -134,11 +134,11 @@ def unpack(stream: bytes, checkpoints: np.ndarray, n: int, tables: tuple[np.ndar
 
 @functools.lru_cache(maxsize=2)
 def library_encoder(path: str, kind: str) -> Encoder:
-    """Ids by the tokenizers library, which encodes each distinct word once (while it is cached)."""
+    """Ids by the tokenizers library's model, which encodes each distinct word once (while it is cached)."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    return Encoder(vocabulary(path), lambda w: t.encode(w, add_special_tokens=False).ids, kind)
+    v, model = vocabulary(path), Tokenizer.from_file(path).model
+    return Encoder(v, lambda w: [t.id for p in v.spelled_pieces(w) for t in model.tokenize(p)], kind)
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str) -> DataFrame:
