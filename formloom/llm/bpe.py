@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 CACHED_CHARS = 64
 #: The cache of encoded words is emptied beyond so many words.
 CACHED_WORDS = 600_000
+#: Words up to this length are kept with a mark, too: there are few, and they are frequent.
+SHORT_CHARS = 5
 #: Marks that are cut off a word before it is looked up, so that the cache holds the bare word once.
 MARKS = ".,!?;:"
 
@@ -46,7 +48,7 @@ def byte_alphabet() -> list[str]:
 class Words:
     """Splits a text as the tokenizer's normalizer does (NFC, white space, lower case) into chunks without white space."""
 
-    odd_space = re.compile(r"[\x1c-\x1f]")
+    odd_space = ("\x1c", "\x1d", "\x1e", "\x1f")
     space = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
     def __call__(self, text: str) -> list[str]:
@@ -55,8 +57,9 @@ class Words:
         else:
             # per character, a final sigma isn't special
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self.odd_space.search(text):  # str.split() would also cut at these four
-            return [w for w in self.space.split(text) if w]
+        for odd in self.odd_space:  # str.split() would also cut at these four
+            if odd in text:
+                return [w for w in self.space.split(text) if w]
         return text.split()
 
 
@@ -212,7 +215,10 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in MARKS and word[-2].isalnum():
-            return self[word[:-1]] + self[word[-1]]  # after a letter or digit a mark is a piece of its own
+            packed = self[word[:-1]] + self[word[-1]]  # after a letter or digit a mark is a piece of its own
+            if len(word) <= SHORT_CHARS:
+                self[word] = packed
+            return packed
         packed = np.array(self.encode_word(word), self.kind).tobytes()
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:

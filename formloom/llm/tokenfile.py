@@ -69,13 +69,13 @@ def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
 
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     """Codes in order of length, then id."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    size = lengths[used].astype(np.int64)
     codes = np.zeros(len(lengths), np.uint64)
-    code, before = 0, 0
-    for i in sorted(np.flatnonzero(lengths).tolist(), key=lambda i: (int(lengths[i]), i)):
-        code <<= int(lengths[i]) - before
-        before = int(lengths[i])
-        codes[i] = code
-        code += 1
+    # each code starts where the spans of the shorter ones, seen as MAX_BITS numbers, end
+    span = np.int64(1) << (MAX_BITS - size)
+    codes[used] = ((np.cumsum(span) - span) >> (MAX_BITS - size)).astype(np.uint64)
     return codes
 
 
@@ -83,12 +83,16 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     """The bit stream of ids, and the bit offset of every BLOCK-th id."""
     if not len(ids):
         return b"", np.zeros(0, np.uint64)
-    size = lengths[ids].astype(np.int64)
+    size, code = lengths[ids].astype(np.int64), codes[ids]
+    if len(ids) % 2:
+        size, code = np.append(size, 0), np.append(code, np.uint64(0))
+    # neighbours as one code of up to 32 bits
+    code = (code[::2] << size[1::2].astype(np.uint64)) | code[1::2]
+    size = size[::2] + size[1::2]
     ends = np.cumsum(size)
     at = ends - size
     words = np.zeros(int(ends[-1]) // 64 + 2, np.uint64)
     word, bit = at >> 6, at & 63
-    code = codes[ids]
     over = bit + size - 64  # bits that go into the next word
     fits = over <= 0
     first = np.where(fits, code << np.where(fits, -over, 0).astype(np.uint64), code >> np.where(fits, 0, over).astype(np.uint64))
@@ -96,17 +100,17 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     words[word[starts]] = np.add.reduceat(first, starts)
     spill = np.flatnonzero(~fits)
     words[word[spill] + 1] += code[spill] << (64 - over[spill]).astype(np.uint64)
-    return words.astype(">u8").tobytes(), at[::BLOCK].astype(np.uint64)
+    return words.astype(">u8").tobytes(), at[:: BLOCK // 2].astype(np.uint64)
 
 
 def lookup(lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """For every value of the next bits: the id and its length."""
     ids, size = np.zeros(1 << bits, np.uint32), np.ones(1 << bits, np.int64)
-    at = 0
-    for i in sorted(np.flatnonzero(lengths).tolist(), key=lambda i: (int(lengths[i]), i)):
-        span = 1 << (bits - int(lengths[i]))
-        ids[at : at + span], size[at : at + span] = i, int(lengths[i])
-        at += span
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    span = 1 << (bits - lengths[used].astype(np.int64))
+    end = int(span.sum())
+    ids[:end], size[:end] = np.repeat(used, span), np.repeat(lengths[used], span)
     return ids, size
 
 
@@ -153,25 +157,25 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str) -> Dat
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def flat(column: pa.Array, kind: str) -> np.ndarray:
+    """All packed ids of a column of a batch, without copying."""
+    if not len(column):
+        return np.zeros(0, kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
 def counted(ids: DataFrame, size: int, kind: str) -> np.ndarray:
     """How often each id occurs; each task adds up its own rows first, so at most size rows a task are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), kind), minlength=size)
+            total += np.bincount(flat(batch.column(0), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "count"])
 
-    def quick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined() -> Iterator[pa.RecordBatch]:
-            for batch in batches:  # one long array a batch instead of one a document
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(x.as_py() for x in batch.column(0))], pa.binary())], ["ids"])
-
-        return run(joined())
-
-    rows = ids.select("ids").mapInArrow(quick, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
+    rows = ids.select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
     out = np.zeros(size, np.int64)
     for r in rows:  # one row for each id of the vocabulary at most
         out[r["id"]] = r["count"]
@@ -183,7 +187,7 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer_path: str, end_id: i
     spark = docs.sparkSession
     size = len(vocabulary(tokenizer_path).strings)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    ids = common.stored(encoded(docs, tokenizer_path, end_id, kind))
+    ids = common.stored(encoded(docs, tokenizer_path, end_id, kind), "snappy")
     counts = counted(ids, size, kind)
     lengths = code_lengths(counts)
     table = zlib.compress(lengths.tobytes())
@@ -197,14 +201,14 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer_path: str, end_id: i
         for batch in batches:
             docs_.append(batch.column(0))
             n.append(np.asarray(batch.column(1)))
-            packed.append(b"".join(x.as_py() for x in batch.column(2)))
+            packed.append(flat(batch.column(2), kind).copy())
         if sum(map(len, n)):
             own = np.frombuffer(zlib.decompress(table), np.uint8)
             doc = pa.chunked_array(docs_).combine_chunks()
-            flat = np.frombuffer(b"".join(packed), kind)
-            stream, checkpoints = pack(flat, own, canonical_codes(own))
+            tokens = np.concatenate(packed)
+            stream, checkpoints = pack(tokens, own, canonical_codes(own))
             sizes = np.concatenate(n).astype("<i8")
-            head = json.dumps({"docs": len(doc), "tokens": len(flat), "block": BLOCK, "bits": MAX_BITS, "table": len(table), "stream": len(stream)}).encode()
+            head = json.dumps({"docs": len(doc), "tokens": len(tokens), "block": BLOCK, "bits": MAX_BITS, "table": len(table), "stream": len(stream)}).encode()
             body = [MAGIC, struct.pack("<I", len(head)), head, table, np.asarray(doc.fill_null(0)).astype("<i8").tobytes(), np.asarray(doc.is_valid()).astype("u1").tobytes(), sizes.tobytes(), checkpoints.astype("<u8").tobytes(), stream]
             task = TaskContext.get()
             fs, path = common.filesystem(directory)
@@ -213,7 +217,7 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer_path: str, end_id: i
                 for x in body:
                     f.write(x)
             fs.move(f"{name}.{task.taskAttemptId()}.tmp", name)  # a repeated task puts the same bytes there
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([len(doc)], pa.int64()), pa.array([len(flat)], pa.int64())], ["file", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([len(doc)], pa.int64()), pa.array([len(tokens)], pa.int64())], ["file", "n_docs", "n_tokens"])
 
     ranged = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     return common.stored(ranged.mapInArrow(write, "file long, n_docs long, n_tokens long"))
