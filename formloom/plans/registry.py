@@ -1,9 +1,356 @@
-"""All queries of the library, by name, and their SQL."""
+"""All queries of the library, by name, each beside its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formloom.functions import text as X
+from formloom.operators import records as R
+
+LETTER = "Dear {{name}},\nyour segment is {{segment}} and your number {{number}}.\nYours, {{name}}"
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    """documents with three common words turned into markers."""
+    return t(spark, d, "documents").select("doc_id", F.regexp_replace("text", r" (the|and|of) ", " {{$1}} ").alias("text"))
+
+
+MARKED = r"(select doc_id, regexp_replace(text, ' (the|and|of) ', ' {{\1}} ', 'g') as text from documents)"
+
+
+@query("select c_custkey, 'Dear ' || c_name || chr(44) || chr(10) || 'your segment is ' || c_mktsegment || ' and your number ' || c_custkey || '.' || chr(10) || 'Yours, ' || c_name as filled from customer")
+def fill_customer_letter(spark, d):
+    c = t(spark, d, "customer")
+    m = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("number"), F.col("c_custkey").cast("string"))
+    return c.select("c_custkey", X.fill(F.lit(LETTER), m).alias("filled"))
+
+
+@query(rf"""with n as (select doc_id, unnest(regexp_extract_all(text, '\{{\{{(.*?)\}}\}}', 1)) as name, generate_subscripts(regexp_extract_all(text, '\{{\{{(.*?)\}}\}}', 1), 1) as pos from {MARKED}),
+g as (select doc_id, name, count(*) as occurrences, min(pos) as first from n group by all)
+select doc_id, name, occurrences, row_number() over (partition by doc_id order by first) as field_no from g""")
+def discover_fields(spark, d):
+    return R.discover(marked(spark, d), "doc_id", "text")
+
+
+@query(rf"""with m as (select doc_id, text, regexp_extract_all(text, '\{{\{{(.*?)\}}\}}', 1) as n, regexp_split_to_array(text, '\{{\{{.*?\}}\}}') as p from {MARKED}),
+e as (select doc_id, n, p, unnest(range(1, len(n) + 1)) as i from m)
+select doc_id, n[i] as name, cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(n[1:i-1], lambda x: length(x) + 4)), 0) as bigint) as start from e""")
+def occurrence_spans(spark, d):
+    # one pass: pieces and names with a running sum, instead of a prefix fold for each marker
+    m = marked(spark, d).select("doc_id", F.posexplode(X.between_markers(F.col("text"))).alias("i", "p"), X.marker_names(F.col("text")).alias("n"))
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.get("n", F.col("i"))
+    run = F.sum(F.length("p") + F.coalesce(F.length(F.get("n", F.col("i") - 1)) + 4, F.lit(0))).over(w)
+    return m.select("doc_id", name.alias("name"), run.cast("long").alias("start")).filter("name is not null")
+
+
+@query(r"select doc_id, contains(regexp_replace(text || case when doc_id % 7 = 0 then ' {{open' else ' {{x}}' end, '\{\{(.|\n)*?\}\}', '', 'g'), '{{') as unclosed from documents")
+def unclosed_marker_check(spark, d):
+    tail = F.when(F.col("doc_id") % 7 == 0, " {{open").otherwise(" {{x}}")
+    return t(spark, d, "documents").select("doc_id", X.unclosed(F.concat("text", tail)).alias("unclosed"))
+
+
+@query("select doc_id, length(text) as n, case when length(text) > 10000 then 'length' end as verdict from documents")
+def value_length_guard(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"), X.text_verdict(F.col("text")).alias("verdict"))
+
+
+@query("select 'd' || doc_id as id, sha256(text) as sha, strlen(text) as bytes from documents union all select 'p' || page_id, sha256(html), strlen(html) from pages")
+def document_fingerprint(spark, d):
+    one = lambda df, k, c, p: df.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), F.sha2(F.col(c).cast("binary"), 256).alias("sha"), F.octet_length(c).cast("long").alias("bytes"))
+    return one(t(spark, d, "documents"), "doc_id", "text", "d").unionByName(one(t(spark, d, "pages"), "page_id", "html", "p"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 11 = 0 then 'missing' when o_orderkey % 13 = 0 then 'blank' when length(o_orderpriority) > 8 then 'length' when o_orderkey % 17 = 0 then 'control' end as verdict from orders""")
+def value_verdict(spark, d):
+    k = F.col("o_orderkey")
+    v = F.when(k % 11 == 0, None).when(k % 13 == 0, "  \t").when(k % 17 == 0, F.concat("o_orderpriority", F.lit("\x01"))).otherwise(F.col("o_orderpriority"))
+    # the control mark adds one character, so the limit is one more there
+    verdict = F.when((k % 17 == 0) & (k % 11 != 0) & (k % 13 != 0), F.when(F.length("o_orderpriority") > 8, "length").otherwise(X.text_verdict(v))).otherwise(X.text_verdict(v, 8))
+    return t(spark, d, "orders").select("o_orderkey", verdict.alias("verdict"))
+
+
+@query("""select event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k not in ('a', 'b'))), ',') as unknown, array_to_string(list_filter(['a', 'b'], lambda k: not list_contains(json_keys(props), k)), ',') as missing from events""")
+def json_key_diff(spark, d):
+    keys, allowed = F.json_object_keys("props"), F.array(F.lit("a"), F.lit("b"))
+    return t(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.array_except(keys, allowed)), ",").alias("unknown"), F.array_join(F.array_except(allowed, keys), ",").alias("missing"))
+
+
+@query("""select event_id, case when event_id % 3 = 0 then true else false end as is_boolean, cast(regexp_extract(props, '"k": *(-?[0-9]+)', 1) as bigint) as k from events""")
+def typed_value_check(spark, d):
+    v = F.try_parse_json(F.when(F.col("event_id") % 3 == 0, F.lit('{"v": true}')).otherwise(F.lit('{"v": "false"}')))
+    # schema first: variant_get would turn the string "false" into a boolean
+    is_bool = F.schema_of_variant(F.variant_get(v, "$.v", "variant")) == "BOOLEAN"
+    return t(spark, d, "events").select("event_id", is_bool.alias("is_boolean"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""with f as (select distinct o_orderpriority as name, 'text' as type from orders), m as (select distinct o_orderpriority as name, case when o_orderpriority like '1%' then 'checkbox' else 'text' end as type from orders)
+select 'found' as side, * from (from f except from m) union all select 'declared', * from (from m except from f)""")
+def manifest_match(spark, d):
+    f = t(spark, d, "orders").select(F.col("o_orderpriority").alias("name")).distinct().withColumn("type", F.lit("text"))
+    m = f.withColumn("type", F.when(F.col("name").startswith("1"), "checkbox").otherwise("text"))
+    return R.schema_difference(f, m, ["name", "type"]).select("side", "name", "type")
+
+
+@query("select doc_id, sha256(replace(text, ' ', chr(10))) as sha from documents")
+def normalize_newlines(spark, d):
+    raw = F.replace("text", F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\r"))
+    return t(spark, d, "documents").select("doc_id", F.sha2(X.newlines(raw).cast("binary"), 256).alias("sha"))
+
+
+@query("select c_custkey, '{{b}}' || c_name || ' / ' || c_mktsegment || '{{a}}' as filled from customer")
+def simultaneous_substitution(spark, d):
+    m = F.create_map(F.lit("a"), F.concat(F.lit("{{b}}"), F.col("c_name")), F.lit("b"), F.concat(F.col("c_mktsegment"), F.lit("{{a}}")))
+    return t(spark, d, "customer").select("c_custkey", X.fill(F.lit("{{a}} / {{b}}"), m).alias("filled"))
+
+
+@query("select doc_id, sha256('[x]' || substr(text, 4, 2) || '[y]' || substr(text, 9)) as sha from documents")
+def splice_edits(spark, d):
+    e = lambda a, b, r: F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(r).alias("replacement"))
+    return t(spark, d, "documents").select("doc_id", F.sha2(X.splice(F.col("text"), F.array(e(5, 8, "[y]"), e(0, 3, "[x]"))).cast("binary"), 256).alias("sha"))
+
+
+@query("select l_orderkey, l_linenumber, l_quantity > 25 as overlap from lineitem")
+def edit_overlap(spark, d):
+    e = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit("").alias("replacement"))
+    q = F.col("l_quantity")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.edits_overlap(F.array(e(F.lit(25), F.lit(99)), e(F.lit(0), q))).alias("overlap"))
+
+
+@query("select page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) as sha from pages")
+def xml_escape(spark, d):
+    return t(spark, d, "pages").select("page_id", F.sha2(X.xml_escape(F.col("html")).cast("binary"), 256).alias("sha"))
+
+
+def bundled_user(spark, d):
+    b = t(spark, d, "part").select(F.concat(F.lit("t-"), (F.col("p_partkey") % 500).cast("string")).alias("id"), F.col("p_name").alias("title"))
+    u = t(spark, d, "supplier").select(F.concat(F.lit("t-"), (F.col("s_suppkey") * 7).cast("string")).alias("id"), F.col("s_name").alias("title"))
+    return b, u
+
+
+CATALOG = "(select 't-' || (p_partkey % 500) as id, p_name as title, 'bundled' as origin, 0 as r from part union all select 't-' || (s_suppkey * 7), s_name, 'user', 1 from supplier)"
+
+
+@query(f"select id, title, origin from (select *, row_number() over (partition by id order by r, title) as n from {CATALOG}) where n = 1")
+def catalog_list(spark, d):
+    return R.catalog(*bundled_user(spark, d)).filter("not dropped").select("id", "title", "origin")
+
+
+@query(f"select origin, count(*) as n, count(*) filter (n > 1) as dropped from (select *, row_number() over (partition by id order by r, title) as n from {CATALOG}) group by origin")
+def catalog_dedup(spark, d):
+    return R.catalog(*bundled_user(spark, d)).groupBy("origin").agg(F.count("*").alias("n"), F.count_if("dropped").alias("dropped"))
+
+
+@query("select p_partkey, p_partkey % 10 = 0 as changed from part")
+def catalog_lookup_hash(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.sha2("p_name", 256).alias("sha"))
+    now = t(spark, d, "part").select("p_partkey", F.sha2(F.when(F.col("p_partkey") % 10 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")), 256).alias("now"))
+    return p.join(now, "p_partkey").select("p_partkey", (F.col("sha") != F.col("now")).alias("changed"))
+
+
+@query("select distinct 't-' || (s_suppkey * 7) as id, s_name as title from supplier where 't-' || (s_suppkey * 7) not in (select 't-' || (p_partkey % 500) from part)")
+def register_insert_if_absent(spark, d):
+    b, u = bundled_user(spark, d)
+    return R.register(b, u).distinct()
+
+
+@query("select p_brand as format, bool_and(p_size > 1) as ready, count(*) as templates from part group by p_brand")
+def catalog_ready(spark, d):
+    return t(spark, d, "part").groupBy(F.col("p_brand").alias("format")).agg(F.bool_and(F.col("p_size") > 1).alias("ready"), F.count("*").alias("templates"))
+
+
+def slots(spark, d):
+    status = F.when(F.col("role") == "user", "filled").when(F.col("role") == "assistant", "external").when(F.col("turn") % 2 == 0, "blocked").otherwise("excluded")
+    return t(spark, d, "conversations").select("conv_id", F.col("turn").alias("slot"), status.alias("status"), F.when(F.length("text") % 9 != 0, F.col("text")).alias("location"), F.when(F.length("text") % 5 != 0, F.lit("field")).alias("evidence"))
+
+
+SLOTS = "(select conv_id, turn as slot, case when role = 'user' then 'filled' when role = 'assistant' then 'external' when turn % 2 = 0 then 'blocked' else 'excluded' end as status, case when length(text) % 9 <> 0 then text end as location, case when length(text) % 5 <> 0 then 'field' end as evidence from conversations)"
+
+
+@query(f"""with v as (select *, case when location is null or trim(location) = '' then 'missing-location' when status = 'filled' and evidence is null then 'missing-evidence' end as code from {SLOTS})
+select conv_id, min_by(code, slot) filter (code is not null) as code, min(slot) filter (code is not null) as slot, count(*) as slots from v group by conv_id""")
+def coverage_verdict(spark, d):
+    return R.coverage_verdict(slots(spark, d), "conv_id")
+
+
+@query(f"select conv_id, count(*) as declared, count(*) filter (status = 'filled') as filled, count(*) filter (status = 'external') as external, count(*) filter (status = 'excluded') as excluded, 0::bigint as not_applicable, count(*) filter (status = 'blocked') as blocked, case when count(*) filter (status = 'blocked') > 0 then 'incomplete' else 'requires-review' end as completion from {SLOTS} group by conv_id")
+def completion_report(spark, d):
+    return R.completion(slots(spark, d), "conv_id")
+
+
+@query("""with s as (select conv_id, 'f' || (turn % 4) as name, count(*) as n from conversations group by all), f as (select distinct conv_id, unnest(['f0', 'f1', 'f2']) as name from conversations)
+select coalesce(s.conv_id, f.conv_id) as conv_id, coalesce(s.name, f.name) as name, case when f.name is null then 'unknown-field' when s.name is null then 'unmapped-fields' else 'duplicate-field' end as reason from s full join f on s.conv_id = f.conv_id and s.name = f.name where f.name is null or s.name is null or n > 1""")
+def coverage_field_bijection(spark, d):
+    c = t(spark, d, "conversations")
+    own = c.select("conv_id", F.concat(F.lit("f"), (F.col("turn") % 4).cast("string")).alias("name"))
+    fields = c.select("conv_id").distinct().select("conv_id", F.explode(F.array(*map(F.lit, ("f0", "f1", "f2")))).alias("name"))
+    return R.field_bijection(own, fields, "conv_id")
+
+
+@query("select lang, count(*) as declared, count(quality) as external, count(*) filter (quality is null) as blocked from documents left join labels using (doc_id) group by lang")
+def external_review_slots(spark, d):
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    return j.groupBy("lang").agg(F.count("*").alias("declared"), F.count("quality").alias("external"), F.count_if(F.col("quality").isNull()).alias("blocked"))
+
+
+@query("select source, count(*) as documents, bool_and(length(text) > 0) as all_passed, count(*) filter (length(text) <= 10000) as verified from documents group by source")
+def check_summary(spark, d):
+    checks = F.array(F.struct(F.lit("nonempty").alias("name"), (F.length("text") > 0).alias("ok")))
+    x = t(spark, d, "documents").select("source", F.forall(checks, lambda c: c["ok"]).alias("ok"), X.text_verdict(F.col("text")).alias("v"))
+    return x.groupBy("source").agg(F.count("*").alias("documents"), F.bool_and("ok").alias("all_passed"), F.count_if(F.col("v").isNull()).alias("verified"))
+
+
+@query("select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as row_addr, 'part ' || l_partkey || ' line ' || l_linenumber as line from lineitem")
+def repeat_rows_fill(spark, d):
+    s = lambda c: F.col(c).cast("string")
+    return R.repeat_fill(t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "part {{part}} line {{no}}", {"part": s("l_partkey"), "no": s("l_linenumber")})
+
+
+@query("select l_orderkey, count(*) as n, least(count(*), 4) as reused, greatest(count(*) - 4, 0) as cloned, greatest(4 - count(*), 0) as removed from lineitem group by l_orderkey")
+def repeat_row_plan(spark, d):
+    return R.repeat_plan(t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")), "l_orderkey", 4)
+
+
+@query("select l_orderkey, count(*) as n, sum(length(l_returnflag || l_linestatus || l_partkey)) as chars, count(*) > 5 or sum(length(l_returnflag || l_linestatus || l_partkey)) > 30 as over from lineitem group by l_orderkey")
+def repeat_row_limits(spark, d):
+    chars = F.sum(F.length(F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string"))))
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), chars.alias("chars")).withColumn("over", (F.col("n") > 5) | (F.col("chars") > 30))
+
+
+@query("select l_orderkey, max(length(p_name)) as longest, arg_max(p_partkey, [length(p_name), p_partkey]) as field from lineitem join part on l_partkey = p_partkey group by l_orderkey")
+def longest_value_per_row(spark, d):
+    j = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return j.groupBy("l_orderkey").agg(F.max(F.length("p_name")).cast("long").alias("longest"), F.max_by("p_partkey", F.struct(F.length("p_name"), "p_partkey")).alias("field"))
+
+
+@query("select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) - 1 as para_no, unnest(string_split(text, chr(10))) as text from documents")
+def paragraph_expand(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "text")).select("doc_id", F.col("para_no").cast("long").alias("para_no"), "text")
+
+
+@query("""with r as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(0, len(string_split(text, chr(10))))) as run_no from documents),
+o as (select doc_id, run_no, sum(length(x)) over (partition by doc_id order by run_no) as stop, length(x) as n from r) select doc_id, run_no, cast(stop - n as bigint) as start, cast(stop as bigint) as stop from o""")
+def run_offsets(spark, d):
+    r = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("run_no", "x"))
+    return R.run_offsets(r, "doc_id", "run_no", "x").select("doc_id", F.col("run_no").cast("long").alias("run_no"), "start", "stop")
+
+
+@query()
+def chunk_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(X.greedy_chunks(F.col("text"), 1500)).alias("chunk_no", "chunk"))
+
+
+@query("select doc_id, true as lossless, sha256(text) as sha from documents")
+def chunk_losslessness(spark, d):
+    whole = F.array_join(X.greedy_chunks(F.col("text"), 1500), "")
+    return t(spark, d, "documents").select("doc_id", (whole == F.col("text")).alias("lossless"), F.sha2(whole.cast("binary"), 256).alias("sha"))
+
+
+@query(r"select doc_id, list_max(list_transform(regexp_split_to_array(text, '[ \n]'), lambda x: length(x))) > 30 as unbreakable from documents")
+def unbreakable_run(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.exists(F.split("text", "[ \n]", -1), lambda x: F.length(x) > 30).alias("unbreakable"))
+
+
+@query("select doc_id, length(text) as n, true as covered from documents")
+def character_coverage(spark, d):
+    runs = t(spark, d, "documents").select("doc_id", "text", F.posexplode(X.greedy_chunks(F.col("text"), 1500)).alias("no", "c"))
+    # runs cover each character once if each starts where the one before it stops and the lengths add up
+    off = R.run_offsets(runs, "doc_id", "no", "c").groupBy("doc_id").agg(F.max("stop").alias("stop"), F.min("start").alias("start"), F.sum(F.col("stop") - F.col("start")).alias("sum"))
+    return off.join(t(spark, d, "documents"), "doc_id").select("doc_id", F.length("text").cast("long").alias("n"), ((F.col("start") == 0) & (F.col("stop") == F.length("text")) & (F.col("sum") == F.length("text"))).alias("covered"))
+
+
+TAG = r"<(/?[A-Za-z][A-Za-z0-9]*)[^>]*>"
+
+
+@query(f"select lower(tag) as tag, count(*) as n from (select unnest(regexp_extract_all(html, '{TAG}', 1)) as tag from pages) group by 1")
+def tag_counts(spark, d):
+    return t(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(1))).alias("tag")).groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with g as (select page_id, unnest(regexp_extract_all(html, '{TAG}', 1)) as tag, unnest(range(0, len(regexp_extract_all(html, '{TAG}', 1)))) as no from pages),
+d as (select page_id, no, sum(case when tag like '/%' then -1 else 1 end) over (partition by page_id order by no) as depth from g)
+select page_id, cast(max(depth) as bigint) as max_depth, cast(min(depth) as bigint) as min_depth, cast(max_by(depth, no) as bigint) as last_depth, min(depth) >= 0 and max_by(depth, no) = 0 as balanced from d group by page_id""")
+def tag_depth(spark, d):
+    g = t(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TAG), F.lit(1))).alias("no", "tag")).withColumn("change", F.when(F.col("tag").startswith("/"), -1).otherwise(1))
+    return R.nesting(g, "page_id", "no", "change")
+
+
+@query("select page_id, contains(lower(html), '<!doctype') as dtd, contains(lower(html), '<script') as script from pages")
+def active_content_refusal(spark, d):
+    low = F.lower("html")
+    return t(spark, d, "pages").select("page_id", F.contains(low, F.lit("<!doctype")).alias("dtd"), F.contains(low, F.lit("<script")).alias("script"))
+
+
+def tree(spark, d):
+    """One container for an order, one node a line; the order takes the span of its lines."""
+    n = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("id"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 5).alias("stop"))
+    outer = n.groupBy("doc").agg(F.lit(0).alias("id"), F.lit(0).alias("start"), (F.max("stop") + 1).alias("stop"))
+    inner = n.groupBy("doc").agg(F.lit(-1).alias("id"), F.lit(15).alias("start"), (F.max("stop") + 1).alias("stop"))
+    return n, outer.unionByName(inner)
+
+
+@query("select distinct l_orderkey as doc, l_linenumber as id, case when l_linenumber >= 2 then -1 else 0 end as ancestor from lineitem")
+def nearest_ancestor(spark, d):
+    return R.nearest_ancestor(*tree(spark, d), "doc")
+
+
+@query("select l_orderkey as doc, 0 as ancestor, count(*) as nodes from lineitem group by l_orderkey union all select l_orderkey, -1, count(*) from lineitem where l_linenumber >= 2 group by l_orderkey")
+def subtree_size(spark, d):
+    n, a = tree(spark, d)
+    a = a.select("doc", F.col("id").alias("ancestor"), F.col("start").alias("a0"), F.col("stop").alias("a1"))
+    return n.join(a, "doc").filter("a0 < start and stop < a1").groupBy("doc", "ancestor").agg(F.count("*").alias("nodes"))
+
+
+@query("""with recursive s as (select 'n' || n_nationkey as id, 'r' || n_regionkey as parent from nation union all select 'r' || r_regionkey, case when r_regionkey > 0 then 'r' || (r_regionkey - 1) end from region),
+c as (select id, id as cur, 0 as depth from s union all select c.id, s.parent, c.depth + 1 from c join s on s.id = c.cur where s.parent is not null)
+select id, max_by(cur, depth) as root, max(depth) as depth, false as cycle from c group by id""")
+def style_chain(spark, d):
+    n = t(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
+    r = t(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.when(F.col("r_regionkey") > 0, F.concat(F.lit("r"), (F.col("r_regionkey") - 1).cast("string"))).alias("parent"))
+    return R.style_chains(spark, n.unionByName(r))
+
+
+@query("""with b as (select p_partkey as id, p_partkey // 8 as page, p_size as x, (p_partkey * 7) % 40 as y, 6 as w, 9 as h from part)
+select a.page, a.id as a, b.id as b from b as a join b on a.page = b.page and a.id < b.id and a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h""")
+def box_overlap(spark, d):
+    b = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 8").alias("page"), F.col("p_size").alias("x"), ((F.col("p_partkey") * 7) % 40).alias("y"), F.lit(6).alias("w"), F.lit(9).alias("h"))
+    return R.boxes_overlap(b, "page")
+
+
+@query("""with l as (select conv_id, turn, case when role = 'user' then 0 when role = 'assistant' then 1 else 2 end as level from conversations)
+select conv_id, turn, cast(sum(case when level = 0 then 1 else 0 end) over w - 1 as bigint) as paragraph, level <= coalesce(lag(level) over w, -1) + 1 as ok from l window w as (partition by conv_id order by turn)""")
+def record_level_check(spark, d):
+    c = t(spark, d, "conversations").withColumn("level", F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2))
+    return R.level_check(c, "conv_id", "turn", "level")
+
+
+@query(r"select p_partkey, case when regexp_full_match(p_name, '[A-Za-z][A-Za-z0-9_]{0,63}') then p_name else 'field_' || substr(sha256(p_name), 1, 12) end as alias from part")
+def pdf_alias(spark, d):
+    return t(spark, d, "part").select("p_partkey", X.alias_for(F.col("p_name")).alias("alias"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
