@@ -5,10 +5,12 @@ band of their signature are candidates. A candidate pair's signatures are compar
 posterior of the similarity (uniform prior, so a Beta) says how likely it is to reach the threshold; pairs below MISS are
 pruned. Survivors are verified on their full sets.
 
-Buckets are never expanded into all pairs. In each round every bucket compares one pivot (later one of each of 8, 64, ...
-residue classes) with its other members of other components, verified links merge components, the pivots leave, and
-buckets with one component left are done. So every candidate pair is compared unless its two texts are connected already,
-and large groups of copies cost one comparison a member.
+Buckets are never expanded into all pairs. First every bucket compares one pivot, the node that lies in the most populous
+buckets (in a group of copies that is the text they derive from), with its other members; verified links merge
+components, and buckets with one component left are done, so large groups of copies cost about one comparison a member. What
+is left is compared in blocks of at most 2 * CHUNK members, inside the tasks: pairs of different components, each
+in the first bucket that they share only, and what the signatures rule out is never a row. So every candidate pair is compared
+unless its two texts are connected already.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is pruned with at most 3 * MISS.
 
@@ -37,8 +39,10 @@ HASHES = BANDS * ROWS
 #: Similarity threshold as a fraction of whole numbers.
 NUM, DEN = 75, 100
 #: A pair is pruned when its chance to reach the threshold is below this.
-MISS = 1e-7
+MISS = 1e-5
 BATCH = 32
+#: Members of a bucket in one part of a block.
+CHUNK = 256
 CACHED_WORDS = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,11 +153,11 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def bucket_members(sigs: DataFrame) -> DataFrame:
-    """bucket, node: memberships in buckets of at least two nodes."""
-    band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", k * ROWS * 4 + 1, ROWS * 4))
-    each = sigs.select("node", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    return each.join(shared, "bucket")
+    """bucket, band, node: memberships in buckets of at least two nodes."""
+    key = lambda k: F.xxhash64(F.lit(k), F.substring("sig", k * ROWS * 4 + 1, ROWS * 4))
+    each = sigs.select("node", F.posexplode(F.array(*[key(k) for k in range(BANDS)])).alias("band", "bucket"))
+    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return each.join(shared, "bucket").select("bucket", "band", "node", "n")
 
 
 def pruned(pairs: DataFrame) -> DataFrame:
@@ -221,40 +225,87 @@ def link_nodes(spark: SparkSession, sigs: DataFrame, sets_of) -> DataFrame | Non
     candidates = common.stored(sigs.join(some, "node"))
     sets = common.stored(sets_of(candidates.select("node")))
     common.release(spark)
-    links, label, seen, classes = None, None, None, 1
-    for turn in range(1_000_000):  # ends when no bucket holds two components
-        if label is not None:
-            members = members.join(label, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-            mixed_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-            members = common.stored(members.join(mixed_, "bucket"))
-            if not members.limit(1).count():
-                break
-        else:
-            members = members.withColumn("comp", F.col("node"))
-        group = ["bucket", F.pmod(F.xxhash64("node"), F.lit(classes)).alias("g")] if classes > 1 else ["bucket", F.lit(0).alias("g")]
-        # the pivot is the node of most memberships, i.e. the one that most others resemble
-        weight = members.groupBy("node").agg(F.count("*").alias("k"))
-        ranked = members.join(weight, "node")
-        pivots = ranked.groupBy(*group).agg(F.min(F.struct((-F.col("k")).alias("k"), "node", "comp")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pcomp"))
-        pivots = common.stored(pivots)
-        pairs = members.join(pivots, "bucket").filter("comp != pcomp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = common.stored(pairs)
-        seen = pairs if seen is None else common.stored(seen.union(pairs))
-        side = lambda x: candidates.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-        alike = common.stored(pruned(sized))
-        items = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
-        found = common.stored(verified(alike.join(items("a"), "a").join(items("b"), "b")))
-        links = found if links is None else common.stored(links.union(found))
-        # each pivot has met all others of its bucket, and leaves
-        members = common.stored(members.select("bucket", "node").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"))
-        label = components(spark, links)
-        common.release(spark)
-        if turn >= 2:
-            classes = min(classes * 8, 4096)
-    return links
+    # the pivot lies in the most populous buckets, i.e. it is what most others resemble
+    weight = members.groupBy("node").agg(F.sum("n").alias("k"))
+    best = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("k", "node")).alias("p"))
+    pivots = common.stored(best.select("bucket", F.col("p.node").alias("pivot")))
+    pairs = members.join(pivots, "bucket").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    pairs = common.stored(pairs.distinct())
+    side = lambda x: candidates.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
+    links = exact(pruned(sized), sets)
+    common.release(spark)
+    # pivots have met all others of their buckets, and leave
+    label = components(spark, links)
+    rest = members.join(pivots.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
+    rest = common.stored(rest.join(label, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp")))
+    several = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    parts = rest.join(several.select("bucket", "n"), "bucket").join(candidates.select("node", "n_shingles", "sig"), "node")
+    more = exact(block_pairs(parts).join(pairs, ["a", "b"], "left_anti"), sets)
+    return common.stored(links.union(more))
+
+
+def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b among the pairs, verified on whole sets (stored)."""
+    items = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
+    return common.stored(verified(common.stored(pairs).join(items("a"), "a").join(items("b"), "b")))
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Pairs a, b of different components that the signatures don't rule out, each once. members: bucket, band, node, comp, n
+    (of the bucket), n_shingles, sig. Each member goes to the blocks (i, j) of its part, one a part of the bucket."""
+    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "comp", "n_shingles", "sig")
+    group = ["bucket", "i", "j"]
+
+    def compared(t: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        node, n = t["node"].to_pylist(), np.asarray(t["n_shingles"])
+        comp = np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)[1]
+        own, across, band = np.asarray(t["own"]), t["i"][0].as_py() != t["j"][0].as_py(), t["band"][0].as_py()
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, HASHES)
+        for x in range(len(node) - 1):
+            y = np.arange(x + 1, len(node))
+            y = y[(comp[y] != comp[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x])) & ((own[y] != own[x]) if across else True)]
+            matches = np.zeros(len(y), np.int64)
+            for k, least in enumerate(least_matches()):
+                if not len(y):
+                    break
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                matches = matches + (sig[y, part] == sig[x, part]).sum(axis=1)
+                y, matches = y[matches >= least], matches[matches >= least]
+            if len(y) and band:  # an earlier band that they share has them
+                y = y[~(sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(axis=2).any(axis=1)]
+            for z in y.tolist():
+                yield min(node[x], node[z]), max(node[x], node[z])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in group])
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist(), t.num_rows]
+            for start in range(0, len(cuts) - 1, 512):
+                out = [p for a, b in zip(cuts[start : start + 512], cuts[start + 1 : start + 513], strict=False) for p in compared(t.slice(a, b - a))]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
+
+        n = 0
+        for batch in batches:
+            kept.append(batch)
+            n += len(batch)
+            if n >= 8192:
+                t = pa.Table.from_batches(kept).combine_chunks()
+                keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in group])
+                last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0))[-1]) + 1 if (keys != keys[:, -1:]).any() else 0
+                if last:
+                    yield from done(t.slice(0, last))
+                kept, n = t.slice(last).to_batches(), t.num_rows - last
+        if n:
+            yield from done(pa.Table.from_batches(kept).combine_chunks())
+
+    spread = dealt.repartition(common.shuffle_parts(members.sparkSession), *group).sortWithinPartitions(*group, "node")
+    return spread.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
