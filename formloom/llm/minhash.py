@@ -9,7 +9,7 @@ Buckets are never expanded into all pairs. First every bucket compares one pivot
 buckets (in a group of copies that is the text they derive from), with its other members; verified links merge
 components, and buckets with one component left are done, so large groups of copies cost about one comparison a member. What
 is left is compared in blocks of at most 2 * CHUNK members, inside the tasks: pairs of different components, each
-in the first bucket that they share only, and what the signatures rule out is never a row. So every candidate pair is compared
+in the first bucket that they share only; what the signatures let pass is verified there, and only links are rows. So every candidate pair is compared
 unless its two texts are connected already.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is pruned with at most 3 * MISS.
@@ -42,7 +42,7 @@ NUM, DEN = 75, 100
 MISS = 1e-5
 BATCH = 32
 #: Members of a bucket in one part of a block.
-CHUNK = 256
+CHUNK = 512
 CACHED_WORDS = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,6 +181,14 @@ def pruned(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) reach the threshold."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return DEN * shared >= NUM * (len(both) - shared)
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """Pairs a, b, items_a, items_b whose sets reach the threshold."""
 
@@ -188,11 +196,7 @@ def verified(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for i, (p, q) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if DEN * shared >= NUM * (len(x) + len(y) - shared):
+                if alike(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)):
                     keep.append(i)
             got = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["a", "b"])
@@ -240,9 +244,8 @@ def link_nodes(spark: SparkSession, sigs: DataFrame, sets_of) -> DataFrame | Non
     rest = members.join(pivots.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
     rest = common.stored(rest.join(label, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp")))
     several = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    parts = rest.join(several.select("bucket", "n"), "bucket").join(candidates.select("node", "n_shingles", "sig"), "node")
-    more = exact(block_pairs(parts).join(pairs, ["a", "b"], "left_anti"), sets)
-    return common.stored(links.union(more))
+    parts = rest.join(several.select("bucket", "n"), "bucket").join(candidates.select("node", "n_shingles", "sig").join(sets, "node"), "node")
+    return common.stored(links.union(block_links(parts)))
 
 
 def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,13 +254,14 @@ def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.stored(verified(common.stored(pairs).join(items("a"), "a").join(items("b"), "b")))
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs a, b of different components that the signatures don't rule out, each once. members: bucket, band, node, comp, n
-    (of the bucket), n_shingles, sig. Each member goes to the blocks (i, j) of its part, one a part of the bucket."""
+def block_links(members: DataFrame) -> DataFrame:
+    """Links a, b between different components, as many as it takes to connect a block's members. members: bucket, band, node,
+    comp, n (of the bucket), n_shingles, sig, items. Each member goes to the blocks (i, j) of its part, one a part of the
+    bucket; what the signatures don't rule out is verified on the sets there, unless the block has connected it."""
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "comp", "n_shingles", "sig")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "comp", "n_shingles", "sig", "items")
     group = ["bucket", "i", "j"]
 
     def compared(t: pa.Table) -> Iterator[tuple[bytes, bytes]]:
@@ -265,6 +269,7 @@ def block_pairs(members: DataFrame) -> DataFrame:
         comp = np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)[1]
         own, across, band = np.asarray(t["own"]), t["i"][0].as_py() != t["j"][0].as_py(), t["band"][0].as_py()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, HASHES)
+        items = [np.frombuffer(i.as_py(), np.uint64) for i in t["items"]]
         for x in range(len(node) - 1):
             y = np.arange(x + 1, len(node))
             y = y[(comp[y] != comp[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x])) & ((own[y] != own[x]) if across else True)]
@@ -276,9 +281,12 @@ def block_pairs(members: DataFrame) -> DataFrame:
                 matches = matches + (sig[y, part] == sig[x, part]).sum(axis=1)
                 y, matches = y[matches >= least], matches[matches >= least]
             if len(y) and band:  # an earlier band that they share has them
-                y = y[~(sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(axis=2).any(axis=1)]
-            for z in y.tolist():
-                yield min(node[x], node[z]), max(node[x], node[z])
+                fresh = ~(sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(axis=2).any(axis=1)
+                y, matches = y[fresh], matches[fresh]
+            for z in y[np.argsort(-matches, kind="stable")].tolist():
+                if comp[z] != comp[x] and alike(items[x], items[z]):
+                    comp[comp == comp[z]] = comp[x]
+                    yield min(node[x], node[z]), max(node[x], node[z])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -290,17 +298,17 @@ def block_pairs(members: DataFrame) -> DataFrame:
                 out = [p for a, b in zip(cuts[start : start + 512], cuts[start + 1 : start + 513], strict=False) for p in compared(t.slice(a, b - a))]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
 
-        n = 0
-        for batch in batches:
+        n, size = 0, 0
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
             kept.append(batch)
-            n += len(batch)
-            if n >= 8192:
+            n, size = n + len(batch), size + sum(len(x.as_py()) for x in batch.column(batch.schema.get_field_index("items")))
+            if n >= 8192 or size > 32 << 20:
                 t = pa.Table.from_batches(kept).combine_chunks()
                 keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in group])
                 last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0))[-1]) + 1 if (keys != keys[:, -1:]).any() else 0
                 if last:
                     yield from done(t.slice(0, last))
-                kept, n = t.slice(last).to_batches(), t.num_rows - last
+                kept, n, size = t.slice(last).to_batches(), t.num_rows - last, 0
         if n:
             yield from done(pa.Table.from_batches(kept).combine_chunks())
 
