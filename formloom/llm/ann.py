@@ -6,7 +6,7 @@ A query's window in each array is centred on its own projection and grows by vir
 widens every window, and each vector counts the windows that hold it. Vectors whose count reaches the collision
 threshold are verified with exact inner products. A query stops after the radius at which K and a share ENOUGH of the block
 are verified, or when all of the block is. With the defaults, directions without any structure (the hardest case, in which
-a third of a block gets verified) still give a recall above 0.9; clustered vectors stop at a smaller radius.
+over half of a block gets verified) still give a recall above 0.9; clustered vectors stop at a smaller radius.
 
 Blocks of vectors meet blocks of queries, each pair one task group of bounded size; the K best of each block are merged by
 a grouped top-K. Equal vectors of a block are hashed and verified once and expand to their K + 1 smallest ids at the
@@ -31,9 +31,9 @@ from pyspark.sql.window import Window
 from . import common
 
 K = 20
-PROJECTIONS = 64
+PROJECTIONS = 32
 #: Share of the projections in which a vector must fall into the window to be verified.
-THRESHOLD = 0.54
+THRESHOLD = 0.5
 C = 2.0
 #: First radius of the windows, as a share of the greatest norm.
 START = 0.25
