@@ -33,7 +33,7 @@ from . import common
 K = 20
 PROJECTIONS = 32
 #: Share of the projections in which a vector must fall into the window to be verified.
-THRESHOLD = 0.5
+THRESHOLD = 0.46
 C = 2.0
 #: First radius of the windows, as a share of the greatest norm.
 START = 0.25

@@ -89,6 +89,7 @@ def test_huffman():
 def test_nearest(spark):
     r = np.random.default_rng(1)
     v = r.standard_normal((600, 16))
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
     v[100:140] = v[0]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (None, v[3].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
