@@ -9,7 +9,8 @@ place is left at most once, so the work is linear in the word. Results equal the
 Decoder: ids index an offset table into one blob of token bytes; the bytes of a text are gathered in one numpy step.
 
 Defined results: a null text is the empty text (no tokens, sha-256 of nothing); texts of white space only
-likewise; repeated rows give repeated results; extra columns are ignored.
+likewise; repeated rows give repeated results; extra columns are ignored. Texts with characters that Python's Unicode
+tables don't know are normalised and split by the tokenizers library, whose tables are newer.
 """
 
 from __future__ import annotations
@@ -63,12 +64,24 @@ class Words:
         return text.split()
 
 
+class UnknownCharacter(Exception):
+    """A word holds a character that is unassigned in Python's Unicode tables, so Words may have split it wrongly."""
+
+
+@functools.lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Vocabulary:
     """The tokenizer file: ids, byte strings, merges and the pattern for pieces of a word."""
 
     def __init__(self, path: str):
         import regex
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -90,6 +103,11 @@ class Vocabulary:
             return [word]
         return [self.spelled(p) for p in self.pieces.findall(word)]
 
+    def library_pieces(self, text: str) -> list[str]:
+        """The pieces of a whole text as the tokenizers library normalises and splits it; slower, any Unicode version."""
+        t = library(self.path)
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
+
     def spelled(self, piece: str) -> str:
         return "".join([self.alphabet[b] for b in piece.encode("utf-8", "replace")])
 
@@ -209,9 +227,9 @@ class Backtracking:
 class Encoder(dict):
     """Texts to ids as packed little-endian integers; a dict of encoded words (bounded) that fills itself."""
 
-    def __init__(self, vocabulary: Vocabulary, encode_word: Callable[[str], list[int]], kind: str = "<u4"):
+    def __init__(self, vocabulary: Vocabulary, encode_piece: Callable[[str], list[int]], kind: str = "<u4"):
         super().__init__()
-        self.words, self.vocabulary, self.encode_word, self.kind = Words(), vocabulary, encode_word, kind
+        self.words, self.vocabulary, self.encode_piece, self.kind = Words(), vocabulary, encode_piece, kind
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in MARKS and word[-2].isalnum():
@@ -219,13 +237,18 @@ class Encoder(dict):
             if len(word) <= SHORT_CHARS:
                 self[word] = packed
             return packed
-        packed = np.array(self.encode_word(word), self.kind).tobytes()
+        if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
+            raise UnknownCharacter
+        packed = self.packed(self.vocabulary.spelled_pieces(word))
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = packed
         return packed
 
+    def packed(self, pieces: list[str]) -> bytes:
+        return np.array([i for p in pieces for i in self.encode_piece(p)], self.kind).tobytes()
+
     def encode(self, text: str) -> bytes:
         special = self.vocabulary.specials
         if special is not None and "<|" in text and special.search(text):
@@ -234,7 +257,10 @@ class Encoder(dict):
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.words(text)))
+        try:
+            return b"".join(map(self.__getitem__, self.words(text)))
+        except UnknownCharacter:
+            return self.packed(self.vocabulary.library_pieces(text))
 
 
 class OffsetTable:
@@ -267,14 +293,7 @@ def encoder(path: str, kind: str = "<u4") -> Encoder:
     """One for each worker process and vocabulary file."""
     v = vocabulary(path)
     bpe = Backtracking(v)
-
-    def word(w: str) -> list[int]:
-        out: list[int] = []
-        for piece in v.spelled_pieces(w):
-            out += bpe(piece, bool(v.suffix))
-        return out
-
-    return Encoder(v, word, kind)
+    return Encoder(v, lambda piece: bpe(piece, bool(v.suffix)), kind)
 
 
 @functools.lru_cache(maxsize=2)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .bpe import Encoder, vocabulary
+from .bpe import Encoder, library, vocabulary
 
 BLOCK = 256
 MAX_BITS = 16
@@ -139,10 +139,8 @@ def unpack(stream: bytes, checkpoints: np.ndarray, n: int, tables: tuple[np.ndar
 @functools.lru_cache(maxsize=2)
 def library_encoder(path: str, kind: str) -> Encoder:
     """Ids by the tokenizers library's model, which encodes each distinct word once (while it is cached)."""
-    from tokenizers import Tokenizer
-
-    v, model = vocabulary(path), Tokenizer.from_file(path).model
-    return Encoder(v, lambda w: [t.id for p in v.spelled_pieces(w) for t in model.tokenize(p)], kind)
+    model = library(path).model
+    return Encoder(vocabulary(path), lambda piece: [t.id for t in model.tokenize(piece)], kind)
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str) -> DataFrame:

@@ -23,7 +23,7 @@ def texts():
     words = base.split()
     near = [" ".join(w if (i * 7 + s) % 60 else "edit%d" % s for i, w in enumerate(words)) for s in range(4)]
     out = [None, "", "  \n", "one two", base, base, *near, prose(2, 300) + " " + " ".join(words[50:150]), prose(3, 5000) + "\n" + prose(3, 40), "x" * 700, "é漢字 Released under the MIT License. Under CC BY-NC 4.0"]
-    return out + ["Under the MIT license under the mit license", "<|endoftext|> it's 12,5!", "shared line number %d here" % 7 + "\n" + prose(8, 30)]
+    return out + ["Under the MIT license under the mit license", "<|endoftext|> it's 12,5!", "new letters \U000105c0 a\U00010940b \ua7dcx\u0897\u0323\u0301 Don't <|endoftext|>\U00010d50", "shared line number %d here" % 7 + "\n" + prose(8, 30)]
 
 
 @pytest.fixture(scope="module")
