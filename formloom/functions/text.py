@@ -94,3 +94,41 @@ def greedy_chunks(text: Column, budget: int) -> Column:
 def alias_for(name: Column) -> Column:
     """The name itself if legal, else field_ and the first 12 hex digits of its sha-256."""
     return F.when(valid_name(name), name).otherwise(F.concat(F.lit("field_"), F.substring(F.sha2(name.cast("binary"), 256), 1, 12)))
+
+
+def mask(text: Column, taken: Column) -> Column:
+    """Spans (start, stop) become as many spaces, so that offsets stay."""
+    inside = F.transform(taken, lambda e: F.struct(F.least(e["start"], F.length(text)).alias("start"), F.least(e["stop"], F.length(text)).alias("stop")))
+    return splice(text, F.transform(inside, lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), F.repeat(F.lit(" "), e["stop"] - e["start"]).alias("replacement"))))
+
+
+def strict_verdict(value: Column) -> Column:
+    """text_verdict, and no marker braces or noncharacters in a value."""
+    return F.coalesce(text_verdict(value), F.when(value.rlike(r"\{\{|\}\}"), "marker").when(value.rlike(r"[\x{FFFE}\x{FFFF}]"), "noncharacter"))
+
+
+def last_font_size(appearance: Column) -> Column:
+    """Operand of the last Tf of an appearance string, null if there is none."""
+    return F.try_element_at(F.regexp_extract_all(appearance, F.lit(r"([0-9.]+)\s+Tf\b"), F.lit(1)), F.lit(-1)).cast("double")
+
+
+def balanced_state(stream: Column) -> Column:
+    """q and Q nest and end closed, and there is no inline image."""
+    ops = F.regexp_extract_all(stream, F.lit(r"(?<!\S)(q|Q|BI)(?!\S)"), F.lit(1))
+    step = lambda a, o: F.when((a < 0) | (o == "BI"), -1).when(o == "q", a + 1).otherwise(a - 1)
+    return F.aggregate(ops, F.lit(0), step) == 0
+
+
+def set_attribute(tag: Column, name: str, value: Column) -> Column:
+    """An opening tag whose attribute is replaced in place, or appended where there is none. The value is escaped."""
+    found = rf'(\s{name}=)"[^"]*"'
+    safe = F.regexp_replace(xml_escape(value), r"([\\$])", r"\\$1")
+    put = F.regexp_replace(tag, F.lit(found), F.concat(F.lit('$1"'), safe, F.lit('"')))
+    add = F.regexp_replace(tag, F.lit(r"\s*(/?)>$"), F.concat(F.lit(f' {name}="'), safe, F.lit('"$1>')))
+    return F.when(tag.rlike(found), put).otherwise(add)
+
+
+def output_verdict(source: Column, output: Column, exists: Column) -> Column:
+    """Null if a result may be written there, else extension, same-path or exists."""
+    ext = lambda p: F.lower(F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(ext(source) != ext(output), "extension").when(source == output, "same-path").when(exists, "exists")

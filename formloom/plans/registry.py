@@ -354,3 +354,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from formloom.plans import layout  # noqa: E402, F401  adds its queries to those above
