@@ -6,8 +6,10 @@ which at least SIMILAR of the tokens agree, and tokens that differ become variab
 least MIN_DOCUMENTS documents with different texts (exact copies of a document count once); its lines are dropped everywhere but
 at its first place (smallest doc_id, then line number), so one copy of every passage stays.
 
-Leaves are clustered in bounded blocks of whole leaves. A leaf with over LEAF different lines is split by further leading
-tokens until its parts are bounded (or equal in all tokens). Counting is by sums that combine before the shuffle.
+Leaves are clustered in blocks of whole leaves. A leaf with over LEAF different lines is dealt into parts of about LEAF lines by
+the hash of the line; the templates of its parts are then clustered again as one leaf, so lines meet wherever they differ, and
+documents are counted after that. A leaf of n lines brings its templates together in one task: n / LEAF at least, n if no two
+lines of it are alike. Counting is by sums that combine before the shuffle.
 
 Defined results: a null text is empty and stays null; blank lines are never dropped; line ends are LF; a null doc_id comes last; rows equal
 in doc_id and text are one place each and lose the same lines; an empty table gives no rows; extra columns stay as they are.
@@ -34,16 +36,18 @@ LEAF = 400
 BLOCK = 20_000
 CACHED_WORDS = 400_000
 LAST = 2**63 - 1
+#: Mark of a field in which the lines of a part's template differ: it agrees with nothing.
+FREE = 65535
 DIGIT = re.compile(r"\d")
 
 
 class Tokens(dict):
-    """Token to a 16-bit fingerprint from 1 on; 0 for a variable field. Fills itself, bounded."""
+    """Token to a 16-bit fingerprint from 1 on, under FREE; 0 for a variable field. Fills itself, bounded."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        got = self[token] = 0 if DIGIT.search(token) else xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) % 65535 + 1
+        got = self[token] = 0 if DIGIT.search(token) else xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) % (FREE - 1) + 1
         return got
 
 
@@ -98,14 +102,15 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def clustered(leaf_lines: DataFrame) -> DataFrame:
-    """line, template (the smallest line of the template): leaf, line, documents, marks of all lines of each leaf go in."""
+    """line, template (a line of it), shape: leaf, line, documents, marks of all lines of each leaf go in. A template's own line has
+    its marks as shape, FREE where its lines differ; others have none."""
 
-    def of_leaf(line: np.ndarray, weight: np.ndarray, marks: list[bytes]) -> np.ndarray:
-        rows = np.frombuffer(b"".join(marks), "<u2").reshape(len(marks), -1).copy()
+    def of_leaf(line: np.ndarray, weight: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, list[bytes | None]]:
+        rows = np.frombuffer(b"".join(marks), "<u2").reshape(len(marks), -1)
         order = np.lexsort((line, -weight))
         width = rows.shape[1]
-        templates = np.zeros((len(order), width), np.uint16)
-        leader = np.zeros(len(order), np.int64)
+        templates = np.zeros((min(64, len(order)), width), np.uint16)
+        leader: list[int] = []
         n, out = 0, np.zeros(len(order), np.int64)
         for i in order.tolist():
             if n:
@@ -114,11 +119,18 @@ def clustered(leaf_lines: DataFrame) -> DataFrame:
                 best = int(np.argmax(agree))
                 if agree[best] >= SIMILAR * width:
                     templates[best][templates[best] != rows[i]] = 0
-                    out[i] = leader[best]
+                    out[i] = line[leader[best]]
                     continue
-            templates[n], leader[n], out[i] = rows[i], line[i], line[i]
+            if n == len(templates):
+                templates = np.concatenate([templates, np.zeros((min(n, len(order) - n), width), np.uint16)])
+            templates[n] = np.where(rows[i] == FREE, 0, rows[i])
+            leader.append(i)
+            out[i] = line[i]
             n += 1
-        return out
+        shapes: list[bytes | None] = [None] * len(order)
+        for t, i in zip(templates, leader, strict=False):
+            shapes[i] = np.where((t == 0) & (rows[i] != 0), FREE, t).astype("<u2").tobytes()
+        return out, shapes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -127,7 +139,8 @@ def clustered(leaf_lines: DataFrame) -> DataFrame:
             leaf, line, weight, marks = np.asarray(t["leaf"]), np.asarray(t["line"]), np.asarray(t["documents"]), t["marks"].to_pylist()
             cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)] if len(leaf) else [0]
             out = [of_leaf(line[a:b], weight[a:b], marks[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(line), pa.array(np.concatenate(out or [np.zeros(0, np.int64)]))], ["line", "template"])
+            template = np.concatenate([x[0] for x in out] or [np.zeros(0, np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array(line), pa.array(template), pa.array([s for x in out for s in x[1]], pa.binary())], ["line", "template", "shape"])
 
         n = 0
         for batch in batches:
@@ -144,13 +157,21 @@ def clustered(leaf_lines: DataFrame) -> DataFrame:
             yield done(pa.Table.from_batches(kept).combine_chunks())
 
     dealt = leaf_lines.select("leaf", "line", "documents", "marks").repartition(common.shuffle_parts(leaf_lines.sparkSession), "leaf").sortWithinPartitions("leaf", "line")
-    return dealt.mapInArrow(run, "line long, template long")
+    return dealt.mapInArrow(run, "line long, template long, shape binary")
 
 
-def deeper(lines: DataFrame, depth: int) -> DataFrame:
-    """The same lines with leaves of more leading tokens."""
-    part = F.substring("marks", 1, 2 * depth)
-    return lines.withColumn("leaf", F.xxhash64("leaf", part))
+def templates(leaf_lines: DataFrame) -> DataFrame:
+    """line, template of all lines of each leaf; leaf_lines: leaf, line, documents, marks, n (lines of the leaf)."""
+    small = clustered(leaf_lines.filter(F.col("n") <= LEAF)).drop("shape")
+    large = leaf_lines.filter(F.col("n") > LEAF)
+    if not large.limit(1).count():
+        return small
+    part = F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / LEAF))
+    parts = common.stored(clustered(large.withColumn("leaf", F.xxhash64("leaf", part))))
+    weights = parts.join(large.select("line", "leaf", "documents"), "line").groupBy("template").agg(F.min("leaf").alias("leaf"), F.sum("documents").alias("documents"))
+    heads = parts.filter("shape is not null").select("template", F.col("shape").alias("marks")).join(weights, "template")
+    whole = clustered(heads.withColumnRenamed("template", "line")).select(F.col("line").alias("template"), F.col("template").alias("of"))
+    return small.unionByName(parts.join(whole, "template").select("line", F.col("of").alias("template")))
 
 
 def recurring(table: DataFrame, min_documents: int) -> DataFrame:
@@ -162,17 +183,7 @@ def recurring(table: DataFrame, min_documents: int) -> DataFrame:
     several = lines.join(leaves.filter("n > 1").select("leaf", "n"), "leaf")
     marks = table.select("line", F.struct("doc", "k", "no").alias("first"), "marks")
     open_ = common.stored(several.join(marks, ["line", "first"]).select("leaf", "line", "documents", "first", "marks", "n"))
-    ready, depth = open_.filter(F.col("n") <= LEAF).drop("n"), DEPTH
-    hot = open_.filter(F.col("n") > LEAF).drop("n")
-    while hot.limit(1).count():
-        depth *= 2
-        hot = deeper(hot, depth)
-        sizes = hot.groupBy("leaf").agg(F.count("*").alias("n"), F.max(F.length("marks")).alias("width"))
-        # parts equal in all tokens are one template already, however many: they stay single lines of it
-        sized = common.stored(hot.join(sizes, "leaf"))
-        ready = ready.unionByName(sized.filter((F.col("n") <= LEAF) | (F.col("width") <= 2 * depth)).withColumn("leaf", F.when(F.col("n") > LEAF, F.xxhash64("leaf", "line")).otherwise(F.col("leaf"))).drop("n", "width"))
-        hot = sized.filter((F.col("n") > LEAF) & (F.col("width") > 2 * depth)).drop("n", "width")
-    of = common.stored(clustered(ready))
+    of = common.stored(templates(open_))
     joined = of.groupBy("template").agg(F.count("*").alias("n")).filter("n > 1").select("template")
     merged = of.join(joined, "template")
     # templates of several lines: count their documents anew

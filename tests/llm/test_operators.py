@@ -140,6 +140,16 @@ def test_lines(spark, empty):
     assert lines.line_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [2, 400, 10000])
+def test_large_leaf(spark, leaf, monkeypatch):
+    monkeypatch.setattr(lines, "LEAF", leaf)
+    user = [prose(1000 + i, 2).replace(" ", "q") for i in range(450)]
+    rows = [(i, f"this page was written by {u} for our readers", "en", "s", "x", 5, "b") for i, u in enumerate(user)]
+    rows += [(1000 + i, f"this page was {prose(2000 + i, 6)}", "en", "s", "x", 5, "b") for i in range(20)]
+    out = by_id(lines.cut_lines(spark.createDataFrame(rows, SCHEMA)))
+    assert {i for i, x in out.items() if x._cut} == set(range(1, 450))
+
+
 def test_learnt(spark, docs, empty):
     r = random.Random(5)
     rows = [(i, prose(i, 40) + (" idiot moron scum" * 2 if i % 8 == 0 else ""), "en", "s", "x", 5, "b") for i in range(900)]
