@@ -4,9 +4,11 @@ Inner product becomes distance by one more component, sqrt(M^2 - |v|^2) with M t
 PROJECTIONS hash functions is one Gaussian projection; a block of vectors keeps its values sorted, one array a projection.
 A query's window in each array is centred on its own projection and grows by virtual rehashing: radius R = 1, C, C^2, ...
 widens every window, and each vector counts the windows that hold it. Vectors whose count reaches the collision
-threshold are verified with exact inner products. A query stops after the radius at which K and a share ENOUGH of the block
-are verified, or when all of the block is. With the defaults, directions without any structure (the hardest case, in which
-over half of a block gets verified) still give a recall above 0.9; clustered vectors stop at a smaller radius.
+threshold are verified with exact inner products. A vector at distance d is in a window of radius R with probability
+erf(R / d / sqrt 2), so the distance of the K-th best verified vector tells the radius at which a vector as near as that has been
+verified with probability 1 - MISS: a query stops there (the last step goes to that radius, if it is less than C times the one
+before), or when all of the block is verified. Directions without any structure are the hardest case, in which over half of a
+block gets verified; clustered vectors stop at a smaller radius.
 
 Blocks of vectors meet blocks of queries, each pair one task group of bounded size; the K best of each block are merged by
 a grouped top-K. Equal vectors of a block are hashed and verified once and expand to their K + 1 smallest ids at the
@@ -33,12 +35,14 @@ from . import common
 K = 20
 PROJECTIONS = 32
 #: Share of the projections in which a vector must fall into the window to be verified.
-THRESHOLD = 0.46
+THRESHOLD = 0.5
 C = 2.0
 #: First radius of the windows, as a share of the greatest norm.
 START = 0.25
-#: Verified vectors beyond K before a query may stop, as a share of the block.
-ENOUGH = 0.05
+#: Probability with which a vector as near as the K-th best of a block may stay unverified.
+MISS = 0.02
+#: Share of all values beyond which those that windows gain are counted by comparing every value.
+WIDE = 0.05
 DATA_BLOCK = 8192
 QUERY_BLOCK = 2048
 SEED = 20
@@ -48,6 +52,17 @@ def projections(dim: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dim, PROJECTIONS)).astype(np.float32)
 
 
+def reach(need: int) -> float:
+    """Radius, as a multiple of a vector's distance, at which at least need of the windows hold it with probability 1 - MISS."""
+    low, high = 0.0, 8.0
+    for _ in range(40):
+        x = (low + high) / 2
+        p = math.erf(x / math.sqrt(2))
+        missed = sum(math.comb(PROJECTIONS, i) * p**i * (1 - p) ** (PROJECTIONS - i) for i in range(need))
+        low, high = (x, high) if missed > MISS else (low, x)
+    return high
+
+
 def search_block(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, norm: float, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query ids, vec ids and scores of the k best of this block for each query, by collision counting."""
     same = np.unique(v, axis=0, return_inverse=True)
@@ -67,12 +82,14 @@ def search_block(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray
     base = np.arange(PROJECTIONS)
     shift = base * (4 * (float(np.abs(line).max()) + float(np.abs(centres).max())) + 4)
     flat, by = (line + shift[:, None]).reshape(-1), by.reshape(-1)
-    need, enough = math.ceil(THRESHOLD * PROJECTIONS), min(n, k + math.ceil(ENOUGH * n))
-    unit = START * norm
+    need = math.ceil(THRESHOLD * PROJECTIONS)
+    unit, times = START * norm, reach(need)
+    far = (q * q).sum(axis=1) + norm * norm
     bound = base * n
+    values, near = hashed.T.copy(), centres.astype(np.float32)[:, :, None]
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
-        count, radius, done = np.zeros(n, np.int64), unit, np.zeros(n, bool)
+        count, radius, done = np.zeros(n, np.int16), unit, np.zeros(n, bool)
         centre = centres[i] + shift
         lo = hi = np.clip(np.searchsorted(flat, centre), bound, bound + n)
         verified, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -83,7 +100,10 @@ def search_block(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray
             # what each window gained on its two sides
             start, size = np.concatenate([left, hi]), np.concatenate([lo - left, right - hi])
             ends = np.cumsum(size)
-            count += np.bincount(by[np.repeat(start - ends + size, size) + np.arange(ends[-1])], minlength=n)
+            if ends[-1] > WIDE * PROJECTIONS * n:  # comparing all values is cheaper than gathering so many
+                count = (np.abs(values - near[i]) <= radius).sum(axis=0, dtype=np.int16)
+            else:
+                count += np.bincount(by[np.repeat(start - ends + size, size) + np.arange(ends[-1])], minlength=n).astype(np.int16)
             lo, hi = left, right
             new = np.flatnonzero((count >= need) & ~done)
             if len(new):
@@ -91,9 +111,15 @@ def search_block(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray
                 verified.append(new)
                 scores.append(unique[new] @ q[i])
                 total += len(new)
-            if total >= enough or total == n:
+            if total == n:
+                break
+            wanted = math.inf
+            if total > k:  # one of them may be the query itself
+                kth = np.partition(np.concatenate(scores), total - k - 1)[total - k - 1]
+                wanted = times * math.sqrt(max(0.0, far[i] - 2 * kth))
+            if radius >= wanted:
                 break
-            radius *= C
+            radius = min(C * radius, wanted)
         cand, score = np.concatenate(verified), np.concatenate(scores)
         top = np.argsort(-score, kind="stable")[: 4 * k + 4]
         cut = score[top[min(k, len(top) - 1)]] if len(top) else 0

@@ -106,6 +106,22 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["plain", "tenth"])
+def test_nearest_norms(spread):
+    r = np.random.default_rng(1)
+    v = r.standard_normal((600, 16))
+    if spread == "tenth":
+        v *= (1 + 0.1 * r.standard_normal((600, 1))) / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    ids = np.arange(600)
+    q, d, _ = ann.search_block(ids, v, ids[::20], v[::20], float(np.sqrt((v * v).sum(axis=1).max())))
+    hits = 0
+    for i in ids[::20]:
+        s = v @ v[i]
+        s[i] = -np.inf
+        hits += len(set(d[q == i].tolist()) & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 600
+
+
 def test_minhash(docs, empty):
     got = by_id(minhash.near_duplicates(docs))
     sets = {}
