@@ -4,8 +4,10 @@ Domains come from the labels table: toxic, or else high or low quality. A naive
 informative words, fitted on a bounded sample of labelled documents, gives each document's domain posteriors p. Document
 rates r >= 0 then minimise, over all documents,
     1/2 sum_d ((sum_i r_i n_i p_id - T_d) / S)^2 + RIDGE / 2 sum_i (n_i / S) (r_i - 1)^2
-with n the tokens of a document, S those of the corpus and T the target tokens of a domain: projected gradient steps, each
-one sum over all documents (three numbers to the driver) and one column update, r <- max(0, r - step * gradient).
+with n the tokens of a document, S those of the corpus and T the target tokens of a domain. RIDGE only breaks ties: targets that
+rates >= 0 can meet are met within TOLERANCE. Targets out of reach would then zero most documents for a little gain: if any
+domain still misses by more than TOLERANCE, COMPROMISE takes the place of RIDGE. The rates of the minimum are r_i = max(0, 1 - sum_d p_id l_d) for three numbers l, found
+by Newton steps on the dual, each one sum over all documents (ten numbers to the driver) and halved until the dual falls.
 
 Defined results: a null or blank text has no tokens, the prior as its posterior, and a rate like any other; documents
 without a label are scored alike; with labels of one domain only, posteriors are 1 there; without labels, or in an empty
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,13 @@ MIN_DOCUMENTS = 8
 SMOOTH = 20.0
 #: Scales summed word weights before the softmax: words of a text aren't independent.
 TEMPER = 0.5
-RIDGE = 0.05
-STEPS = 32
-#: Steps after which rates are written, so that the update column stays short.
-WRITE_EVERY = 8
+RIDGE = 1e-6
+#: Ridge for targets that no rates meet.
+COMPROMISE = 0.05
+#: Largest error of a domain, as a share of all tokens.
+TOLERANCE = 1e-4
+#: Sums over all documents at most, for each ridge.
+STEPS = 40
 MARKS = "\t\n\r.,!?;:"
 
 
@@ -90,22 +96,47 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fitted_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> DataFrame:
-    """members with rate, by projected gradient steps over all rows."""
-    mass = [F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]
-    now = members.withColumn("rate", F.lit(1.0))
+    """members with rate, by Newton steps on the dual, over all rows."""
     size = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     if not size:
-        return now
+        return members.withColumn("rate", F.lit(1.0))
     scale = sum(targets.values())
-    step = 1 / (1 + RIDGE)
-    for t in range(1, steps + 1):
-        got = now.agg(*mass).first()
-        error = {d: round(got[d] / size - targets.get(d, 0.0) / scale, 12) for d in DOMAINS}
-        gradient = sum((F.col(f"p_{d}") * error[d] for d in DOMAINS), F.lit(0.0)) + RIDGE * (F.col("rate") - 1)
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - step * gradient))
-        if t % WRITE_EVERY == 0 or t == steps:
-            now = common.stored(now)
-    return now
+    target = np.array([targets.get(d, 0.0) / scale for d in DOMAINS])
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    share = F.col("n_tokens") / size
+    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i + 1)]
+
+    def rate(at: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), 1 - sum((x * float(y) for x, y in zip(p, at, strict=True)), F.lit(0.0)))
+
+    def dual(at: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Value, gradient and second derivatives at the multipliers, and the domains' errors."""
+        held = members.withColumn("rate", rate(at))
+        inside = F.when(F.col("rate") > 0, share).otherwise(0.0)
+        sums = [F.sum(share * F.col("rate") * F.col("rate")), *[F.sum(share * F.col("rate") * x) for x in p], *[F.sum(inside * p[i] * p[j]) for i, j in pairs]]
+        got = [x or 0.0 for x in held.agg(*[x.alias(f"_{i}") for i, x in enumerate(sums)]).first()]
+        second = ridge * np.eye(len(p))
+        for (i, j), x in zip(pairs, got[1 + len(p) :], strict=True):
+            second[i, j] += x
+            second[j, i] = second[i, j]
+        error = target - np.array(got[1 : 1 + len(p)])
+        return got[0] / 2 + float(at @ target + ridge / 2 * at @ at), error + ridge * at, second, error
+
+    for ridge in (RIDGE, COMPROMISE):
+        at, done = np.zeros(len(p)), 1
+        now = dual(at, ridge)
+        while np.abs(now[3]).max() > TOLERANCE and np.abs(now[1]).max() > TOLERANCE / 100 and done < steps:
+            move, length = -np.linalg.solve(now[2], now[1]), 1.0
+            new = dual(at + move, ridge)
+            done += 1
+            while new[0] > now[0] + 1e-4 * length * float(now[1] @ move) and done < steps:
+                length /= 2
+                new = dual(at + length * move, ridge)
+                done += 1
+            at, now = at + length * move, new
+        if np.abs(now[3]).max() <= TOLERANCE:
+            break
+    return common.stored(members.withColumn("rate", F.round(rate(at), 9)))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

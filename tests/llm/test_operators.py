@@ -179,3 +179,22 @@ def test_learnt(spark, docs, empty):
     assert rates[8].p_toxic > rates[9].p_toxic and rates[8].rate < rates[9].rate
     assert toxicity.toxicity(docs, labels.limit(0)).count() == docs.count() == mixing.mixing_rates(docs, labels.limit(0)).count()
     assert toxicity.toxicity(empty, labels).count() == mixing.mixing_rates(empty, labels).count() == 0
+
+
+def test_mixing_totals(spark):
+    r = np.random.default_rng(7)
+    p = r.dirichlet([2.0, 0.2, 0.3], 500)
+    n = r.integers(1, 300, 500)
+    schema = "n_tokens long, p_high double, p_low double, p_toxic double"
+
+    def shares(p):
+        rows = [(int(m), *map(float, x)) for m, x in zip(n, p, strict=True)]
+        got = np.array([tuple(x) for x in mixing.fitted_rates(spark.createDataFrame(rows, schema), mixing.TARGETS).collect()])
+        assert (got[:, 4] >= 0).all()
+        return (got[:, 4:] * got[:, :1] * got[:, 1:4]).sum(axis=0) / n.sum(), got[:, 4]
+
+    assert np.abs(shares(p)[0] - [0.88, 0.10, 0.02]).max() < 1e-4
+    # out of reach: every document is a tenth toxic, so all get one rate, the compromise with a rate of 1
+    held = np.tile([0.8, 0.1, 0.1], (500, 1))
+    best = (held[0] @ [0.88, 0.10, 0.02] + mixing.COMPROMISE) / (held[0] @ held[0] + mixing.COMPROMISE)
+    assert np.abs(shares(held)[1] - best).max() < 1e-4
