@@ -3,7 +3,8 @@
 A line is a list of tokens; tokens that hold a digit are variable fields from the start. The tree has a fixed depth: the
 number of tokens, then the DEPTH leading tokens; a leaf holds the templates of its lines. Lines of a leaf join the first template of
 which at least SIMILAR of the tokens agree, and tokens that differ become variable. A template recurs if its lines stand in at
-least MIN_DOCUMENTS documents with different texts (exact copies of a document count once); its lines are dropped everywhere but
+least MIN_DOCUMENTS documents with different texts (exact copies of a document count once), and so does a line of over LONG tokens
+by itself that stands in LONG_DOCUMENTS; its lines are dropped everywhere but
 at its first place (smallest doc_id, then line number), so one copy of every passage stays.
 
 Leaves are clustered in blocks of whole leaves. A leaf with over LEAF different lines is dealt into parts of about LEAF lines by
@@ -32,6 +33,9 @@ from . import common
 DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCUMENTS = 5
+#: Lines of over LONG tokens that are equal but for fields with digits recur from LONG_DOCUMENTS documents on.
+LONG = 50
+LONG_DOCUMENTS = 2
 LEAF = 400
 BLOCK = 20_000
 CACHED_WORDS = 400_000
@@ -176,8 +180,8 @@ def templates(leaf_lines: DataFrame) -> DataFrame:
 
 def recurring(table: DataFrame, min_documents: int) -> DataFrame:
     """line, first (doc, k, no): lines of recurring templates and the place that keeps one."""
-    lines = table.groupBy("line", "print").agg(F.min(F.struct("doc", "k", "no")).alias("first"), F.min("leaf").alias("leaf"))
-    lines = common.stored(lines.groupBy("line").agg(F.count("*").alias("documents"), F.min("first").alias("first"), F.min("leaf").alias("leaf")))
+    lines = table.groupBy("line", "print").agg(F.min(F.struct("doc", "k", "no")).alias("first"), F.min("leaf").alias("leaf"), (F.max(F.length("marks")) > 2 * LONG).alias("long"))
+    lines = common.stored(lines.groupBy("line").agg(F.count("*").alias("documents"), F.min("first").alias("first"), F.min("leaf").alias("leaf"), F.max("long").alias("long")))
     # a leaf matters if all its lines together could recur, and needs clustering if it has several
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("documents").alias("all")).filter(F.col("all") >= min_documents)
     several = lines.join(leaves.filter("n > 1").select("leaf", "n"), "leaf")
@@ -190,7 +194,8 @@ def recurring(table: DataFrame, min_documents: int) -> DataFrame:
     wide = table.select("line", "print", "doc", "k", "no").join(merged, "line")
     counted = wide.groupBy("template", "print").agg(F.min(F.struct("doc", "k", "no")).alias("first")).groupBy("template").agg(F.count("*").alias("documents"), F.min("first").alias("first"))
     from_merged = merged.join(counted.filter(F.col("documents") >= min_documents), "template").select("line", "first")
-    alone = lines.filter(F.col("documents") >= min_documents).select("line", "first").join(merged.select("line"), "line", "left_anti")
+    needed = F.when(F.col("long"), min(min_documents, LONG_DOCUMENTS)).otherwise(min_documents)
+    alone = lines.filter(F.col("documents") >= needed).select("line", "first").join(from_merged.select("line"), "line", "left_anti")
     return alone.unionByName(from_merged)
 
 

@@ -166,6 +166,12 @@ def test_large_leaf(spark, leaf, monkeypatch):
     assert {i for i, x in out.items() if x._cut} == set(range(1, 450))
 
 
+def test_long_lines(spark):
+    rows = [(i, f"{prose(i, 30)}\n{prose(501, 51)}\n{prose(502, 50)}", "en", "s", "x", 5, "b") for i in range(2)]
+    out = by_id(lines.cut_lines(spark.createDataFrame(rows, SCHEMA)))
+    assert out[0].text == rows[0][1] and out[1].text == f"{prose(1, 30)}\n{prose(502, 50)}"
+
+
 def test_learnt(spark, docs, empty):
     r = random.Random(5)
     rows = [(i, prose(i, 40) + (" idiot moron scum" * 2 if i % 8 == 0 else ""), "en", "s", "x", 5, "b") for i in range(900)]
