@@ -4,35 +4,62 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Setting by which Spark deletes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (as in tests) under a local one."""
+    """A new folder under spark.checkpoint.dir. Only a local master may do without that setting (as in tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="formloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/formloom-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files: what they gave is stored already."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._formloom_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect, so that shuffle files of finished, already stored steps are deleted."""
-    spark.sparkContext._jvm.System.gc()
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and getattr(t, "_formloom_path", None):
+            fs, path = filesystem(t._formloom_path)
+            fs.delete_dir(path)
 
 
 def row_key(*cols: str) -> Column:
-    """A 64-bit key of the row's id and text. Rows equal in both share it, and every decision made for it."""
+    """A 64-bit key of the row's id and text. It decides together with doc_id, so only texts of one doc_id could meet."""
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
@@ -45,5 +72,3 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-

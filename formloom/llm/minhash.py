@@ -8,14 +8,16 @@ pruned. Survivors are verified on their full sets.
 Buckets are never expanded into all pairs. First every bucket compares one pivot, the node that lies in the most populous
 buckets (in a group of copies that is the text they derive from), with its other members; verified links merge
 components, and buckets with one component left are done, so large groups of copies cost about one comparison a member. What
-is left is compared in blocks of at most 2 * CHUNK members, inside the tasks: pairs of different components, each
-in the first bucket that they share only; what the signatures let pass is verified there, and only links are rows. So every candidate pair is compared
-unless its two texts are connected already.
+is left is compared by signatures in blocks of at most 2 * CHUNK members, inside the tasks: pairs of different components, each in the
+first bucket that they share only. Pairs that pass are joined to the sets, unless a block has more of them than members:
+such a block gets the sets itself and verifies as it connects its members, so that only links are rows. So every candidate pair is
+compared unless its two texts are connected already.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is pruned with at most 3 * MISS.
 
 Defined results: null or blank texts have an empty set, link to nothing and are their own class; a null doc_id has a null
-class and is kept; equal doc_ids with different texts are separate nodes; an empty table gives no rows; extra columns are ignored.
+class and is kept; equal doc_ids with different texts are separate nodes, and each text has the class of its own set; rows equal in doc_id
+and text are all reported, and one of them is kept; an empty table gives no rows; extra columns are ignored by the report and kept by keep_first.
 """
 
 from __future__ import annotations
@@ -111,7 +113,7 @@ def least_matches() -> tuple[int, ...]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit digest of the set; null if empty) and signature of every document."""
+    """doc_id, t (hash of the text), n_shingles, node (128-bit digest of the set; null if empty) and signature of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -130,26 +132,31 @@ def nodes(docs: DataFrame) -> DataFrame:
                     last[d] = signature(s).tobytes()
                 node.append(d)
                 sig.append(last[d])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "t", "n_shingles", "node", "sig"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n_shingles long, node binary, sig binary")
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """node and its set (packed hashes), of the rows whose text is that node's."""
+    """node, again and its set (packed hashes), of the rows whose text is that node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for batch in batches:
-            node, items = [], []
-            for text, d in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            node, again, items = [], [], []
+            seen = set()
+            for text, d, more in zip(batch.column(0), *[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                if d in seen:
+                    continue
                 raw = shingles(text.as_py(), words).tobytes()
                 if xxhash.xxh3_128_digest(raw) == d:
+                    seen.add(d)
                     node.append(d)
+                    again.append(more)
                     items.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(items, pa.binary())], ["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(again, pa.bool_()), pa.array(items, pa.binary())], ["node", "again", "items"])
 
-    return docs.select("text", "node").mapInArrow(run, "node binary, items binary")
+    return docs.select("text", "node", "again").mapInArrow(run, "node binary, again boolean, items binary")
 
 
 def bucket_members(sigs: DataFrame) -> DataFrame:
@@ -214,9 +221,12 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         step = label.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         new = common.stored(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
-        label = new.select("node", "comp")
-        if not new.filter("old != comp").limit(1).count():
-            return label
+        common.dropped(label)
+        done = not new.filter("old != comp").limit(1).count()
+        label, new = new, None
+        if done:
+            common.dropped(edges)
+            return label.select("node", "comp")
 
 
 def link_nodes(spark: SparkSession, sigs: DataFrame, sets_of) -> DataFrame | None:
@@ -227,8 +237,7 @@ def link_nodes(spark: SparkSession, sigs: DataFrame, sets_of) -> DataFrame | Non
         return None
     some = members.select("node").distinct()
     candidates = common.stored(sigs.join(some, "node"))
-    sets = common.stored(sets_of(candidates.select("node")))
-    common.release(spark)
+    sets = sets_of(candidates.select("node"))
     # the pivot lies in the most populous buckets, i.e. it is what most others resemble
     weight = members.groupBy("node").agg(F.sum("n").alias("k"))
     best = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("k", "node")).alias("p"))
@@ -238,14 +247,17 @@ def link_nodes(spark: SparkSession, sigs: DataFrame, sets_of) -> DataFrame | Non
     side = lambda x: candidates.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
     links = exact(pruned(sized), sets)
-    common.release(spark)
     # pivots have met all others of their buckets, and leave
     label = components(spark, links)
     rest = members.join(pivots.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
     rest = common.stored(rest.join(label, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp")))
     several = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    parts = rest.join(several.select("bucket", "n"), "bucket").join(candidates.select("node", "n_shingles", "sig").join(sets, "node"), "node")
-    return common.stored(links.union(block_links(parts)))
+    parts = rest.join(several.select("bucket", "n"), "bucket").join(candidates.select("node", "n_shingles", "sig"), "node")
+    blocks = common.stored(dealt(parts))
+    found = common.stored(block_pairs(blocks))
+    light = exact(found.filter("a is not null").select("a", "b").distinct(), sets)
+    heavy = found.filter("a is null").select("bucket", "i", "j")
+    return common.stored(links.union(light).union(block_links(blocks.join(heavy, ["bucket", "i", "j"]).join(sets, "node"))))
 
 
 def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,98 +266,167 @@ def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.stored(verified(common.stored(pairs).join(items("a"), "a").join(items("b"), "b")))
 
 
-def block_links(members: DataFrame) -> DataFrame:
-    """Links a, b between different components, as many as it takes to connect a block's members. members: bucket, band, node,
-    comp, n (of the bucket), n_shingles, sig, items. Each member goes to the blocks (i, j) of its part, one a part of the
-    bucket; what the signatures don't rule out is verified on the sets there, unless the block has connected it."""
+GROUP = ["bucket", "i", "j"]
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """Members (bucket, band, node, comp, n of the bucket, n_shingles, sig) at the blocks (i, j) of their part, one a part of the bucket."""
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "comp", "n_shingles", "sig", "items")
-    group = ["bucket", "i", "j"]
+    each = members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "comp", "n_shingles", "sig")
+
+
+class Block:
+    """The members of one block as arrays."""
+
+    def __init__(self, t: pa.Table):
+        self.node, self.n = t["node"].to_pylist(), np.asarray(t["n_shingles"])
+        self.comp = np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)[1]
+        self.own, self.across, self.band = np.asarray(t["own"]), t["i"][0].as_py() != t["j"][0].as_py(), t["band"][0].as_py()
+        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, HASHES)
+
+    def partners(self, x: int) -> np.ndarray:
+        """Later members of other components that the signatures don't rule out as partners of x, likeliest first, but for those that
+        share an earlier band, whose bucket has them."""
+        n, own, sig, band = self.n, self.own, self.sig, self.band
+        y = np.arange(x + 1, len(n))
+        y = y[(self.comp[y] != self.comp[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x])) & ((own[y] != own[x]) if self.across else True)]
+        matches = np.zeros(len(y), np.int64)
+        for k, least in enumerate(least_matches()):
+            if not len(y):
+                break
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            matches = matches + (sig[y, part] == sig[x, part]).sum(axis=1)
+            y, matches = y[matches >= least], matches[matches >= least]
+        if len(y) and band:
+            fresh = ~(sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(axis=2).any(axis=1)
+            y, matches = y[fresh], matches[fresh]
+        return y[np.argsort(-matches, kind="stable")]
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Blocks out of sorted batches, several at once: the last one of what was read may go on."""
+    kept: list[pa.RecordBatch] = []
+    n, size = 0, 0
+    for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
+        kept.append(batch)
+        n, size = n + len(batch), size + batch.nbytes
+        if n >= 8192 or size > 32 << 20:
+            t = pa.Table.from_batches(kept).combine_chunks()
+            keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in GROUP])
+            other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield t.slice(0, last)
+            kept, n, size = t.slice(last).to_batches(), t.num_rows - last, 0
+    if n:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def each_block(t: pa.Table) -> Iterator[pa.Table]:
+    keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in GROUP])
+    cuts = [0, *(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist(), t.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield t.slice(a, b - a)
+
+
+def spread(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(common.shuffle_parts(blocks.sparkSession), *GROUP).sortWithinPartitions(*GROUP, "node")
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs a, b that the signatures don't rule out, of blocks with no more of them than members; a block with more gives one row
+    without a pair. No set is needed here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_blocks(batches):
+            out: list[tuple] = []
+            for block in each_block(t):
+                key = tuple(block[c][0].as_py() for c in GROUP)
+                b, pairs = Block(block), []
+                for x in range(len(b.n) - 1):
+                    pairs += [(*key, min(b.node[x], b.node[z]), max(b.node[x], b.node[z])) for z in b.partners(x).tolist()]
+                    if len(pairs) > len(b.n):
+                        pairs = [(*key, None, None)]
+                        break
+                out += pairs
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], x) for k, x in enumerate(kinds)], [*GROUP, "a", "b"])
+
+    return spread(blocks).mapInArrow(run, "bucket long, i int, j int, a binary, b binary")
+
+
+def block_links(blocks: DataFrame) -> DataFrame:
+    """Links a, b between different components, as many as it takes to connect a block's members: what the signatures don't
+    rule out is verified on the sets (items), unless the block has connected it."""
 
     def compared(t: pa.Table) -> Iterator[tuple[bytes, bytes]]:
-        node, n = t["node"].to_pylist(), np.asarray(t["n_shingles"])
-        comp = np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)[1]
-        own, across, band = np.asarray(t["own"]), t["i"][0].as_py() != t["j"][0].as_py(), t["band"][0].as_py()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, HASHES)
-        items = [np.frombuffer(i.as_py(), np.uint64) for i in t["items"]]
-        for x in range(len(node) - 1):
-            y = np.arange(x + 1, len(node))
-            y = y[(comp[y] != comp[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x])) & ((own[y] != own[x]) if across else True)]
-            matches = np.zeros(len(y), np.int64)
-            for k, least in enumerate(least_matches()):
-                if not len(y):
-                    break
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                matches = matches + (sig[y, part] == sig[x, part]).sum(axis=1)
-                y, matches = y[matches >= least], matches[matches >= least]
-            if len(y) and band:  # an earlier band that they share has them
-                fresh = ~(sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(axis=2).any(axis=1)
-                y, matches = y[fresh], matches[fresh]
-            for z in y[np.argsort(-matches, kind="stable")].tolist():
-                if comp[z] != comp[x] and alike(items[x], items[z]):
-                    comp[comp == comp[z]] = comp[x]
-                    yield min(node[x], node[z]), max(node[x], node[z])
+        b, items = Block(t), [np.frombuffer(i.as_py(), np.uint64) for i in t["items"]]
+        for x in range(len(b.n) - 1):
+            for z in b.partners(x).tolist():
+                if b.comp[z] != b.comp[x] and alike(items[x], items[z]):
+                    b.comp[b.comp == b.comp[z]] = b.comp[x]
+                    yield min(b.node[x], b.node[z]), max(b.node[x], b.node[z])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in group])
-            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist(), t.num_rows]
-            for start in range(0, len(cuts) - 1, 512):
-                out = [p for a, b in zip(cuts[start : start + 512], cuts[start + 1 : start + 513], strict=False) for p in compared(t.slice(a, b - a))]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
-
-        n, size = 0, 0
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
-            kept.append(batch)
-            n, size = n + len(batch), size + sum(len(x.as_py()) for x in batch.column(batch.schema.get_field_index("items")))
-            if n >= 8192 or size > 32 << 20:
-                t = pa.Table.from_batches(kept).combine_chunks()
-                keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in group])
-                last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0))[-1]) + 1 if (keys != keys[:, -1:]).any() else 0
-                if last:
-                    yield from done(t.slice(0, last))
-                kept, n, size = t.slice(last).to_batches(), t.num_rows - last, 0
-        if n:
-            yield from done(pa.Table.from_batches(kept).combine_chunks())
-
-    spread = dealt.repartition(common.shuffle_parts(members.sparkSession), *group).sortWithinPartitions(*group, "node")
-    return spread.mapInArrow(run, "a binary, b binary")
+        for t in whole_blocks(batches):
+            out = [p for block in each_block(t) for p in compared(block)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
 
+    return spread(blocks).mapInArrow(run, "a binary, b binary")
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
-    spark = docs.sparkSession
-    plain = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+
+def classified(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t, n_shingles, node) of every document, and the classes: node, comp (a node of the class), component (smallest doc_id)."""
+    spark = plain.sparkSession
     rows = common.stored(nodes(plain))
-    own = rows.filter("node is not null and doc_id is not null")
-    sigs = common.stored(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    own = rows.filter("node is not null and doc_id is not null").groupBy("node", "doc_id").agg(F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    least = F.min(F.struct("doc_id", (F.col("n") > 1).alias("again")))
+    sigs = own.groupBy("node").agg(least.alias("m"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    sigs = common.stored(sigs.select("node", F.col("m.doc_id").alias("first"), F.col("m.again").alias("again"), "n_shingles", "sig"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        which = wanted.join(sigs.select("node", "first"), "node").select(F.col("first").alias("doc_id"), "node")
+        which = wanted.join(sigs.select("node", "first", "again"), "node").select(F.col("first").alias("doc_id"), "node", "again")
         # a doc_id may stand for several texts: the set's digest settles which is meant
-        return set_table(plain.join(which, "doc_id"))
+        every = common.stored(set_table(plain.join(which, "doc_id")))
+        # rows that repeat a doc_id and text may bring their set more than once
+        once = common.stored(every.filter("again").groupBy("node").agg(F.first("items").alias("items")))
+        return every.filter("not again").select("node", "items").unionByName(once)
 
     links = link_nodes(spark, sigs.select("node", "n_shingles", "sig"), sets_of)
-    slim = rows.select("doc_id", "n_shingles", "node")
+    slim = rows.select("doc_id", "t", "n_shingles", "node")
     if links is None:
-        classes = sigs.select("node", F.col("first").alias("component"))
-    else:
-        label = components(spark, links)
-        of = sigs.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
-        of = common.stored(of)
-        least = of.groupBy("comp").agg(F.min("first").alias("component"))
-        classes = of.join(least, "comp").select("node", "component")
-    out = slim.join(classes, "node", "left")
+        return slim, sigs.select("node", F.col("node").alias("comp"), F.col("first").alias("component"))
+    label = components(spark, links)
+    of = common.stored(sigs.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp")))
+    return slim, of.join(of.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("node", "comp", "component")
+
+
+def plain_rows(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    rows, classes = classified(plain_rows(docs))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.join(classes.drop("comp"), "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class (the smallest doc_id); columns as before. Rows with a null doc_id stay; of
-    rows that repeat a kept doc_id, all stay."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs with one document of each class: that with the smallest doc_id, of several texts of that doc_id in the class the one with the
+    least hash, of equal rows one. Documents without words or doc_id stay. Columns as before."""
+    rows, classes = classified(plain_rows(docs))
+    speaks = rows.join(classes.filter("comp is not null"), "node").filter("doc_id = component").groupBy("comp", "doc_id", "t").agg(F.count("*").alias("n"))
+    chosen = speaks.groupBy("comp").agg(F.min(F.struct("t", "doc_id", "n")).alias("c")).select(F.col("c.doc_id").alias("__formloom_doc"), F.col("c.t").alias("__formloom_text"), F.col("c.n").alias("__formloom_copies"))
+    chosen = common.stored(chosen)
+    keyed = docs.withColumn("__formloom_d", F.col("doc_id").cast("long")).withColumn("__formloom_t", F.xxhash64(F.col("text").cast("string")))
+    no_words = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t-\r]")
+    alone = keyed.filter(F.col("__formloom_d").isNull() | no_words).select(*docs.columns)
+    kept = keyed.filter(F.col("__formloom_d").isNotNull() & ~no_words).join(chosen, (F.col("__formloom_d") == F.col("__formloom_doc")) & (F.col("__formloom_t") == F.col("__formloom_text")))
+    single = kept.filter("__formloom_copies = 1").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    order = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if docs.schema[c].dataType.typeName() in ("string", "long", "integer", "double", "boolean")])
+    repeated = kept.filter("__formloom_copies > 1").groupBy("__formloom_d", "__formloom_t").agg(F.min_by(whole, order).alias("r")).select("r.*")
+    return alone.unionByName(single).unionByName(repeated)
