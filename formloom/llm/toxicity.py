@@ -1,16 +1,19 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are documents that `labels` marks toxic; the unlabelled set is text drawn without looking at labels. A linear
+Positives are documents that `labels` marks toxic; the unlabelled set are documents that `labels` covers, taken without looking at
+what it says of them, so the class prior (the share of toxic ones there) is theirs. A linear
 classifier on hashed word frequencies minimises the non-negative PU risk
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
-in numpy: where the bracket would fall below zero, the step goes back up. The prior is the share of toxic rows among the
-labelled ones used. Two half models, each trained on one half of these rows and judged on the other, place the threshold
-that the score 0.7 stands for; the final model is trained on both halves.
+in numpy: where the bracket would fall below zero, the step goes back up. FOLDS models are trained, each without one part of the rows. That part
+places the cut that the score 0.7 stands for where the same risk, with the 0-1 loss, is least (within one standard error, its lower end); no label but
+the confirmed toxic ones is used. The score is of the mean of the models' logits, each taken from its own cut.
 
-Samples are bounded parameters (POSITIVES, UNLABELLED, the rows with the smallest hash of doc_id); scoring reads every whole text.
+The classifier is fitted on a bounded sample of labelled rows: POSITIVES, UNLABELLED (those with the smallest hash of doc_id) and
+WORDS, the most frequent words of a row that take part; scoring reads every whole text and every word.
 
 Defined results: null or empty texts have no words and get the score of the intercept alone; a null doc_id is never
-held out; without any toxic label in the rows to learn from, all scores are 0; repeated rows get equal scores; extra columns are ignored.
+held out; without any toxic label in the rows to learn from, all scores are 0; repeated rows get equal scores; of several texts with one
+labelled doc_id the least is learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 17
 POSITIVES = 3000
 UNLABELLED = 6000
+#: Buckets of a sampled row at most, the most frequent ones. A longer row is cut in the fit only.
+WORDS = 8192
 STEPS = 120
+FOLDS = 4
 #: Buckets in fewer sampled documents than this have no weight; others weigh by their rarity.
 MIN_DOCUMENTS = 10
 REJECT = 0.7
@@ -104,13 +110,17 @@ def train(positive: Rows, unlabelled: Rows, prior: float, steps: int = STEPS, ra
     return mean_w / n * scale, mean_b / n
 
 
-def best_cut(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The logit between two neighbours at which F1 is greatest."""
-    order = np.argsort(-z, kind="stable")
-    z, hit = z[order], np.cumsum(toxic[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + max(1, toxic.sum()))
-    k = int(np.argmax(f1))
-    return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The least logit at which the non-negative PU risk with the 0-1 loss is within a standard error of its minimum."""
+    z = np.unique(np.concatenate([positive, unlabelled]))
+    if len(z) < 2:
+        return float(z[0]) if len(z) else 0.0
+    cuts = (z[1:] + z[:-1]) / 2
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
+    hit = above(positive)
+    risk = prior * (1 - hit) + np.maximum(0, above(unlabelled) - prior * hit)
+    low = float(risk.min())
+    return float(cuts[np.flatnonzero(risk <= low + np.sqrt(low * (1 - low) / len(unlabelled)) + 1e-12)[0]])
 
 
 class Model:
@@ -129,9 +139,30 @@ def fold(doc_id: Column) -> Column:
 
 
 def sampled(docs: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
-    """doc_id and text of the ids with the smallest hashes; at most limit ids are broadcast."""
-    few = ids.select("doc_id", *[c for c in ids.columns if c != "doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(few), "doc_id")
+    """doc_id and text of the ids (distinct) with the smallest hashes: one row each, at most limit; they are broadcast."""
+    few = ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def sample_rows(docs: DataFrame, ids: DataFrame, limit: int) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """part and features of the sampled rows: at most limit, of at most WORDS buckets each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets()
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                i, x = features(t.as_py(), buckets)
+                if len(i) > WORDS:
+                    top = np.sort(np.argsort(-x, kind="stable")[:WORDS])
+                    i, x = i[top], x[top]
+                out.append((i.astype("<u4").tobytes(), x.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)]], ["part", "i", "x"])
+
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(FOLDS)).cast("int")
+    rows = sampled(docs, ids, limit).select(part.alias("part"), "text").mapInArrow(run, "part int, i binary, x binary").collect()
+    out = [(r["part"], (np.frombuffer(r["i"], "<u4").astype(np.int64), np.frombuffer(r["x"], np.float32))) for r in rows]
+    return sorted(out, key=lambda r: (r[0], zlib.crc32(r[1][0].tobytes()), r[1][0].tobytes(), r[1][1].tobytes()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
@@ -141,40 +172,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     shares = learn.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("k")).first()
     if not shares["k"] or shares["k"] == shares["n"]:
         return None
-    prior = shares["k"] / shares["n"]
-    kind = lambda i, k: i.select("doc_id", F.lit(k).alias("kind"))
-    wanted = [
-        sampled(docs, kind(learn.filter("toxic = 1"), 1), positives),
-        sampled(docs, kind(learn.filter("toxic = 0"), 0), positives),  # only judged, to place the threshold
-        sampled(docs, kind(docs.filter(fold(F.col("doc_id")) != 1), 2), unlabelled),
-    ]
+    return learned(sample_rows(docs, learn.filter("toxic = 1"), positives), sample_rows(docs, learn, unlabelled), shares["k"] / shares["n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
-        for batch in batches:
-            out = [features(t.as_py(), buckets) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0].astype("<u4").tobytes() for x in out], pa.binary()), pa.array([x[1].tobytes() for x in out], pa.binary())], ["half", "kind", "i", "x"])
-
-    got = []
-    for df in wanted:  # bounded by positives and unlabelled
-        half = F.when(fold(F.col("doc_id")) == 0, 0).otherwise(1)
-        got += df.select(half.alias("half"), "text", "kind").mapInArrow(run, "half int, kind int, i binary, x binary").collect()
-    rows = [(r["half"], r["kind"], (np.frombuffer(r["i"], "<u4").astype(np.int64), np.frombuffer(r["x"], np.float32))) for r in got]
-    rows.sort(key=lambda r: (r[0], r[1], zlib.crc32(r[2][0].tobytes()), r[2][0].tobytes()))
-    pick = lambda k, halves: Rows([r[2] for r in rows if r[1] == k and r[0] in halves])
-    cuts = []
-    for half in (0, 1):
-        p, u = pick(1, [half]), pick(2, [half])
-        judge_p, judge_n = pick(1, [1 - half]), pick(0, [1 - half])
-        if p.n and u.n and judge_p.n and judge_n.n:
+
+def learned(positive: list, unlabelled: list, prior: float) -> Model | None:
+    """The model of two samples of (part, features)."""
+    of = lambda rows, part, within: Rows([x for at, x in rows if (at == part) == within])
+    models = []
+    for part in range(FOLDS):
+        p, u, judge_p, judge_u = of(positive, part, False), of(unlabelled, part, False), of(positive, part, True), of(unlabelled, part, True)
+        if p.n and u.n and judge_p.n and judge_u.n:
             w, b = train(p, u, prior)
-            z = np.concatenate([judge_p.dot(w), judge_n.dot(w)]) + b
-            cuts.append(best_cut(z, np.concatenate([np.ones(judge_p.n), np.zeros(judge_n.n)])))
-    p, u = pick(1, [0, 1]), pick(2, [0, 1])
-    if not p.n or not u.n:
-        return None
-    w, b = train(p, u, prior)
-    return Model(w, b, float(np.mean(cuts)) if cuts else 0.0)
+            models.append((w, b - best_cut(judge_p.dot(w) + b, judge_u.dot(w) + b, prior)))
+    if not models:  # too few rows to leave any out: they place their own cut
+        p, u = Rows([x for _, x in positive]), Rows([x for _, x in unlabelled])
+        if not p.n or not u.n:
+            return None
+        w, b = train(p, u, prior)
+        models = [(w, b - best_cut(p.dot(w) + b, u.dot(w) + b, prior))]
+    return Model(np.mean([w for w, _ in models], axis=0), float(np.mean([b for _, b in models])), 0.0)
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
