@@ -10,13 +10,14 @@ verified with probability 1 - MISS: a query stops there (the last step goes to t
 before), or when all of the block is verified. Directions without any structure are the hardest case, in which over half of a
 block gets verified; clustered vectors stop at a smaller radius.
 
-Blocks of vectors meet blocks of queries, each pair one task group of bounded size; the K best of each block are merged by
-a grouped top-K. Equal vectors of a block are hashed and verified once and expand to their K + 1 smallest ids at the
-end (no answer needs more of them), so thousands of copies cost one.
+Blocks of vectors meet blocks of queries, each pair one task group of bounded size, whose arrays are hashed and sorted once; the K best
+of each block are merged by a grouped top-K. Equal vectors of a block are hashed and verified once and expand to their K + 1
+smallest ids at the end (no answer needs more of them), so thousands of copies cost one.
 
 Defined results: vectors null, of another length than the first valid one, zero, or with null or non-finite components take
 no part; null ids neither; ties go to the smaller vec_id; with fewer candidates than K, all are returned; an empty table gives
-no rows; repeated ids are separate candidates; extra columns are ignored.
+no rows. Rows that share an id are separate queries and separate candidates: a query only leaves out its own row, so another row of its
+id is found like any other; queries equal in id and vector have one answer, given once for each of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ MISS = 0.02
 #: Share of all values beyond which those that windows gain are counted by comparing every value.
 WIDE = 0.05
 DATA_BLOCK = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 SEED = 20
 
 
@@ -63,8 +64,9 @@ def reach(need: int) -> float:
     return high
 
 
-def search_block(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, norm: float, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, vec ids and scores of the k best of this block for each query, by collision counting."""
+def search_block(ids: np.ndarray, copies: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, norm: float, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries (by position), vec ids and scores of the k best of this block for each query, by collision counting. copies: rows of each id and vector."""
+    ids, v = np.repeat(ids, np.minimum(copies, k + 1)), np.repeat(v, np.minimum(copies, k + 1), axis=0)
     same = np.unique(v, axis=0, return_inverse=True)
     unique, of = same[0], same[1].reshape(-1)
     order = np.lexsort((ids, of))
@@ -124,30 +126,35 @@ def search_block(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray
         top = np.argsort(-score, kind="stable")[: 4 * k + 4]
         cut = score[top[min(k, len(top) - 1)]] if len(top) else 0
         pick = cand[score >= cut] if len(top) else cand[:0]
-        got = [(float(unique[c] @ q[i]), ids[order[first[c] : min(last[c], first[c] + k + 1)]]) for c in pick]
+        got = []
+        for c in pick:
+            held = ids[order[first[c] : last[c]]]
+            if (own := np.flatnonzero(held == qids[i])).size and np.array_equal(unique[c], q[i]):
+                held = np.delete(held, own[0])  # the query's own row
+            got.append((float(unique[c] @ q[i]), held[:k]))
         s = np.concatenate([np.full(len(x), y) for y, x in got] or [np.zeros(0)])
         d = np.concatenate([x for _, x in got] or [np.zeros(0, np.int64)])
-        ok = d != qids[i]
-        s, d = s[ok], d[ok]
         best = np.lexsort((d, -s))[:k]
-        out_q.append(np.full(len(best), qids[i]))
+        out_q.append(np.full(len(best), i))
         out_v.append(d[best])
         out_s.append(s[best])
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array<double>) of the rows that take part."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    """vec_id, v (as it came, if an array of float or double) and n (how often) of the rows that take part."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if kind in ("array<float>", "array<double>") else "array<double>").alias("v"))
     fine = v.filter("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
-    return fine
+    return fine.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score. vectors and queries: vec_id, embedding; a query isn't its own candidate."""
     spark = vectors.sparkSession
-    v, q = valid(vectors), valid(queries)
-    head = v.agg(F.count("*").alias("n"), F.min(F.struct("vec_id", F.size("v").alias("d"))).alias("one"), F.max(F.expr("aggregate(v, 0d, (a, x) -> a + x * x)")).alias("norm")).first()
+    v, q = common.stored(valid(vectors)), common.stored(valid(queries))
+    square = F.expr("aggregate(v, 0d, (a, x) -> a + double(x) * double(x))")
+    head = v.agg(F.count("*").alias("n"), F.min(F.struct("vec_id", F.size("v").alias("d"))).alias("one"), F.max(square).alias("norm")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not head["n"]:
         return empty
@@ -157,18 +164,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if not m:
         return empty
     data_blocks, query_blocks = -(-head["n"] // DATA_BLOCK), -(-m // QUERY_BLOCK)
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    data = v.select(block(data_blocks).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "v")
-    asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("db"), block(query_blocks).alias("qb"), "vec_id", "v")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    data = v.select(block(data_blocks).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "v", "n")
+    asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("db"), block(query_blocks).alias("qb"), "vec_id", "v", "n", F.xxhash64("v").alias("of"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            got = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            q, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            rows = lambda t: (np.asarray(t["vec_id"]), np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, dim))
-            got = search_block(*rows(left), *rows(right), norm, k)
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
-
-    found = data.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInArrow(run, "query_id long, vec_id long, score double")
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+            rows = lambda t: np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, dim).astype(np.float64)
+            q, d, s = search_block(np.asarray(left["vec_id"]), np.asarray(left["n"]), rows(left), np.asarray(right["vec_id"]), rows(right), norm, k)
+        kept = {c: right[c].take(pa.array(q)) for c in ("vec_id", "of", "n")}
+        return pa.table({"query_id": kept["vec_id"], "of": kept["of"], "n": kept["n"], "vec_id": pa.array(d, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    found = data.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInArrow(run, "query_id long, of long, n long, vec_id long, score double")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= k)
+    again = best.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return again.select("query_id", "rank", "vec_id", "score")

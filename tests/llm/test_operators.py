@@ -91,8 +91,8 @@ def test_nearest(spark):
     v = r.standard_normal((600, 16))
     v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
     v[100:140] = v[0]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (None, v[3].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0], 1), (None, v[3].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = {}
     for x in ann.nearest(df, df.filter("vec_id % 20 = 0")).collect():
         got.setdefault(x.query_id, {})[x.rank] = (x.vec_id, x.score)
@@ -106,6 +106,14 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_repeated(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in ann.nearest(df, df.filter("vec_id = 0"), 3).collect())
+    first, other = [(1, 3, 2.0), (2, 0, 1.0), (3, 0, 0.0)], [(1, 4, 3.0), (2, 0, 0.0), (3, 0, 0.0)]
+    assert got == sorted((0, *x) for x in [*first, *first, *other])
+
+
 @pytest.mark.parametrize("spread", ["plain", "tenth"])
 def test_nearest_norms(spread):
     r = np.random.default_rng(1)
@@ -113,12 +121,12 @@ def test_nearest_norms(spread):
     if spread == "tenth":
         v *= (1 + 0.1 * r.standard_normal((600, 1))) / np.sqrt((v * v).sum(axis=1, keepdims=True))
     ids = np.arange(600)
-    q, d, _ = ann.search_block(ids, v, ids[::20], v[::20], float(np.sqrt((v * v).sum(axis=1).max())))
+    q, d, _ = ann.search_block(ids, np.ones(600, np.int64), v, ids[::20], v[::20], float(np.sqrt((v * v).sum(axis=1).max())))
     hits = 0
     for i in ids[::20]:
         s = v @ v[i]
         s[i] = -np.inf
-        hits += len(set(d[q == i].tolist()) & set(np.argsort(-s)[:20].tolist()))
+        hits += len(set(d[q == i // 20].tolist()) & set(np.argsort(-s)[:20].tolist()))
     assert hits >= 0.9 * 600
 
 
