@@ -200,22 +200,24 @@ def recurring(table: DataFrame, min_documents: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """k and drop: the lines (names) that go from each document, each with the line number that stays or -1. docs: doc_id, text, k."""
+    """doc, k and drop: the lines (names) that go from each document, each with the line number that stays or -1. docs: doc_id, text, k."""
     table = common.stored(line_table(docs))
     lines = recurring(table, min_documents)
-    places = table.select("k", "line").join(lines, "line")
-    keep = F.when(F.col("first.k") == F.col("k"), F.col("first.no")).otherwise(-1)
-    out = common.stored(places.groupBy("k").agg(F.collect_set(F.struct("line", keep.alias("no"))).alias("drop")))
-    common.release(docs.sparkSession)
+    places = table.select("doc", "k", "line").join(lines, "line")
+    keep = F.when((F.col("first.k") == F.col("k")) & (F.col("first.doc") == F.col("doc")), F.col("first.no")).otherwise(-1)
+    out = common.stored(places.groupBy("doc", "k").agg(F.collect_set(F.struct("line", keep.alias("no"))).alias("drop")))
+    common.dropped(table)
     return out
 
 
 def cut_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, text: str = "text") -> DataFrame:
-    """docs with the recurring lines cut out of text, and _lines, _cut: how many lines there were and how many went."""
-    base = docs.drop("_lines", "_cut")
+    """docs with the recurring lines cut out of text, and _lines, _cut: how many lines there were and how many went. Own columns of
+    such names get the prefix __formloom."""
+    clash = {c: f"__formloom{c}" for c in ("_lines", "_cut", "_doc", "_key", "_drop") if c in docs.columns}
+    base = docs.withColumnsRenamed(clash)
     slim = base.select("doc_id", F.col(text).alias("text"), common.row_key("doc_id", text).alias("k"))
-    cuts = dropped_lines(slim, min_documents).select(F.col("k").alias("_key"), F.col("drop").alias("_drop"))
-    marked = base.withColumn("_key", common.row_key("doc_id", text)).join(cuts, "_key", "left")
+    cuts = dropped_lines(slim, min_documents).select(F.col("doc").alias("_doc"), F.col("k").alias("_key"), F.col("drop").alias("_drop"))
+    marked = base.withColumn("_key", common.row_key("doc_id", text)).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(cuts, ["_doc", "_key"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +247,8 @@ def cut_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, text: str = "
 def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """docs with recurring lines cut out; documents that lost all of their text go. Columns as before."""
     out = cut_lines(docs, min_documents)
-    return out.filter("_cut = 0 or trim(text) != ''").drop("_lines", "_cut")
+    kept = out.filter("_cut = 0 or trim(text) != ''").drop("_lines", "_cut")
+    return kept.withColumnsRenamed({f"__formloom{c}": c for c in docs.columns if f"__formloom{c}" in kept.columns})
 
 
 def line_report(docs: DataFrame) -> DataFrame:
