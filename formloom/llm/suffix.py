@@ -47,8 +47,12 @@ GROUP = 1500
 BLOCK = 16_000
 #: Window starts in a sub-range of a split group.
 RANGE = 18
-WHERE = np.dtype([("k", "<i8"), ("pos", "<i4")])
-HELD = "k long, pos int, core long, nn long, hot boolean, before int, after int, bytes binary"
+WHERE = np.dtype([("k", "<i8"), ("d", "<i8"), ("pos", "<i4")])
+HELD = "k long, d long, pos int, core long, nn long, hot boolean, before int, after int, bytes binary"
+
+
+#: Places of a document that are hashed at once, so that a very long text needs no more memory than this takes.
+SEGMENT = 1 << 20
 
 
 def places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +60,18 @@ def places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    found = []
+    for a in range(0, n - CORE + 1, SEGMENT):
+        b = min(a + SEGMENT, n - CORE + 1)
+        # windows that hold a place of a..b reach STARTS - 1 places to both sides
+        low, high = max(0, a - STARTS + 1), min(n - CORE + 1, b + STARTS - 1)
+        at, h = least_places(data[low : high + CORE - 1])
+        own = (at + low >= a) & (at + low < b)
+        found.append((at[own] + low, h[own]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def least_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     size, power = 1, 0x9E3779B97F4A7C15
@@ -86,8 +102,8 @@ def sampled(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            core, ctx, key, pos = [], [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            core, ctx, key, doc, pos = [], [], [], [], []
+            for k, d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 at, h = places(np.frombuffer(data, np.uint8))
                 if not len(at):
@@ -96,11 +112,12 @@ def sampled(docs: DataFrame) -> DataFrame:
                 # the seed tells a cut context from a whole one
                 ctx += [xxhash.xxh3_64_intdigest(data[max(0, p - STARTS + 1) : p + LENGTH], min(p, STARTS - 1)) for p in at.tolist()]
                 key.append(np.full(len(at), k))
+                doc.append(np.full(len(at), d))
                 pos.append(at)
             if not core:
                 continue
             where = np.zeros(len(ctx), WHERE)
-            where["k"], where["pos"] = np.concatenate(key), np.concatenate(pos)
+            where["k"], where["d"], where["pos"] = np.concatenate(key), np.concatenate(doc), np.concatenate(pos)
             c, x = np.concatenate(core), np.array(ctx, np.uint64)
             order = np.lexsort((x, c))
             c, x, raw = c[order], x[order], where[order].tobytes()
@@ -110,7 +127,7 @@ def sampled(docs: DataFrame) -> DataFrame:
             lists = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([pa.array(c[first].view(np.int64)), pa.array(x[first].view(np.int64)), pa.array(ends - first), lists], ["core", "ctx", "n", "places"])
 
-    return docs.select("k", "text").mapInArrow(run, "core long, ctx long, n long, places binary")
+    return docs.select("k", "d", "text").mapInArrow(run, "core long, ctx long, n long, places binary")
 
 
 def named(tuples: DataFrame) -> DataFrame:
@@ -124,27 +141,28 @@ def named(tuples: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """k, spans of the places whose whole context is repeated, merged within each batch."""
+    """k, d, spans of the places whose whole context is repeated, merged within each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where = np.frombuffer(b"".join(batch.column(0).to_pylist()), WHERE)
-            yield packed_spans(where["k"], where["pos"].astype(np.int64) - (STARTS - 1), where["pos"].astype(np.int64) + LENGTH)
+            yield packed_spans(where["k"], where["d"], where["pos"].astype(np.int64) - (STARTS - 1), where["pos"].astype(np.int64) + LENGTH)
 
-    return rows.filter("nn > 1").select("places").mapInArrow(run, "k long, spans binary")
+    return rows.filter("nn > 1").select("places").mapInArrow(run, "k long, d long, spans binary")
 
 
-def packed_spans(k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """One row a document: its spans, joined where they touch, as packed i4 pairs."""
-    out_k, out = [], []
+def packed_spans(k: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """One row a document (k, d): its spans, joined where they touch, as packed i4 pairs."""
+    out_k, out_d, out = [], [], []
     if len(k):
-        order = np.lexsort((lo, k))
-        k, lo, hi = k[order], np.maximum(lo[order], 0), hi[order]
-        cuts = np.flatnonzero(np.diff(k)) + 1
+        order = np.lexsort((lo, d, k))
+        k, d, lo, hi = k[order], d[order], np.maximum(lo[order], 0), hi[order]
+        cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(d) != 0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True):
             out_k.append(int(k[a]))
+            out_d.append(int(d[a]))
             out.append(np.stack(union(lo[a:b], hi[a:b]), axis=1).astype("<i4").tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out, pa.binary())], ["k", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out_d, pa.int64()), pa.array(out, pa.binary())], ["k", "d", "spans"])
 
 
 def union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,33 +180,33 @@ def contexts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.frombuffer(b"".join(batch.column(3).to_pylist()), WHERE)
-            yield pa.RecordBatch.from_arrays([pa.array(p["k"].copy()), pa.array(p["pos"].copy()), *batch.columns[:3]], ["k", "pos", "core", "nn", "hot"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(p[c].copy()) for c in ("k", "d", "pos")], *batch.columns[:3]], ["k", "d", "pos", "core", "nn", "hot"])
 
-    asked = first.mapInArrow(unpack, "k long, pos int, core long, nn long, hot boolean").groupBy("k").agg(F.collect_list(F.struct("pos", "core", "nn", "hot")).alias("asked"))
+    asked = first.mapInArrow(unpack, "k long, d long, pos int, core long, nn long, hot boolean").groupBy("k", "d").agg(F.collect_list(F.struct("pos", "core", "nn", "hot")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             held = 0
-            for k, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for k, d, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for w in wanted.as_py():
                     p = w["pos"]
                     before, after = min(p, STARTS - 1), min(LENGTH, len(data) - p)
                     piece = data[p - before : p + after]
                     held += len(piece)
-                    for col, x in zip(out, (k, p, w["core"], w["nn"], w["hot"], before, after, piece), strict=True):
+                    for col, x in zip(out, (k, d, p, w["core"], w["nn"], w["hot"], before, after, piece), strict=True):
                         col.append(x)
                 if held > 8 << 20:
                     yield held_batch(out)
-                    out, held = [[] for _ in range(8)], 0
+                    out, held = [[] for _ in range(9)], 0
             yield held_batch(out)
 
-    return docs.join(asked, "k").select("k", "text", "asked").mapInArrow(cut, HELD)
+    return docs.join(asked, ["k", "d"]).select("k", "d", "text", "asked").mapInArrow(cut, HELD)
 
 
 def held_batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in HELD.split(", ")])
 
 
@@ -229,7 +247,7 @@ def repeated_starts(slots: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nda
 
 
 def edge_spans(held: DataFrame) -> DataFrame:
-    """k, spans from groups of at most GROUP contexts: suffix sorting of whole groups in blocks."""
+    """k, d, spans from groups of at most GROUP contexts: suffix sorting of whole groups in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[pa.Table]:
@@ -259,21 +277,21 @@ def edge_spans(held: DataFrame) -> DataFrame:
             found[np.asarray(t["nn"]) > 1] = False  # decided already
             row, x = np.nonzero(found)
             at = np.asarray(t["pos"]).astype(np.int64)[row] - (STARTS - 1) + x
-            yield packed_spans(np.asarray(t["k"])[row], at, at + LENGTH)
+            yield packed_spans(np.asarray(t["k"])[row], np.asarray(t["d"])[row], at, at + LENGTH)
 
     grouped = held.filter("not hot").repartition(common.shuffle_parts(held.sparkSession), "core").sortWithinPartitions("core")
-    return grouped.mapInArrow(run, "k long, spans binary")
+    return grouped.mapInArrow(run, "k long, d long, spans binary")
 
 
 def split_spans(held: DataFrame) -> DataFrame:
-    """k, spans from larger groups. Sub-ranges of windows first: one whose common bytes are met once has no repeat, one whose
+    """k, d, spans from larger groups. Sub-ranges of windows first: one whose common bytes are met once has no repeat, one whose
     whole span is met twice is all repeated. Then the windows of what remains, one by one, beside one sub-range of each repeated span."""
     hot = held.filter("hot")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for k, p, _, _, _, before, after, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out: list[list] = [[] for _ in range(7)]
+            for k, d, p, _, _, _, before, after, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 start = STARTS - 1 - before
                 for j in range(0, STARTS, RANGE):
                     top = min(j + RANGE, STARTS) - 1
@@ -283,48 +301,48 @@ def split_spans(held: DataFrame) -> DataFrame:
                     shared = x[top - start : j + LENGTH - start]
                     span = x[lo - start : hi + LENGTH - start]
                     whole = lo == j and hi == top
-                    for col, y in zip(out, (k, p, lo, hi, xxhash.xxh3_64_intdigest(shared, j) - 2**63, xxhash.xxh3_64_intdigest(span, j) - 2**63 if whole else None), strict=True):
+                    for col, y in zip(out, (k, d, p, lo, hi, xxhash.xxh3_64_intdigest(shared, j) - 2**63, xxhash.xxh3_64_intdigest(span, j) - 2**63 if whole else None), strict=True):
                         col.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)], ["k", "pos", "lo", "hi", "shared", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)], ["k", "d", "pos", "lo", "hi", "shared", "span"])
 
-    parts = common.stored(hot.mapInArrow(ranges, "k long, pos int, lo int, hi int, shared long, span long"))
-    twice = lambda c: parts.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first")).filter("n > 1")
+    parts = common.stored(hot.mapInArrow(ranges, "k long, d long, pos int, lo int, hi int, shared long, span long"))
+    twice = lambda c: parts.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"), F.min(F.struct("k", "d", "pos")).alias("first")).filter("n > 1")
     live = parts.join(twice("shared").select("shared"), "shared")
-    judged = common.stored(live.join(twice("span").select("span", "first"), "span", "left").select("k", "pos", "lo", "hi", F.col("first").isNotNull().alias("all"), (F.col("first") == F.struct("k", "pos")).alias("speaks")))
+    judged = common.stored(live.join(twice("span").select("span", "first"), "span", "left").select("k", "d", "pos", "lo", "hi", F.col("first").isNotNull().alias("all"), (F.col("first") == F.struct("k", "d", "pos")).alias("speaks")))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, p, lo, hi = (np.asarray(c).astype(np.int64) for c in batch.columns)
-            yield packed_spans(k, p - (STARTS - 1) + lo, p - (STARTS - 1) + hi + LENGTH)
+            k, d, p, lo, hi = (np.asarray(c).astype(np.int64) for c in batch.columns)
+            yield packed_spans(k, d, p - (STARTS - 1) + lo, p - (STARTS - 1) + hi + LENGTH)
 
-    sure = judged.filter("all").select("k", "pos", "lo", "hi").mapInArrow(whole, "k long, spans binary")
-    unsure = judged.filter("not all or speaks").select("k", "pos", "lo", "hi")
+    sure = judged.filter("all").select("k", "d", "pos", "lo", "hi").mapInArrow(whole, "k long, d long, spans binary")
+    unsure = judged.filter("not all or speaks").select("k", "d", "pos", "lo", "hi")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(3)]
-            for k, p, lo, hi, before, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out: list[list] = [[] for _ in range(4)]
+            for k, d, p, lo, hi, before, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 start = STARTS - 1 - before
                 for w in range(lo, hi + 1):
-                    for col, y in zip(out, (k, p - (STARTS - 1) + w, xxhash.xxh3_128_digest(x[w - start : w + LENGTH - start], w)), strict=True):
+                    for col, y in zip(out, (k, d, p - (STARTS - 1) + w, xxhash.xxh3_128_digest(x[w - start : w + LENGTH - start], w)), strict=True):
                         col.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int32(), pa.binary()], strict=True)], ["k", "at", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["k", "d", "at", "h"])
 
-    each = unsure.join(hot.select("k", "pos", "before", "bytes"), ["k", "pos"]).select("k", "pos", "lo", "hi", "before", "bytes").mapInArrow(windows, "k long, at int, h binary")
+    each = unsure.join(hot.select("k", "d", "pos", "before", "bytes"), ["k", "d", "pos"]).select("k", "d", "pos", "lo", "hi", "before", "bytes").mapInArrow(windows, "k long, d long, at int, h binary")
     each = common.stored(each)
     again = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.asarray(batch.column(1)).astype(np.int64)
-            yield packed_spans(np.asarray(batch.column(0)), at, at + LENGTH)
+            at = np.asarray(batch.column(2)).astype(np.int64)
+            yield packed_spans(np.asarray(batch.column(0)), np.asarray(batch.column(1)), at, at + LENGTH)
 
-    return sure.unionByName(each.join(again, "h").select("k", "at").mapInArrow(single, "k long, spans binary"))
+    return sure.unionByName(each.join(again, "h").select("k", "d", "at").mapInArrow(single, "k long, d long, spans binary"))
 
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with text cut down: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary)."""
-    own = spans.groupBy("k").agg(F.collect_list("spans").alias("spans"))
+    own = spans.groupBy("k", "d").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,22 +361,19 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     col.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return docs.join(own, "k", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.join(own, ["k", "d"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document."""
-    spark = docs.sparkSession
-    plain = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").withColumn("k", common.row_key("doc_id", "text"))
+    plain = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").withColumn("k", common.row_key("doc_id", "text")).withColumn("d", F.coalesce("doc_id", F.lit(0)))
     names = common.stored(named(sampled(plain)))
-    common.release(spark)
     held = common.stored(contexts(plain, names))
-    common.release(spark)
     spans = repeated_spans(names).unionByName(edge_spans(held))
     if held.filter("hot").limit(1).count():
         spans = spans.unionByName(split_spans(held))
     spans = common.stored(spans)
-    common.release(spark)
+    common.dropped(names, held)
     return removed(plain, spans)
 
 

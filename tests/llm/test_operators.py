@@ -32,6 +32,20 @@ def docs(spark):
     return spark.createDataFrame([*rows, (None, "null id", "en", "s", "x", 5, "b")], SCHEMA)
 
 
+#: Rows equal in id and text, ids that stand for two texts, null ids with null and with equal texts.
+REPEATED = [(2, "near"), (5, "other"), (5, "near"), (7, "other"), (7, "other"), (7, "other"), (8, "near"), (8, "near"), (9, None), (9, None), (None, None), (None, "other"), (None, "other"), (4, ""), (4, "third")]
+
+
+def repeated_rows():
+    text = {"near": prose(41, 120), "other": prose(42, 120), "third": prose(43, 5)}
+    return [(i, text.get(t, t)) for i, t in REPEATED]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    return spark.createDataFrame([(i, t, "en", "s", "x", 5, "b") for i, t in repeated_rows()], SCHEMA)
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -50,6 +64,24 @@ def test_suffix(docs, empty, group, monkeypatch):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [1, 1500])
+def test_suffix_repeated(repeated, group, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    rows = repeated_rows()
+    want = suffix.brute_force({n: t for n, (_, t) in enumerate(rows)})
+    got = suffix.remove_repeats(repeated).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, *want[n])) for n, (i, _) in enumerate(rows))
+
+
+def test_segments(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 105, 5000).astype(np.uint8)
+    want = suffix.places(data)
+    for size in (1, 64, 700):
+        monkeypatch.setattr(suffix, "SEGMENT", size)
+        got = suffix.places(data)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_licenses(docs, empty):
     got = by_id(licenses.license_scan(docs))
     for i, text in enumerate(texts()):
@@ -144,7 +176,42 @@ def test_minhash(docs, empty):
                     root[a] = root[b] = min(root[a], root[b])
     assert {i: (got[i].n_shingles, got[i].component_id, got[i].kept) for i in sets} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
     assert got[None].component_id is None and got[None].kept
-    assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.near_duplicates(empty).count() == minhash.keep_first(empty).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 512])
+def test_minhash_blocks(spark, chunk, monkeypatch):
+    """Families of texts that share bands without being alike, and near copies within each; blocks of two members, too."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    r = random.Random(3)
+    common_words = prose(60, 150).split()
+    out = []
+    for f in range(6):
+        own = common_words[:110] + prose(70 + f, 40).split()
+        for _ in range(7):
+            w = list(own)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            out.append(" ".join(w))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in out]
+    root = list(range(len(out)))
+    for _ in range(4):
+        for a in range(len(out)):
+            for b in range(len(out)):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert [got[i].component_id for i in range(len(out))] == root
+
+
+def test_keep_first(repeated):
+    got = minhash.keep_first(repeated)
+    assert got.columns == repeated.columns
+    texts_ = {t: n for n, t in {"near": prose(41, 120), "other": prose(42, 120), "third": prose(43, 5)}.items()}
+    kept = sorted(((r.doc_id, texts_.get(r.text, r.text)) for r in got.collect()), key=repr)
+    assert kept == sorted([(2, "near"), (5, "other"), (9, None), (9, None), (None, None), (None, "other"), (None, "other"), (4, ""), (4, "third")], key=repr)
+    rows = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(repeated).filter("doc_id is not null").collect())
+    assert rows == sorted([(2, 2), (5, 5), (5, 2), (7, 5), (7, 5), (7, 5), (8, 2), (8, 2), (9, 9), (9, 9), (4, 4), (4, 4)])
 
 
 def test_media(docs, empty):
