@@ -83,4 +83,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses
+
+    return {"op2_license_scans": licenses.sql()}
