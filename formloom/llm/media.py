@@ -3,8 +3,9 @@
 Each task writes one archive: members one after another, each a losslessly compressed grey image (PNG, WIDTH
 samples a row, one byte a sample), then a directory of fixed-size entries and a footer. The data source
 `formloom_media` plans byte ranges over the archives of a folder; a partition reads the directory entries whose members
-start in its range and streams their payloads through Arrow in batches of bounded bytes. Every member is read on its
-own by offset and retried on its own, so one bad read doesn't repeat the rest.
+start in its range and streams each one's stored form and payload through Arrow as binary columns, in batches of bounded bytes. Every
+member is read on its own by offset and retried on its own, so one bad read doesn't repeat the rest. Digests and features are made
+from these columns by whoever asks for them.
 
 Defined results: a null text is the empty text and is stored as one row of blanks; a null doc_id stays null; equal
 texts give equal members; an empty table gives no archive and no rows; extra columns are ignored.
@@ -12,7 +13,6 @@ texts give equal members; an empty table gives no archive and no rows; extra col
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import time
 import zlib
@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import common
@@ -36,7 +38,7 @@ ENTRY = "<qQQQIB3x"  # doc_id, offset, stored bytes, text bytes, crc32 of the st
 FOOTER = "<QQ8s"  # offset of the directory, members, magic
 MAGIC = b"FLMEDIA1"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, media binary, payload binary"
 
 
 def padded(data: bytes) -> bytes:
@@ -160,10 +162,9 @@ class ArchiveReader(DataSourceReader):
         try:
             for e in mine:
                 image = self.member(fs, source, partition.path, int(e["at"]), int(e["stored"]), int(e["crc"]))
-                samples = from_image(image)
-                payload = samples.tobytes()
-                rows.append((int(e["doc"]) if e["there"] else None, int(e["bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples)))
-                held += len(payload)
+                payload = from_image(image).tobytes()
+                rows.append((int(e["doc"]) if e["there"] else None, int(e["bytes"]), image, payload))
+                held += len(payload) + len(image)
                 if held >= BATCH_BYTES or len(rows) >= 4096:
                     yield self.batch(rows)
                     rows, held = [], 0
@@ -191,13 +192,13 @@ class ArchiveReader(DataSourceReader):
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 class MediaArchives(DataSource):
-    """spark.read.format("formloom_media").load(folder): one row of digests and features a member."""
+    """spark.read.format("formloom_media").load(folder): one row a member, with its stored form and its payload."""
 
     @classmethod
     def name(cls) -> str:
@@ -214,10 +215,31 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MediaArchives)
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Stores all documents as media and reads them back."""
+def stored_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, payload of all documents, stored as media and read back."""
     spark = docs.sparkSession
     directory = common.shared_dir(spark)
     write_archives(docs, directory)
     register(spark)
     return spark.read.format("formloom_media").load(directory)
+
+
+def with_feature(media: DataFrame, payload: str = "payload") -> DataFrame:
+    """media with the feature of its payload column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(payload))
+            out = [feature(np.frombuffer(x.as_buffer(), np.uint8)) if x.is_valid else None for x in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "feature"])
+
+    return media.mapInArrow(run, T.StructType([*media.schema.fields, T.StructField("feature", T.StringType())]))
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Digests and features of the media of all documents."""
+    digest = lambda c: F.sha2(F.col(c), 256).alias(f"{c}_sha256")
+    length = lambda c: F.octet_length(c).cast("long").alias(f"{c}_bytes")
+    tail = F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32")
+    rows = stored_media(docs).select("doc_id", "n_bytes", length("payload"), digest("payload"), tail, length("media"), digest("media"), "payload")
+    return with_feature(rows).drop("payload")
