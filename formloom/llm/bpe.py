@@ -10,7 +10,8 @@ Decoder: ids index an offset table into one blob of token bytes; the bytes of a
 
 Defined results: a null text is the empty text (no tokens, sha-256 of nothing); texts of white space only
 likewise; repeated rows give repeated results; extra columns are ignored. Texts with characters that Python's Unicode
-tables don't know are normalised and split by the tokenizers library, whose tables are newer.
+tables don't know are normalised and split by the tokenizers library, whose tables are newer; so are all texts where the tokenizer file asks for
+another normalisation or splitting than Words does. Files of another model than byte-level BPE, or with another decoder, are refused.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+# The normalisation and splitting of tokenizer files that Words follows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class Words:
     """Splits a text as the tokenizer's normalizer does (NFC, white space, lower case) into chunks without white space."""
 
@@ -85,6 +91,12 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges") or spec.get("decoder") or not splits or splits[-1]["type"] != "ByteLevel":
+            raise ValueError("not a byte-level BPE file that this encoder knows")
+        first = splits[0]
+        #: whether Words normalises and splits as the file asks
+        self.plain = spec.get("normalizer") == NORMALIZER and len(splits) == 2 and first["type"] == "Split" and first["pattern"].get("Regex") == PATTERN and first["invert"] and first["behavior"] == "Removed" and not splits[1]["add_prefix_space"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -93,7 +105,7 @@ class Vocabulary:
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.strings[i] = token
         self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pieces = regex.compile(PATTERN)
         self.alphabet = byte_alphabet()
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
@@ -106,7 +118,7 @@ class Vocabulary:
     def library_pieces(self, text: str) -> list[str]:
         """The pieces of a whole text as the tokenizers library normalises and splits it; slower, any Unicode version."""
         t = library(self.path)
-        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text) if t.normalizer else text)]
 
     def spelled(self, piece: str) -> str:
         return "".join([self.alphabet[b] for b in piece.encode("utf-8", "replace")])
@@ -257,6 +269,8 @@ class Encoder(dict):
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
+        if not self.vocabulary.plain:
+            return self.packed(self.vocabulary.library_pieces(text))
         try:
             return b"".join(map(self.__getitem__, self.words(text)))
         except UnknownCharacter:

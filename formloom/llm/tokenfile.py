@@ -6,10 +6,12 @@ BLOCK tokens; a checkpoint gives the bit offset at which each block starts, so a
 blocks of a file are decoded side by side through one lookup table.
 
 File: b"FLT1", header length (u32), header JSON, then zlib(code lengths), doc_ids (i64), validity (u8), tokens of each
-document (i64), checkpoints (u64) and the bit stream (64-bit big-endian words).
+document (i64), checkpoints (u64) and the bit stream (64-bit big-endian words). A task writes a file whenever it holds FILE_TOKENS, so
+it never holds more than that and one document; rows of one doc_id may fill several tasks and files. Codes are of MAX_BITS bits, or of
+as many more as it takes to tell the used ids apart.
 
-Defined results: a null text is the empty text and gives the end id alone; equal doc_ids stand in the order of their
-packed ids; an empty table writes no file and reads as no rows; extra columns are ignored.
+Defined results: a null text is the empty text and gives the end id alone; equal doc_ids stand in the order of a hash of
+their ids; an empty table writes no file and reads as no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from .bpe import Encoder, library, vocabulary
 
 BLOCK = 256
 MAX_BITS = 16
-#: Tokens that a file holds at most, but for a single longer document.
+#: Tokens from which on a file is full.
 FILE_TOKENS = 8_000_000
+#: Files of one task, at most.
+TASK_FILES = 1 << 20
 MAGIC = b"FLT1"
 
 
@@ -46,8 +50,7 @@ def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
     if n == 1:
         out[used] = 1
         return out
-    if n > 1 << max_bits:
-        raise ValueError(f"{n} ids don't fit codes of {max_bits} bits")
+    max_bits = code_bits(n, max_bits)
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.int64)
     row, is_leaf = leaves, [np.ones(n, bool)]
@@ -67,15 +70,24 @@ def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
     return out
 
 
+def code_bits(used: int, max_bits: int = MAX_BITS) -> int:
+    """Longest code for so many used ids; the decoding table has an entry for each value of so many bits."""
+    bits = max(max_bits, (used - 1).bit_length())
+    if bits > 25:
+        raise ValueError(f"{used} ids don't fit codes of 25 bits")
+    return bits
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     """Codes in order of length, then id."""
     used = np.flatnonzero(lengths)
     used = used[np.argsort(lengths[used], kind="stable")]
     size = lengths[used].astype(np.int64)
     codes = np.zeros(len(lengths), np.uint64)
-    # each code starts where the spans of the shorter ones, seen as MAX_BITS numbers, end
-    span = np.int64(1) << (MAX_BITS - size)
-    codes[used] = ((np.cumsum(span) - span) >> (MAX_BITS - size)).astype(np.uint64)
+    # each code starts where the spans of the shorter ones, seen as numbers of the longest, end
+    bits = int(size.max(initial=0))
+    span = np.int64(1) << (bits - size)
+    codes[used] = ((np.cumsum(span) - span) >> (bits - size)).astype(np.uint64)
     return codes
 
 
@@ -86,7 +98,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     size, code = lengths[ids].astype(np.int64), codes[ids]
     if len(ids) % 2:
         size, code = np.append(size, 0), np.append(code, np.uint64(0))
-    # neighbours as one code of up to 32 bits
+    # neighbours as one code of up to 50 bits
     code = (code[::2] << size[1::2].astype(np.uint64)) | code[1::2]
     size = size[::2] + size[1::2]
     ends = np.cumsum(size)
@@ -119,8 +131,8 @@ def unpack(stream: bytes, checkpoints: np.ndarray, n: int, tables: tuple[np.ndar
     if n == 0:
         return np.zeros(0, np.uint32)
     ids, size = tables
-    b = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
-    window = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    b = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    window = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
     mask = np.uint32((1 << bits) - 1)
     at = checkpoints.astype(np.int64)
     out = np.zeros((BLOCK, len(at)), np.uint32)
@@ -130,7 +142,7 @@ def unpack(stream: bytes, checkpoints: np.ndarray, n: int, tables: tuple[np.ndar
         if not live:
             break
         p = at[:live]
-        v = (window[p >> 3] >> (24 - bits - (p & 7)).astype(np.uint32)) & mask
+        v = (window[p >> 3] >> (32 - bits - (p & 7)).astype(np.uint32)) & mask
         out[k, :live] = ids[v]
         at[:live] += size[v]
     return out.T.reshape(-1)[:n]
@@ -181,13 +193,15 @@ def counted(ids: DataFrame, size: int, kind: str) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, directory: str, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Writes the files and returns path, n_docs, n_tokens of each (already written)."""
+    """Writes the files and returns file, n_docs, n_tokens of each (already written)."""
     spark = docs.sparkSession
     size = len(vocabulary(tokenizer_path).strings)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    ids = common.stored(encoded(docs, tokenizer_path, end_id, kind), "snappy")
+    numbered = encoded(docs, tokenizer_path, end_id, kind).withColumn("row", F.monotonically_increasing_id())
+    ids = common.stored(numbered, "snappy")
     counts = counted(ids, size, kind)
     lengths = code_lengths(counts)
+    bits = code_bits(int((counts > 0).sum()))
     table = zlib.compress(lengths.tobytes())
     parts = max(common.shuffle_parts(spark), -(-int(counts.sum()) // FILE_TOKENS))
     common.filesystem(directory)[0].create_dir(common.filesystem(directory)[1], recursive=True)
@@ -195,29 +209,46 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer_path: str, end_id: i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        docs_, n, packed = [], [], []
-        for batch in batches:
+        task = TaskContext.get()
+        fs, path = common.filesystem(directory)
+        own = np.frombuffer(zlib.decompress(table), np.uint8)
+        codes = canonical_codes(own)
+        done = []
+
+        def flush(doc: pa.Array, n: np.ndarray, tokens: np.ndarray) -> None:
+            stream, checkpoints = pack(tokens, own, codes)
+            head = json.dumps({"docs": len(doc), "tokens": len(tokens), "block": BLOCK, "bits": bits, "table": len(table), "stream": len(stream)}).encode()
+            body = [MAGIC, struct.pack("<I", len(head)), head, table, np.asarray(doc.fill_null(0)).astype("<i8").tobytes(), np.asarray(doc.is_valid()).astype("u1").tobytes(), n.astype("<i8").tobytes(), checkpoints.astype("<u8").tobytes(), stream]
+            file = task.partitionId() * TASK_FILES + len(done)
+            name = f"{path}/ids-{file}.flt"
+            temporary = f"{name}.{task.taskAttemptId()}.tmp"
+            try:
+                with fs.open_output_stream(temporary) as f:
+                    for x in body:
+                        f.write(x)
+                fs.move(temporary, name)  # a repeated task puts the same bytes there
+            except BaseException:
+                if fs.get_file_info(temporary).is_file:
+                    fs.delete_file(temporary)
+                raise
+            done.append((file, len(doc), len(tokens)))
+
+        docs_, n, packed, held = [], [], [], 0
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
             docs_.append(batch.column(0))
             n.append(np.asarray(batch.column(1)))
             packed.append(flat(batch.column(2), kind).copy())
+            held += len(packed[-1])
+            if held >= FILE_TOKENS:
+                flush(pa.chunked_array(docs_).combine_chunks(), np.concatenate(n), np.concatenate(packed))
+                docs_, n, packed, held = [], [], [], 0
         if sum(map(len, n)):
-            own = np.frombuffer(zlib.decompress(table), np.uint8)
-            doc = pa.chunked_array(docs_).combine_chunks()
-            tokens = np.concatenate(packed)
-            stream, checkpoints = pack(tokens, own, canonical_codes(own))
-            sizes = np.concatenate(n).astype("<i8")
-            head = json.dumps({"docs": len(doc), "tokens": len(tokens), "block": BLOCK, "bits": MAX_BITS, "table": len(table), "stream": len(stream)}).encode()
-            body = [MAGIC, struct.pack("<I", len(head)), head, table, np.asarray(doc.fill_null(0)).astype("<i8").tobytes(), np.asarray(doc.is_valid()).astype("u1").tobytes(), sizes.tobytes(), checkpoints.astype("<u8").tobytes(), stream]
-            task = TaskContext.get()
-            fs, path = common.filesystem(directory)
-            name = f"{path}/ids-{task.partitionId():06d}.flt"
-            with fs.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as f:
-                for x in body:
-                    f.write(x)
-            fs.move(f"{name}.{task.taskAttemptId()}.tmp", name)  # a repeated task puts the same bytes there
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([len(doc)], pa.int64()), pa.array([len(tokens)], pa.int64())], ["file", "n_docs", "n_tokens"])
-
-    ranged = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+            flush(pa.chunked_array(docs_).combine_chunks(), np.concatenate(n), np.concatenate(packed))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], pa.int64()) for k in range(3)], ["file", "n_docs", "n_tokens"])
+
+    # the row number only parts rows that are equal in all else
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc(), F.col("row").asc()]
+    ranged = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return common.stored(ranged.mapInArrow(write, "file long, n_docs long, n_tokens long"))
 
 
@@ -232,7 +263,7 @@ def read_tokens(files: DataFrame, directory: str, with_ids: bool = False) -> Dat
         tables: dict[bytes, tuple] = {}
         for batch in batches:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with fs.open_input_stream(f"{root}/ids-{file:06d}.flt") as f:
+                with fs.open_input_stream(f"{root}/ids-{file}.flt") as f:
                     data = f.read()
                 if data[:4] != MAGIC:
                     raise ValueError("not a token file")

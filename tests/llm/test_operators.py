@@ -92,6 +92,23 @@ def test_licenses(docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_licenses_equal_sql(spark, repeated):
+    import duckdb
+    import pandas as pd
+
+    plain = lambda t: t.replace("[", "").replace("]", "")
+    out = [plain(t) for _, t in licenses.TEMPLATES] + [prose(80 + i, 30) + " " + plain(t).upper() + "!" for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    # the phrase without what stands before it, phrases out of place, two licences at once
+    out += ["GNU General Public License", "associated documentation files permission is hereby granted free of charge", "Licensed under CC BY-NC 4.0. " + plain(licenses.TEMPLATES[0][1])]
+    rows = [*repeated_rows(), *((100 + i, t) for i, t in enumerate(out))]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    want = [tuple(r) for r in duckdb.sql(licenses.sql()).fetchall()]
+    got = [tuple(r) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    labels = {r[0]: r[6] for r in got}
+    assert all(label in labels[100 + i].split(",") for i, (label, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_tokens(docs, empty):
     from tokenizers import Tokenizer
 
@@ -107,6 +124,50 @@ def test_tokens(docs, empty):
     assert bpe.encode_decode(empty, tokenizer()).count() == tokenfile.round_trip(empty, tokenizer()).count() == 0
 
 
+def test_tokens_repeated(spark, repeated, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfile, "FILE_TOKENS", 20)
+    t, start = Tokenizer.from_file(tokenizer()), 0
+    got = tokenfile.round_trip(repeated, tokenizer()).collect()
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens
+    crc = lambda text: zlib.crc32(np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert sorted(((r.doc_id, r.ids_crc32) for r in got), key=repr) == sorted(((i, crc(x)) for i, x in repeated_rows()), key=repr)
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
+
+
+def test_other_tokenizer(tmp_path):
+    """A file with another normalisation goes through the library; another model is refused."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(tokenizer(), encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    t, enc = Tokenizer.from_file(str(other)), bpe.encoder(str(other))
+    for text in filter(None, texts()):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    spec["model"]["type"] = "WordPiece"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(str(other))
+
+
+def test_many_ids():
+    r = np.random.default_rng(4)
+    counts = r.integers(1, 50, 70_000)
+    lengths, bits = tokenfile.code_lengths(counts), tokenfile.code_bits(70_000)
+    assert bits == 17 and lengths.max() <= 17
+    ids = r.integers(0, 70_000, 3001)
+    stream, at = tokenfile.pack(ids, lengths, tokenfile.canonical_codes(lengths))
+    assert (tokenfile.unpack(stream, at, 3001, tokenfile.lookup(lengths, bits), bits) == ids).all()
+
+
 def test_huffman():
     r = np.random.default_rng(0)
     counts = (1000 / np.arange(1, 3001) ** 2).astype(np.int64) + 1
@@ -220,9 +281,53 @@ def test_media(docs, empty):
         data = (text or "").encode()
         p = data + b" " * (-len(data) % 192 if data else 192)
         assert (got[i].n_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(data), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        image = media.to_image(p)
+        samples = np.frombuffer(p, np.uint8).astype(int)
+        hist = ",".join(str(int(((samples // 64) == k).sum())) for k in range(4))
+        mean, var = int(samples.sum()) * 1000 // len(p), (int((samples**2).sum()) * len(p) - int(samples.sum()) ** 2) * 1000 // len(p) ** 2
+        assert (got[i].payload_bytes, got[i].media_bytes, got[i].media_sha256) == (len(p), len(image), hashlib.sha256(image).hexdigest())
+        assert got[i].feature == f"gray8 192x{len(p) // 192} mean={mean} var={var} hist={hist}"
     assert got[1].media_sha256 == got[0].media_sha256 and media.media_columns(empty).count() == 0
 
 
+def test_media_ranges(spark, repeated, tmp_path, monkeypatch):
+    where = str(tmp_path / "archives")
+    assert media.write_archives(repeated.repartition(2), where) == len(REPEATED)
+    media.register(spark)
+    want = sorted(((i, (t or "").encode()) for i, t in repeated_rows()), key=repr)
+    for split in (50, 1000, 1 << 24):
+        rows = spark.read.format("formloom_media").option("split_bytes", split).load(where).collect()
+        assert sorted(((r.doc_id, bytes(r.payload)[: r.n_bytes]) for r in rows), key=repr) == want
+        assert all(media.from_image(bytes(r.media)).tobytes() == bytes(r.payload) for r in rows)
+    # a read that fails twice is repeated for its member alone; a damaged member is an error
+    (path,) = sorted(tmp_path.glob("archives/*.flm"))[:1]
+    data = path.read_bytes()
+
+    class Source:
+        reads, opened = 0, 0
+
+        def open_input_file(self, _):
+            Source.opened += 1
+            return self
+
+        def close(self):
+            pass
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            Source.reads += 1
+            return data[self.at : self.at + n - (Source.reads < 3)]
+
+    entries, _ = media.read_directory(media.common.filesystem(str(path))[0], str(path))
+    e = entries[0]
+    assert media.ArchiveReader.member(Source(), [Source()], "x", int(e["at"]), int(e["stored"]), int(e["crc"])) == data[int(e["at"]) : int(e["at"]) + int(e["stored"])]
+    assert (Source.reads, Source.opened) == (3, 2)
+    with pytest.raises(OSError):
+        media.ArchiveReader.member(Source(), [Source()], "x", int(e["at"]), int(e["stored"]), int(e["crc"]) ^ 1)
+
+
 def test_lines(spark, empty):
     rows = [(i, f"{prose(i, 30)}\nitem {i} of the common footer line\n\n{prose(99, 12)}", "en", "s", "x", 5, "b") for i in range(8)]
     out = by_id(lines.cut_lines(spark.createDataFrame([*rows, (50, None, "", "", "", 0, "")], SCHEMA)))
