@@ -151,9 +151,11 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs drawn at their rates: each document stands floor(rate + u) times, u a fixed fraction from its hash. Columns as before."""
-    own = rates(docs, labels, targets).groupBy("k").agg(F.max("rate").alias("_rate")).withColumnRenamed("k", "_key")
-    u = F.pmod(F.xxhash64(F.lit("mix"), "_key"), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(F.col("_rate") + u).cast("int")
+    last = F.lit(2**63 - 1)
+    own = rates(docs, labels, targets).groupBy(F.coalesce("doc_id", last).alias("__formloom_doc"), F.col("k").alias("__formloom_key")).agg(F.max("rate").alias("__formloom_rate"))
+    u = F.pmod(F.xxhash64(F.lit("mix"), "__formloom_key"), F.lit(1 << 20)) / float(1 << 20)
+    times = F.floor(F.col("__formloom_rate") + u).cast("int")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    drawn = docs.withColumn("_key", key).join(own, "_key").withColumn("_times", times).filter("_times > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    keyed = docs.withColumn("__formloom_key", key).withColumn("__formloom_doc", F.coalesce(F.col("doc_id").cast("long"), last))
+    drawn = keyed.join(own, ["__formloom_doc", "__formloom_key"]).withColumn("__formloom_times", times).filter("__formloom_times > 0")
+    return drawn.withColumn("__formloom_copy", F.explode(F.sequence(F.lit(1), F.col("__formloom_times")))).select(*docs.columns)
