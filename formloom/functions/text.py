@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +12,12 @@ NAME = r"\A[A-Za-z][A-Za-z0-9_]{0,63}\z"
 RESERVED = ("constructor", "prototype", "__proto__")
 BLANK = r"\A[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*\z"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+BLANKS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 MAX_LENGTH = 10_000
 
+#: A piece of text up to a line end or a run of blanks, or the rest. A run of blanks that a mark or joiner follows is no end.
+BREAK = r"[\s\S]*?(?:\r\n|\r|\n|[^\S\r\n]++(?![\p{M}\x{200D}]))|[\s\S]+".replace(r"[^\S\r\n]", BLANKS.replace(r"\n", "").replace(r"\r", ""))
+
 
 def marker_names(text: Column) -> Column:
     """Names in markers, in order; whatever stands in the braces."""
@@ -33,16 +38,29 @@ def valid_name(name: Column) -> Column:
 
 
 def fill(text: Column, values: Column) -> Column:
-    """All markers at once; what goes in is never looked at again. values: map of name to string."""
-    names, parts = marker_names(text), between_markers(text)
-    return F.concat_ws("", F.transform(parts, lambda p, i: F.concat(p, F.when(i < F.size(names), F.coalesce(F.element_at(values, F.get(names, i)), F.lit(""))).otherwise(""))))
+    """All markers at once; what goes in is never looked at again. values: map of name to string. Null if any of the names has no value."""
+    parts, put = between_markers(text), F.transform(marker_names(text), lambda n: F.try_element_at(values, n))
+    whole = F.concat_ws("", F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(put, i), F.lit("")))))
+    return F.when(~F.exists(put, lambda v: v.isNull()), whole)
 
 
 def spans(text: Column) -> Column:
-    """Array of (name, start, stop) of the markers, in code points from 0."""
+    """Array of (name, start, stop) of the markers, in code points from 0. Lengths are added up once."""
     names, parts = marker_names(text), between_markers(text)
-    start = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(names, 1, i), F.lit(0), lambda a, n: a + F.length(n) + 4)
-    return F.transform(names, lambda n, i: F.struct(n.alias("name"), start(i).alias("start"), (start(i) + F.length(n) + 4).alias("stop")))
+    grown = F.zip_with(names, F.slice(parts, 1, F.size(names)), lambda n, p: F.length(n) + F.length(p) + 4)
+    stops = F.aggregate(grown, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    return F.transform(names, lambda n, i: F.struct(n.alias("name"), (F.get(stops, i + 1) - F.length(n) - 4).alias("start"), F.get(stops, i + 1).alias("stop")))
+
+
+def fields(text: Column) -> Column:
+    """Array of (name, occurrences) of the markers, in the order in which names first appear."""
+    names = marker_names(text)
+    return F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("name"), F.size(F.filter(names, lambda x: x == n)).alias("occurrences")))
+
+
+def marker_verdict(text: Column) -> Column:
+    """Null if all markers of a text are legal, else illegal-name or unclosed-marker."""
+    return F.when(F.exists(marker_names(text), lambda n: ~valid_name(n)), "illegal-name").when(unclosed(text), "unclosed-marker")
 
 
 def newlines(text: Column) -> Column:
@@ -82,13 +100,60 @@ def edits_overlap(edits: Column) -> Column:
     return F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.coalesce(F.get(s, i)["start"] < F.get(s, i - 1)["stop"], F.lit(False)))
 
 
+def break_tokens(text: Column) -> Column:
+    """The text cut after line ends and blanks where a grapheme ends, too: no cut stands before a combining mark or a joiner."""
+    return F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))
+
+
+def chunk_verdict(text: Column, budget: int) -> Column:
+    """Null if chunks of budget code points can hold the text, else unbreakable-run or no-progress (blanks that don't fit)."""
+    tokens = break_tokens(text)
+    bare = lambda t: F.length(F.regexp_replace(t, f"{BLANKS}+$", ""))
+    return F.when(F.exists(tokens, lambda t: bare(t) > budget), "unbreakable-run").when(F.exists(tokens, lambda t: F.length(t) > budget), "no-progress")
+
+
+def chunk_stops(text: Column, budget: int) -> Column:
+    """Where the chunks of a text stop: the fold is over lengths, not texts. Null if a token is longer than budget."""
+    sizes = F.transform(break_tokens(text), F.length)
+    state = lambda stops, start, at: F.struct(stops.alias("stops"), start.alias("start"), at.alias("at"))
+    zero = state(F.array().cast("array<int>"), F.lit(0), F.lit(0))
+    step = lambda a, n: F.when(a["at"] + n - a["start"] <= budget, state(a["stops"], a["start"], a["at"] + n)).otherwise(state(F.concat(a["stops"], F.array(a["at"])), a["at"], a["at"] + n))
+    stops = F.aggregate(sizes, zero, step, lambda a: F.when(a["at"] > a["start"], F.concat(a["stops"], F.array(a["at"]))).otherwise(a["stops"]))
+    return F.when(~F.exists(sizes, lambda n: n > budget), stops)
+
+
 def greedy_chunks(text: Column, budget: int) -> Column:
-    """Cuts a text after white space into chunks of at most budget code points; a longer token stands alone. Losslessly."""
-    tokens = F.regexp_extract_all(text, F.lit(r"\S*\s+|\S+"), F.lit(0))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    fits = lambda a, t: (F.length(a["now"]) + F.length(t) <= budget) | (a["now"] == "")
-    step = lambda a, t: F.when(fits(a, t), F.struct(a["done"].alias("done"), F.concat(a["now"], t).alias("now"))).otherwise(F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), t.alias("now")))
-    return F.aggregate(tokens, zero, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    """Cuts a text at break tokens into chunks of at most budget code points, each as long as may be. Losslessly; null if it can't be done."""
+    stops = chunk_stops(text, budget)
+    start = lambda i: F.coalesce(F.get(stops, i - 1), F.lit(0))
+    return F.transform(stops, lambda stop, i: F.substring(text, start(i) + 1, stop - start(i)))
+
+
+def graphemes(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
+
+
+@F.pandas_udf("string")
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed form; Spark has no function for it."""
+    return text.str.normalize("NFC")
+
+
+def tri_state(value: Column) -> Column:
+    """An on/off attribute: no value means on; null where the value is none of the known."""
+    return F.when(value.isNull() | value.isin("1", "true", "on"), True).when(value.isin("0", "false", "off"), False)
+
+
+def whole_number(value: Column) -> Column:
+    """A safe non-negative integer, or null."""
+    return F.when(value.rlike(r"\A[0-9]{1,16}\z") & (F.try_to_number(value, F.lit("9" * 16)) <= 2**53 - 1), value.try_cast("bigint"))
+
+
+def exact_keys(json: Column, required: list[str], optional: list[str] | None = None) -> Column:
+    """A JSON object has all the required keys and no others but the optional ones."""
+    keys, need = F.json_object_keys(json), F.array(*map(F.lit, required))
+    both = F.array(*map(F.lit, [*required, *(optional or [])]))
+    return F.coalesce((F.size(F.array_except(need, keys)) == 0) & (F.size(F.array_except(keys, both)) == 0), F.lit(False))
 
 
 def alias_for(name: Column) -> Column:

@@ -356,4 +356,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from formloom.plans import layout  # noqa: E402, F401  adds its queries to those above
+from formloom.plans import binding, layout  # noqa: E402, F401  add their queries to those above
