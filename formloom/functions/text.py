@@ -15,8 +15,20 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 BLANKS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 MAX_LENGTH = 10_000
 
+SPACES = BLANKS.replace(r"\n", "").replace(r"\r", "")
+INNER = rf"(?:[^{BLANKS[1:-1]}]++|{SPACES}++(?=[\p{{M}}\x{{200D}}]))"
 #: A piece of text up to a line end or a run of blanks, or the rest. A run of blanks that a mark or joiner follows is no end.
-BREAK = r"[\s\S]*?(?:\r\n|\r|\n|[^\S\r\n]++(?![\p{M}\x{200D}]))|[\s\S]+".replace(r"[^\S\r\n]", BLANKS.replace(r"\n", "").replace(r"\r", ""))
+BREAK = rf"{INNER}*+(?:\r\n|\r|\n|{SPACES}++)|{INNER}++"
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once: an expression that a lambda names is worked out again for each element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def let_all(f, **values: Column) -> Column:
+    """f of a struct of several such values."""
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), f)
 
 
 def marker_names(text: Column) -> Column:
@@ -39,23 +51,33 @@ def valid_name(name: Column) -> Column:
 
 def fill(text: Column, values: Column) -> Column:
     """All markers at once; what goes in is never looked at again. values: map of name to string. Null if any of the names has no value."""
-    parts, put = between_markers(text), F.transform(marker_names(text), lambda n: F.try_element_at(values, n))
-    whole = F.concat_ws("", F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(put, i), F.lit("")))))
-    return F.when(~F.exists(put, lambda v: v.isNull()), whole)
+
+    def filled(x: Column) -> Column:
+        whole = F.concat_ws("", F.transform(x["parts"], lambda p, i: F.concat(p, F.coalesce(F.get(x["put"], i), F.lit("")))))
+        return F.when(~F.exists(x["put"], lambda v: v.isNull()), whole)
+
+    put = let(values, lambda m: F.transform(marker_names(text), lambda n: F.try_element_at(m, n)))
+    return let_all(filled, parts=between_markers(text), put=put)
 
 
 def spans(text: Column) -> Column:
     """Array of (name, start, stop) of the markers, in code points from 0. Lengths are added up once."""
-    names, parts = marker_names(text), between_markers(text)
-    grown = F.zip_with(names, F.slice(parts, 1, F.size(names)), lambda n, p: F.length(n) + F.length(p) + 4)
-    stops = F.aggregate(grown, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return F.transform(names, lambda n, i: F.struct(n.alias("name"), (F.get(stops, i + 1) - F.length(n) - 4).alias("start"), F.get(stops, i + 1).alias("stop")))
+
+    def placed(x: Column) -> Column:
+        grown = F.zip_with(x["names"], F.slice(x["parts"], 1, F.size(x["names"])), lambda n, p: F.length(n) + F.length(p) + 4)
+        stops = F.aggregate(grown, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.zip_with(x["names"], F.slice(stops, 2, F.greatest(F.size(x["names"]), F.lit(0))), lambda n, stop: F.struct(n.alias("name"), (stop - F.length(n) - 4).alias("start"), stop.alias("stop")))
+
+    return let_all(placed, names=marker_names(text), parts=between_markers(text))
 
 
 def fields(text: Column) -> Column:
-    """Array of (name, occurrences) of the markers, in the order in which names first appear."""
-    names = marker_names(text)
-    return F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("name"), F.size(F.filter(names, lambda x: x == n)).alias("occurrences")))
+    """Array of (name, occurrences) of the markers, in the order in which names first appear. Sorted names are counted by their places."""
+
+    def counted(names: Column) -> Column:
+        return let_all(lambda x: F.transform(x["distinct"], lambda n: F.struct(n.alias("name"), F.size(F.filter(x["names"], lambda y: y == n)).alias("occurrences"))), distinct=F.array_distinct(names), names=names)
+
+    return let(marker_names(text), counted)
 
 
 def marker_verdict(text: Column) -> Column:
@@ -107,36 +129,28 @@ def break_tokens(text: Column) -> Column:
 
 def chunk_verdict(text: Column, budget: int) -> Column:
     """Null if chunks of budget code points can hold the text, else unbreakable-run or no-progress (blanks that don't fit)."""
-    tokens = break_tokens(text)
     bare = lambda t: F.length(F.regexp_replace(t, f"{BLANKS}+$", ""))
-    return F.when(F.exists(tokens, lambda t: bare(t) > budget), "unbreakable-run").when(F.exists(tokens, lambda t: F.length(t) > budget), "no-progress")
-
-
-def chunk_stops(text: Column, budget: int) -> Column:
-    """Where the chunks of a text stop: the fold is over lengths, not texts. Null if a token is longer than budget."""
-    sizes = F.transform(break_tokens(text), F.length)
-    state = lambda stops, start, at: F.struct(stops.alias("stops"), start.alias("start"), at.alias("at"))
-    zero = state(F.array().cast("array<int>"), F.lit(0), F.lit(0))
-    step = lambda a, n: F.when(a["at"] + n - a["start"] <= budget, state(a["stops"], a["start"], a["at"] + n)).otherwise(state(F.concat(a["stops"], F.array(a["at"])), a["at"], a["at"] + n))
-    stops = F.aggregate(sizes, zero, step, lambda a: F.when(a["at"] > a["start"], F.concat(a["stops"], F.array(a["at"]))).otherwise(a["stops"]))
-    return F.when(~F.exists(sizes, lambda n: n > budget), stops)
+    return let(break_tokens(text), lambda tokens: F.when(F.exists(tokens, lambda t: bare(t) > budget), "unbreakable-run").when(F.exists(tokens, lambda t: F.length(t) > budget), "no-progress"))
 
 
 def greedy_chunks(text: Column, budget: int) -> Column:
-    """Cuts a text at break tokens into chunks of at most budget code points, each as long as may be. Losslessly; null if it can't be done."""
-    stops = chunk_stops(text, budget)
-    start = lambda i: F.coalesce(F.get(stops, i - 1), F.lit(0))
-    return F.transform(stops, lambda stop, i: F.substring(text, start(i) + 1, stop - start(i)))
+    """Cuts a text at the ends of break tokens into chunks of at most budget code points, each as long as may be. Losslessly; null if it
+    can't be done. One pass: each match is the longest that ends at a break."""
+    chunks = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{budget}}}(?:(?<=\n)|(?<=\r)(?!\n)|(?<={SPACES})(?![{SPACES[1:-1]}\p{{M}}\x{{200D}}])|\z)"), F.lit(0))
+    return let(chunks, lambda c: F.when(F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x)) == F.length(text), c))
 
 
 def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Composed form; Spark has no function for it."""
-    return text.str.normalize("NFC")
+
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFC")
+
+    return F.pandas_udf(composed, "string")(text)
 
 
 def tri_state(value: Column) -> Column:

@@ -50,7 +50,7 @@ def fields_reason(fields: Column) -> Column:
         return F.coalesce(own, F.when(f["type"] == "rows", rows).otherwise(scalar))
 
     bad = F.filter(F.transform(fields, lambda f, i: F.struct(reason(f, i).alias("reason"), f["name"].alias("field"))), lambda v: v["reason"].isNotNull())
-    return F.when(fields.isNull(), verdict("no-fields")).otherwise(verdict(F.get(bad, 0)["reason"], F.get(bad, 0)["field"]))
+    return F.when(fields.isNull(), verdict("no-fields")).otherwise(X.let(F.get(bad, 0), lambda v: verdict(v["reason"], v["field"])))
 
 
 def normalized(fields: Column) -> Column:
@@ -93,14 +93,12 @@ def string_of(v: Column) -> Column:
 
 
 def text_reason(v: Column, limit: Column) -> Column:
-    s = string_of(v)
-    return F.when(s.isNull(), "type").when(X.blank(s), "blank").when(F.length(s) > limit, "length").when(s.rlike(X.CONTROL), "control")
+    return X.let(string_of(v), lambda s: F.when(s.isNull(), "type").when(X.blank(s), "blank").when(F.length(s) > limit, "length").when(s.rlike(X.CONTROL), "control"))
 
 
 def strict_reason(v: Column) -> Column:
     """What the strict formats refuse besides: marker braces, noncharacters and lone surrogates."""
-    s = string_of(v)
-    return F.when(s.rlike(r"[\x{FFFE}\x{FFFF}]"), "noncharacter").when(s.rlike(r"\{\{|\}\}"), "marker")
+    return X.let(string_of(v), lambda s: F.when(s.rlike(r"[\x{FFFE}\x{FFFF}]"), "noncharacter").when(s.rlike(r"\{\{|\}\}"), "marker"))
 
 
 def bind_verdict(values: Column, fields: Column, strict: bool = False) -> Column:
@@ -108,34 +106,40 @@ def bind_verdict(values: Column, fields: Column, strict: bool = False) -> Column
 
     Not an object; unknown keys (all are listed); then for each field: missing, its rows (count, then each row as a record of its
     own, then the characters of all rows so far), a checkbox that isn't a boolean, a text that isn't one, is blank, too long or holds controls."""
-    record = members(values)
+    return X.let(F.when(is_object(values), members(values)), lambda record: _bind_verdict(record, fields, strict))
+
+
+def _bind_verdict(record: Column, fields: Column, strict: bool) -> Column:
     unknown = F.array_except(F.map_keys(record), F.transform(fields, lambda f: f["name"]))
     limit = lambda c: F.coalesce(c["max_length"], F.lit(X.MAX_LENGTH))
     extra = strict_reason if strict else lambda v: F.lit(None).cast("string")
 
     def row_reason(row: Column, columns: Column) -> Column:
-        own = members(row)
+        return X.let(F.when(is_object(row), members(row)), lambda own: F.when(own.isNull(), "row-not-object").otherwise(member_reason(own, columns)))
+
+    def member_reason(own: Column, columns: Column) -> Column:
         names = F.transform(columns, lambda c: c["name"])
         bad = F.filter(F.transform(columns, lambda c: F.when(~F.map_contains_key(own, c["name"]), "row-missing").otherwise(F.concat(F.lit("row-"), F.coalesce(text_reason(F.try_element_at(own, c["name"]), limit(c)), extra(F.try_element_at(own, c["name"])))))), lambda x: x.isNotNull())
-        return F.when(~is_object(row), "row-not-object").when(F.size(F.array_except(F.map_keys(own), names)) > 0, "row-unknown").otherwise(F.get(bad, 0))
+        return F.when(F.size(F.array_except(F.map_keys(own), names)) > 0, "row-unknown").otherwise(F.get(bad, 0))
 
-    def characters(row: Column, columns: Column) -> Column:
-        return F.aggregate(columns, F.lit(0), lambda n, c: n + F.coalesce(F.length(string_of(F.try_element_at(members(row), c["name"]))), F.lit(0)))
+    def characters(row: Column) -> Column:
+        return F.aggregate(F.map_values(members(row)), F.lit(0), lambda n, v: n + F.coalesce(F.length(string_of(v)), F.lit(0)))
 
     state = lambda n, reason, field: F.struct(n.cast("bigint").alias("n"), reason.cast("string").alias("reason"), field.cast("string").alias("field"))
 
     def field_state(a: Column, f: Column) -> Column:
-        v = F.try_element_at(record, f["name"])
-        rows = F.try_variant_get(v, "$", "array<variant>")
+        return X.let_all(lambda x: value_state(a, f, x["v"], x["rows"]), v=F.try_element_at(record, f["name"]), rows=F.when(f["type"] == "rows", F.try_variant_get(F.try_element_at(record, f["name"]), "$", "array<variant>")))
+
+    def value_state(a: Column, f: Column, v: Column, rows: Column) -> Column:
         counted = is_array(v) & F.size(rows).between(1, f["max_rows"])
-        grown = lambda r, row: state(r["n"] + characters(row, f["columns"]), F.coalesce(row_reason(row, f["columns"]), F.when(r["n"] + characters(row, f["columns"]) > MAX_ROW_CHARACTERS, "total-length")), f["name"])
+        grown = lambda r, row: X.let(r["n"] + characters(row), lambda n: state(n, F.coalesce(row_reason(row, f["columns"]), F.when(n > MAX_ROW_CHARACTERS, "total-length")), f["name"]))
         after = F.aggregate(rows, state(a["n"], F.lit(None), f["name"]), lambda r, row: F.when(r["reason"].isNotNull(), r).otherwise(grown(r, row)))
         scalar = F.when(f["type"] == "checkbox", F.when(F.coalesce(kind(v) != "BOOLEAN", F.lit(True)), "not-boolean")).otherwise(F.coalesce(text_reason(v, limit(f)), extra(v)))
         missing = ~F.map_contains_key(record, f["name"])
         return F.when(missing, state(a["n"], F.lit("missing"), f["name"])).when(f["type"] != "rows", state(a["n"], scalar, f["name"])).when(counted, after).otherwise(state(a["n"], F.lit("row-count"), f["name"]))
 
     walked = F.aggregate(fields, state(F.lit(0), F.lit(None), F.lit(None)), lambda a, f: F.when(a["reason"].isNotNull(), a).otherwise(field_state(a, f)))
-    return F.when(~is_object(values), verdict("not-object")).when(F.size(unknown) > 0, verdict("unknown-field", F.array_join(F.array_sort(unknown), ","))).otherwise(verdict(walked["reason"], walked["field"]))
+    return F.when(record.isNull(), verdict("not-object")).when(F.size(unknown) > 0, verdict("unknown-field", F.array_join(F.array_sort(unknown), ","))).otherwise(X.let(walked, lambda w: verdict(w["reason"], w["field"])))
 
 
 def strings(values: Column) -> Column:

@@ -31,21 +31,27 @@ def slots_of(inventory: Column) -> Column:
 
 def slot_reason(slot: Column, i: Column, ids: Column) -> Column:
     """The first thing that is wrong with a slot."""
-    status, evidence = string_of(get(slot, "status")), get(slot, "evidence")
-    what = string_of(get(evidence, "kind"))
-    names = F.try_variant_get(get(evidence, "fields"), "$", "array<variant>")
-    fields = is_array(get(evidence, "fields")) & F.coalesce((F.size(names) > 0) & F.forall(names, has_text), F.lit(False))
+    return X.let(F.when(is_object(slot), members(slot)), lambda own: X.let(F.try_element_at(own, F.lit("evidence")), lambda e: X.let(F.when(is_object(e), members(e)), lambda evidence: member_reason(own, evidence, i, ids))))
+
+
+def member_reason(own: Column, evidence: Column, i: Column, ids: Column) -> Column:
+    """The same of the slot's members and those of its evidence."""
+    of = lambda m, key: F.try_element_at(m, F.lit(key))
+    status, what = string_of(of(own, "status")), string_of(of(evidence, "kind"))
+    names = F.try_variant_get(of(evidence, "fields"), "$", "array<variant>")
+    fields = is_array(of(evidence, "fields")) & F.coalesce((F.size(names) > 0) & F.forall(names, has_text), F.lit(False))
+    instructed = F.coalesce(what == "user-instruction", F.lit(False)) & has_text(of(evidence, "reference"))
     return (
-        F.when(~is_object(slot) | ~has_text(get(slot, "id")), "invalid-slot-id")
-        .when(F.array_position(ids, string_of(get(slot, "id"))) <= i, "duplicate-slot-id")
-        .when(~has_text(get(slot, "location")), "missing-location")
+        F.when(own.isNull() | ~has_text(of(own, "id")), "invalid-slot-id")
+        .when(F.array_position(ids, string_of(of(own, "id"))) <= i, "duplicate-slot-id")
+        .when(~has_text(of(own, "location")), "missing-location")
         .when(~F.coalesce(status.isin(*STATES), F.lit(False)), "invalid-status")
-        .when(status == "blocked", F.when(~(has_text(get(slot, "reason")) & has_text(get(slot, "nextAction"))), "missing-blocker-action"))
-        .when(status == "explicitly_excluded", F.when(~user_instruction(evidence), "missing-exclusion-instruction"))
-        .when(~is_object(evidence), "missing-evidence")
-        .when(status == "not_applicable", F.when(~(F.coalesce(what == "applicability", F.lit(False)) & has_text(get(evidence, "condition")) & has_text(get(evidence, "reason"))), "missing-applicability"))
+        .when(status == "blocked", F.when(~(has_text(of(own, "reason")) & has_text(of(own, "nextAction"))), "missing-blocker-action"))
+        .when(status == "explicitly_excluded", F.when(~instructed, "missing-exclusion-instruction"))
+        .when(evidence.isNull(), "missing-evidence")
+        .when(status == "not_applicable", F.when(~(F.coalesce(what == "applicability", F.lit(False)) & has_text(of(evidence, "condition")) & has_text(of(evidence, "reason"))), "missing-applicability"))
         .when(~F.coalesce(what.isin("fields", "external-review"), F.lit(False)), "invalid-filled-evidence")
-        .when(what == "external-review", F.when(~has_text(get(evidence, "reference")), "missing-review-reference"))
+        .when(what == "external-review", F.when(~has_text(of(evidence, "reference")), "missing-review-reference"))
         .when(~fields, "invalid-evidence-fields")
     )
 
@@ -54,19 +60,24 @@ def inventory_verdict(inventory: Column, sha256: Column, fields: Column) -> Colu
     """Struct (code, reason, slot) of an inventory (variant) for a document of this hash and with these field names; null if all is well or
     there is no inventory."""
     bad = lambda reason, slot=None, code="E_COVERAGE": F.struct(F.lit(code).alias("code"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), (F.lit(None) if slot is None else slot).cast("int").alias("slot"))
-    version, scope, slots = get(inventory, "version"), get(inventory, "scope"), slots_of(inventory)
+    return X.let(slots_of(inventory), lambda slots: X.let(links_of(slots), lambda links: _verdict(inventory, sha256, fields, slots, links, bad)))
+
+
+def links_of(slots: Column) -> Column:
+    """name and slot of the fields that filled slots give as evidence, in order."""
+    linked = lambda s: F.when((string_of(get(s, "status")) == "filled") & (string_of(get(get(s, "evidence"), "kind")) == "fields"), F.transform(F.try_variant_get(get(get(s, "evidence"), "fields"), "$", "array<variant>"), string_of))
+    return F.flatten(F.transform(slots, lambda s, i: F.transform(F.coalesce(linked(s), F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), i.alias("i")))))
+
+
+def _verdict(inventory: Column, sha256: Column, fields: Column, slots: Column, links: Column, bad) -> Column:
+    version, scope = get(inventory, "version"), get(inventory, "scope")
     whole = F.coalesce(kind(version).rlike("BIGINT|DOUBLE|DECIMAL") & (F.try_variant_get(version, "$", "double") == 1), F.lit(False))
     named = F.when(~F.map_contains_key(members(inventory), "scope"), "full").otherwise(string_of(scope))
     ids = F.transform(slots, lambda s: string_of(get(s, "id")))
-    failed = F.filter(F.transform(slots, lambda s, i: F.struct(i.alias("i"), slot_reason(s, i, ids).alias("reason"))), lambda x: x["reason"].isNotNull())
-    first = F.get(failed, 0)
-    # the names that slots give as evidence, in order
-    linked = lambda s: F.when(string_of(get(get(s, "evidence"), "kind")) == "fields", F.transform(F.try_variant_get(get(get(s, "evidence"), "fields"), "$", "array<variant>"), string_of))
-    active = lambda s: F.when(string_of(get(s, "status")) == "filled", linked(s))
-    links = F.flatten(F.transform(slots, lambda s, i: F.transform(F.coalesce(active(s), F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), i.alias("i")))))
+    failed = X.let(ids, lambda known: F.filter(F.transform(slots, lambda s, i: F.struct(i.alias("i"), slot_reason(s, i, known).alias("reason"))), lambda x: x["reason"].isNotNull()))
     names = F.transform(links, lambda x: x["name"])
-    judged = F.transform(links, lambda x, k: F.struct(x["i"].alias("i"), F.when(~F.array_contains(fields, x["name"]), "unknown-field").when(F.array_position(names, x["name"]) <= k, "duplicate-field").alias("reason")))
-    link = F.get(F.filter(judged, lambda x: x["reason"].isNotNull()), 0)
+    judged = X.let(names, lambda all_: F.transform(links, lambda x, k: F.struct(x["i"].alias("i"), F.when(~F.array_contains(fields, x["name"]), "unknown-field").when(F.array_position(all_, x["name"]) <= k, "duplicate-field").alias("reason"))))
+    first, link = F.get(failed, 0), F.get(F.filter(judged, lambda x: x["reason"].isNotNull()), 0)
     return (
         F.when(inventory.isNull(), None)
         .when(~is_object(inventory) | ~whole, bad("invalid-version"))
@@ -74,9 +85,9 @@ def inventory_verdict(inventory: Column, sha256: Column, fields: Column) -> Colu
         .when(~F.coalesce(named.isin("full", "partial"), F.lit(False)), bad("invalid-scope"))
         .when((named == "partial") & ~user_instruction(get(inventory, "scopeEvidence")), bad("missing-scope-instruction"))
         .when(slots.isNull(), bad("invalid-slots"))
-        .when(first.isNotNull(), bad(first["reason"], first["i"]))
+        .when(F.size(failed) > 0, X.let(first, lambda x: bad(x["reason"], x["i"])))
         .when(string_of(get(inventory, "templateSha256")) != sha256, bad("template-hash", code="E_TEMPLATE_CHANGED"))
-        .when(link.isNotNull(), bad(link["reason"], link["i"]))
+        .when(F.exists(judged, lambda x: x["reason"].isNotNull()), X.let(link, lambda x: bad(x["reason"], x["i"])))
         .when(F.size(F.array_distinct(names)) != F.size(F.array_distinct(fields)), bad("unmapped-fields"))
     )
 

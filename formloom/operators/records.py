@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from formloom.functions import text as X
+from formloom.operators.lineage import cut
 
 
 def discover(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, name, occurrences, field_no: fields of each document in the order in which they first appear."""
-    each = docs.select(key, F.posexplode(X.marker_names(F.col(text))).alias("pos", "name"))
-    fields = each.groupBy(key, "name").agg(F.count("*").alias("occurrences"), F.min("pos").alias("first"))
-    return fields.select(key, "name", "occurrences", F.row_number().over(Window.partitionBy(key).orderBy("first")).alias("field_no"))
+    """key, name, occurrences, field_no: fields of each document in the order in which they first appear. All within the row."""
+    each = docs.select(key, F.posexplode(X.fields(F.col(text))).alias("no", "f"))
+    return each.select(key, F.col("f.name").alias("name"), F.col("f.occurrences").cast("long").alias("occurrences"), (F.col("no") + 1).alias("field_no"))
 
 
 def schema_difference(found: DataFrame, declared: DataFrame, on: list[str]) -> DataFrame:
@@ -89,9 +89,23 @@ def nesting(tokens: DataFrame, doc: str, no: str, change: str) -> DataFrame:
 
 
 def nearest_ancestor(nodes: DataFrame, ancestors: DataFrame, doc: str) -> DataFrame:
-    """Each node's innermost container: the one that starts last among those that hold it. Equality on doc keeps it a hash join."""
-    a = ancestors.select(doc, F.col("start").alias("a0"), F.col("stop").alias("a1"), F.col("id").alias("ancestor"))
-    return nodes.join(a, doc).filter("a0 < start and stop < a1").groupBy(doc, "id").agg(F.max_by("ancestor", "a0").alias("ancestor"))
+    """Each node's innermost container (doc, id, start, stop that nest): one sweep over what opens and closes. Open containers are counted;
+    a node under n of them lies in the one that opened last as the n-th."""
+    none = F.lit(None).cast("long")
+    event = lambda df, at, kind, change, node, anc: df.select(doc, F.col(at).alias("at"), F.lit(kind).alias("kind"), F.lit(change).alias("change"), node.alias("id"), anc.alias("ancestor"))
+    own = F.col("id").cast("long")
+    # at one place what ends goes first, then nodes, then what begins there
+    events = event(ancestors, "stop", 0, -1, none, none).unionByName(event(nodes, "start", 1, 0, own, none)).unionByName(event(ancestors, "start", 2, 1, none, own))
+    opened = F.sum("change").over(Window.partitionBy(doc).orderBy("at", "kind", F.coalesce("ancestor", "id")).rowsBetween(Window.unboundedPreceding, 0))
+    level = events.withColumn("level", opened).filter("kind > 0")
+    last = F.last("ancestor", ignorenulls=True).over(Window.partitionBy(doc, "level").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return level.withColumn("holder", last).filter("kind = 1 and level > 0").select(doc, "id", F.col("holder").alias("ancestor"))
+
+
+def single_child(children: DataFrame, parent: str, kind: str, of: str) -> DataFrame:
+    """parent, child, verdict: the one child of a kind that each parent must have; missing or ambiguous where it is not one."""
+    n = children.groupBy(parent).agg(F.count_if(F.col(kind) == of).alias("n"), F.min(F.when(F.col(kind) == of, F.col("id"))).alias("child"))
+    return n.select(parent, F.when(F.col("n") == 1, F.col("child")).alias("child"), F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "ambiguous").alias("verdict"))
 
 
 def boxes_overlap(boxes: DataFrame, group: str) -> DataFrame:
@@ -107,11 +121,33 @@ def level_check(records: DataFrame, doc: str, no: str, level: str) -> DataFrame:
     return records.select(doc, no, para.alias("paragraph"), (F.col(level) <= F.coalesce(F.lag(level).over(w), F.lit(-1)) + 1).alias("ok"))
 
 
-def style_chains(spark: SparkSession, styles: DataFrame) -> DataFrame:
-    """id, root, depth, cycle of styles (id, parent): follows parents until there is none or one comes again."""
-    styles.createOrReplaceTempView("formloom_styles")
-    return spark.sql("""with recursive c(id, at, depth, path, cycle) as (
-      select id, id, 0, array(id), false from formloom_styles
-      union all select c.id, s.parent, c.depth + 1, concat(c.path, array(s.parent)), array_contains(c.path, s.parent)
-      from c join formloom_styles s on s.id = c.at where s.parent is not null and not c.cycle)
-      select id, max_by(at, depth) root, max(depth) depth, bool_or(cycle) cycle from c group by id""")
+def style_chains(styles: DataFrame) -> DataFrame:
+    """id, root, depth, cycle of styles (id, parent): parents are followed by doubling the distance at each round, so a chain of n takes
+    log n joins. A chain that comes back to itself ends at its least member and is a cycle; depth counts parents up to the root."""
+    step = styles.select("id", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth"))
+    known = styles.select(F.col("id").alias("known")).distinct()
+    # a parent that isn't defined ends the chain as well
+    step = step.join(known, F.col("up") == F.col("known"), "left").select("id", F.when(F.col("known").isNotNull(), F.col("up")).alias("up"), "depth", F.when(F.col("known").isNull(), F.col("up")).alias("outside"))
+    step = cut(step)
+    rounds = max(1, styles.count().bit_length() + 1)
+    state = step.select("id", F.coalesce("outside", F.when(F.col("up").isNull(), F.col("id"))).alias("root"), "up", "depth")
+    for _ in range(rounds):
+        if not state.filter("up is not null").limit(1).count():
+            break
+        far = state.select(F.col("id").alias("via"), F.col("root").alias("root2"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        state = cut(state.join(far, F.col("up") == F.col("via"), "left").select("id", F.coalesce("root", "root2").alias("root"), F.when(F.col("up").isNotNull(), F.col("up2")).alias("up"), (F.col("depth") + F.when(F.col("up").isNotNull(), F.coalesce("depth2", F.lit(0))).otherwise(0)).alias("depth")))
+    return state.select("id", "root", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("cycle"))
+
+
+def effective_property(chain: DataFrame, direct: DataFrame, doc: str) -> DataFrame:
+    """doc, value, source: a property set directly, else by the nearest style of the chain (doc, depth, value, conditional) that sets it. A
+    conditional style on the way makes it ambiguous."""
+    found = chain.groupBy(doc).agg(F.min(F.when(F.col("value").isNotNull(), F.struct("depth", "value"))).alias("f"), F.min(F.when(F.col("conditional"), F.col("depth"))).alias("c"))
+    both = direct.select(doc, F.col("value").alias("own")).join(found, doc, "full_outer")
+    ambiguous = F.col("own").isNull() & (F.col("c") <= F.coalesce("f.depth", "c"))
+    return both.select(doc, F.when(~F.coalesce(ambiguous, F.lit(False)), F.coalesce("own", "f.value")).alias("value"), F.when(F.col("own").isNotNull(), "direct").when(F.coalesce(ambiguous, F.lit(False)), "ambiguous").when(F.col("f").isNotNull(), "style").otherwise("none").alias("source"))
+
+
+def dangling(references: DataFrame, definitions: DataFrame, on: list[str]) -> DataFrame:
+    """References without a definition."""
+    return references.join(definitions.select(*on).distinct(), on, "left_anti")

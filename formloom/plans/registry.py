@@ -53,14 +53,7 @@ def discover_fields(spark, d):
 e as (select doc_id, n, p, unnest(range(1, len(n) + 1)) as i from m)
 select doc_id, n[i] as name, cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(n[1:i-1], lambda x: length(x) + 4)), 0) as bigint) as start from e""")
 def occurrence_spans(spark, d):
-    # one pass: pieces and names with a running sum, instead of a prefix fold for each marker
-    m = marked(spark, d).select("doc_id", F.posexplode(X.between_markers(F.col("text"))).alias("i", "p"), X.marker_names(F.col("text")).alias("n"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.get("n", F.col("i"))
-    run = F.sum(F.length("p") + F.coalesce(F.length(F.get("n", F.col("i") - 1)) + 4, F.lit(0))).over(w)
-    return m.select("doc_id", name.alias("name"), run.cast("long").alias("start")).filter("name is not null")
+    return marked(spark, d).select("doc_id", F.inline(X.spans(F.col("text")))).select("doc_id", "name", F.col("start").cast("long").alias("start"))
 
 
 @query(r"select doc_id, contains(regexp_replace(text || case when doc_id % 7 = 0 then ' {{open' else ' {{x}}' end, '\{\{(.|\n)*?\}\}', '', 'g'), '{{') as unclosed from documents")
@@ -254,7 +247,14 @@ def run_offsets(spark, d):
     return R.run_offsets(r, "doc_id", "run_no", "x").select("doc_id", F.col("run_no").cast("long").alias("run_no"), "start", "stop")
 
 
-@query()
+#: Chunks by following the furthest break within the budget, one step a chunk.
+CHUNKS = r"""with recursive k as (select doc_id, text, regexp_extract_all(text, '(?s).*?(?:\r\n|\r|\n|[ \t\x0B\f]+)|.+') as p from documents),
+e as (select doc_id, sum(n) over (partition by doc_id order by i) as stop from (select doc_id, unnest(range(0, len(p))) as i, unnest(list_transform(p, lambda x: length(x))) as n from k)),
+c(doc_id, no, start, stop) as (select doc_id, 0, 0::hugeint, max(stop) from e where stop <= {budget} group by doc_id
+  union all select c.doc_id, c.no + 1, c.stop, (select max(stop) from e where e.doc_id = c.doc_id and e.stop <= c.stop + {budget} and e.stop > c.stop) from c where exists (select 1 from e where e.doc_id = c.doc_id and e.stop > c.stop))"""
+
+
+@query(CHUNKS.replace("{budget}", "1500") + " select c.doc_id, c.no as chunk_no, substr(text, (start + 1)::bigint, (stop - start)::bigint) as chunk from c join k on k.doc_id = c.doc_id")
 def chunk_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.posexplode(X.greedy_chunks(F.col("text"), 1500)).alias("chunk_no", "chunk"))
 
@@ -262,7 +262,16 @@ def chunk_text(spark, d):
 @query("select doc_id, true as lossless, sha256(text) as sha from documents")
 def chunk_losslessness(spark, d):
     whole = F.array_join(X.greedy_chunks(F.col("text"), 1500), "")
-    return t(spark, d, "documents").select("doc_id", (whole == F.col("text")).alias("lossless"), F.sha2(whole.cast("binary"), 256).alias("sha"))
+    return t(spark, d, "documents").select("doc_id", "text", whole.alias("whole")).select("doc_id", (F.col("whole") == F.col("text")).alias("lossless"), F.sha2(F.col("whole").cast("binary"), 256).alias("sha"))
+
+
+@query(CHUNKS.replace("{budget}", "400") + ", s as (select doc_id, count(*) as runs, max(stop) as stop, sum(stop - start) as total from c group by doc_id) select k.doc_id, length(text) as n, coalesce(runs, 0)::bigint as runs, coalesce(stop, 0) = length(text) and coalesce(total, 0) = length(text) as covered from k left join s on s.doc_id = k.doc_id")
+def character_coverage(spark, d):
+    """Runs cover each character once if each starts where the one before it stops and the lengths add up."""
+    runs = t(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.posexplode_outer(X.greedy_chunks(F.col("text"), 400)).alias("no", "c"))
+    off = R.run_offsets(runs.filter("no is not null"), "doc_id", "no", "c").groupBy("doc_id").agg(F.count("*").alias("runs"), F.max("stop").alias("stop"), F.min("start").alias("start"), F.sum(F.col("stop") - F.col("start")).alias("sum"))
+    n = runs.filter("coalesce(no, 0) = 0").select("doc_id", "n")
+    return n.join(off, "doc_id", "left").select("doc_id", "n", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce((F.col("start") == 0) & (F.col("stop") == F.col("n")) & (F.col("sum") == F.col("n")), F.col("n") == 0).alias("covered"))
 
 
 @query(r"select doc_id, list_max(list_transform(regexp_split_to_array(text, '[ \n]'), lambda x: length(x))) > 30 as unbreakable from documents")
@@ -310,7 +319,8 @@ def tree(spark, d):
 
 @query("select distinct l_orderkey as doc, l_linenumber as id, case when l_linenumber >= 2 then -1 else 0 end as ancestor from lineitem")
 def nearest_ancestor(spark, d):
-    return R.nearest_ancestor(*tree(spark, d), "doc")
+    nodes, containers = tree(spark, d)
+    return R.nearest_ancestor(nodes.distinct(), containers, "doc")
 
 
 @query("select l_orderkey as doc, 0 as ancestor, count(*) as nodes from lineitem group by l_orderkey union all select l_orderkey, -1, count(*) from lineitem where l_linenumber >= 2 group by l_orderkey")
@@ -326,7 +336,7 @@ select id, max_by(cur, depth) as root, max(depth) as depth, false as cycle from
 def style_chain(spark, d):
     n = t(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
     r = t(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.when(F.col("r_regionkey") > 0, F.concat(F.lit("r"), (F.col("r_regionkey") - 1).cast("string"))).alias("parent"))
-    return R.style_chains(spark, n.unionByName(r))
+    return R.style_chains(n.unionByName(r))
 
 
 @query("""with b as (select p_partkey as id, p_partkey // 8 as page, p_size as x, (p_partkey * 7) % 40 as y, 6 as w, 9 as h from part)
