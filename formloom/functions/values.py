@@ -101,7 +101,7 @@ def strict_reason(v: Column) -> Column:
     return X.let(string_of(v), lambda s: F.when(s.rlike(r"[\x{FFFE}\x{FFFF}]"), "noncharacter").when(s.rlike(r"\{\{|\}\}"), "marker"))
 
 
-def bind_verdict(values: Column, fields: Column, strict: bool = False) -> Column:
+def bind_verdict(values: Column, fields: Column, strict: bool | Column = False) -> Column:
     """The first failure of a record (variant) against its fields (normalised), in the order of the fields.
 
     Not an object; unknown keys (all are listed); then for each field: missing, its rows (count, then each row as a record of its
@@ -109,10 +109,11 @@ def bind_verdict(values: Column, fields: Column, strict: bool = False) -> Column
     return X.let(F.when(is_object(values), members(values)), lambda record: _bind_verdict(record, fields, strict))
 
 
-def _bind_verdict(record: Column, fields: Column, strict: bool) -> Column:
+def _bind_verdict(record: Column, fields: Column, strict: bool | Column) -> Column:
     unknown = F.array_except(F.map_keys(record), F.transform(fields, lambda f: f["name"]))
     limit = lambda c: F.coalesce(c["max_length"], F.lit(X.MAX_LENGTH))
-    extra = strict_reason if strict else lambda v: F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    extra = (lambda v: F.when(strict, strict_reason(v))) if isinstance(strict, Column) else strict_reason if strict else lambda v: none
 
     def row_reason(row: Column, columns: Column) -> Column:
         return X.let(F.when(is_object(row), members(row)), lambda own: F.when(own.isNull(), "row-not-object").otherwise(member_reason(own, columns)))

@@ -1,11 +1,11 @@
-"""Document containers: binary scan, signatures, safe archives, paragraphs of word-processing packages, record streams."""
+"""Document containers: binary scan, signatures, archives whose directory is walked here, packages and what they must hold."""
 
 from __future__ import annotations
 
 import io
 import re
 import struct
-import xml.etree.ElementTree as ET
+import unicodedata
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -14,22 +14,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Limits and signatures.
+from formloom.sources import markup
+
+# Limits, signatures, and what the formats call their parts.
 MAX_DOCUMENT = 50 << 20
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL = 4096, 32 << 20, 128 << 20
 COMPOUND = "d0cf11e0a1b11ae1"
-FIELD_PARTS = {
-    "docx": r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml",
-    "hwpx": r"Contents/section\d+\.xml",
-}
-ACTIVE = r"(?i)(vbaProject|activeX|macros?/|\.js$|Scripts/)"
+FIELD_PARTS = {"docx": r"word/(document|header\d+|footer\d+|footnotes|endnotes)\.xml", "hwpx": r"Contents/section\d+\.xml"}
+HWP_SECTIONS = r"BodyText/Section\d+"
+ACTIVE = r"(?i)(^|/)(vbaProject\.bin|embeddings/|Scripts/)"
+SIGNED = r"(?i)(^|/)(signatures?|_xmlsignatures|encrypted-package)(/|\.)"
+MAIN_PART = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+PARAGRAPH = "http://www.hancom.co.kr/hwpml/2011/paragraph"
+REFUSED_ELEMENTS = {"script", "ole", "encryption-data", "Signature"}
+FORMATS = ("hwp", "hwpx", "docx", "pdf")
+
+Refused = markup.Refused
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, format, sha256, content of the regular files of legal size."""
+    """path, format, sha256, content, signature, error of the files under path: files of illegal size come without their content."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    fine = raw.filter(f"length between 1 and {MAX_DOCUMENT}")
-    return fine.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("format"), F.sha2("content", 256).alias("sha256"), "content", signature(F.col("content")).alias("signature"))
+    fine = F.col("length").between(1, MAX_DOCUMENT)
+    kept = F.when(fine, F.col("content"))
+    form = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return raw.select("path", form.alias("format"), F.sha2(kept, 256).alias("sha256"), kept.alias("content"), signature(kept).alias("signature"), document_verdict(form, F.col("length"), kept).alias("error"))
 
 
 def signature(content: Column) -> Column:
@@ -37,109 +47,135 @@ def signature(content: Column) -> Column:
     return F.when(head == COMPOUND.upper(), "compound").when(head.startswith("255044462D"), "pdf").when(head.startswith("504B0304"), "zip").otherwise("unknown")
 
 
-def open_archive(data: bytes) -> tuple[list[tuple[str, bytes]], str | None]:
-    """Entries of an archive, or a code: paths, duplicates, encryption, sizes, checksums, active parts and DTDs are checked."""
-    try:
-        z = zipfile.ZipFile(io.BytesIO(data))
-    except (zipfile.BadZipFile, struct.error, ValueError):
-        return [], "E_INPUT"
-    seen, out, total = set(), [], 0
-    infos = z.infolist()
-    if len(infos) > MAX_ENTRIES:
-        return [], "E_INPUT"
-    for i in infos:
-        name = i.filename
-        if name.startswith(("/", "\\")) or "\\" in name or ":" in name or ".." in name.split("/") or name in seen or i.flag_bits & 1:
-            return [], "E_INPUT"
+def document_verdict(form: Column, length: Column, content: Column) -> Column:
+    """Null, or E_INPUT for the wrong size or a signature that isn't the format's, E_UNSUPPORTED for another format."""
+    kind = F.when(form == "hwp", "compound").when(form == "pdf", "pdf").otherwise("zip")
+    return F.when(~F.coalesce(form.isin(*FORMATS), F.lit(False)), "E_UNSUPPORTED").when(~length.between(1, MAX_DOCUMENT), "E_INPUT").when(signature(content) != kind, "E_INPUT")
+
+
+END, CENTRAL, LOCAL = struct.Struct("<4s4H2LH"), struct.Struct("<4s6H3L5H2L"), struct.Struct("<4s5H3L2H")
+
+
+def need(ok: bool, code: str) -> None:
+    if not ok:
+        raise Refused(code)
+
+
+def directory(data: bytes) -> list[tuple]:
+    """name, method, crc, stored size, size and place of the data of each entry, as the directory at the end says. Local headers must agree."""
+    need(len(data) <= MAX_DOCUMENT, "E_INPUT")
+    at = len(data) - END.size
+    while at >= max(0, len(data) - END.size - 0xFFFF):  # the comment after it may hold what looks like the end
+        found = END.unpack_from(data, at)
+        if found[0] == b"PK\5\6" and at + END.size + found[7] == len(data):
+            break
+        at -= 1
+    else:
+        raise Refused("E_INPUT")
+    _, disk, first_disk, here, count, size, pos, _ = found
+    need(0 < count <= MAX_ENTRIES and here == count and disk == first_disk == 0 and pos + size == at, "E_UNSUPPORTED")
+    start, seen, out, total = pos, set(), [], 0
+    for _ in range(count):
+        need(pos + CENTRAL.size <= at, "E_INPUT")
+        mark, _, _, flags, method, _, _, crc, stored, length, n, extra, comment, _, _, _, local = CENTRAL.unpack_from(data, pos)
+        raw = data[pos + CENTRAL.size : pos + CENTRAL.size + n]
+        pos += CENTRAL.size + n + extra + comment
+        need(mark == b"PK\1\2" and n > 0 and pos <= at, "E_INPUT")
+        name = unicodedata.normalize("NFC", raw.decode("utf-8", "replace"))
+        need(safe_name(name) and name not in seen, "E_INPUT")
         seen.add(name)
-        if re.search(ACTIVE, name):
-            return [], "E_UNSUPPORTED"
-        if i.file_size > MAX_ENTRY:
-            return [], "E_INPUT"
-        try:
-            with z.open(i) as f:  # never inflates past what the entry claims and the limit allows
-                body = f.read(min(MAX_ENTRY, i.file_size) + 1)
-        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError):
-            return [], "E_INPUT"
-        total += len(body)
-        if len(body) != i.file_size or total > MAX_TOTAL:
-            return [], "E_INPUT"
-        if name.endswith(".xml") and b"<!DOCTYPE" in body[:4096]:
-            return [], "E_UNSUPPORTED"
-        out.append((name, body))
-    return out, None
+        need(not flags & 1 and method in (0, 8), "E_UNSUPPORTED")
+        total += length
+        need(length <= MAX_ENTRY and total <= MAX_TOTAL and local + LOCAL.size <= start, "E_INPUT")
+        head = LOCAL.unpack_from(data, local)
+        body = local + LOCAL.size + head[9] + head[10]
+        need(head[0] == b"PK\3\4" and data[local + LOCAL.size :][: head[9]] == raw and body + stored <= start, "E_INPUT")
+        out.append((name, method, crc, stored, length, body))
+    need(pos == at, "E_INPUT")
+    return out
 
 
-def parts(docs: DataFrame) -> DataFrame:
-    """path, part, body, error of zip documents: one row a part, or one with the error."""
+def safe_name(name: str) -> bool:
+    return not ("\\" in name or "\0" in name or name.startswith("/") or re.match(r"[A-Za-z]:", name) or ".." in name.split("/"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                entries, error = open_archive(content.as_py())
-                rows = entries or [(None, None)]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([error] * len(rows), pa.string())], ["path", "part", "body", "error"])
 
-    return docs.select("path", "content").mapInArrow(run, "path string, part string, body binary, error string")
+def inflated(data: bytes, limit: int) -> bytes:
+    """Raw deflate, never beyond the limit."""
+    worker = zlib.decompressobj(-15)
+    try:
+        out = worker.decompress(data, limit + 1)
+    except zlib.error:
+        raise Refused("E_INPUT") from None
+    need(len(out) <= limit and worker.eof, "E_INPUT")
+    return out
 
 
-def paragraphs_of(body: bytes) -> list[str]:
-    """Texts of the paragraphs of a part: runs are joined, breaks are newlines, tabs tabs; tab stops aren't text."""
-    out = []
-    root = ET.fromstring(body)
-    local = lambda e: e.tag.rpartition("}")[2]
-
-    def walk(e, text: list[str]) -> None:
-        for c in e:
-            kind = local(c)
-            if kind == "p":
-                continue  # a nested paragraph is its own
-            if kind == "t":
-                text.append("".join(c.itertext()))
-            elif kind in ("br", "cr", "lineBreak"):
-                text.append("\n")
-            elif kind == "tab" and local(e) != "tabs":
-                text.append("\t")
-            else:
-                walk(c, text)
-
-    for p in root.iter():
-        if local(p) == "p":
-            text: list[str] = []
-            walk(p, text)
-            out.append("".join(text))
-    return out
+def open_archive(data: bytes | None) -> tuple[list[tuple[str, bytes]], str | None]:
+    """Entries of an archive, or a code: paths, duplicates, encryption, sizes, checksums, active parts and document types are checked."""
+    try:
+        out = []
+        for name, method, crc, stored, length, at in directory(data or b""):
+            body = data[at : at + stored]
+            body = inflated(body, min(length, MAX_ENTRY)) if method == 8 else body
+            need(len(body) == length, "E_INPUT")
+            need(not re.search(ACTIVE, name), "E_UNSUPPORTED")
+            need(zlib.crc32(body) == crc, "E_INPUT")
+            if re.search(r"(?i)\.(xml|rels)$", name):
+                need(not markup.has_doctype(body), "E_UNSUPPORTED")
+            if not name.endswith("/"):
+                out.append((name, body))
+        return out, None
+    except Refused as e:
+        return [], e.args[0]
+
+
+def open_package(data: bytes | None, form: str) -> dict[str, bytes]:
+    """The parts of a package of this form, or Refused: what the form must hold and must not."""
+    entries, error = open_archive(data)
+    need(not error, error)
+    parts = dict(entries)
+    if form == "docx":
+        need("[Content_Types].xml" in parts and "word/document.xml" in parts, "E_INPUT")
+        types = {n["attrs"].get("PartName"): n["attrs"].get("ContentType") for n in markup.nodes_of(parts["[Content_Types].xml"]) if n["local"] == "Override"}
+        need(types.get("/word/document.xml") == MAIN_PART, "E_UNSUPPORTED")
+        root = markup.nodes_of(parts["word/document.xml"])[0]
+        need((root["ns"], root["name"]) == (WORD, "w:document"), "E_UNSUPPORTED")
+    else:
+        need(parts.get("mimetype") == b"application/hwp+zip", "E_INPUT")
+        need(not any(re.search(SIGNED, name) for name in parts), "E_UNSUPPORTED")
+        for name, body in parts.items():
+            if re.search(r"(?i)\.(xml|hpf|rdf)$", name):
+                need(not any(n["local"] in REFUSED_ELEMENTS for n in markup.nodes_of(body)), "E_UNSUPPORTED")
+        need(any(re.fullmatch(FIELD_PARTS["hwpx"], name) for name in parts), "E_INPUT")
+    return parts
+
+
+def part_order(part: Column) -> Column:
+    """Sections by their number, not by their name."""
+    return F.regexp_extract(part, r"(\d+)", 1).try_cast("int")
 
 
-def paragraphs(part_rows: DataFrame, form: str) -> DataFrame:
-    """path, part, para_no, text of the parts that may hold fields."""
+def parts(docs: DataFrame) -> DataFrame:
+    """path, part, body, error of zip documents: one row a part, or one with the error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, q, i, t) for p, q, b in zip(*[c.to_pylist() for c in batch.columns], strict=True) for i, t in enumerate(paragraphs_of(b))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], ["path", "part", "para_no", "text"])
-
-    return part_rows.filter(F.col("part").rlike(f"^{FIELD_PARTS[form]}$")).select("path", "part", "body").mapInArrow(run, "path string, part string, para_no int, text string")
-
-
-def records(section: bytes) -> list[tuple[int, int, int, bytes]]:
-    """tag, level, paragraph and payload of a record stream: 10 + 10 + 12 bits, the size 4095 has the true one after it."""
-    at, out, paragraph = 0, [], -1
-    while at < len(section):
-        if at + 4 > len(section):
-            raise ValueError("cut record")
-        (head,) = struct.unpack_from("<I", section, at)
-        tag, level, size = head & 1023, head >> 10 & 1023, head >> 20
-        at += 4
-        if size == 4095:
-            (size,) = struct.unpack_from("<I", section, at)
-            at += 4
-        if at + size > len(section):
-            raise ValueError("cut record")
-        paragraph += level == 0
-        out.append((tag, level, paragraph, section[at : at + size]))
-        at += size
-    return out
+            out, held = [], 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                entries, error = open_archive(content.as_py())
+                for name, body in entries or [(None, None)]:
+                    out.append((path, name, body, error))
+                    held += len(body or b"")
+                    if held > 16 << 20:
+                        yield batch_of(out)
+                        out, held = [], 0
+            yield batch_of(out)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds)], ["path", "part", "body", "error"])
+
+    return docs.select("path", "content").mapInArrow(run, "path string, part string, body binary, error string")
 
 
 def write_archive(entries: list[tuple[str, bytes]]) -> bytes:

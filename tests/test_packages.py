@@ -1,35 +1,124 @@
-"""Packages filled and read again; a compound file built by hand."""
+"""Packages filled and read again, what is refused, and a compound file built by hand."""
 
 import struct
+import zipfile
+import zlib
 
-from formloom.sources import compound, packages
+import pytest
+
+from formloom.sources import compound, markup, packages
 from formloom.sources import containers as C
 
-DOC = '<w:d xmlns:w="w"><w:p><w:r><w:t>Dear {{na</w:t></w:r><w:r><w:t>me}}, &lt;{{x}}&gt;</w:t></w:r></w:p><w:p><w:t a="1">as it is &#65;</w:t></w:p></w:d>'
+DOC = '<w:p><w:r><w:t>Dear {{na</w:t></w:r><w:r><w:t a="1>2">me}}, &lt;{{x}}&gt;</w:t><w:br/></w:r></w:p><w:p><w:pPr><w:tabs><w:tab/></w:tabs></w:pPr><w:r><w:t a="1">as it is &#65;</w:t><w:tab/></w:r></w:p>'
+
+
+def docx(body, **more):
+    parts, _ = C.open_archive(packages.simple_package([], "docx", body))
+    return C.write_archive([*parts, *((k.replace("__", "/").replace("_xml", ".xml"), v) for k, v in more.items())])
+
+
+def texts(content, form):
+    return [p.text for _, _, ps in packages.field_parts(C.open_package(content, form), form) for p in ps]
 
 
 def test_fill_across_runs():
-    out = packages.fill_part(DOC, {"name": "{{x}} & co", "x": "1\r\n2"}, "docx")
-    assert C.paragraphs_of(out.encode()) == ["Dear {{x}} & co, <1\n2>", "as it is A"]
-    assert out.endswith(DOC[DOC.index("</w:p>") :])
+    content = docx(DOC, word__styles_xml=b"<a/>")
+    out, error = packages.fill_package(content, {"name": "x & co\ttab", "x": "1\r\n2"}, "docx")
+    assert error is None and texts(out, "docx") == ["Dear x & co\ttab, <1\n2>\n", "as it is A\t"]
+    before, after = dict(C.open_archive(content)[0]), dict(C.open_archive(out)[0])
+    assert {k for k in before if before[k] != after[k]} == {"word/document.xml"}
+    # the second paragraph keeps every byte
+    assert after["word/document.xml"].endswith(DOC[DOC.index("</w:p>") :].encode() + b"</w:body></w:document>")
+
+
+def test_fields():
+    rows = packages.field_parts(C.open_package(docx(DOC), "docx"), "docx")
+    assert [[(f["name"], f["start"], f["stop"]) for f in p.fields] for p in rows[-1][2]] == [[("name", 5, 13), ("x", 16, 21)], []]
+
+
+P = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+
+
+@pytest.mark.parametrize(
+    "content, values, code",
+    [
+        (docx(P("{{x}}")), {}, "E_FIELDS"),
+        (docx(P("{{x}}")), {"x": "1", "y": "2"}, "E_FIELDS"),
+        (docx(P("{{x}}")), {"x": "\x01"}, "E_FIELDS"),
+        (docx(P("none")), {}, "E_FIELDS"),
+        (docx(P("{{x")), {"x": "1"}, "E_FIELDS"),
+        (docx(P("{{1 a}}")), {"1 a": "1"}, "E_UNSUPPORTED"),
+        (docx("<w:p><w:r><w:t>{{x</w:t></w:r></w:p><w:p><w:r><w:t>}}</w:t></w:r></w:p>"), {"x": "1"}, "E_FIELDS"),
+        (docx("<w:p><w:r><w:x>{{x}}</w:x></w:r></w:p>"), {"x": "1"}, "E_UNSUPPORTED"),
+        (docx(P("{{x}}"), word__other_xml=b"<a>{{z}}</a>"), {"x": "1"}, "E_UNSUPPORTED"),
+        (docx(P("{{x}}") + "<w:p>"), {"x": "1"}, "E_INPUT"),
+        (docx(P("{{x}}"), word__vba_xml=b"<!-- " + b"x" * 6000 + b"--><!DocType a><a/>"), {"x": "1"}, "E_UNSUPPORTED"),
+        (docx(P("{{x}}"), word__wide_xml='<?xml version="1.0" encoding="utf-16"?><!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>'.encode("utf-16")), {"x": "1"}, "E_UNSUPPORTED"),
+        (C.write_archive([("[Content_Types].xml", b"<Types/>"), ("word/document.xml", b"<a/>")]), {}, "E_UNSUPPORTED"),
+        (C.write_archive([("word/document.xml", b"<a/>")]), {}, "E_INPUT"),
+        (b"", {}, "E_INPUT"),
+        (None, {}, "E_INPUT"),
+    ],
+)
+def test_refusals(content, values, code):
+    assert packages.fill_package(content, values, "docx") == (None, code)
 
 
-def test_refusals():
-    full = lambda xml: C.write_archive([("word/document.xml", xml.encode()), ("word/other.xml", b"<a>{{z}}</a>")])
-    assert packages.fill_package(full(DOC), {"name": "a"}, "docx") == (None, "E_FIELDS")
-    assert packages.fill_package(full("<p><t>{{x</t></p>"), {"x": "a"}, "docx") == (None, "E_FIELDS")
-    assert packages.fill_package(b"", {}, "docx") == (None, "E_INPUT")
-    done, _ = packages.fill_package(full("<p><t>{{x}}</t></p>"), {"x": "a"}, "docx")
-    assert C.open_archive(done)[0] == [("word/document.xml", b"<p><t>a</t></p>"), ("word/other.xml", b"<a>{{z}}</a>")]
+def archive(name=b"a.xml", body=b"<a/>", **change):
+    """One stored entry, with fields of its headers changed."""
+    x = {"flags": 0, "method": 0, "crc": zlib.crc32(body), "stored": len(body), "size": len(body), "local": name, "count": 1, "disk": 0, "comment": b""} | change
+    head = C.LOCAL.pack(b"PK\3\4", 20, x["flags"], x["method"], 0, 0, x["crc"], x["stored"], x["size"], len(x["local"]), 0) + x["local"] + body
+    entry = C.CENTRAL.pack(b"PK\1\2", 20, 20, x["flags"], x["method"], 0, 0, x["crc"], x["stored"], x["size"], len(name), 0, 0, 0, 0, 0, 0) + name
+    return head + entry + C.END.pack(b"PK\5\6", x["disk"], x["disk"], x["count"], x["count"], len(entry), len(head), len(x["comment"])) + x["comment"]
+
+
+def test_directory():
+    assert C.open_archive(archive()) == ([("a.xml", b"<a/>")], None)
+    assert C.open_archive(archive(comment=b"PK\5\6 here")) == ([("a.xml", b"<a/>")], None)
+    bomb = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = bomb.compress(bytes(1 << 20)) + bomb.flush()
+    codes = [C.open_archive(a)[1] for a in (archive(crc=1), archive(size=5), archive(flags=1), archive(method=9), archive(local=b"b.xml"), archive(count=2), archive(disk=1), archive(name=b"../a", local=b"../a"), archive(name=b"C:a", local=b"C:a"), archive(name=b"word/VBAproject.bin", local=b"word/VBAproject.bin"), archive(body=packed, method=8, size=9), archive()[:-1], archive() + b"x")]
+    assert codes == ["E_INPUT", "E_INPUT", "E_UNSUPPORTED", "E_UNSUPPORTED", "E_INPUT", "E_INPUT", "E_UNSUPPORTED", "E_INPUT", "E_INPUT", "E_UNSUPPORTED", "E_INPUT", "E_INPUT", "E_INPUT"]
+    twice = C.write_archive([("a", b"1"), ("b", b"2")]).replace(b"b", b"a")
+    assert C.open_archive(twice)[1] == "E_INPUT"
+
+
+HP = '<hp:p id="1"><hp:run><hp:ctrl><hp:fieldBegin id="7" type="CLICK_HERE" name="who"/></hp:ctrl><hp:t>fill</hp:t><hp:t> in</hp:t><hp:ctrl><hp:fieldEnd beginIDRef="7"/></hp:ctrl><hp:t> and {{x}}</hp:t></hp:run><hp:linesegarray><hp:lineseg/></hp:linesegarray></hp:p>'
+
+
+def test_click_here():
+    content = packages.simple_package([], "hwpx", HP + "<hp:p><hp:run><hp:t>a<hp:lineBreak/>b<hp:tab/></hp:t></hp:run><hp:linesegarray/></hp:p>")
+    out, error = packages.fill_package(content, {"who": "me & you", "x": "1\n2"}, "hwpx")
+    assert error is None and texts(out, "hwpx") == ["me & you and 1\n2", "a\nb\t"]
+    body = dict(C.open_archive(out)[0])["Contents/section0.xml"].decode()
+    assert 'dirty="1"' in body and body.count("linesegarray") == 1 and "<hp:t>me &amp; you</hp:t><hp:t></hp:t>" in body
+    bad = [HP.replace('beginIDRef="7"', 'beginIDRef="8"'), HP.replace('name="who"', 'name="1 a"'), HP.replace(" and {{x}}", "<hp:pic/>{{x}}"), HP.replace('id="1"', 'id="2"').replace("<hp:t> in</hp:t>", '<hp:ctrl><hp:fieldBegin id="9" type="CLICK_HERE" name="in"/></hp:ctrl><hp:t> in</hp:t><hp:ctrl><hp:fieldEnd beginIDRef="9"/></hp:ctrl>')]
+    codes = [packages.fill_package(packages.simple_package([], "hwpx", b), {"who": "1", "x": "1"}, "hwpx")[1] for b in bad]
+    assert codes == ["E_PRESERVATION", "E_FIELDS", "E_PRESERVATION", "E_PRESERVATION"]
+    assert packages.fill_package(C.write_archive([("mimetype", b"text"), ("Contents/section0.xml", b"<a/>")]), {}, "hwpx")[1] == "E_INPUT"
+    assert packages.fill_package(C.write_archive([("mimetype", b"application/hwp+zip"), ("META-INF/signatures.xml", b"<a/>"), ("Contents/section0.xml", b"<a/>")]), {}, "hwpx")[1] == "E_UNSUPPORTED"
+
+
+def test_nodes(spark):
+    body = '<a xmlns="u" x="1&gt;"><b y=\'>\'>t&amp;<![CDATA[<c>]]></b><!-- <d> --><?e <f>?><g/>é</a>'.encode()
+    nodes = markup.nodes_of(body)
+    assert [(n["local"], n["parent"], n["depth"], n["text"]) for n in nodes] == [("a", None, 0, None), ("b", 0, 1, None), ("#text", 1, 2, "t&<c>"), ("g", 0, 1, None), ("#text", 0, 1, "é")]
+    assert [body[n["start"] : n["stop"]] for n in nodes if n["local"] == "b"] == [body[body.index(b"<b") : body.index(b"<!--")]]
+    assert nodes[0]["attrs"] == {"xmlns": "u", "x": "1>"} and {n["ns"] for n in nodes if n["local"] != "#text"} == {"u"}
+    rows = spark.createDataFrame([("p", "1", bytearray(body)), ("p", "2", bytearray(b"<a>")), ("p", "3", None)], "path string, part string, body binary")
+    got = markup.node_rows(rows).collect()
+    assert sorted((r.part, r.local or "", r.error or "") for r in got) == [("1", "#text", ""), ("1", "#text", ""), ("1", "a", ""), ("1", "b", ""), ("1", "g", ""), ("2", "", "E_INPUT"), ("3", "", "E_INPUT")]
 
 
 def test_fill_packages(spark):
-    one = C.write_archive([("mimetype", b"x"), ("Contents/section0.xml", b"<hp:p><hp:t>{{x}}</hp:t></hp:p>")])
-    docs = spark.createDataFrame([("a", bytearray(one)), ("b", bytearray(one)), ("c", None)], "path string, content binary")
+    one = packages.simple_package(["{{x}}", "y"], "hwpx")
+    docs = spark.createDataFrame([("a", "hwpx", bytearray(one)), ("b", "hwpx", bytearray(one)), ("c", "docx", None)], "path string, format string, content binary")
     values = spark.createDataFrame([("a", {"x": "1\n2"}), ("c", {"x": "1"})], "path string, values map<string,string>")
-    got = {r.path: r for r in packages.fill_packages(docs, values, "hwpx").collect()}
-    assert C.open_archive(bytes(got["a"].filled))[0][1][1] == b"<hp:p><hp:t>1<hp:lineBreak/>2</hp:t></hp:p>"
+    got = {r.path: r for r in packages.fill_packages(docs, values).collect()}
+    assert texts(bytes(got["a"].filled), "hwpx") == ["1\n2", "y"]
     assert [got[k].error for k in "abc"] == [None, "E_FIELDS", "E_INPUT"]
+    rows = {(r.path, r.para_no): (r.text, r.error) for r in packages.package_rows(docs).collect()}
+    assert rows == {("a", 0): ("{{x}}", None), ("a", 1): ("y", None), ("b", 0): ("{{x}}", None), ("b", 1): ("y", None), ("c", None): (None, "E_INPUT")}
 
 
 def built(big: bytes, small: bytes) -> bytes:
@@ -50,3 +139,12 @@ def test_compound(spark):
     docs = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(data[:3000])), ("c", None)], "path string, content binary")
     got = compound.compound_streams(docs).collect()
     assert sorted((r.path, r.stream or "", r.error or "") for r in got) == [("a", "Body/Section0", ""), ("a", "Head", ""), ("b", "", "E_INPUT"), ("c", "", "E_INPUT")]
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(packages.simple_package(["x"], "docx"))
+    (tmp_path / "b.PDF").write_bytes(b"no pdf")
+    (tmp_path / "c.txt").write_bytes(b"text")
+    got = {r.path.rsplit("/", 1)[1]: (r.format, r.error) for r in C.documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": ("docx", None), "b.PDF": ("pdf", "E_INPUT"), "c.txt": ("txt", "E_UNSUPPORTED")}
+    assert zipfile.is_zipfile(tmp_path / "a.docx")
