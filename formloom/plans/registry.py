@@ -366,4 +366,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from formloom.plans import binding, documents, layout  # noqa: E402, F401  add their queries to those above
+from formloom.plans import binding, documents, grids, layout  # noqa: E402, F401  add their queries to those above
