@@ -118,8 +118,12 @@ def splice(text: Column, edits: Column) -> Column:
 
 def edits_overlap(edits: Column) -> Column:
     """Any edit starts before the one before it stops."""
-    s = F.array_sort(edits)
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.coalesce(F.get(s, i)["start"] < F.get(s, i - 1)["stop"], F.lit(False)))
+    return let(F.array_sort(edits), lambda s: F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.coalesce(F.get(s, i)["start"] < F.get(s, i - 1)["stop"], F.lit(False))))
+
+
+def edits_verdict(text: Column, edits: Column) -> Column:
+    """Null if edits (start, stop, replacement) can be applied at once, else reversed, range or overlap."""
+    return F.when(F.exists(edits, lambda e: e["stop"] < e["start"]), "reversed").when(F.exists(edits, lambda e: (e["start"] < 0) | (e["stop"] > F.length(text))), "range").when(edits_overlap(edits), "overlap")
 
 
 def break_tokens(text: Column) -> Column:

@@ -147,10 +147,10 @@ def overflowing_repeats(settings: DataFrame, overflowing: DataFrame) -> DataFram
     return each.join(overflowing.select("doc", F.col("field").alias("r")), ["doc", "r"], "left_semi").select("doc", "field").distinct()
 
 
-def mapping(entries: DataFrame, doc: str) -> DataFrame:
-    """doc, mapping, code: the entries of a document as JSON, refused beyond MAX_MAPPING characters."""
+def mapping(entries: DataFrame, doc: str, most: int = MAX_MAPPING) -> DataFrame:
+    """doc, mapping, code: the entries of a document as JSON, refused beyond so many characters."""
     m = entries.groupBy(doc).agg(F.to_json(F.array_sort(F.collect_list(F.struct("no", *[c for c in entries.columns if c not in (doc, "no")])))).alias("mapping"))
-    return m.select(doc, F.when(F.length("mapping") <= MAX_MAPPING, F.col("mapping")).alias("mapping"), F.when(F.length("mapping") > MAX_MAPPING, "E_LAYOUT").alias("code"))
+    return m.select(doc, F.when(F.length("mapping") <= most, F.col("mapping")).alias("mapping"), F.when(F.length("mapping") > most, "E_LAYOUT").alias("code"))
 
 
 def continued_verdict(entries: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

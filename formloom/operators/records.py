@@ -75,11 +75,23 @@ def run_offsets(runs: DataFrame, doc: str, no: str, text: str) -> DataFrame:
     return runs.select(doc, no, (stop - F.length(text)).alias("start"), stop.alias("stop"))
 
 
-def covering_runs(spans: DataFrame, runs: DataFrame, doc: str) -> DataFrame:
-    """Runs that a span covers in part; the first takes the value, the others are emptied."""
-    s, r = spans.select(doc, "span_no", F.col("start").alias("a"), F.col("stop").alias("b")), runs
-    hit = s.join(r, doc).filter("stop > a and start < b")
-    return hit.withColumn("takes_value", F.row_number().over(Window.partitionBy(doc, "span_no").orderBy("start")) == 1)
+def covering_runs(spans: DataFrame, runs: DataFrame, doc: str, block: int = 256) -> DataFrame:
+    """doc, span_no, run_no, start, stop, takes_value: runs that a span (start, stop) covers in part; the first takes the value, the others are emptied. Both sides
+    go to the blocks of the text that they touch, so the join is on equal blocks."""
+    touched = lambda df, a, b: df.withColumn("_block", F.explode(F.sequence(F.floor(F.col(a) / block), F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / block))))
+    s = touched(spans.select(doc, "span_no", F.col("start").alias("a"), F.col("stop").alias("b")), "a", "b")
+    r = touched(runs.select(doc, "run_no", "start", "stop"), "start", "stop")
+    hit = s.join(r, [doc, "_block"]).filter("stop > a and start < b").drop("_block").distinct()
+    return hit.select(doc, "span_no", "run_no", "start", "stop", "a", "b", (F.row_number().over(Window.partitionBy(doc, "span_no").orderBy("start")) == 1).alias("takes_value"))
+
+
+def replaced_runs(spans: DataFrame, runs: DataFrame, doc: str) -> DataFrame:
+    """doc, run_no, text of runs (run_no, start, stop, text) when each span (span_no, start, stop, value) is replaced: its value goes into the first run that it covers."""
+    hit = covering_runs(spans, runs, doc).join(spans.select(doc, "span_no", "value"), [doc, "span_no"])
+    edit = F.struct((F.greatest("a", "start") - F.col("start")).cast("int").alias("start"), (F.least("b", "stop") - F.col("start")).cast("int").alias("stop"), F.when(F.col("takes_value"), F.col("value")).otherwise("").alias("replacement"))
+    edits = hit.groupBy(doc, "run_no").agg(F.collect_list(edit).alias("edits"))
+    x = runs.join(edits, [doc, "run_no"], "left")
+    return x.select(doc, "run_no", F.when(F.col("edits").isNull(), F.col("text")).otherwise(X.splice(F.col("text"), F.col("edits"))).alias("text"))
 
 
 def nesting(tokens: DataFrame, doc: str, no: str, change: str) -> DataFrame:

@@ -118,8 +118,10 @@ def attribute_patch(spark, d):
     return t(spark, d, "part").select("p_partkey", X.set_attribute(tag, "dirty", F.concat(F.col("p_size").cast("string"), F.lit("&$1"))).alias("tag"))
 
 
-@query("select s_suppkey, case when s_suppkey % 5 = 0 then 'extension' when s_suppkey % 3 = 0 then 'same-path' when s_suppkey % 7 = 0 then 'exists' end as verdict from supplier")
+OUT = "case when s_suppkey % 5 = 0 then 'out/' || s_name || '.pdf' when s_suppkey % 3 = 0 then 'in/' || s_name || '.docx' else 'out/' || s_name || '.DOCX' end"
+
+
+@query(f"select s_suppkey, case when lower(regexp_extract(o, '\\.([A-Za-z0-9]+)$', 1)) <> 'docx' then 'extension' when o = 'in/' || s_name || '.docx' then 'same-path' when s_suppkey % 7 = 0 then 'exists' end as verdict from (select *, {OUT} as o from supplier)")
 def output_preconditions(spark, d):
-    k = F.col("s_suppkey")
-    out = F.when(k % 5 == 0, "b.pdf").when(k % 3 == 0, "a.docx").otherwise("b.docx")
-    return t(spark, d, "supplier").select("s_suppkey", X.output_verdict(F.lit("a.docx"), out, k % 7 == 0).alias("verdict"))
+    source = F.concat(F.lit("in/"), "s_name", F.lit(".docx"))
+    return t(spark, d, "supplier").select("s_suppkey", X.output_verdict(source, F.expr(OUT), F.col("s_suppkey") % 7 == 0).alias("verdict"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from formloom.functions import text as X
+from formloom.operators import catalog as K
 from formloom.operators import records as R
 
 LETTER = "Dear {{name}},\nyour segment is {{segment}} and your number {{number}}.\nYours, {{name}}"
@@ -73,13 +76,12 @@ def document_fingerprint(spark, d):
     return one(t(spark, d, "documents"), "doc_id", "text", "d").unionByName(one(t(spark, d, "pages"), "page_id", "html", "p"))
 
 
-@query("""select o_orderkey, case when o_orderkey % 11 = 0 then 'missing' when o_orderkey % 13 = 0 then 'blank' when length(o_orderpriority) > 8 then 'length' when o_orderkey % 17 = 0 then 'control' end as verdict from orders""")
+VALUE = "case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then '  ' when o_orderkey % 17 = 0 then 'a' || chr(1) when o_orderkey % 19 = 0 then 'a' || chr(10) else o_orderpriority end"
+
+
+@query(f"""select o_orderkey, case when v is null then 'missing' when trim(v) = '' then 'blank' when length(v) > 8 then 'length' when regexp_matches(v, '[\x00-\x08]') then 'control' end as verdict from (select o_orderkey, {VALUE} as v from orders)""")
 def value_verdict(spark, d):
-    k = F.col("o_orderkey")
-    v = F.when(k % 11 == 0, None).when(k % 13 == 0, "  \t").when(k % 17 == 0, F.concat("o_orderpriority", F.lit("\x01"))).otherwise(F.col("o_orderpriority"))
-    # the control mark adds one character, so the limit is one more there
-    verdict = F.when((k % 17 == 0) & (k % 11 != 0) & (k % 13 != 0), F.when(F.length("o_orderpriority") > 8, "length").otherwise(X.text_verdict(v))).otherwise(X.text_verdict(v, 8))
-    return t(spark, d, "orders").select("o_orderkey", verdict.alias("verdict"))
+    return t(spark, d, "orders").select("o_orderkey", F.expr(VALUE).alias("v")).select("o_orderkey", X.text_verdict(F.col("v"), 8).alias("verdict"))
 
 
 @query("""select event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k not in ('a', 'b'))), ',') as unknown, array_to_string(list_filter(['a', 'b'], lambda k: not list_contains(json_keys(props), k)), ',') as missing from events""")
@@ -116,17 +118,25 @@ def simultaneous_substitution(spark, d):
     return t(spark, d, "customer").select("c_custkey", X.fill(F.lit("{{a}} / {{b}}"), m).alias("filled"))
 
 
-@query("select doc_id, sha256('[x]' || substr(text, 4, 2) || '[y]' || substr(text, 9)) as sha from documents")
+@query(rf"select doc_id, sha256(regexp_replace(text, '\{{\{{(.*?)\}}\}}', '[\1]', 'g')) as sha from {MARKED}")
 def splice_edits(spark, d):
-    e = lambda a, b, r: F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(r).alias("replacement"))
-    return t(spark, d, "documents").select("doc_id", F.sha2(X.splice(F.col("text"), F.array(e(5, 8, "[y]"), e(0, 3, "[x]"))).cast("binary"), 256).alias("sha"))
+    """Every marker of a text is an edit of its own; the edits come in no order."""
+    def edits(spans):
+        return F.reverse(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), s["name"], F.lit("]")).alias("replacement"))))
+
+    x = marked(spark, d).select("doc_id", "text", X.spans(F.col("text")).alias("s"))
+    return x.select("doc_id", F.sha2(X.splice(F.col("text"), edits(F.col("s"))).cast("binary"), 256).alias("sha"))
 
 
-@query("select l_orderkey, l_linenumber, l_quantity > 25 as overlap from lineitem")
+EDITS = "(select l_orderkey, l_linenumber * 10 + l_suppkey % 2 as start, l_linenumber * 10 + l_quantity::int % 15 - case when l_orderkey % 9 = 0 then 3 else 0 end as stop from lineitem)"
+
+
+@query(f"""with e as (select *, lag(stop) over (partition by l_orderkey order by start, stop) as before from {EDITS}) select l_orderkey, case when bool_or(stop < start) then 'reversed' when max(stop) > 80 then 'range' when bool_or(coalesce(start < before, false)) then 'overlap' end as verdict from e group by l_orderkey""")
 def edit_overlap(spark, d):
-    e = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit("").alias("replacement"))
-    q = F.col("l_quantity")
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.edits_overlap(F.array(e(F.lit(25), F.lit(99)), e(F.lit(0), q))).alias("overlap"))
+    no, k = F.col("l_linenumber") * 10, F.col("l_orderkey")
+    e = F.struct((no + F.col("l_suppkey") % 2).cast("int").alias("start"), (no + F.col("l_quantity").cast("int") % 15 - F.when(k % 9 == 0, 3).otherwise(0)).cast("int").alias("stop"), F.lit("").alias("replacement"))
+    own = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(e).alias("edits"))
+    return own.select("l_orderkey", X.edits_verdict(F.repeat(F.lit("x"), 80), F.col("edits")).alias("verdict"))
 
 
 @query("select page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) as sha from pages")
@@ -153,11 +163,13 @@ def catalog_dedup(spark, d):
     return R.catalog(*bundled_user(spark, d)).groupBy("origin").agg(F.count("*").alias("n"), F.count_if("dropped").alias("dropped"))
 
 
-@query("select p_partkey, p_partkey % 10 = 0 as changed from part")
+@query("select s_suppkey as id, replace(c_name, 'Customer', 'Supplier') || case when s_suppkey % 10 = 0 then '!' else '' end <> s_name as changed from supplier join customer on c_custkey = s_suppkey")
 def catalog_lookup_hash(spark, d):
-    p = t(spark, d, "part").select("p_partkey", F.sha2("p_name", 256).alias("sha"))
-    now = t(spark, d, "part").select("p_partkey", F.sha2(F.when(F.col("p_partkey") % 10 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")), 256).alias("now"))
-    return p.join(now, "p_partkey").select("p_partkey", (F.col("sha") != F.col("now")).alias("changed"))
+    """Registered hashes against the files of the same ids, which come from another table."""
+    registered = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.struct(F.sha2("s_name", 256).alias("sha256")).alias("manifest"))
+    k = F.col("c_custkey")
+    files = t(spark, d, "customer").select(k.alias("id"), F.concat(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.when(k % 10 == 0, "!").otherwise("")).cast("binary").alias("content"))
+    return K.changed(registered.join(files, "id")).select("id", F.col("error").isNotNull().alias("changed"))
 
 
 @query("select distinct 't-' || (s_suppkey * 7) as id, s_name as title from supplier where 't-' || (s_suppkey * 7) not in (select 't-' || (p_partkey % 500) from part)")
@@ -212,10 +224,11 @@ def check_summary(spark, d):
     return x.groupBy("source").agg(F.count("*").alias("documents"), F.bool_and("ok").alias("all_passed"), F.count_if(F.col("v").isNull()).alias("verified"))
 
 
-@query("select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as row_addr, 'part ' || l_partkey || ' line ' || l_linenumber as line from lineitem")
+@query("select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as row_addr, 'part ' || l_partkey || ' line ' || l_linenumber || ' (' || o_orderpriority || ')' as line from lineitem join orders on l_orderkey = o_orderkey")
 def repeat_rows_fill(spark, d):
     s = lambda c: F.col(c).cast("string")
-    return R.repeat_fill(t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "part {{part}} line {{no}}", {"part": s("l_partkey"), "no": s("l_linenumber")})
+    rows = t(spark, d, "lineitem").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
+    return R.repeat_fill(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "part {{part}} line {{no}} ({{urgency}})", {"part": s("l_partkey"), "no": s("l_linenumber"), "urgency": F.col("o_orderpriority")})
 
 
 @query("select l_orderkey, count(*) as n, least(count(*), 4) as reused, greatest(count(*) - 4, 0) as cloned, greatest(4 - count(*), 0) as removed from lineitem group by l_orderkey")
@@ -358,6 +371,70 @@ def pdf_alias(spark, d):
     return t(spark, d, "part").select("p_partkey", X.alias_for(F.col("p_name")).alias("alias"))
 
 
+RUNS = r"(select doc_id, unnest(p) as text, unnest(range(0, len(p))) as run_no from (select doc_id, regexp_extract_all(text, '(?s).{{1,17}}') as p from {0}))".format(MARKED)
+
+
+@query(rf"""with whole as (select doc_id, regexp_replace(text, '\{{\{{(.*?)\}}\}}', '<\1>', 'g') as filled from {MARKED}) select doc_id, sha256(filled) as sha, true as as_many_runs from whole where filled <> ''""")
+def multi_run_replacement(spark, d):
+    """Texts in runs of 17 characters, markers across them; put together again, the runs are the filled text."""
+    m = marked(spark, d).filter("text != ''")
+    runs = m.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\s\S]{1,17}"), F.lit(0))).alias("run_no", "text"))
+    runs = R.run_offsets(runs, "doc_id", "run_no", "text").join(runs, ["doc_id", "run_no"])
+    spans = m.select("doc_id", F.posexplode(X.spans(F.col("text"))).alias("span_no", "s")).select("doc_id", "span_no", "s.start", "s.stop", F.concat(F.lit("<"), "s.name", F.lit(">")).alias("value"))
+    new = R.replaced_runs(spans, runs, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run_no", "text"))).alias("r"))
+    n = runs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return new.join(n, "doc_id").select("doc_id", F.sha2(F.array_join(F.transform("r", lambda x: x["text"]), "").cast("binary"), 256).alias("sha"), (F.size("r") == F.col("n")).alias("as_many_runs"))
+
+
+@query(r"select doc_id, case when doc_id % 5 = 0 then 'illegal-name' when doc_id % 5 = 1 then 'unclosed-marker' end as verdict from documents")
+def marker_legality(spark, d):
+    k = F.col("doc_id") % 5
+    text = F.concat("text", F.when(k == 0, " {{1 a}}").when(k == 1, " {{open").otherwise(" {{fine}}"))
+    return t(spark, d, "documents").select("doc_id", X.marker_verdict(text).alias("verdict"))
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then '{\"ok\":false,\"error\":{\"code\":\"E_ENGINE\",\"details\":\"f\"}}' when p_partkey % 3 = 1 then '{\"ok\":false,\"error\":{\"code\":\"E_FIELDS\",\"details\":\"f\"}}' else '{\"ok\":true,\"report\":{\"n\":' || p_size || '}}' end as said from part")
+def result_envelope(spark, d):
+    from formloom.plans import engine
+
+    code = F.when(F.col("p_partkey") % 3 == 0, "TypeError").when(F.col("p_partkey") % 3 == 1, "E_FIELDS")
+    return t(spark, d, "part").select("p_partkey", engine.envelope(F.to_json(F.struct(F.col("p_size").alias("n"))), code, F.lit("f")).alias("said"))
+
+
+@query("select event_id, case event_id % 4 when 0 then true when 1 then false end as checked, case when event_id % 4 > 1 then 'type' end as verdict from events")
+def checkbox_state(spark, d):
+    """A checkbox takes JSON booleans alone: neither text nor numbers."""
+    from formloom.functions import values as V
+
+    k = F.col("event_id") % 4
+    v = F.try_parse_json(F.when(k == 0, "true").when(k == 1, "false").when(k == 2, '"true"').otherwise("1"))
+    boolean = V.kind(v) == "BOOLEAN"
+    return t(spark, d, "events").select("event_id", F.when(boolean, F.try_variant_get(v, "$", "boolean")).alias("checked"), F.when(~boolean, "type").alias("verdict"))
+
+
+@query("select doc_id, length(text)::int as points, length(text)::int as units, length(regexp_replace(text, '\r\n', 'x', 'g'))::int as graphemes from documents")
+def text_lengths(spark, d):
+    """Code points, UTF-16 units and graphemes; the texts hold neither marks nor pairs."""
+    text = F.col("text")
+    return t(spark, d, "documents").select("doc_id", F.length(text).alias("points"), X.utf16_length(text).alias("units"), F.size(X.graphemes(text)).alias("graphemes"))
+
+
+@query("select doc_id, sha256(nfc_normalize(text || 'e' || chr(769))) as sha from documents")
+def composed_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2(X.nfc(F.concat("text", F.lit("e\u0301"))).cast("binary"), 256).alias("sha"))
+
+
+@query("select unnest(['s1', 's2', 's3']) as part, (select count(*) from documents) as n, unnest([1, 2, 10]) as number")
+def section_order(spark, d):
+    """Sections by number, not by name."""
+    from formloom.sources.containers import part_order
+
+    names = F.array(*map(F.lit, ("Contents/section10.xml", "Contents/section2.xml", "Contents/section1.xml")))
+    each = t(spark, d, "documents").select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n")).withColumn("number", part_order(F.col("name")))
+    w = Window.orderBy("number")  # three rows
+    return each.select(F.concat(F.lit("s"), F.row_number().over(w).cast("string")).alias("part"), "n", "number")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
@@ -366,4 +443,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from formloom.plans import binding, documents, grids, layout  # noqa: E402, F401  add their queries to those above
+from formloom.plans import binding, documents, forms, grids, layout  # noqa: E402, F401  add their queries to those above
