@@ -10,9 +10,11 @@ from pyspark.sql.window import Window
 from formloom.functions import text as X
 from formloom.functions import values as V
 from formloom.operators import coverage as C
+from formloom.operators import pages as P
 from formloom.operators.lineage import cut
 from formloom.sources import containers, packages
 from formloom.sources import hwp as H
+from formloom.sources import pdf as D
 
 # Codes that callers may see, and the checks that say that values were read again.
 CODES = ("E_INPUT", "E_FIELDS", "E_COVERAGE", "E_LAYOUT", "E_TEMPLATE_CHANGED", "E_UNSUPPORTED", "E_PRESERVATION", "E_OUTPUT_EXISTS", "E_IO", "E_ENGINE")
@@ -45,16 +47,33 @@ def profile_verdict(profile: Column, form: Column, sha256: Column, registered: C
 
 def discovered(docs: DataFrame) -> DataFrame:
     """path, fields (name, occurrences in the order of their first places), problem of the documents that can be parsed."""
-    rows = packages.package_rows(docs).unionByName(H.paragraph_rows(docs))
-    each = rows.select("path", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("para_no", F.lit(0)).alias("para_no"), "error", F.posexplode_outer("fields").alias("k", "f"))
-    one = each.groupBy("path", F.col("f.name").alias("name")).agg(F.count("f.name").alias("occurrences"), F.min(F.struct("part_no", "para_no", "k")).alias("at"), F.min("error").alias("error"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("at", "name", F.col("occurrences").cast("int").alias("occurrences")))))
+    rows = packages.package_rows(docs).unionByName(H.paragraph_rows(docs)).unionByName(form_rows(docs))
+    each = rows.select("path", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("para_no", F.lit(0)).alias("para_no"), "text", "error", F.posexplode_outer("fields").alias("k", "f"))
+    one = each.groupBy("path", F.col("f.name").alias("name")).agg(F.count("f.name").alias("occurrences"), F.min(F.struct("part_no", "para_no", "k")).alias("at"), F.min("error").alias("error"), F.min(F.when(F.col("text").isNull(), F.col("f.stop")).otherwise(0)).alias("stop"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("at", "name", F.col("occurrences").cast("int").alias("occurrences"), "stop"))))
     return one.groupBy("path").agg(listed.alias("found"), F.min("error").alias("problem")).select("path", F.transform("found", as_field).alias("fields"), "problem")
 
 
+def form_rows(docs: DataFrame) -> DataFrame:
+    """The same rows of forms: a field is as many occurrences as it has widgets, under its alias. Active content and fields of other kinds are refused first."""
+    own = docs.filter("format = 'pdf'").select("path", "content")
+    entries = cut(D.entry_rows(own))
+    bad = entries.filter("error is not null").select("path", F.col("error").alias("code")).unionByName(P.active_content(entries.filter("error is null"), "path").filter("code is not null"))
+    fields = cut(D.field_rows(own.join(bad, "path", "left_anti")))
+    bad = bad.unionByName(fields.filter("error is not null").select("path", F.col("error").alias("code"))).unionByName(P.field_verdict(fields.filter("error is null"), "path").filter("code is not null"))
+    fine = fields.filter("kind in ('text', 'checkbox')").join(bad, "path", "left_anti")
+    named = fine.join(P.aliases(fine, "path"), ["path", "name"])
+    occurrence = F.struct(F.col("alias").alias("name"), F.lit(0).alias("start"), F.when(F.col("kind") == "checkbox", -1).otherwise(F.coalesce("max_units", F.lit(0))).alias("stop"), F.lit(True).alias("explicit"))
+    part = lambda c: c.cast("string")
+    rows = named.select("path", part(F.lit(None)).alias("part"), F.lit(0).alias("part_no"), F.col("no").alias("para_no"), part(F.lit(None)).alias("text"), F.array_repeat(occurrence, F.col("widgets")).alias("fields"), part(F.lit(None)).alias("error"))
+    failed = bad.groupBy("path").agg(F.min("code").alias("error"))
+    return rows.unionByName(failed.select("path", part(F.lit(None)).alias("part"), F.lit(0).alias("part_no"), F.lit(0).alias("para_no"), part(F.lit(None)).alias("text"), F.lit(None).cast(packages.FIELDS).alias("fields"), "error"))
+
+
 def as_field(f: Column) -> Column:
+    """Explicit fields of forms carry their kind and limit in the place of their end."""
     none = F.lit(None)
-    return F.struct(f["name"].alias("name"), F.lit("text").alias("type"), f["occurrences"].alias("occurrences"), none.cast("int").alias("max_length"), none.cast("int").alias("max_rows"), none.cast(f"array<{V.COLUMN}>").alias("columns"))
+    return F.struct(f["name"].alias("name"), F.when(f["stop"] < 0, "checkbox").otherwise("text").alias("type"), f["occurrences"].alias("occurrences"), F.when(f["stop"] > 0, F.least(f["stop"], F.lit(X.MAX_LENGTH))).alias("max_length"), none.cast("int").alias("max_rows"), none.cast(f"array<{V.COLUMN}>").alias("columns"))
 
 
 def inspect(docs: DataFrame, coverage: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from formloom.operators import flow as W
 from formloom.operators import pages as P
 from formloom.operators import records as R
 from formloom.plans.registry import CHUNKS, query, t
+from formloom.sources import pdf as D
 
 
 def le(n, size=4):
@@ -333,3 +334,24 @@ def monotone_starts(spark, d):
     k = F.col("c_custkey")
     n = F.when(k % 2 == 0, F.array(F.lit(0).cast("long"), k, k + 1)).otherwise(F.array(F.lit(0).cast("long"), k, k))
     return t(spark, d, "customer").select(k.alias("k"), W.rising(n).alias("monotone"))
+
+
+def forms(spark, d):
+    """A form for each brand: parts of type Tx or Btn, one of them a choice or twice where the brand says so."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "Btn").when((F.col("p_brand") == "Brand#11") & (k % 50 == 1), "Ch").otherwise("Tx")
+    name = F.when(k % 2 == 0, F.concat(F.lit("part "), k.cast("string"))).otherwise(F.concat(F.lit("part_"), k.cast("string")))
+    fields = F.array_sort(F.collect_list(F.struct(k.alias("k"), name.alias("name"), kind.alias("kind"))))
+    return t(spark, d, "part").groupBy(F.concat("p_brand", F.lit(".pdf")).alias("path")).agg(fields.alias("fields"))
+
+
+@query("select p_brand || '.pdf' as path, case when p_partkey % 2 = 0 then 'part ' else 'part_' end || p_partkey as name, case when p_partkey % 3 = 0 then 'checkbox' when p_brand = 'Brand#11' and p_partkey % 50 = 1 then 'choice' else 'text' end as kind, row_number() over (partition by p_brand order by p_partkey) - 1 as no, true as visible from part")
+def pdf_form_fields(spark, d):
+    return D.field_rows(D.make_forms(forms(spark, d))).select("path", "name", "kind", F.col("no").cast("long").alias("no"), "visible")
+
+
+@query("select p_brand || '.pdf' as path, case when bool_or(p_brand = 'Brand#11' and p_partkey % 50 = 1 and p_partkey % 3 <> 0) then 'E_UNSUPPORTED' end as code, case when not bool_or(p_brand = 'Brand#11' and p_partkey % 50 = 1 and p_partkey % 3 <> 0) then count(*) else 0 end as fields from part group by 1")
+def pdf_inspect(spark, d):
+    from formloom.plans import engine
+
+    return engine.inspect(D.make_forms(forms(spark, d))).select("path", "code", F.size("fields").cast("long").alias("fields"))

@@ -12,7 +12,7 @@ from test_packages import built
 from formloom import cli
 from formloom.operators import catalog as K
 from formloom.plans import engine
-from formloom.sources import hwp, packages
+from formloom.sources import hwp, packages, pdf
 
 
 def frame(spark, *docs):
@@ -33,7 +33,7 @@ def test_inspect(spark):
     cover = spark.createDataFrame([("a.docx", inventory()), ("b.docx", inventory("0" * 64)), ("c.docx", "no json")], "path string, inventory string")
     prof = spark.createDataFrame([("d.docx", json.dumps({"version": 1, "format": "hwpx", "templateSha256": SHA}), False)], "path string, profile string, registered boolean")
     got = {r.path: r for r in engine.inspect(docs, cover, prof).collect()}
-    assert {k: (r.code, r.reason) for k, r in got.items()} == {"a.docx": (None, None), "b.docx": ("E_TEMPLATE_CHANGED", "template-hash"), "c.docx": ("E_COVERAGE", "invalid-version"), "d.docx": ("E_UNSUPPORTED", None), "e.pdf": (None, None), "f.txt": ("E_UNSUPPORTED", None), "g.docx": ("E_INPUT", None)}
+    assert {k: (r.code, r.reason) for k, r in got.items()} == {"a.docx": (None, None), "b.docx": ("E_TEMPLATE_CHANGED", "template-hash"), "c.docx": ("E_COVERAGE", "invalid-version"), "d.docx": ("E_UNSUPPORTED", None), "e.pdf": ("E_INPUT", None), "f.txt": ("E_UNSUPPORTED", None), "g.docx": ("E_INPUT", None)}
     a = got["a.docx"]
     assert [(f.name, f.type, f.occurrences, f.max_length, f.required) for f in a.fields] == [("name", "text", 2, 10000, True), ("note", "text", 1, 10000, True)]
     assert (a.completion.status, a.completion.field_linked, a.completion.blocked, a.completion.full_document_complete) == ("incomplete", 1, 1, False)
@@ -169,3 +169,38 @@ def test_command_line(spark, tmp_path, capsys):
         assert run(*wrong)[1]["error"]["code"] == "E_INPUT"
     code, out = run("doctor")
     assert code == 1 and {f: x["ready"] for f, x in out["formats"].items()} == {"docx": True, "hwp": False, "hwpx": False, "pdf": False}
+
+
+def test_forms(spark):
+    good = pdf.simple_form([("name", "Tx"), ("Straße 1", "Tx"), ("ok", "Btn"), ("sign", "Sig")], "/MaxLen 12")
+    packed = zlib.compress(b"4 0 <</FT/Tx/T(inner)/Rect[0 0 9 9]/Subtype/Widget>>")
+    stream = good.replace(b"4 0 obj", b"9 0 obj\n<</Type/ObjStm/N 1/First 4/Filter/FlateDecode/Length %d>>\nstream\n" % len(packed) + packed + b"\nendstream\nendobj\n40 0 obj")
+    docs = frame(spark, ("a.pdf", good), ("b.pdf", pdf.simple_form([("x", "Tx")], "/AA<</S/JavaScript>>")), ("c.pdf", pdf.simple_form([("x", "Tx")], "/Ff 1")), ("d.pdf", pdf.simple_form([("x", "Tx"), ("x", "Tx")])), ("e.pdf", pdf.simple_form([("x", "Ch")])), ("f.pdf", good[:-7]), ("g.pdf", good.replace(b"/Size", b"/Encrypt 8 0 R/Size")), ("h.pdf", pdf.simple_form([("s", "Sig")], "/V<</Type/Sig>>")), ("i.pdf", stream))
+    got = {r.path: (r.code, [(f.name, f.type, f.max_length) for f in r.fields]) for r in engine.inspect(docs).collect()}
+    alias = "field_" + hashlib.sha256("Straße 1".encode()).hexdigest()[:12]
+    assert got["a.pdf"] == (None, [("name", "text", 12), (alias, "text", 12), ("ok", "checkbox", 10000)])
+    assert {k: c for k, (c, _) in got.items() if k != "a.pdf"} == {"b.pdf": "E_UNSUPPORTED", "c.pdf": "E_UNSUPPORTED", "d.pdf": "E_FIELDS", "e.pdf": "E_UNSUPPORTED", "f.pdf": "E_INPUT", "g.pdf": "E_UNSUPPORTED", "h.pdf": "E_UNSUPPORTED", "i.pdf": None}
+    assert [f for f, _, _ in got["i.pdf"][1]] == ["inner", alias, "ok"]
+    rows = {(r.path, r.name): (r.kind, r.pages, r.widgets, r.visible) for r in pdf.field_rows(docs.filter("path = 'a.pdf'")).collect()}
+    assert rows["a.pdf", "sign"] == ("signature", [1], 1, True)
+
+
+def test_reader():
+    read = lambda b: pdf.Reader(b).value()
+    assert read(b" <</A#20b [1 -2.5 true null (a\\(\\051\\101(x)\\n) <4a4>] % note\n/C 7 0 R>>") == {"A b": [1, -2.5, True, None, b"a()A(x)\n", b"J@"], "C": 7}
+    for bad in (b"<</A", b"(open", b"[1 2", b"<4x>", b"<<1 2>>", b"[" * 100):
+        with pytest.raises(pdf.Refused):
+            read(bad)
+
+
+def test_stream(spark, tmp_path):
+    from formloom.streaming import fill_stream
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "one.json").write_text('{"id": 1, "name": "A {{b}}"}\n{"id": 2}\n')
+    rows = spark.readStream.schema("id long, name string").json(str(source))
+    filled = fill_stream.fill_stream(rows, "Dear {{name}}", ["name"], "id")
+    q = filled.writeStream.format("memory").queryName("filled_rows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(60)
+    assert sorted((r.id, r.filled) for r in spark.table("filled_rows").collect()) == [(1, "Dear A {{b}}"), (2, None)]
