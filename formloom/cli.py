@@ -25,6 +25,8 @@ class Parser(argparse.ArgumentParser):
         raise Failed("E_INPUT")
 
 
+#: Where templates of the user are if --library doesn't say.
+LIBRARY = os.path.expanduser("~/.local/share/formloom/templates")
 #: Options and the verbs that take them.
 OPTIONS = {"--library": ("doctor", "list", "show", "register", "fill"), "--id": ("register",), "--title": ("register",), "--data": ("fill",), "--output": ("fill",), "--overflow": ("fill",), "--dry-run": ("fill",), "--layout-profile": ("inspect", "fill"), "--coverage": ("inspect", "fill")}
 
@@ -74,7 +76,7 @@ def document(spark: SparkSession, path: str) -> DataFrame:
 
 def catalog(spark: SparkSession, args) -> DataFrame:
     none = spark.createDataFrame([], "name string, origin string, json string, folder string")
-    for folder, origin in ((args.bundled, "bundled"), (getattr(args, "library", None), "user")):
+    for folder, origin in ((args.bundled, "bundled"), (getattr(args, "library", None) or LIBRARY, "user")):
         if folder and os.path.isdir(folder):
             none = none.unionByName(K.scanned(spark, folder, origin))
     return K.entries(none)
@@ -119,8 +121,7 @@ def run(args, spark: SparkSession) -> dict:
 
 
 def register(args, spark: SparkSession) -> dict:
-    if not args.library:
-        raise Failed("E_INPUT")
+    args.library = args.library or LIBRARY
     docs = document(spark, args.target)
     info = engine.inspect(docs)
     bad = info.first()["code"]

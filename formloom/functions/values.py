@@ -147,3 +147,16 @@ def strings(values: Column) -> Column:
     """map of name to text of the scalar text values of a record, with line ends as LF."""
     entries = F.filter(F.transform(F.map_entries(members(values)), lambda e: F.struct(e["key"].alias("k"), X.newlines(string_of(e["value"])).alias("v"))), lambda e: e["v"].isNotNull())
     return F.map_from_entries(entries)
+
+
+def loss_verdict(report: Column) -> Column:
+    """E_PRESERVATION unless a writer's report (variant) says that nothing was lost: a count of 0 and an empty list."""
+    own = members(report)
+    losses = F.try_element_at(own, F.lit("losses"))
+    none = (F.try_variant_get(F.try_element_at(own, F.lit("count")), "$", "double") == 0) & is_array(losses) & (F.size(F.try_variant_get(losses, "$", "array<variant>")) == 0)
+    return F.when(~F.coalesce(is_object(report) & none, F.lit(False)), "E_PRESERVATION")
+
+
+def unhandled(parts: Column, handled: Column) -> Column:
+    """E_UNSUPPORTED if a part that holds fields isn't among those that are filled."""
+    return F.when(F.size(F.array_except(parts, handled)) > 0, "E_UNSUPPORTED")

@@ -146,3 +146,13 @@ def publish(files: DataFrame) -> DataFrame:
             return "E_IO"
 
     return files.select("path", "content").mapInArrow(run, "path string, error string")
+
+
+def generated(definitions: DataFrame) -> DataFrame:
+    """id, title, format, lines, fields, example of template definitions (id, title, format, fields array of name, label, max_length): a line with a marker for each field, the
+    fields of its manifest, and a JSON object of example values that are within their limits."""
+    lines = F.concat(F.array("title"), F.transform("fields", lambda f: F.concat(f["label"], F.lit(": {{"), f["name"], F.lit("}}"))))
+    none = F.lit(None)
+    fields = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), F.lit("text").alias("type"), F.lit(1).alias("occurrences"), f["max_length"].cast("int").alias("max_length"), none.cast("int").alias("max_rows"), none.cast(f"array<{V.COLUMN}>").alias("columns")))
+    example = F.to_json(F.map_from_arrays(F.transform("fields", lambda f: f["name"]), F.transform("fields", lambda f: F.substring(F.concat(F.lit("Example "), f["label"]), F.lit(1), f["max_length"].cast("int")))))
+    return definitions.select("id", "title", "format", lines.alias("lines"), fields.alias("fields"), example.alias("example"))

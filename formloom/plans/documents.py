@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formloom.operators import catalog as K
+from formloom.operators import layout as L
 from formloom.plans import engine
 from formloom.plans.registry import query, t
 from formloom.sources import containers, markup, packages
@@ -150,3 +151,40 @@ def first_failure(spark, d):
     code = F.when(F.col("event_id") % 6 == 0, "E_IO").when(F.col("event_id") % 6 == 1, "TypeError")
     e = t(spark, d, "events").select("user_id", "event_id", engine.public_code(code).alias("code"))
     return engine.first_failures(e, "user_id", "event_id", "code")
+
+
+@query("select s_suppkey as id, case when s_suppkey % 5 in (0, 1, 2, 3) then 'E_PRESERVATION' end as loss, case when s_suppkey % 2 = 0 then 'E_UNSUPPORTED' end as parts from supplier")
+def preservation_reports(spark, d):
+    k = F.col("s_suppkey")
+    report = F.when(k % 5 == 0, '{"count": 1, "losses": []}').when(k % 5 == 1, '{"count": 0, "losses": [{"part": "x"}]}').when(k % 5 == 2, '{"count": 0}').when(k % 5 == 3, "[]").otherwise('{"count": 0, "losses": []}')
+    parts = F.when(k % 2 == 0, F.array(F.lit("word/document.xml"), F.lit("word/comments.xml"))).otherwise(F.array(F.lit("word/document.xml")))
+    handled = F.array(F.lit("word/document.xml"), F.lit("word/footer1.xml"))
+    return t(spark, d, "supplier").select(k.alias("id"), K.V.loss_verdict(F.try_parse_json(report)).alias("loss"), K.V.unhandled(parts, handled).alias("parts"))
+
+
+@query("""with f as (select p_brand, p_partkey, 'part_' || p_partkey as name, p_name as label, p_size as n from part)
+select p_brand as id, 'Form ' || p_brand || chr(10) || string_agg(label || ': {{' || name || '}}', chr(10) order by p_partkey) as lines, count(*)::int as fields, '{' || string_agg('"' || name || '":"' || substr('Example ' || label, 1, n) || '"', ',' order by p_partkey) || '}' as example from f group by p_brand""")
+def generated_templates(spark, d):
+    field = F.struct("p_partkey", F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_name").alias("label"), F.col("p_size").alias("max_length"))
+    x = t(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.array_sort(F.collect_list(field)).alias("fields")).withColumn("title", F.concat(F.lit("Form "), "id")).withColumn("format", F.lit("docx"))
+    return K.generated(x).select("id", F.array_join("lines", "\n").alias("lines"), F.size("fields").alias("fields"), "example")
+
+
+@query("select doc_id as doc, case when doc_id % 5 = 0 then 0 else len(string_split(text, chr(10))) + 1 end::bigint as no, case when doc_id % 5 = 0 then 'changed' else 'left-over' end as reason from documents where doc_id % 5 < 2")
+def paragraph_fan_out_reread(spark, d):
+    """A text that became as many paragraphs as it has lines, and one after it; some changed, some with one more."""
+    docs, k = t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), F.col("doc") % 5
+    lines = F.split("text", "\n", -1)
+    before = docs.select("doc", F.inline(F.array(F.struct(F.lit(0).alias("no"), F.col("text").alias("text"), F.size(lines).alias("n")), F.struct(F.lit(1).alias("no"), F.lit("end").alias("text"), F.lit(1).alias("n")))))
+    now = F.concat(F.when(k == 0, F.concat(F.array(F.lit("other")), F.slice(lines, 2, F.size(lines)))).otherwise(lines), F.array(F.lit("end")), F.when(k == 1, F.array(F.lit("more"))).otherwise(F.array().cast("array<string>")))
+    return L.fan_out_changes(before, docs.select("doc", F.posexplode(now).alias("no", "text")), "doc")
+
+
+@query("select format, count(*) as documents, count(*) filter (code is null) as fine from (select 'pdf' as format, case when bool_or(p_brand = 'Brand#11' and p_partkey % 50 = 1 and p_partkey % 3 <> 0) then 'E_UNSUPPORTED' end as code from part group by p_brand union all select " + FORM + ", " + CODE + " from customer) group by format")
+def inspect_formats(spark, d):
+    """Documents of several formats in one table: each goes to the reader of its format."""
+    from formloom.plans import forms
+    from formloom.sources import pdf
+
+    all_ = made(spark, d).select("path", "content").unionByName(pdf.make_forms(forms.forms(spark, d)))
+    return engine.inspect(all_).groupBy("format").agg(F.count("*").alias("documents"), F.count_if(F.col("code").isNull()).alias("fine"))
