@@ -121,7 +121,7 @@ def fill(docs: DataFrame, requests: DataFrame, coverage: DataFrame | None = None
     x = x.withColumn("earlier", earlier).withColumn("bound", F.when(F.col("earlier").isNull(), F.col("bound")))
     # what was decided is read several times from here on
     ready = cut(x.withColumn("before", F.coalesce("earlier", "bound.code", F.when(~F.col("format").isin("docx", "hwpx"), "E_UNSUPPORTED"), place)))
-    todo = ready.filter("before is null").select("path", V.strings(F.col("v")).alias("values"))
+    todo = ready.filter("before is null").select("path", V.strings(F.col("v")).alias("values"), (F.col("overflow") == "flow").alias("flow"))
     form = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     made = packages.fill_packages(docs.withColumn("format", form).join(todo.select("path"), "path"), todo)
     r = ready.join(made, "path", "left").withColumn("failed", F.coalesce("before", "error"))

@@ -59,7 +59,7 @@ def nodes_of(body: bytes) -> list[dict]:
     def closed(_: str) -> None:
         node, at = stack.pop(), parser.CurrentByteIndex
         spaces.pop()
-        if body[at : at + 2] == b"</":
+        if body[node["open_end"] - 2 : node["open_end"]] != b"/>":  # of what closes itself, the parser gives the place after it
             node["close_start"], node["stop"] = at, body.index(b">", at) + 1
 
     def said(text: str) -> None:

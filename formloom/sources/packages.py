@@ -161,6 +161,141 @@ def filled_part(body: bytes, form: str, nodes: list[dict], paragraphs: list[Para
     return spliced(body, edits)
 
 
+# The order in which the schema wants the properties of a paragraph and of a row, and what keeps a paragraph from being split.
+ORDER = {
+    "pPr": "pStyle keepNext keepLines pageBreakBefore framePr widowControl numPr suppressLineNumbers pBdr shd tabs suppressAutoHyphens kinsoku wordWrap overflowPunct topLinePunct autoSpaceDE autoSpaceDN bidi adjustRightInd snapToGrid spacing ind contextualSpacing mirrorIndents suppressOverlap jc textDirection textAlignment textboxTightWrap outlineLvl divId cnfStyle rPr sectPr pPrChange".split(),
+    "trPr": "cnfStyle divId gridBefore gridAfter wBefore wAfter cantSplit trHeight tblHeader tblCellSpacing jc hidden ins del trPrChange".split(),
+}
+UNSPLIT = {"numPr", "outlineLvl", "sectPr", "framePr", "pPrChange", "rPrChange", "ins", "del", "moveFrom", "moveTo"}
+RUN_PARTS = {"rPr", "t", "br", "cr", "tab", "lastRenderedPageBreak"}
+#: Stands for a line end of a value, which no text may hold.
+END = "\0"
+
+
+class Tree:
+    """Children of the elements of a part."""
+
+    def __init__(self, nodes: list[dict]):
+        self.nodes, self.kids = nodes, {}
+        for n in nodes:
+            if n["local"] != "#text":
+                self.kids.setdefault(n["parent"], []).append(n)
+
+    def children(self, node: dict, local: str | None = None) -> list[dict]:
+        return [k for k in self.kids.get(node["node"], []) if local is None or (k["ns"] == WORD and k["local"] == local)]
+
+    def above(self, node: dict, local: str) -> dict | None:
+        while node["parent"] is not None:
+            node = self.nodes[node["parent"]]
+            if node["ns"] == WORD and node["local"] == local:
+                return node
+        return None
+
+    def below(self, node: dict) -> list[dict]:
+        return [n for n in self.nodes[node["node"] :] if n["start"] < node["stop"] and n["local"] != "#text"]
+
+
+def with_properties(body: bytes, tree: Tree, owner: dict, kind: str, updates: dict[str, dict[str, str]]) -> tuple[int, int, bytes]:
+    """An edit that gives an element's property container these properties: set in place, or put in where the schema wants them."""
+    found = tree.children(owner, kind)
+    need(len(found) < 2, "E_LAYOUT")
+    new = {k: f"<w:{k}" + "".join(f' {a}="{v}"' for a, v in attrs.items()) + "/>" for k, attrs in updates.items()}
+    rank = ORDER[kind].index
+    if not found:
+        first = tree.children(owner, "tblPrEx") if kind == "trPr" else []
+        at = first[0]["stop"] if first else owner["open_end"]
+        return at, at, f"<w:{kind}>{''.join(new[k] for k in sorted(new, key=rank))}</w:{kind}>".encode()
+    box = found[0]
+    edits = []
+    own = tree.children(box)
+    for k in sorted(new, key=rank):
+        same = [c for c in own if c["ns"] == WORD and c["local"] == k]
+        need(len(same) < 2, "E_LAYOUT")
+        if same:
+            tag = body[same[0]["start"] : same[0]["open_end"]]
+            for a, v in updates[k].items():
+                tag = attribute(tag, a, v)
+            edits.append((same[0]["start"], same[0]["open_end"], tag))
+        else:
+            later = [c["start"] for c in own if c["local"] in ORDER[kind] and rank(c["local"]) > rank(k)]
+            edits.append((later[0] if later else box["close_start"], None, new[k].encode()))
+    if box["stop"] == box["open_end"]:  # it closes itself
+        opening = re.sub(rb"\s*/\s*>$", b">", body[box["start"] : box["open_end"]])
+        return box["start"], box["stop"], opening + b"".join(e[2] for e in edits) + f"</{box['name']}>".encode()
+    put: dict[int, bytes] = {}
+    for at, stop, text in edits:
+        if stop is None:
+            put[at] = put.get(at, b"") + text
+    inner = [(at - box["start"], at - box["start"], text) for at, text in put.items()] + [(a - box["start"], b - box["start"], text) for a, b, text in edits if b is not None]
+    return box["start"], box["stop"], spliced(body[box["start"] : box["stop"]], inner)
+
+
+def flowed_paragraph(body: bytes, tree: Tree, p: Paragraph, values: dict[str, str]) -> tuple[list[tuple[int, int, bytes]], int]:
+    """Edits that fill a paragraph whose text may run on to other pages, and how many paragraphs it becomes: one for each line of its values. What stands before
+    the first value stays in the first one, what stands after the last in the last; runs keep their properties."""
+    node, up = p.node, tree.nodes[p.node["parent"]]
+    table = tree.above(node, "tbl")
+    home = up["local"] == "tc" and tree.nodes[table["parent"]]["local"] == "body" if table else up["local"] == "body"
+    need(up["ns"] == WORD and home and not (table and tree.above(table, "tbl")), "E_LAYOUT")
+    texts = {}
+    for run, start, stop, _ in p.runs:
+        own = sorted((f for f in p.fields if any(r[0] is run for r in f["runs"])), key=lambda f: f["start"])
+        if own:
+            out, at = [], start
+            for f in own:
+                value = re.sub(r"\r\n?|\n", END, values[f["name"]]) if f["runs"][0][0] is run else ""
+                out += [p.text[at : max(at, f["start"])], value]
+                at = min(f["stop"], stop)
+            texts[run["node"]] = "".join([*out, p.text[at:stop]])
+    off = {"w:val": "0"}
+    edits = []
+    if table:
+        row = tree.above(node, "tr")
+        height = [h for c in tree.children(row, "trPr") for h in tree.children(c, "trHeight")]
+        more = {"trHeight": {"w:hRule": "atLeast"}} if height and height[0]["attrs"].get("w:hRule") == "exact" else {}
+        edits.append(with_properties(body, tree, row, "trPr", {"cantSplit": off} | more))
+    if not any(END in x for x in texts.values()):
+        edits += [(tree.nodes[k]["start"], tree.nodes[k]["stop"], element(body, tree.nodes[k], x, "docx")) for k, x in texts.items()]
+        return [*edits, with_properties(body, tree, node, "pPr", {"keepNext": off, "keepLines": off})], 1
+    need(not any(n["ns"] == WORD and n["local"] in UNSPLIT for n in tree.below(node)), "E_LAYOUT")
+    need(all(c["ns"] == WORD and c["local"] in ("pPr", "r") for c in tree.children(node)), "E_LAYOUT")
+    made: list[list[bytes]] = [[]]
+    for run in tree.children(node, "r"):
+        need(all(c["ns"] == WORD and c["local"] in RUN_PARTS for c in tree.children(run)), "E_LAYOUT")
+        segments = [b""]
+        for c in tree.children(run):
+            if c["local"] in ("rPr", "lastRenderedPageBreak"):
+                continue
+            if c["node"] not in texts:
+                segments[-1] += body[c["start"] : c["stop"]]
+                continue
+            first, *rest = texts[c["node"]].split(END)
+            segments[-1] += element(body, c, first, "docx")
+            segments += [element(body, c, x, "docx") for x in rest]
+        opening = re.sub(rb"\s*/\s*>$", b">", body[run["start"] : run["open_end"]]) + b"".join(body[c["start"] : c["stop"]] for c in tree.children(run, "rPr"))
+        for i, segment in enumerate(segments):
+            if i:
+                made.append([])
+            made[-1].append(opening + segment + f"</{run['name']}>".encode())
+    opening = body[node["start"] : node["open_end"]]
+    later = re.sub(rb"\s[A-Za-z0-9]+:(paraId|textId)\s*=\s*(\"[^\"]*\"|'[^']*')", b"", opening)
+    first_properties = with_properties(body, tree, node, "pPr", {"keepNext": off, "keepLines": off})[2]
+    later_properties = with_properties(body, tree, node, "pPr", {"keepNext": off, "keepLines": off, "pageBreakBefore": off})[2]
+    close = f"</{node['name']}>".encode()
+    whole = b"".join((later if i else opening) + (later_properties if i else first_properties) + b"".join(runs) + close for i, runs in enumerate(made))
+    return [*edits, (node["start"], node["stop"], whole)], len(made)
+
+
+def flowed_part(body: bytes, nodes: list[dict], paragraphs: list[Paragraph], values: dict[str, str]) -> tuple[bytes, list[int]]:
+    """The filled part, and how many paragraphs each paragraph became. Rows that hold several fields are changed once."""
+    tree, edits, counts = Tree(nodes), {}, []
+    for p in paragraphs:
+        own, n = flowed_paragraph(body, tree, p, values) if p.fields else ([], 1)
+        edits |= {e[:2]: e for e in own}
+        counts.append(n)
+    return spliced(body, list(edits.values())), counts
+
+
 def attribute(tag: bytes, name: str, value: str) -> bytes:
     """An opening tag with an attribute set in place, or added."""
     new, n = re.subn(rb"(\s" + name.encode() + rb"\s*=\s*)(\"[^\"]*\"|'[^']*')", lambda m: m[1] + b'"' + value.encode() + b'"', tag, count=1)
@@ -180,22 +315,28 @@ def element(body: bytes, node: dict, text: str, form: str) -> bytes:
     return opening + broken.encode() + f"</{name}>".encode()
 
 
-def fill_package(content: bytes | None, values: dict[str, str], form: str) -> tuple[bytes | None, str | None]:
-    """The filled package, or a code. The result is opened and read again: every paragraph must be what it should, other parts the same bytes."""
+def fill_package(content: bytes | None, values: dict[str, str], form: str, flow: bool = False) -> tuple[bytes | None, str | None]:
+    """The filled package, or a code. The result is opened and read again: every paragraph must be what it should, other parts the same bytes.
+    With flow, text may run on to other pages, and each line of a value is a paragraph (word-processing packages only)."""
     try:
+        need(not flow or form == "docx", "E_LAYOUT")
         parts = open_package(content, form)
         models = field_parts(parts, form)
         names = {f["name"] for _, _, ps in models for p in ps for f in p.fields}
         need(bool(names) and all(isinstance(values.get(n), str) for n in names) and set(values) <= names, "E_FIELDS")
         need(not any(re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\ud800-\udfff]", values[n]) for n in names), "E_FIELDS")
-        new = {name: filled_part(parts[name], form, nodes, ps, values) for name, nodes, ps in models if any(p.fields for p in ps)}
+        new, counts = {}, {}
+        for name, nodes, ps in models:
+            if any(p.fields for p in ps):
+                need(not flow or name == "word/document.xml", "E_LAYOUT")
+                new[name], counts[name] = flowed_part(parts[name], nodes, ps, values) if flow else (filled_part(parts[name], form, nodes, ps, values), [1] * len(ps))
         out = write_archive([(n, new.get(n, b)) for n, b in parts.items()])
         again = open_package(out, form)
         need(set(again) == set(parts) and all(again[n] == b for n, b in parts.items() if n not in new), "E_PRESERVATION")
         for name, _, ps in models:
             if name in new:
-                got = [p.text for p in paragraphs_of(again[name], form)[1]]
-                need(got == [expected(p, values) for p in ps], "E_PRESERVATION")
+                got = iter([p.text for p in paragraphs_of(again[name], form)[1]])
+                need(all("\n".join(x for _, x in zip(range(n), got, strict=False)) == expected(p, values) for p, n in zip(ps, counts[name], strict=True)) and next(got, None) is None, "E_PRESERVATION")
         return out, None
     except Refused as e:
         return None, e.args[0]
@@ -236,15 +377,18 @@ NAMES = ["path", "part", "part_no", "para_no", "text", "fields", "error"]
 
 
 def fill_packages(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """path, filled, error of packages (path, format, content) and their values (path, values map). A package without values has error E_FIELDS."""
+    """path, filled, error of packages (path, format, content) and their values (path, values map, flow if there is such a column). A package without
+    values has error E_FIELDS."""
     none = F.create_map().cast("map<string,string>")
-    both = docs.select("path", "format", "content").join(values.select("path", "values"), "path", "left").select("path", "format", "content", F.coalesce("values", none).alias("values"))
+    flow = F.coalesce("flow", F.lit(False)) if "flow" in values.columns else F.lit(False)
+    own = values.select("path", "values", flow.alias("flow"))
+    both = docs.select("path", "format", "content").join(own, "path", "left").select("path", "format", "content", F.coalesce("values", none).alias("values"), F.coalesce("flow", F.lit(False)).alias("flow"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for path, form, content, v in zip(*batch.columns, strict=True):
-                out.append((path.as_py(), *fill_package(content.as_py(), dict(v.as_py()), form.as_py())))
+            for path, form, content, v, flow in zip(*batch.columns, strict=True):
+                out.append((path.as_py(), *fill_package(content.as_py(), dict(v.as_py()), form.as_py(), flow.as_py())))
                 held += len(out[-1][1] or b"")
                 if held > 16 << 20:
                     yield packed(out)

@@ -31,6 +31,26 @@ def test_fill_across_runs():
     assert after["word/document.xml"].endswith(DOC[DOC.index("</w:p>") :].encode() + b"</w:body></w:document>")
 
 
+FLOW = '<w:p w14:paraId="1" w:rsidR="2" xmlns:w14="v"><w:pPr><w:pStyle w:val="a"/><w:jc w:val="left"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>To {{x}} and {{</w:t></w:r><w:r><w:t>y}}.</w:t><w:br/></w:r></w:p><w:p><w:r><w:t>end</w:t></w:r></w:p>'
+CELL = '<w:tbl><w:tr><w:trPr><w:trHeight w:val="9" w:hRule="exact"/></w:trPr><w:tc><w:p><w:pPr/><w:r><w:t>{{x}}</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>{{y}}</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+
+
+def test_flow():
+    out, error = packages.fill_package(docx(FLOW), {"x": "1\r\n2\t3", "y": "a\nb"}, "docx", flow=True)
+    assert error is None and texts(out, "docx") == ["To 1", "2\t3 and a", "b.\n", "end"]
+    body = dict(C.open_archive(out)[0])["word/document.xml"].decode()
+    assert body.count("w14:paraId") == 1 and body.count('w:rsidR="2"') == 3 and body.count("<w:b/>") == 3
+    assert body.count('<w:pStyle w:val="a"/><w:keepNext w:val="0"/><w:keepLines w:val="0"/><w:pageBreakBefore w:val="0"/><w:jc w:val="left"/>') == 2
+    out, error = packages.fill_package(docx(CELL), {"x": "1", "y": "2\n3"}, "docx", flow=True)
+    assert error is None and texts(out, "docx") == ["1", "2", "3"]
+    body = dict(C.open_archive(out)[0])["word/document.xml"].decode()
+    assert '<w:trPr><w:cantSplit w:val="0"/><w:trHeight w:val="9" w:hRule="atLeast"/></w:trPr>' in body and '<w:pPr><w:keepNext w:val="0"/><w:keepLines w:val="0"/></w:pPr>' in body
+    nested = CELL.replace("<w:tc><w:p>", f"<w:tc>{CELL}<w:p>", 1)
+    bad = [FLOW.replace("<w:jc ", '<w:numPr/><w:jc '), FLOW.replace("<w:br/>", "<w:drawing/>"), f"<w:sdt>{FLOW}</w:sdt>", nested]
+    assert [packages.fill_package(docx(b), {"x": "1\n2", "y": "3"}, "docx", flow=True)[1] for b in bad] == ["E_LAYOUT"] * 4
+    assert packages.fill_package(packages.simple_package(["{{x}}"], "hwpx"), {"x": "1"}, "hwpx", flow=True) == (None, "E_LAYOUT")
+
+
 def test_fields():
     rows = packages.field_parts(C.open_package(docx(DOC), "docx"), "docx")
     assert [[(f["name"], f["start"], f["stop"]) for f in p.fields] for p in rows[-1][2]] == [[("name", 5, 13), ("x", 16, 21)], []]
@@ -104,6 +124,8 @@ def test_nodes(spark):
     nodes = markup.nodes_of(body)
     assert [(n["local"], n["parent"], n["depth"], n["text"]) for n in nodes] == [("a", None, 0, None), ("b", 0, 1, None), ("#text", 1, 2, "t&<c>"), ("g", 0, 1, None), ("#text", 0, 1, "é")]
     assert [body[n["start"] : n["stop"]] for n in nodes if n["local"] == "b"] == [body[body.index(b"<b") : body.index(b"<!--")]]
+    assert [body[n["start"] : n["stop"]] for n in nodes if n["local"] == "g"] == [b"<g/>"]
+    assert [(n["start"], n["stop"]) for n in markup.nodes_of(b"<a><b><c/></b></a>")] == [(0, 18), (3, 14), (6, 10)]
     assert nodes[0]["attrs"] == {"xmlns": "u", "x": "1>"} and {n["ns"] for n in nodes if n["local"] != "#text"} == {"u"}
     rows = spark.createDataFrame([("p", "1", bytearray(body)), ("p", "2", bytearray(b"<a>")), ("p", "3", None)], "path string, part string, body binary")
     got = markup.node_rows(rows).collect()
