@@ -75,16 +75,22 @@ def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("OBJECT<"), F.lit(False))
+def members(v: Column) -> Column:
+    """Of an object; null for anything else. Cheaper than to ask for the schema of all that is inside."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def is_array(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("ARRAY<"), F.lit(False))
+def items(v: Column) -> Column:
+    """Of an array; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def members(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
+def is_object(v: Column) -> Column:
+    return members(v).isNotNull()
+
+
+def is_array(v: Column) -> Column:
+    return items(v).isNotNull()
 
 
 def string_of(v: Column) -> Column:
@@ -106,7 +112,7 @@ def bind_verdict(values: Column, fields: Column, strict: bool | Column = False)
 
     Not an object; unknown keys (all are listed); then for each field: missing, its rows (count, then each row as a record of its
     own, then the characters of all rows so far), a checkbox that isn't a boolean, a text that isn't one, is blank, too long or holds controls."""
-    return X.let(F.when(is_object(values), members(values)), lambda record: _bind_verdict(record, fields, strict))
+    return X.let(members(values), lambda record: _bind_verdict(record, fields, strict))
 
 
 def _bind_verdict(record: Column, fields: Column, strict: bool | Column) -> Column:
@@ -116,7 +122,7 @@ def _bind_verdict(record: Column, fields: Column, strict: bool | Column) -> Colu
     extra = (lambda v: F.when(strict, strict_reason(v))) if isinstance(strict, Column) else strict_reason if strict else lambda v: none
 
     def row_reason(row: Column, columns: Column) -> Column:
-        return X.let(F.when(is_object(row), members(row)), lambda own: F.when(own.isNull(), "row-not-object").otherwise(member_reason(own, columns)))
+        return X.let(members(row), lambda own: F.when(own.isNull(), "row-not-object").otherwise(member_reason(own, columns)))
 
     def member_reason(own: Column, columns: Column) -> Column:
         names = F.transform(columns, lambda c: c["name"])
@@ -129,10 +135,10 @@ def _bind_verdict(record: Column, fields: Column, strict: bool | Column) -> Colu
     state = lambda n, reason, field: F.struct(n.cast("bigint").alias("n"), reason.cast("string").alias("reason"), field.cast("string").alias("field"))
 
     def field_state(a: Column, f: Column) -> Column:
-        return X.let_all(lambda x: value_state(a, f, x["v"], x["rows"]), v=F.try_element_at(record, f["name"]), rows=F.when(f["type"] == "rows", F.try_variant_get(F.try_element_at(record, f["name"]), "$", "array<variant>")))
+        return X.let_all(lambda x: value_state(a, f, x["v"], x["rows"]), v=F.try_element_at(record, f["name"]), rows=F.when(f["type"] == "rows", items(F.try_element_at(record, f["name"]))))
 
     def value_state(a: Column, f: Column, v: Column, rows: Column) -> Column:
-        counted = is_array(v) & F.size(rows).between(1, f["max_rows"])
+        counted = rows.isNotNull() & F.size(rows).between(1, f["max_rows"])
         grown = lambda r, row: X.let(r["n"] + characters(row), lambda n: state(n, F.coalesce(row_reason(row, f["columns"]), F.when(n > MAX_ROW_CHARACTERS, "total-length")), f["name"]))
         after = F.aggregate(rows, state(a["n"], F.lit(None), f["name"]), lambda r, row: F.when(r["reason"].isNotNull(), r).otherwise(grown(r, row)))
         scalar = F.when(f["type"] == "checkbox", F.when(F.coalesce(kind(v) != "BOOLEAN", F.lit(True)), "not-boolean")).otherwise(F.coalesce(text_reason(v, limit(f)), extra(v)))
@@ -153,7 +159,7 @@ def loss_verdict(report: Column) -> Column:
     """E_PRESERVATION unless a writer's report (variant) says that nothing was lost: a count of 0 and an empty list."""
     own = members(report)
     losses = F.try_element_at(own, F.lit("losses"))
-    none = (F.try_variant_get(F.try_element_at(own, F.lit("count")), "$", "double") == 0) & is_array(losses) & (F.size(F.try_variant_get(losses, "$", "array<variant>")) == 0)
+    none = (F.try_variant_get(F.try_element_at(own, F.lit("count")), "$", "double") == 0) & (F.size(items(losses)) == 0)
     return F.when(~F.coalesce(is_object(report) & none, F.lit(False)), "E_PRESERVATION")
 
 

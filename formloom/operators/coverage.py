@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.functions import text as X
-from formloom.functions.values import is_array, is_object, kind, members, string_of
+from formloom.functions.values import is_object, items, kind, members, string_of
 
 STATES = ("filled", "explicitly_excluded", "not_applicable", "blocked")
 HASH = r"\A[a-f0-9]{64}\z"
@@ -26,20 +26,20 @@ def user_instruction(evidence: Column) -> Column:
 
 
 def slots_of(inventory: Column) -> Column:
-    return F.when(is_array(get(inventory, "slots")), F.try_variant_get(get(inventory, "slots"), "$", "array<variant>"))
+    return items(get(inventory, "slots"))
 
 
 def slot_reason(slot: Column, i: Column, ids: Column) -> Column:
     """The first thing that is wrong with a slot."""
-    return X.let(F.when(is_object(slot), members(slot)), lambda own: X.let(F.try_element_at(own, F.lit("evidence")), lambda e: X.let(F.when(is_object(e), members(e)), lambda evidence: member_reason(own, evidence, i, ids))))
+    return X.let(members(slot), lambda own: X.let(members(F.try_element_at(own, F.lit("evidence"))), lambda evidence: member_reason(own, evidence, i, ids)))
 
 
 def member_reason(own: Column, evidence: Column, i: Column, ids: Column) -> Column:
     """The same of the slot's members and those of its evidence."""
     of = lambda m, key: F.try_element_at(m, F.lit(key))
     status, what = string_of(of(own, "status")), string_of(of(evidence, "kind"))
-    names = F.try_variant_get(of(evidence, "fields"), "$", "array<variant>")
-    fields = is_array(of(evidence, "fields")) & F.coalesce((F.size(names) > 0) & F.forall(names, has_text), F.lit(False))
+    names = items(of(evidence, "fields"))
+    fields = F.coalesce((F.size(names) > 0) & F.forall(names, has_text), F.lit(False))
     instructed = F.coalesce(what == "user-instruction", F.lit(False)) & has_text(of(evidence, "reference"))
     return (
         F.when(own.isNull() | ~has_text(of(own, "id")), "invalid-slot-id")
@@ -65,7 +65,7 @@ def inventory_verdict(inventory: Column, sha256: Column, fields: Column) -> Colu
 
 def links_of(slots: Column) -> Column:
     """name and slot of the fields that filled slots give as evidence, in order."""
-    linked = lambda s: F.when((string_of(get(s, "status")) == "filled") & (string_of(get(get(s, "evidence"), "kind")) == "fields"), F.transform(F.try_variant_get(get(get(s, "evidence"), "fields"), "$", "array<variant>"), string_of))
+    linked = lambda s: F.when((string_of(get(s, "status")) == "filled") & (string_of(get(get(s, "evidence"), "kind")) == "fields"), F.transform(items(get(get(s, "evidence"), "fields")), string_of))
     return F.flatten(F.transform(slots, lambda s, i: F.transform(F.coalesce(linked(s), F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), i.alias("i")))))
 
 

@@ -382,7 +382,9 @@ def fill_packages(docs: DataFrame, values: DataFrame) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     flow = F.coalesce("flow", F.lit(False)) if "flow" in values.columns else F.lit(False)
     own = values.select("path", "values", flow.alias("flow"))
-    both = docs.select("path", "format", "content").join(own, "path", "left").select("path", "format", "content", F.coalesce("values", none).alias("values"), F.coalesce("flow", F.lit(False)).alias("flow"))
+    # a package costs far more time than bytes: its work is spread by number, not by size
+    spread = docs.select("path", "format", "content").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    both = spread.join(own, "path", "left").select("path", "format", "content", F.coalesce("values", none).alias("values"), F.coalesce("flow", F.lit(False)).alias("flow"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
