@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from formloom.functions import text as X
+from formloom.operators.coverage import STATES
 from formloom.operators.lineage import cut
 
 
@@ -35,17 +36,18 @@ def register(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def coverage_verdict(slots: DataFrame, doc: str) -> DataFrame:
-    """doc, code, slot: the first failing slot of each inventory (slot, status, location, evidence), null codes if none fails."""
-    code = F.when(F.col("location").isNull() | X.blank(F.col("location")), "missing-location").when(~F.col("status").isin("filled", "external", "excluded", "not-applicable", "blocked"), "invalid-status").when((F.col("status") == "filled") & F.col("evidence").isNull(), "missing-evidence")
+    """doc, code, slot: the first failing slot of inventories that come as rows (slot, status, location, evidence), null codes if none fails. All but blocked
+    slots need evidence. (`coverage.inventory_verdict` judges whole inventories.)"""
+    code = F.when(F.col("location").isNull() | X.blank(F.col("location")), "missing-location").when(~F.coalesce(F.col("status").isin(*STATES), F.lit(False)), "invalid-status").when((F.col("status") != "blocked") & F.col("evidence").isNull(), "missing-evidence")
     judged = slots.withColumn("code", code)
     return judged.groupBy(doc).agg(F.min(F.when(F.col("code").isNotNull(), F.struct("slot", "code"))).alias("e"), F.count("*").alias("slots")).select(doc, F.col("e.code").alias("code"), F.col("e.slot").alias("slot"), "slots")
 
 
 def completion(slots: DataFrame, doc: str) -> DataFrame:
     """Counts by status and the completion status; a full document is never claimed complete."""
-    of = lambda s: F.count_if(F.col("status") == s).alias(s.replace("-", "_"))
-    out = slots.groupBy(doc).agg(F.count("*").alias("declared"), *[of(s) for s in ("filled", "external", "excluded", "not-applicable", "blocked")])
-    return out.withColumn("completion", F.when((F.col("declared") == 0) | (F.col("blocked") > 0), "incomplete").otherwise("requires-review"))
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    out = slots.groupBy(doc).agg(F.count("*").alias("declared"), *[of(s) for s in STATES])
+    return out.withColumn("completion", F.when(F.col("blocked") > 0, "incomplete").otherwise("requires-review"))
 
 
 def field_bijection(slot_fields: DataFrame, fields: DataFrame, doc: str) -> DataFrame:

@@ -118,13 +118,14 @@ def templates_register(spark, d):
     return K.registration(new, manifests(spark, d)).select("id", "error", F.col("manifest.title").alias("title"))
 
 
-@query("select unnest(['docx', 'hwp', 'hwpx', 'pdf']) as format, unnest([true, false, false, false]) as ready, unnest([null, 'E_INPUT', 'E_FIELDS', 'E_INPUT']) as code")
+@query("select unnest(['docx', 'hwp', 'hwpx', 'pdf']) as format, unnest([true, false, false, true]) as ready, unnest([null, 'E_INPUT', 'E_FIELDS', null]) as code")
 def doctor(spark, d):
-    form = F.element_at(F.array(*map(F.lit, ("docx", "hwp", "hwpx"))), (F.col("r_regionkey") + 1).cast("int"))
-    kind = F.when(F.col("r_regionkey") == 1, "pdf").otherwise(form)
-    fields = F.when(F.col("r_regionkey") == 2, "").otherwise('{"name": "a", "type": "text"}')
-    json = F.concat(F.lit('{"schemaVersion": 1, "title": "Report", "id": "report-'), form, F.lit('", "format": "'), kind, F.lit('", "file": "template.'), F.when(F.col("r_regionkey") == 1, "hwp").otherwise(form), F.lit('", "sha256": "'), F.sha2(F.col("r_name").cast("binary"), 256), F.lit('", "fields": ['), fields, F.lit("]}"))
-    rows = t(spark, d, "region").filter("r_regionkey < 3").select(F.concat(F.lit("report-"), form).alias("name"), F.lit("bundled").alias("origin"), json.alias("json"), F.lit("x/").alias("folder"))
+    """A manifest for each region: two of one id, one whose format isn't its file's, one without fields."""
+    k = F.col("r_regionkey")
+    form = F.element_at(F.array(*map(F.lit, ("docx", "hwp", "hwpx", "pdf", "docx"))), (k + 1).cast("int"))
+    fields = F.when(k == 2, "").otherwise('{"name": "a", "type": "text"}')
+    json = F.concat(F.lit('{"schemaVersion": 1, "title": "Report", "id": "report-'), form, F.lit('", "format": "'), form, F.lit('", "file": "template.'), F.when(k == 1, "pdf").otherwise(form), F.lit('", "sha256": "'), F.sha2(F.col("r_name").cast("binary"), 256), F.lit('", "fields": ['), fields, F.lit("]}"))
+    rows = t(spark, d, "region").select(F.concat(F.lit("report-"), form).alias("name"), F.lit("bundled").alias("origin"), json.alias("json"), F.concat(F.lit("x"), k.cast("string"), F.lit("/")).alias("folder"))
     return K.doctor(K.entries(rows))
 
 

@@ -184,20 +184,20 @@ def catalog_ready(spark, d):
 
 
 def slots(spark, d):
-    status = F.when(F.col("role") == "user", "filled").when(F.col("role") == "assistant", "external").when(F.col("turn") % 2 == 0, "blocked").otherwise("excluded")
+    status = F.when(F.col("role") == "user", "filled").when(F.col("role") == "assistant", "explicitly_excluded").when(F.col("turn") % 2 == 0, "blocked").when(F.col("turn") % 5 == 0, "done").otherwise("not_applicable")
     return t(spark, d, "conversations").select("conv_id", F.col("turn").alias("slot"), status.alias("status"), F.when(F.length("text") % 9 != 0, F.col("text")).alias("location"), F.when(F.length("text") % 5 != 0, F.lit("field")).alias("evidence"))
 
 
-SLOTS = "(select conv_id, turn as slot, case when role = 'user' then 'filled' when role = 'assistant' then 'external' when turn % 2 = 0 then 'blocked' else 'excluded' end as status, case when length(text) % 9 <> 0 then text end as location, case when length(text) % 5 <> 0 then 'field' end as evidence from conversations)"
+SLOTS = "(select conv_id, turn as slot, case when role = 'user' then 'filled' when role = 'assistant' then 'explicitly_excluded' when turn % 2 = 0 then 'blocked' when turn % 5 = 0 then 'done' else 'not_applicable' end as status, case when length(text) % 9 <> 0 then text end as location, case when length(text) % 5 <> 0 then 'field' end as evidence from conversations)"
 
 
-@query(f"""with v as (select *, case when location is null or trim(location) = '' then 'missing-location' when status = 'filled' and evidence is null then 'missing-evidence' end as code from {SLOTS})
+@query(f"""with v as (select *, case when location is null or trim(location) = '' then 'missing-location' when status = 'done' then 'invalid-status' when status <> 'blocked' and evidence is null then 'missing-evidence' end as code from {SLOTS})
 select conv_id, min_by(code, slot) filter (code is not null) as code, min(slot) filter (code is not null) as slot, count(*) as slots from v group by conv_id""")
 def coverage_verdict(spark, d):
     return R.coverage_verdict(slots(spark, d), "conv_id")
 
 
-@query(f"select conv_id, count(*) as declared, count(*) filter (status = 'filled') as filled, count(*) filter (status = 'external') as external, count(*) filter (status = 'excluded') as excluded, 0::bigint as not_applicable, count(*) filter (status = 'blocked') as blocked, case when count(*) filter (status = 'blocked') > 0 then 'incomplete' else 'requires-review' end as completion from {SLOTS} group by conv_id")
+@query(f"select conv_id, count(*) as declared, count(*) filter (status = 'filled') as filled, count(*) filter (status = 'explicitly_excluded') as explicitly_excluded, count(*) filter (status = 'not_applicable') as not_applicable, count(*) filter (status = 'blocked') as blocked, case when count(*) filter (status = 'blocked') > 0 then 'incomplete' else 'requires-review' end as completion from {SLOTS} group by conv_id")
 def completion_report(spark, d):
     return R.completion(slots(spark, d), "conv_id")
 
