@@ -77,8 +77,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import tamper_audit
+
+    return tamper_audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = [op1_suffix_array_dedup, op2_license_scans, op3_token_output, op4_nearest_neighbours, op5_line_dedup, op6_bpe, op7_toxicity, op8_minhash, op9_mixing, op10_media]
+    named = [op1_suffix_array_dedup, op2_license_scans, op3_token_output, op4_nearest_neighbours, op5_line_dedup, op6_bpe, op7_toxicity, op8_minhash, op9_mixing, op10_media, op11_merkle_manifest]
     return {f.__name__: f for f in named}
 
 
@@ -111,6 +117,6 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(k.component_id
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can say. Tokens, images, trained models and their draws, templates and approximate neighbours are tested against plain Python instead."""
-    from . import licenses
+    from . import licenses, merkle
 
-    return {"op1_suffix_array_dedup": REPEATS, "op2_license_scans": licenses.sql(), "op8_minhash": NEAR}
+    return {"op1_suffix_array_dedup": REPEATS, "op2_license_scans": licenses.sql(), "op8_minhash": NEAR, "op11_merkle_manifest": merkle.sql()}
