@@ -83,8 +83,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_audit(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence_audit
+
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = [op1_suffix_array_dedup, op2_license_scans, op3_token_output, op4_nearest_neighbours, op5_line_dedup, op6_bpe, op7_toxicity, op8_minhash, op9_mixing, op10_media, op11_merkle_manifest]
+    named = [op1_suffix_array_dedup, op2_license_scans, op3_token_output, op4_nearest_neighbours, op5_line_dedup, op6_bpe, op7_toxicity, op8_minhash, op9_mixing, op10_media, op11_merkle_manifest, op12_source_divergence]
     return {f.__name__: f for f in named}
 
 
@@ -117,6 +123,6 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(k.component_id
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can say. Tokens, images, trained models and their draws, templates and approximate neighbours are tested against plain Python instead."""
-    from . import licenses, merkle
+    from . import divergence, licenses, merkle
 
-    return {"op1_suffix_array_dedup": REPEATS, "op2_license_scans": licenses.sql(), "op8_minhash": NEAR, "op11_merkle_manifest": merkle.sql()}
+    return {"op1_suffix_array_dedup": REPEATS, "op2_license_scans": licenses.sql(), "op8_minhash": NEAR, "op11_merkle_manifest": merkle.sql(), "op12_source_divergence": divergence.sql()}

@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-from formloom.llm import merkle
+from formloom.llm import divergence, merkle
 from test_operators import prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, pos long, path string, term string"
@@ -76,3 +79,54 @@ def test_manifest_of_little(docs):
     two = docs.filter("doc_id in (900, 901)")
     paths = {r["doc_id"]: bytes(r["path"]) for r in merkle.dataset_manifest(two).collect()}
     assert [place for place, _ in merkle.runs(paths[900])] == [0] and [place for place, _ in merkle.runs(paths[901])] == [1]
+
+
+def plain_divergence(docs):
+    count, held, of_lang = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    lower = str.maketrans(merkle.UPPER, merkle.UPPER.lower())
+    for _, text, lang, source, *_ in docs:
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(lower))
+        count[lang or "", source or ""].update(words)
+        held[lang or ""].update(set(words))
+        of_lang[lang or ""].add(source or "")
+    for lang, sources in of_lang.items():
+        kept = [w for w, n in held[lang].items() if n >= divergence.MIN_DOCUMENTS]
+        rate = {}
+        for s in [*sources, None]:
+            c = {w: sum(count[lang, x][w] for x in (sources if s is None else [s])) for w in kept}
+            total = sum(c.values())
+            rate[s] = {w: 1 + 10**9 * (c[w] + 2) // (total + 2 * len(kept)) for w in kept}
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        for s in sources:
+            pairs = sorted((-sum(f(rate[s][w], rate[x][w]) for w in kept), x) for x in sources if x != s)
+            terms = sorted((-f(rate[s][w], rate[None][w]), w) for w in kept if count[lang, s][w] and rate[s][w] > rate[None][w])[:10]
+            for part, ranked in (("pair", pairs), ("term", terms)):
+                for rank, (value, item) in enumerate(ranked, 1):
+                    yield lang, s, part, item, -value, rank
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 12])
+def test_divergence(spark, docs, cells, monkeypatch):
+    monkeypatch.setattr(divergence, "CELLS", cells)  # few cells: many shards of few words
+    r = random.Random(9)
+    word = lambda: r.choice(["the", "Over", "UNDER", "été", "ab", "it's", "x9y", "漢字", "in"])
+    more = [(i, " ".join(word() for _ in range(r.randint(0, 30))), r.choice(["en", "de", None]), f"s{r.randint(0, 10)}", 0, "g", 1, "p", "t") for i in range(300)]
+    got = divergence.divergence_audit(docs.unionByName(spark.createDataFrame(more, SCHEMA)))
+    want = sorted(plain_divergence(rows() + more))
+    assert sorted(map(tuple, got.collect())) == want and len({x[4] for x in want}) > 50
+    assert divergence.divergence_audit(docs.limit(0)).collect() == []
+
+
+def test_rates_are_exact_beyond_64_bits():
+    n = np.array([[10**13, 5], [7, 0]])
+    got = divergence.rates(n, n.sum(axis=1), 2)
+    assert got.tolist() == [[1 + 10**9 * (x + 2) // (sum(row) + 4) for x in row] for row in n.tolist()]
+
+
+def test_every_two_seats_meet_once(spark):
+    seats = spark.range(divergence.SEATS).selectExpr("cast(id as int) seat")
+    met = Counter()
+    for turn in range(divergence.SEATS - 1):
+        for r in seats.withColumn("at", divergence.opponent("seat", turn)).collect():
+            met[frozenset(r)] += 1
+    assert set(met.values()) == {2} and len(met) == divergence.SEATS * (divergence.SEATS - 1) // 2
