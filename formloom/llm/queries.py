@@ -89,8 +89,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(table(spark, sf_dir, "documents"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = [op1_suffix_array_dedup, op2_license_scans, op3_token_output, op4_nearest_neighbours, op5_line_dedup, op6_bpe, op7_toxicity, op8_minhash, op9_mixing, op10_media, op11_merkle_manifest, op12_source_divergence]
+    named = [op1_suffix_array_dedup, op2_license_scans, op3_token_output, op4_nearest_neighbours, op5_line_dedup, op6_bpe, op7_toxicity, op8_minhash, op9_mixing, op10_media, op11_merkle_manifest, op12_source_divergence, op13_language_model]
     return {f.__name__: f for f in named}
 
 

@@ -1,6 +1,7 @@
 """Manifest, divergence audit and language model against plain Python, with nulls, empties, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from formloom.llm import divergence, merkle
+from formloom.llm import divergence, language_model, merkle
 from test_operators import prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, pos long, path string, term string"
@@ -130,3 +131,100 @@ def test_every_two_seats_meet_once(spark):
         for r in seats.withColumn("at", divergence.opponent("seat", turn)).collect():
             met[frozenset(r)] += 1
     assert set(met.values()) == {2} and len(met) == divergence.SEATS * (divergence.SEATS - 1) // 2
+
+
+LM = [(i, prose(i % 40, 5 + i % 9).title() + " The\u00a0End\tof  it. " * (i % 3), "en", "s", 0, "g", 1, "p", "t") for i in range(120)]
+LM += [(200, None, "en", "s", 0, "g", 1, "p", "t"), (201, "", "en", "s", 0, "g", 1, "p", "t"), (202, " \n ", "en", "s", 0, "g", 1, "p", "t"), (3, "same id", "en", "s", 0, "g", 1, "p", "t"), (None, "no id", "en", "s", 0, "g", 1, "p", "t")]
+LM += [(7, "twice twice", "en", "s", 0, "g", 1, "p", "t")] * 3 + [(204, "long " * 20000, "en", "s", 0, "g", 1, "p", "t")]
+
+
+def plain_base(rows):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base score."""
+    lower = str.maketrans(merkle.UPPER, merkle.UPPER.lower())
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), ""]) for i, t, *_ in rows]
+    c = Counter(w for i, ws in tokens if not out(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    return [(i, out(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens]
+
+
+def test_language_model(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BLOCK", 150)
+    monkeypatch.setattr(language_model, "OWNER", 9000)
+    got = language_model.language_model_scores(spark.createDataFrame(LM, SCHEMA)).collect()
+    key = lambda rows: sorted(rows, key=repr)
+    assert key((*r[:5], round(r[5], 6)) for r in got) == key(plain_base(LM))
+    for out in (False, True):
+        of = [r for r in got if r["held_out"] == out]
+        assert of and sum(r["score"] for r in of) > sum(r["base_score"] for r in of)
+    assert all(r["score"] < 0 for r in got)
+    assert language_model.language_model_scores(spark.createDataFrame([], SCHEMA)).collect() == []
+    held = language_model.language_model_scores(spark.createDataFrame([r for r in LM if r[0] in (205, 206, 2, 9, 14)][:1] or LM[:1], SCHEMA))
+    assert held.count() == 1
+
+
+def test_language_model_without_training(spark):
+    i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = language_model.language_model_scores(spark.createDataFrame([(i, "a b", "en", "s", 0, "g", 1, "p", "t")], SCHEMA)).first()
+    assert tuple(got)[2:] == (3, 0, 0, 0.0, 0.0)
+
+
+def test_language_model_sums_to_one(spark, monkeypatch):
+    """Over all words of the vocabulary and the unknown one, after every context."""
+    held = {}
+    scores = language_model.scores
+    monkeypatch.setattr(language_model, "OWNER", 4000)
+    monkeypatch.setattr(language_model, "scores", lambda *a: held.setdefault("a", a) and scores(*a))
+    language_model.language_model_scores(spark.createDataFrame(LM, SCHEMA).coalesce(1))
+    _, rows, owners, parent, discount, total, words = held["a"]
+    got = defaultdict(list)
+    for r in rows.collect():
+        got[r["kind"]].append(r.asDict())
+    assert owners > 1 and len(got["lexicon"]) == 1
+    ids = language_model.get(got["lexicon"][0]["keys"]).astype(np.uint64)
+    counts = language_model.get(got["lexicon"][0]["a"]).astype(np.int64)
+    ids, counts = ids[counts > 0], counts[counts > 0]
+    assert len(ids) == words and counts.sum() == total
+    tables, left = language_model.replies(ids, got["reply"], owners)
+    rate = parent.rate(left)
+    assert abs(rate.sum() + parent.unknown() - 1) < 1e-6
+    seen = language_model.get_sorted(held["a"][0].filter("keys is not null").first()["keys"])
+    # the block asked for its own pairs only; all others have no customers
+    lexicon = language_model.get(got["lexicon"][0]["keys"]).astype(np.uint64)
+    every = language_model.get(got["lexicon"][0]["a"]).astype(np.int64)
+    c, t = np.zeros((len(lexicon), len(lexicon))), np.zeros((len(lexicon), len(lexicon)))
+    by = {r["peer"]: r for r in got["answer"]}
+    for owner, _, places in language_model.routed(seen, lexicon, every, owners):
+        u, w = (seen[places] >> np.uint64(32)).astype(int), (seen[places] & np.uint64(0xFFFFFFFF)).astype(int)
+        c[u, w], t[u, w] = language_model.get(by[owner]["a"]), language_model.get(by[owner]["b"])
+    known = np.flatnonzero(every > 0)
+    c, t = c[np.ix_(known, known)], t[np.ix_(known, known)]
+    assert (c.sum(axis=1) == counts).all() and np.abs(t.sum(axis=1) - tables).max() < 1e-3
+    p = (c - discount * t + (1 + discount * tables[:, None]) * rate) / (1 + counts[:, None])
+    unknown = (1 + discount * tables) * parent.unknown() / (1 + counts)
+    assert np.abs(p.sum(axis=1) + unknown - 1).max() < 1e-5
+
+
+@pytest.mark.parametrize(("c", "rate", "d"), [(2, 0.01, 0.6), (6, 0.3, 0.5), (20, 0.05, 0.8)])
+def test_seating_has_the_posterior(c, rate, d):
+    """One dish a room: tables t weigh rate^t times (1)(1 + d)...(1 + (t - 1) d) times the generalised Stirling number of c and t."""
+    s = [1.0]
+    for k in range(1, c):
+        s = [(s[t - 1] if t else 0) + ((k - d * (t + 1)) * s[t] if t < len(s) else 0) for t in range(len(s) + 1)]
+    weight, rise = [], 1.0
+    for t in range(1, c + 1):
+        rise *= rate * (1 + d * (t - 1))
+        weight.append(rise * s[t - 1])
+    want = sum(t * x for t, x in enumerate(weight, 1)) / sum(weight)
+    n = 4000
+    house = language_model.Restaurants(np.full(n, c), np.arange(n), np.ones(n), d, 1, parent=np.full(n, rate))
+    for _ in range(12):
+        house.sweep(np.full(n, rate))
+        assert (house.tables == house.t).all() and house.sizes.sum() == n * c and (house.sizes > 0).all() and len(house.sizes) == house.t.sum()
+    assert abs(house.t.mean() - want) < 0.03 * want + 0.02
+
+
+def test_frequent_contexts_are_split():
+    u, w = np.zeros(9000, np.uint64), np.arange(9000, dtype=np.uint64)
+    assert len(set(language_model.pair_owner(u, w, np.full(9000, 10), 50))) == 1
+    assert len(set(language_model.pair_owner(u, w, np.full(9000, 40 * language_model.OWNER), 50))) > 25
