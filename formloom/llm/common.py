@@ -39,12 +39,12 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
+def stored(df: DataFrame, compression: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut and a lost executor loses nothing. by: a column whose values get folders of their own."""
     spark = df.sparkSession
     path = shared_dir(spark)
     with shuffles_dropped(spark):
-        df.write.option("compression", compression).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._formloom_path = path
     return out
@@ -58,6 +58,16 @@ def dropped(*tables: DataFrame | None) -> None:
             fs.delete_dir(path)
 
 
+def dropped_parts(table: DataFrame, by: str, *values: str) -> None:
+    """Delete the folders of some values of a table that was stored by a column."""
+    from pyarrow import fs as pafs
+
+    fs, path = filesystem(table._formloom_path)
+    for folder in (f"{path}/{by}={v}" for v in values):
+        if fs.get_file_info(folder).type == pafs.FileType.Directory:
+            fs.delete_dir(folder)
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of the row's id and text. It decides together with doc_id, so only texts of one doc_id could meet."""
     return F.xxhash64(*[F.col(c) for c in cols])
