@@ -210,20 +210,16 @@ def test_mixing_stage(spark, folder):
     rates = mixing.rates(docs, labels).collect()
     n = np.array([r.n_tokens for r in rates], float)
     p, rate = np.array([[r.p_high, r.p_low, r.p_toxic] for r in rates]), np.array([r.rate for r in rates])
-    # against plain projected gradients on the same rows: targets in reach are met, others get the compromise
+    # targets that plain projected gradients meet are met; else the errors fall, and no rate leaves the others far behind
     target, share = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]), n / n.sum()
-    error = lambda x: np.abs(p.T @ (share * x) - target).max()
-
-    def descended(ridge):
-        x = np.ones(len(n))
-        for _ in range(20_000):
-            x = np.maximum(0, x - 0.5 * (p @ (p.T @ (share * x) - target) + ridge * (x - 1)))
-        return x
-
-    if error(descended(mixing.RIDGE)) > 1e-2:
-        assert np.abs(descended(mixing.COMPROMISE) - rate)[n > 0].max() < 1e-2
+    error = lambda x: p.T @ (share * x) - target
+    x = np.ones(len(n))
+    for _ in range(20_000):
+        x = np.clip(x - 0.5 * (p @ error(x) + mixing.RIDGE * (x - 1)), 0, mixing.MOST)
+    if np.abs(error(x)).max() < 1e-3:
+        assert np.abs(error(rate)).max() < 1e-3
     else:
-        assert error(rate) < 1e-3
+        assert (error(rate) ** 2).sum() < (error(np.ones(len(n))) ** 2).sum() and rate.max() <= mixing.MOST
     got = corpus_pipeline.mix(spark, docs, folder)
     times = {r.k: int(np.floor(r.rate + t.u)) for r, t in zip(rates, spark.createDataFrame([(r.k,) for r in rates], "k long").selectExpr("pmod(xxhash64('mix', k), 1048576) / 1048576D u").collect(), strict=True)}
     assert got.columns == COLUMNS and got.count() == sum(times[r.k] for r in rates)
