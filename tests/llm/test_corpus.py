@@ -227,4 +227,4 @@ def test_seating_has_the_posterior(c, rate, d):
 def test_frequent_contexts_are_split():
     u, w = np.zeros(9000, np.uint64), np.arange(9000, dtype=np.uint64)
     assert len(set(language_model.pair_owner(u, w, np.full(9000, 10), 50))) == 1
-    assert len(set(language_model.pair_owner(u, w, np.full(9000, 40 * language_model.OWNER), 50))) > 25
+    assert len(set(language_model.pair_owner(u, w, np.full(9000, 160 * language_model.PIECE), 50))) > 25
