@@ -1,16 +1,14 @@
 """Line dedup with a log-template tree.
 
 A line is a list of tokens; tokens that hold a digit are variable fields from the start. The tree has a fixed depth: the
-number of tokens, then the DEPTH leading tokens; a leaf holds the templates of its lines. Lines of a leaf join the first template of
-which at least SIMILAR of the tokens agree, and tokens that differ become variable. A template recurs if its lines stand in at
+number of tokens, then the DEPTH leading tokens. In a leaf, a line's fields after these are ordered by how many documents hold the same token in that place of the leaf's
+lines, and as many of the rarest as SIMILAR leaves are variable too (of equally rare ones the first). Lines of a leaf have one template if all else is the same. A template recurs if its lines stand in at
 least MIN_DOCUMENTS documents with different texts (exact copies of a document count once), and so does a line of over LONG tokens
 by itself that stands in LONG_DOCUMENTS; its lines are dropped everywhere but
 at its first place (smallest doc_id, then line number), so one copy of every passage stays.
 
-Leaves are clustered in blocks of whole leaves. A leaf with over LEAF different lines is dealt into parts of about LEAF lines by
-the hash of the line; the templates of its parts are then clustered again as one leaf, so lines meet wherever they differ, and
-documents are counted after that. A leaf of n lines brings its templates together in one task: n / LEAF at least, n if no two
-lines of it are alike. Counting is by sums that combine before the shuffle.
+What is variable follows from sums alone, so it doesn't depend on how a leaf's lines are dealt. Leaves are worked out in blocks of whole leaves. The tokens of a leaf with over LEAF different
+lines are counted by an exchange of its own instead, with the same result. Counting is by sums that combine before the shuffle.
 
 Defined results: a null text is empty and stays null; blank lines are never dropped; line ends are LF; a null doc_id comes last; rows equal
 in doc_id and text are one place each and lose the same lines; an empty table gives no rows; extra columns stay as they are.
@@ -36,22 +34,20 @@ MIN_DOCUMENTS = 5
 #: Lines of over LONG tokens that are equal but for fields with digits recur from LONG_DOCUMENTS documents on.
 LONG = 50
 LONG_DOCUMENTS = 2
-LEAF = 400
+LEAF = 4000
 BLOCK = 20_000
 CACHED_WORDS = 400_000
 LAST = 2**63 - 1
-#: Mark of a field in which the lines of a part's template differ: it agrees with nothing.
-FREE = 65535
 DIGIT = re.compile(r"\d")
 
 
 class Tokens(dict):
-    """Token to a 16-bit fingerprint from 1 on, under FREE; 0 for a variable field. Fills itself, bounded."""
+    """Token to a 16-bit fingerprint from 1 on; 0 for a variable field. Fills itself, bounded."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        got = self[token] = 0 if DIGIT.search(token) else xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) % (FREE - 1) + 1
+        got = self[token] = 0 if DIGIT.search(token) else xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) % 65535 + 1
         return got
 
 
@@ -105,36 +101,23 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("k", "doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, "k long, doc long, print long, no int, leaf long, line long, marks binary")
 
 
-def clustered(leaf_lines: DataFrame) -> DataFrame:
-    """line, template (a line of it), shape: leaf, line, documents, marks of all lines of each leaf go in. A template's own line has
-    its marks as shape, FREE where its lines differ; others have none."""
-
-    def of_leaf(line: np.ndarray, weight: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, list[bytes | None]]:
-        rows = np.frombuffer(b"".join(marks), "<u2").reshape(len(marks), -1)
-        order = np.lexsort((line, -weight))
-        width = rows.shape[1]
-        templates = np.zeros((min(64, len(order)), width), np.uint16)
-        leader: list[int] = []
-        n, out = 0, np.zeros(len(order), np.int64)
-        for i in order.tolist():
-            if n:
-                # a field that is variable on both sides agrees as well: lines of nothing but fields are alike
-                agree = (templates[:n] == rows[i]).sum(axis=1)
-                best = int(np.argmax(agree))
-                if agree[best] >= SIMILAR * width:
-                    templates[best][templates[best] != rows[i]] = 0
-                    out[i] = line[leader[best]]
-                    continue
-            if n == len(templates):
-                templates = np.concatenate([templates, np.zeros((min(n, len(order) - n), width), np.uint16)])
-            templates[n] = np.where(rows[i] == FREE, 0, rows[i])
-            leader.append(i)
-            out[i] = line[i]
-            n += 1
-        shapes: list[bytes | None] = [None] * len(order)
-        for t, i in zip(templates, leader, strict=False):
-            shapes[i] = np.where((t == 0) & (rows[i] != 0), FREE, t).astype("<u2").tobytes()
-        return out, shapes
+def template_of(line: int, leaf: int, marks: np.ndarray, held: np.ndarray) -> int:
+    """The template of a line: its leaf and its marks without the rarest ones. held: documents that hold each mark in its place of the leaf."""
+    free = int((1 - SIMILAR) * len(marks) + 1e-9)
+    open_ = DEPTH + np.flatnonzero(marks[DEPTH:])
+    if not free or not len(open_):
+        return line
+    kept = marks.copy()
+    kept[open_[np.argsort(held[open_], kind="stable")[:free]]] = 0
+    return signed(xxhash.xxh3_64_intdigest(kept.astype("<u2").tobytes() + leaf.to_bytes(8, "little", signed=True)))
+
+
+def packed_templates(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["line", "template"])
+
+
+def of_small(leaf_lines: DataFrame) -> DataFrame:
+    """line, template of leaves that each fit a task; leaf_lines: leaf, line, documents, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -142,9 +125,15 @@ def clustered(leaf_lines: DataFrame) -> DataFrame:
         def done(t: pa.Table) -> pa.RecordBatch:
             leaf, line, weight, marks = np.asarray(t["leaf"]), np.asarray(t["line"]), np.asarray(t["documents"]), t["marks"].to_pylist()
             cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)] if len(leaf) else [0]
-            out = [of_leaf(line[a:b], weight[a:b], marks[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            template = np.concatenate([x[0] for x in out] or [np.zeros(0, np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(line), pa.array(template), pa.array([s for x in out for s in x[1]], pa.binary())], ["line", "template", "shape"])
+            out: list[tuple[int, int]] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rows = np.frombuffer(b"".join(marks[a:b]), "<u2").reshape(b - a, -1)
+                held = np.zeros(rows.shape, np.int64)
+                for k in range(DEPTH, rows.shape[1]):  # the leading tokens are those of the leaf
+                    _, at = np.unique(rows[:, k], return_inverse=True)
+                    held[:, k] = np.bincount(at, weights=weight[a:b])[at]
+                out += [(n, template_of(n, int(leaf[a]), row, x)) for n, row, x in zip(line[a:b].tolist(), rows, held, strict=True)]
+            return packed_templates(out)
 
         n = 0
         for batch in batches:
@@ -161,21 +150,44 @@ def clustered(leaf_lines: DataFrame) -> DataFrame:
             yield done(pa.Table.from_batches(kept).combine_chunks())
 
     dealt = leaf_lines.select("leaf", "line", "documents", "marks").repartition(common.shuffle_parts(leaf_lines.sparkSession), "leaf").sortWithinPartitions("leaf", "line")
-    return dealt.mapInArrow(run, "line long, template long, shape binary")
+    return dealt.mapInArrow(run, "line long, template long")
+
+
+def of_large(leaf_lines: DataFrame) -> DataFrame:
+    """line, template of leaves of any size: each token of each place is a row, counted over all lines of its leaf."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [np.frombuffer(m, "<u2") for m in batch.column(3).to_pylist()]
+            size = [max(0, len(m) - DEPTH) for m in marks]
+            each = [np.repeat(np.asarray(batch.column(k)), size) for k in range(3)]
+            at = np.concatenate([np.arange(DEPTH, DEPTH + n) for n in size] or [np.zeros(0)])
+            mark = np.concatenate([m[DEPTH:] for m in marks] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(at, pa.int32()), pa.array(mark, pa.int32())], ["leaf", "line", "documents", "at", "mark"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for leaf, line, marks, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                m = np.frombuffer(marks, "<u2")
+                held = np.zeros(len(m), np.int64)
+                for x in counts or []:
+                    held[x["at"]] = x["n"]
+                out.append((line, template_of(line, leaf, m, held)))
+            yield packed_templates(out)
+
+    large = leaf_lines.select("leaf", "line", "documents", "marks")
+    tokens = large.mapInArrow(placed, "leaf long, line long, documents long, at int, mark int").filter("mark != 0")
+    counts = tokens.groupBy("leaf", "at", "mark").agg(F.sum("documents").alias("n"))
+    each = tokens.join(counts, ["leaf", "at", "mark"]).groupBy("line").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
+    return large.join(each, "line", "left").select("leaf", "line", "marks", "counts").mapInArrow(named, "line long, template long")
 
 
 def templates(leaf_lines: DataFrame) -> DataFrame:
     """line, template of all lines of each leaf; leaf_lines: leaf, line, documents, marks, n (lines of the leaf)."""
-    small = clustered(leaf_lines.filter(F.col("n") <= LEAF)).drop("shape")
+    small = of_small(leaf_lines.filter(F.col("n") <= LEAF))
     large = leaf_lines.filter(F.col("n") > LEAF)
-    if not large.limit(1).count():
-        return small
-    part = F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / LEAF))
-    parts = common.stored(clustered(large.withColumn("leaf", F.xxhash64("leaf", part))))
-    weights = parts.join(large.select("line", "leaf", "documents"), "line").groupBy("template").agg(F.min("leaf").alias("leaf"), F.sum("documents").alias("documents"))
-    heads = parts.filter("shape is not null").select("template", F.col("shape").alias("marks")).join(weights, "template")
-    whole = clustered(heads.withColumnRenamed("template", "line")).select(F.col("line").alias("template"), F.col("template").alias("of"))
-    return small.unionByName(parts.join(whole, "template").select("line", F.col("of").alias("template")))
+    return small.unionByName(of_large(large)) if large.limit(1).count() else small
 
 
 def recurring(table: DataFrame, min_documents: int) -> DataFrame:

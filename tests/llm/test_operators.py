@@ -346,12 +346,49 @@ def test_large_leaf(spark, leaf, monkeypatch):
     assert {i for i, x in out.items() if x._cut} == set(range(1, 450))
 
 
+def test_leaf_size_changes_nothing(spark, monkeypatch):
+    """Three families in one leaf, a third of the fields free: the same lines go, whatever a large leaf is."""
+    r = random.Random(3)
+    kin = [[prose(70 + f, 9).split()[i] for i in range(9)] for f in range(3)]
+    free = [r.sample(range(2, 9), 3) for _ in kin]
+
+    def line():
+        f = r.randrange(3)
+        return " ".join(["lead", *[r.choice(kin[f] + ["x", "y"]) + "abcdefgh"[r.randrange(8)] if k in free[f] else w for k, w in enumerate(kin[f])]])
+
+    rows = [(i, line(), "en", "s", "x", 5, "b") for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    for leaf in (2, 50, 400, 100_000):
+        monkeypatch.setattr(lines, "LEAF", leaf)
+        seen.append({(x.doc_id, x._cut) for x in lines.cut_lines(df).collect()})
+    assert seen[0] == seen[1] == seen[2] == seen[3] and sum(n for _, n in seen[0]) > 1200
+
+
 def test_long_lines(spark):
     rows = [(i, f"{prose(i, 30)}\n{prose(501, 51)}\n{prose(502, 50)}", "en", "s", "x", 5, "b") for i in range(2)]
     out = by_id(lines.cut_lines(spark.createDataFrame(rows, SCHEMA)))
     assert out[0].text == rows[0][1] and out[1].text == f"{prose(1, 30)}\n{prose(502, 50)}"
 
 
+def test_keep_clean_keeps_columns(spark):
+    d = spark.createDataFrame([(i, prose(i, 40) + (" idiot moron scum" * 2 if i % 8 == 0 else ""), 0.5, "x") for i in range(400)], "doc_id long, text string, _toxicity double, _Toxicity_ string")
+    labels = spark.createDataFrame([(i, 0, int(i % 8 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = toxicity.keep_clean(d, labels)
+    assert got.columns == d.columns and {r._toxicity for r in got.collect()} == {0.5}
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200])
+def test_vectors_of_any_size(spark, size):
+    v = np.random.default_rng(3).normal(size=(100, 8))
+    rows = [(i, [float(y) * size for y in x]) for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(d, d.filter("vec_id < 10"), 5).collect()}
+    dots = v @ v.T
+    want = {(q, k + 1): i for q in range(10) for k, i in enumerate([i for i in np.argsort(-dots[q]) if i != q][:5])}
+    assert len(got) == 50 and sum(got[k] == want[k] for k in want) >= 47
+
+
 def test_learnt(spark, docs, empty):
     r = random.Random(5)
     rows = [(i, prose(i, 40) + (" idiot moron scum" * 2 if i % 8 == 0 else ""), "en", "s", "x", 5, "b") for i in range(900)]

@@ -73,16 +73,15 @@ def plain_lines(docs):
         leaves[len(words), words[: lines.DEPTH]].append(words)
     drop = {}
     for leaf in leaves.values():
-        name = lambda ws: lines.line_name(" ".join("0" if w is None else w for w in ws), lines.Tokens())[1]
-        templates = []
-        for words in sorted(leaf, key=lambda ws: (-len(documents[ws]), name(ws))):
-            fits = [sum(a == b for a, b in zip(t[0], words, strict=True)) for t in templates]
-            if fits and max(fits) >= lines.SIMILAR * len(words):
-                t = templates[fits.index(max(fits))]
-                t[0] = [a if a == b else None for a, b in zip(t[0], words, strict=True)]
-                t[1].append(words)
-            else:
-                templates.append([list(words), [words]])
+        held = Counter()
+        for words in leaf:
+            held.update({(at, w): len(documents[words]) for at, w in enumerate(words)})
+        families = defaultdict(list)
+        for words in leaf:
+            places = sorted((held[at, w], at) for at, w in enumerate(words) if at >= lines.DEPTH and w is not None)
+            gone = {at for _, at in places[: int((1 - lines.SIMILAR) * len(words) + 1e-9)]}
+            families[tuple(None if at in gone else w for at, w in enumerate(words)) if gone else (words,)].append(words)
+        templates = [(None, members) for members in families.values()]
         for _, members in templates:
             union = set().union(*(documents[m] for m in members))
             places = [(k, seen[k, ws]) for k, ws in seen if ws in members]
