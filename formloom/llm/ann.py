@@ -153,12 +153,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score. vectors and queries: vec_id, embedding; a query isn't its own candidate."""
     spark = vectors.sparkSession
     v, q = common.stored(valid(vectors)), common.stored(valid(queries))
-    square = F.expr("aggregate(v, 0d, (a, x) -> a + double(x) * double(x))")
-    head = v.agg(F.count("*").alias("n"), F.min(F.struct("vec_id", F.size("v").alias("d"))).alias("one"), F.max(square).alias("norm")).first()
+    peak = F.expr("array_max(transform(v, x -> abs(double(x))))")
+    head = v.agg(F.count("*").alias("n"), F.min(F.struct("vec_id", F.size("v").alias("d"))).alias("one"), F.max(peak).alias("peak")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not head["n"]:
         return empty
-    dim, norm = head["one"]["d"], math.sqrt(head["norm"])
+    # squares of components beyond 1e100 or of nothing but tiny ones leave double precision: search what a power of two brings near 1, which changes no digit
+    far = not 1e-100 < head["peak"] < 1e100
+    down = 2.0 ** -max(-1000, min(1000, math.frexp(head["peak"])[1])) if far else 1.0
+    dim, norm = head["one"]["d"], math.sqrt(v.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * down * (x * down)))).first()[0])
     v, q = v.filter(F.size("v") == dim), q.filter(F.size("v") == dim)
     m = q.count()
     if not m:
@@ -172,7 +175,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             q, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            rows = lambda t: np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, dim).astype(np.float64)
+            rows = lambda t: np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, dim).astype(np.float64) * down
             q, d, s = search_block(np.asarray(left["vec_id"]), np.asarray(left["n"]), rows(left), np.asarray(right["vec_id"]), rows(right), norm, k)
         kept = {c: right[c].take(pa.array(q)) for c in ("vec_id", "of", "n")}
         return pa.table({"query_id": kept["vec_id"], "of": kept["of"], "n": kept["n"], "vec_id": pa.array(d, pa.int64()), "score": pa.array(s, pa.float64())})
@@ -180,4 +183,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     found = data.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInArrow(run, "query_id long, of long, n long, vec_id long, score double")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= k)
     again = best.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return again.select("query_id", "rank", "vec_id", "score")
+    # back to the vectors as they came; beyond double precision this is infinite, the order stays
+    return again.select("query_id", "rank", "vec_id", (F.col("score") / F.lit(down) / F.lit(down)).alias("score"))

@@ -9,7 +9,8 @@ places the cut that the score 0.7 stands for where the same risk, with the 0-1 l
 the confirmed toxic ones is used. The score is of the mean of the models' logits, each taken from its own cut.
 
 The classifier is fitted on a bounded sample of labelled rows: POSITIVES, UNLABELLED (those with the smallest hash of doc_id) and
-WORDS, the most frequent words of a row that take part; scoring reads every whole text and every word.
+WORDS, the most frequent words of a row that take part; scoring reads every whole text and every word. What the bounds cost: words beyond WORDS of a sampled row and buckets
+in fewer than MIN_DOCUMENTS sampled rows have no weight, and words that share one of BUCKETS buckets share their weight. A text of any length can be scored.
 
 Defined results: null or empty texts have no words and get the score of the intercept alone; a null doc_id is never
 held out; without any toxic label in the rows to learn from, all scores are 0; repeated rows get equal scores; of several texts with one
@@ -194,7 +195,7 @@ def learned(positive: list, unlabelled: list, prior: float) -> Model | None:
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with a score. The model (BUCKETS floats) is broadcast once."""
+    """docs with a score, in the place of a column of that name. The model (BUCKETS floats) is broadcast once."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     base = docs.drop(score)
@@ -223,4 +224,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that are predicted toxic; columns as before."""
     plain = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     model = fit(plain, labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic"))
-    return scored(docs, model, score="_toxicity").filter(F.col("_toxicity") < REJECT).drop("_toxicity")
+    score = "_toxicity"
+    while score in map(str.lower, docs.columns):
+        score += "_"
+    return scored(docs, model, score=score).filter(F.col(score) < REJECT).drop(score)
