@@ -151,6 +151,7 @@ def plain_base(rows):
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(language_model, "BLOCK", 150)
     monkeypatch.setattr(language_model, "OWNER", 9000)
+    monkeypatch.setattr(language_model, "ROUNDS", 2)
     got = language_model.language_model_scores(spark.createDataFrame(LM, SCHEMA)).collect()
     key = lambda rows: sorted(rows, key=repr)
     assert key((*r[:5], round(r[5], 6)) for r in got) == key(plain_base(LM))
