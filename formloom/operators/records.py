@@ -123,9 +123,24 @@ def single_child(children: DataFrame, parent: str, kind: str, of: str) -> DataFr
 
 
 def boxes_overlap(boxes: DataFrame, group: str) -> DataFrame:
-    """Pairs of overlapping boxes (id, x, y, w, h) of a group (a page)."""
-    b = boxes.select(group, *[F.col(c).alias(f"{c}2") for c in ("id", "x", "y", "w", "h")])
-    return boxes.join(b, group).filter("id < id2 and x < x2 + w2 and x2 < x + w and y < y2 + h2 and y2 < y + h").select(group, F.col("id").alias("a"), F.col("id2").alias("b"))
+    """Pairs of overlapping boxes (id, x, y, w, h) of a group (a page).
+
+    Boxes are dealt to the cells of grids. A grid's cells are as large as a power of two at least as large as the box, so a box touches four cells of its own grid at most,
+    however sizes differ; of two sizes, the box of the smaller one is dealt to the larger one's grid as well. A pair may meet in several cells: it counts in the one that holds
+    the upper left corner of what the boxes share. Work grows with the boxes and the pairs in a cell, not with the square of a page."""
+    positive = boxes.filter("w > 0 and h > 0")
+    side = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("w", "h").cast("double")))).cast("int")
+    b = positive.select(group, *[F.col(c).alias(c) for c in ("id", "x", "y", "w", "h")], side.alias("level"))
+    levels = b.select(group, F.col("level").alias("grid")).distinct()
+    size = lambda: F.pow(F.lit(2.0), F.col("grid"))
+    span = lambda at, long: F.sequence(F.floor(F.col(at) / size()), F.floor((F.col(at) + F.col(long)) / size()))
+    # few sizes: a page has a grid for each power of two that its boxes have
+    dealt = b.join(levels, group).filter("grid >= level").withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
+    own = dealt.filter("grid = level")
+    other = dealt.select(group, "grid", "cx", "cy", *[F.col(c).alias(f"{c}2") for c in ("id", "x", "y", "w", "h", "level")])
+    met = own.join(other, [group, "grid", "cx", "cy"]).filter("x < x2 + w2 and x2 < x + w and y < y2 + h2 and y2 < y + h and (level > level2 or (level = level2 and id < id2))")
+    met = met.filter((F.floor(F.greatest("x", "x2") / size()) == F.col("cx")) & (F.floor(F.greatest("y", "y2") / size()) == F.col("cy")))
+    return met.select(group, F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
 def level_check(records: DataFrame, doc: str, no: str, level: str) -> DataFrame:
@@ -153,6 +168,32 @@ def style_chains(styles: DataFrame) -> DataFrame:
     return state.select("id", "root", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("cycle"))
 
 
+def style_properties(styles: DataFrame, doc: str) -> DataFrame:
+    """doc, id, props, depth, reason of styles (doc, id, type, parent, props map, conditional): all properties that hold for a style, each set by the nearest
+    style of its chain that sets it.
+
+    Pointer jumping: a state is how far a style has looked and what it found there; two states join into one of twice the reach, the nearer one's properties before the farther one's (maps
+    merge associatively), so a chain of n takes log n rounds whatever the number of properties. Reasons, the first that the chain meets: an id that several styles have, a
+    parent that isn't there, a parent of another type, a style whose properties depend on a condition, a chain that comes back to itself."""
+    n = styles.groupBy(doc, "id").agg(F.count("*").alias("n"), F.first("type").alias("type"), F.first("parent").alias("parent"), F.first("props").alias("props"), F.bool_or(F.coalesce("conditional", F.lit(False))).alias("conditional"))
+    known = n.select(doc, F.col("id").alias("parent"), F.col("type").alias("above"), F.col("n").alias("many"))
+    x = n.join(known, [doc, "parent"], "left")
+    lost = F.col("parent").isNotNull() & F.col("above").isNull()
+    reason = F.when(F.col("n") > 1, "ambiguous-style").when(F.col("conditional"), "conditional-style").when(lost, "missing-style").when(F.col("above") != F.col("type"), "ambiguous-style")
+    state = cut(x.select(doc, "id", F.when(F.col("above").isNotNull() & reason.isNull(), F.col("parent")).alias("up"), F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"), F.lit(0).cast("long").alias("depth"), reason.alias("reason")))
+    longest = styles.groupBy(doc).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(longest).bit_length() + 1):
+        if not state.filter("up is not null").limit(1).count():
+            break
+        far = state.select(doc, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("props").alias("props2"), F.col("depth").alias("depth2"), F.col("reason").alias("reason2"))
+        nearer = F.map_concat("props", F.map_filter(F.coalesce("props2", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(F.col("props"), k)))
+        jumped = F.col("up").isNotNull()
+        state = cut(state.join(far, [doc, "up"], "left").select(doc, "id", F.when(jumped, F.col("up2")).alias("up"), nearer.alias("props"), (F.col("depth") + F.when(jumped, F.col("depth2") + 1).otherwise(0)).alias("depth"), F.coalesce("reason", F.when(jumped, F.col("reason2"))).alias("reason")))
+    # who still looks up after as many rounds as the longest chain could take goes round
+    reason = F.when(F.col("up").isNotNull(), "cyclic-style").otherwise(F.col("reason"))
+    return state.select(doc, "id", F.when(F.col("up").isNull(), F.col("props")).alias("props"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), reason.alias("reason"))
+
+
 def effective_property(chain: DataFrame, direct: DataFrame, doc: str) -> DataFrame:
     """doc, value, source: a property set directly, else by the nearest style of the chain (doc, depth, value, conditional) that sets it. A
     conditional style on the way makes it ambiguous."""

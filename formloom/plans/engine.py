@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 from formloom.functions import text as X
 from formloom.functions import values as V
 from formloom.operators import coverage as C
+from formloom.operators import flow_checks
 from formloom.operators import pages as P
 from formloom.operators.lineage import cut
-from formloom.sources import containers, packages
+from formloom.sources import containers, markup, packages
 from formloom.sources import hwp as H
 from formloom.sources import pdf as D
 
@@ -121,19 +122,35 @@ def fill(docs: DataFrame, requests: DataFrame, coverage: DataFrame | None = None
     x = x.withColumn("earlier", earlier).withColumn("bound", F.when(F.col("earlier").isNull(), F.col("bound")))
     # what was decided is read several times from here on
     ready = cut(x.withColumn("before", F.coalesce("earlier", "bound.code", F.when(~F.col("format").isin("docx", "hwpx"), "E_UNSUPPORTED"), place)))
+    ready = flow_checked(docs, ready)
     todo = ready.filter("before is null").select("path", V.strings(F.col("v")).alias("values"), (F.col("overflow") == "flow").alias("flow"))
     form = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    made = packages.fill_packages(docs.withColumn("format", form).join(todo.select("path"), "path"), todo)
+    # the report and the documents both come from what is filled here, once
+    made = cut(packages.fill_packages(docs.withColumn("format", form).join(todo.select("path"), "path"), todo))
     r = ready.join(made, "path", "left").withColumn("failed", F.coalesce("before", "error"))
     names = F.transform("fields", lambda f: f["name"])
     checks = F.when(F.col("failed").isNull(), F.map_values(F.map_filter(check_map(FILL_CHECKS), lambda k, _: k == F.col("format"))))
     n = F.when(F.exists(F.flatten(checks), lambda c: c.isin(*REREAD)), F.size("fields"))
     done = F.col("completion").dropFields("verification", "verified_fields")
     completion = F.struct(*[done[c].alias(c) for c in ("scope", "status", "full_document_complete", "inventory", "verification_scope", "declared", "field_linked", "external", "excluded", "not_applicable", "blocked")], F.when(n > 0, "candidate-reread").otherwise("not-performed").alias("verification"), F.coalesce(n, F.lit(0)).alias("verified_fields"))
-    report = r.select("path", F.lit("field-fill").alias("operation"), "format", F.col("sha256").alias("template_sha256"), names.alias("fields"), F.flatten(checks).alias("checks"), completion.alias("completion"), "overflow", F.when(F.col("failed").isNull(), F.col("output")).alias("output"), F.sha2("filled", 256).alias("output_sha256"), F.col("failed").alias("code"), F.coalesce("bound.reason", "reason").alias("reason"), F.col("bound.field").alias("field"))
+    report = r.select("path", F.lit("field-fill").alias("operation"), "format", F.col("sha256").alias("template_sha256"), names.alias("fields"), F.flatten(checks).alias("checks"), completion.alias("completion"), "overflow", F.when(F.col("failed").isNull(), F.col("output")).alias("output"), F.sha2("filled", 256).alias("output_sha256"), F.col("failed").alias("code"), F.coalesce("bound.reason", "reason", "flow_reason").alias("reason"), F.coalesce("bound.field", "flow_field").alias("field"))
     return report, r.filter("failed is null").select(F.col("output").alias("path"), F.col("filled").alias("content"))
 
 
+def flow_checked(docs: DataFrame, ready: DataFrame) -> DataFrame:
+    """ready with E_LAYOUT, and the field and the reason, where a word-processing document's own nodes say that the text of a field may not flow."""
+    none = F.lit(None).cast("string")
+    flowing = ready.filter("before is null and overflow = 'flow' and format = 'docx'").select("path", V.strings(F.col("v")).alias("values"))
+    if not flowing.limit(1).count():
+        return ready.withColumn("flow_field", none).withColumn("flow_reason", none)
+    own = containers.parts(docs.join(flowing.select("path"), "path", "left_semi")).filter(F.col("part").rlike(f"^({containers.FIELD_PARTS['docx']})$"))
+    nodes = cut(markup.node_rows(own).filter("error is null").drop("error"))
+    lines = flowing.select("path", F.explode("values").alias("name", "value")).filter(F.col("value").rlike(r"[\r\n]"))
+    bad = flow_checks.flow_reasons(nodes, lines).filter("reason is not null").groupBy("path").agg(F.min(F.struct("name", "reason")).alias("flow"))
+    x = ready.join(bad, "path", "left").withColumn("before", F.coalesce("before", F.when(F.col("flow").isNotNull(), "E_LAYOUT")))
+    return cut(x.withColumn("flow_field", F.col("flow.name")).withColumn("flow_reason", F.col("flow.reason")).drop("flow"))
+
+
 def check_map(checks: dict[str, list[str]]) -> Column:
     return F.create_map(*[c for k, v in checks.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from formloom.functions import text as X
 from formloom.operators import layout as L
+from formloom.operators import records as R
 from formloom.plans.registry import query, t
 
 LINES = "(select l_orderkey as doc, l_linenumber::bigint as no, max(l_quantity)::bigint as n from lineitem group by all)"
@@ -125,3 +126,28 @@ OUT = "case when s_suppkey % 5 = 0 then 'out/' || s_name || '.pdf' when s_suppke
 def output_preconditions(spark, d):
     source = F.concat(F.lit("in/"), "s_name", F.lit(".docx"))
     return t(spark, d, "supplier").select("s_suppkey", X.output_verdict(source, F.expr(OUT), F.col("s_suppkey") % 7 == 0).alias("verdict"))
+
+
+#: Styles in trees of twenty parts: a part's parent is half its number, but for a few that point nowhere, to another type or in a circle.
+STYLES = """(select p_partkey // 1000 as doc, p_partkey as id, case when p_partkey % 97 = 0 then 'character' else 'paragraph' end as type,
+  case when p_partkey % 1000 < 2 then null when p_partkey % 89 = 0 then -p_partkey when p_partkey % 1000 in (700, 701) then 1401 - p_partkey % 1000 + p_partkey - p_partkey % 1000 else p_partkey - p_partkey % 1000 + p_partkey % 1000 // 2 end as parent,
+  p_partkey % 3 = 0 as bold, p_size as size, p_partkey % 5 = 0 as sized, p_brand as brand, p_partkey % 7 = 0 as branded, p_partkey % 101 = 0 as conditional from part)"""
+
+
+@query(f"""with recursive s as {STYLES},
+l as (select s.*, p.id is null and s.parent is not null as lost, coalesce(p.type <> s.type, false) as other from s left join s as p on p.doc = s.doc and p.id = s.parent),
+w as (select *, case when conditional then 'conditional-style' when lost then 'missing-style' when other then 'ambiguous-style' end as own from l),
+r(doc, id, nxt, depth, bold, size, brand, reason, round) as (select doc, id, case when own is null then parent end, 0::bigint, case when bold then '1' end, case when sized then size::varchar end, case when branded then brand end, own, false from w
+  union all select r.doc, r.id, case when w.own is null then w.parent end, r.depth + 1, coalesce(r.bold, case when w.bold then '1' end), coalesce(r.size, case when w.sized then w.size::varchar end), coalesce(r.brand, case when w.branded then w.brand end), w.own, r.depth > 30
+  from r join w on w.doc = r.doc and w.id = r.nxt where not r.round)
+select doc, id, case when not round then depth end as depth, case when not round then bold end as bold, case when not round then size end as size, case when not round then brand end as brand, case when round then 'cyclic-style' else reason end as reason from r where nxt is null or round""")
+def style_properties(spark, d):
+    """All properties of all styles, with what makes a style's chain ambiguous."""
+    k, size = F.col("p_partkey"), F.lit(1000)
+    low = k % size
+    parent = F.when(low < 2, None).when(k % 89 == 0, -k).when(low.isin(700, 701), 1401 - low + k - low).otherwise(k - low + F.floor(low / 2))
+    entry = lambda name, value, holds: F.when(holds, F.create_map(F.lit(name), value)).otherwise(F.create_map().cast("map<string,string>"))
+    props = F.map_concat(entry("b", F.lit("1"), k % 3 == 0), entry("sz", F.col("p_size").cast("string"), k % 5 == 0), entry("brand", F.col("p_brand"), k % 7 == 0))
+    styles = t(spark, d, "part").select(F.floor(k / size).cast("long").alias("doc"), k.alias("id"), F.when(k % 97 == 0, "character").otherwise("paragraph").alias("type"), parent.cast("long").alias("parent"), props.alias("props"), (k % 101 == 0).alias("conditional"))
+    held = lambda name: F.try_element_at("props", F.lit(name))
+    return R.style_properties(styles, "doc").select("doc", "id", "depth", held("b").alias("bold"), held("sz").alias("size"), held("brand").alias("brand"), "reason")

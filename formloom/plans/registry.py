@@ -272,7 +272,7 @@ def chunk_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.posexplode(X.greedy_chunks(F.col("text"), 1500)).alias("chunk_no", "chunk"))
 
 
-@query("select doc_id, true as lossless, sha256(text) as sha from documents")
+@query(CHUNKS.replace("{budget}", "1500") + ", w as (select c.doc_id, string_agg(substr(text, (start + 1)::bigint, (stop - start)::bigint), '' order by no) as whole from c join k on k.doc_id = c.doc_id group by c.doc_id) select k.doc_id, coalesce(whole, '') = text as lossless, sha256(coalesce(whole, '')) as sha from k left join w on w.doc_id = k.doc_id")
 def chunk_losslessness(spark, d):
     whole = F.array_join(X.greedy_chunks(F.col("text"), 1500), "")
     return t(spark, d, "documents").select("doc_id", "text", whole.alias("whole")).select("doc_id", (F.col("whole") == F.col("text")).alias("lossless"), F.sha2(F.col("whole").cast("binary"), 256).alias("sha"))
@@ -292,14 +292,6 @@ def unbreakable_run(spark, d):
     return t(spark, d, "documents").select("doc_id", F.exists(F.split("text", "[ \n]", -1), lambda x: F.length(x) > 30).alias("unbreakable"))
 
 
-@query("select doc_id, length(text) as n, true as covered from documents")
-def character_coverage(spark, d):
-    runs = t(spark, d, "documents").select("doc_id", "text", F.posexplode(X.greedy_chunks(F.col("text"), 1500)).alias("no", "c"))
-    # runs cover each character once if each starts where the one before it stops and the lengths add up
-    off = R.run_offsets(runs, "doc_id", "no", "c").groupBy("doc_id").agg(F.max("stop").alias("stop"), F.min("start").alias("start"), F.sum(F.col("stop") - F.col("start")).alias("sum"))
-    return off.join(t(spark, d, "documents"), "doc_id").select("doc_id", F.length("text").cast("long").alias("n"), ((F.col("start") == 0) & (F.col("stop") == F.length("text")) & (F.col("sum") == F.length("text"))).alias("covered"))
-
-
 TAG = r"<(/?[A-Za-z][A-Za-z0-9]*)[^>]*>"
 
 
@@ -443,4 +435,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from formloom.plans import binding, documents, forms, grids, layout  # noqa: E402, F401  add their queries to those above
+from formloom.plans import binding, documents, forms, grids, layout, parts  # noqa: E402, F401  add their queries to those above

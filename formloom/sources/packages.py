@@ -417,11 +417,13 @@ def simple_package(lines: list[str], form: str, body: str | None = None) -> byte
 
 
 def make_packages(docs: DataFrame) -> DataFrame:
-    """path, format, content of packages made from rows (path, format, lines)."""
+    """path, format, content of packages made from rows (path, format, and lines, or body: the markup within the part's root)."""
+    inner = "body" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [simple_package([x or "" for x in lines.as_py() or []], form.as_py()) for form, lines in zip(batch.column(1), batch.column(2), strict=True)]
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            made = [simple_package([], form, said or "") if inner else simple_package([x or "" for x in said or []], form) for form, said in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["path", "format", "content"])
 
-    return docs.select("path", "format", "lines").mapInArrow(run, "path string, format string, content binary")
+    return docs.select("path", "format", "body" if inner else "lines").mapInArrow(run, "path string, format string, content binary")

@@ -265,7 +265,7 @@ TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array
 
 
 def rows_of(docs: DataFrame, schema: str, rows) -> DataFrame:
-    """Rows that a function gives for a File, or one with the error."""
+    """Rows that a function gives for a File, or one with the error: whatever reading a damaged file raises concerns that file alone."""
     names, kinds = zip(*[(c.split()[0], TYPES[c.split()[1]]) for c in schema.split(", ")], strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,7 @@ def rows_of(docs: DataFrame, schema: str, rows) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     out += [(path, *r, None) for r in rows(File(content.as_py()))]
-                except (Refused, RecursionError) as e:
+                except Exception as e:
                     out.append((path, *[None] * (len(names) - 2), e.args[0] if isinstance(e, Refused) else "E_INPUT"))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], x) for k, x in enumerate(kinds)], names)
