@@ -3,6 +3,7 @@ columns and properties; each operator gives one verdict a region or field, the f
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -192,3 +193,46 @@ def subtree_signatures(nodes: DataFrame, ignore: tuple[str, ...] = ("id",)) -> D
     held = levels.withColumn("top", top).groupBy("path", "top").agg(F.array_sort(F.collect_list(F.struct("node", (F.col("depth") - F.col("level")).alias("d"), "own"))).alias("inner"))
     text = F.array_join(F.transform("inner", lambda x: F.concat_ws(":", x["d"].cast("string"), x["own"])), ",")
     return held.select("path", F.col("top").alias("node"), F.sha2(text, 256).alias("signature"))
+
+
+#: A prime, and pairs of numbers below it: bases for places and depths. Two pairs make a hash of 122 bits.
+PRIME = (1 << 61) - 1
+BASES = ((0x0F1E2D3C4B5A6978, 0x1B2C3D4E5F607182), (0x0A9B8C7D6E5F4031, 0x13579BDF02468ACE))
+
+
+def subtree_hashes(nodes: DataFrame, ignore: tuple[str, ...] = ("id",)) -> DataFrame:
+    """path, part, node, size, h1, h2 of elements (NODES: with their places and texts): equal for equal subtrees, whatever the ignored attributes and the order of
+    attributes are.
+
+    An Euler tour in one window: what opens and closes is put in order, and the sum of node hash * place power * depth power (in a prime field) is kept over what has
+    opened. A subtree is what the sum gains between its opening and its closing, and dividing by the powers of its own place and depth makes equal subtrees equal wherever they
+    stand. A node is one row at any depth; no row holds a subtree."""
+    attrs = F.array_join(F.transform(F.array_sort(F.filter(F.map_entries("attrs"), lambda e: ~e["key"].isin(*ignore))), lambda e: F.concat_ws("=", e["key"], e["value"])), "\u0001")
+    own = F.concat_ws("\u0002", "ns", "local", attrs, F.coalesce("text", F.lit("")))
+    part = ["path", "part"]
+
+    def power(base: int, sign: int):
+        @F.pandas_udf("decimal(38,0)")
+        def f(value: pd.Series, place: pd.Series, depth: pd.Series) -> pd.Series:
+            from decimal import Decimal
+
+            b, d = base
+            return pd.Series([Decimal(int(v) % PRIME * pow(b, sign * int(i), PRIME) % PRIME * pow(d, sign * int(k), PRIME) % PRIME) for v, i, k in zip(value, place, depth, strict=True)], dtype=object)
+
+        return f
+
+    numbered = nodes.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy("node")))
+    for k, base in enumerate(BASES):
+        value = F.pmod(F.xxhash64(F.lit(k), own), F.lit(PRIME)).cast("decimal(38,0)")
+        numbered = numbered.withColumn(f"v{k}", power(base, 1)(value, F.col("place"), F.col("depth")))
+    kept = [*part, "node", "place", "depth"]
+    opens = numbered.select(*kept, F.lit(1).alias("turn"), F.col("start").alias("at"), F.lit(1).alias("one"), "v0", "v1")
+    zero = F.lit(0).cast("decimal(38,0)")
+    closes = numbered.filter("local != '#text'").select(*kept, F.lit(0).alias("turn"), F.col("stop").alias("at"), F.lit(0).alias("one"), zero.alias("v0"), zero.alias("v1"))
+    before = Window.partitionBy(*part).orderBy("at", "turn", "node").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"s_{c}") for c in ("one", "v0", "v1")]
+    tour = opens.unionByName(closes).select(*kept, "turn", *sums)
+    gained = lambda c: F.max(F.when(F.col("turn") == 0, F.col(f"s_{c}"))) - F.max(F.when(F.col("turn") == 1, F.col(f"s_{c}")))
+    whole = tour.groupBy(*part, "node").agg(F.first("place").alias("place"), F.first("depth").alias("depth"), *[gained(c).alias(c) for c in ("one", "v0", "v1")]).filter("one is not null")
+    field = lambda k: power(BASES[k], -1)(F.col(f"v{k}"), F.col("place"), F.col("depth")).cast("long").alias(f"h{k + 1}")
+    return whole.select(*part, "node", F.col("one").cast("long").alias("size"), field(0), field(1))

@@ -7,6 +7,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from formloom.functions.widths import width_chunks
 from formloom.operators import flow_checks, projection, repeat_fill
 from formloom.operators.lineage import cut, new_folder
 from formloom.plans.registry import query, t
@@ -183,3 +184,35 @@ def flow_refusals(spark, d):
     nodes = cut(field_nodes(packages.make_packages(c), "docx"))
     lines = nodes.select("path").distinct().withColumn("name", F.lit("x"))
     return flow_checks.flow_reasons(nodes, lines).select(key_of(F.col("path")).alias("id"), "name", "reason")
+
+
+NARROW, BROAD = "fijlrt.,;:'!|", "mwMW"
+WIDTHS = dict.fromkeys(NARROW, 1) | dict.fromkeys(BROAD, 3)
+UNITS = f"(2 * length(x) + length(x) - length(translate(x, '{BROAD}', '')) - length(x) + length(translate(x, '{NARROW.replace(chr(39), chr(39) * 2)}', '')))"
+PIECES = r"regexp_extract_all(text, '(?s).*?(?:\r\n|\r|\n|[ \t\x0B\f]+)|.+')"
+
+
+@query(rf"""with recursive k as (select doc_id, text, 300 + doc_id % 7 * 100 as budget, {PIECES} as p from documents),
+e as (select doc_id, budget, i, w, sum(n) over (partition by doc_id order by i) as stop, sum(w) over (partition by doc_id order by i) as far from (select doc_id, budget, unnest(range(0, len(p))) as i, unnest(list_transform(p, lambda x: length(x))) as n, unnest(list_transform(p, lambda x: {UNITS})) as w from k)),
+bad as (select distinct doc_id from e where w > budget),
+c(doc_id, no, start, stop, far) as (select doc_id, 0, 0::hugeint, max(stop), max(far) from e where far <= budget and doc_id not in (select doc_id from bad) group by doc_id
+  union all select c.doc_id, c.no + 1, c.stop, (select max(stop) from e where e.doc_id = c.doc_id and e.far <= c.far + e.budget), (select max(far) from e where e.doc_id = c.doc_id and e.far <= c.far + e.budget) from c where exists (select 1 from e where e.doc_id = c.doc_id and e.stop > c.stop))
+select c.doc_id, c.no::int as chunk_no, substr(text, (start + 1)::bigint, (stop - start)::bigint) as chunk from c join k on k.doc_id = c.doc_id union all select doc_id, null, null from bad""")
+def chunk_by_width(spark, d):
+    """Each document cut by the widths of its characters, with a budget of its own; one row without a piece where a word is wider."""
+    x = t(spark, d, "documents").filter("text != ''").select("doc_id", width_chunks(F.col("text"), 300 + F.col("doc_id") % 7 * 100, WIDTHS, 2).alias("c"))
+    return x.select("doc_id", F.posexplode_outer("c").alias("chunk_no", "chunk"))
+
+
+@query("select c_mktsegment as segment, count(*) as n, 1::bigint as signatures, 5::bigint as size from customer group by 1")
+def subtree_hash(spark, d):
+    """Paragraphs of packages with their subtrees' hashes: equal exactly where what they say is, whatever their ids and wherever they stand."""
+    key, said = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    flip = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('<hp:p id="'), key, F.lit('" a="1" b="2">'))).otherwise(F.concat(F.lit('<hp:p b="2" a="1" id="'), key, F.lit('">')))
+    para = F.concat(flip, F.lit("<hp:run><hp:t>"), said, F.lit('</hp:t><hp:ctrl x="1"/></hp:run></hp:p>'))
+    c = t(spark, d, "customer").select(F.pmod(F.hash("c_custkey"), F.lit(50)).alias("g"), "c_custkey", para.alias("para"))
+    docs = c.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "para"))), lambda s: s["para"]), "").alias("body"))
+    nodes = cut(field_nodes(packages.make_packages(docs.select(F.concat(F.col("g").cast("string"), F.lit(".hwpx")).alias("path"), F.lit("hwpx").alias("format"), "body")), "hwpx"))
+    mine = nodes.filter("local = 'p'").select("path", "part", "node", F.col("attrs.id").cast("long").alias("c_custkey"))
+    h = repeat_fill.T.subtree_hashes(nodes).join(mine, ["path", "part", "node"]).join(t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    return h.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.count_distinct("h1", "h2").alias("signatures"), F.max("size").alias("size"))

@@ -216,3 +216,72 @@ def test_values_are_not_lost_in_repeated_rows(spark):
     for n in (1, 2, 3, 4, 6):
         cells = [x for i in range(n) for x in (f"{n}/{i}", "<&>")]
         assert [x for x in said[f"{n}.hwpx"] if x != ""] == ["Orders of one customer", "No", "Priority", *cells, "sum", "&c", "the end"]
+
+
+def test_cuts_follow_widths_and_keep_marks():
+    import numpy as np
+
+    from formloom.functions.widths import cuts
+
+    codes, known = np.array([ord("i"), ord("W")], np.uint32), np.array([1, 4])
+    text = "iii WW \u00e1 b \u0301c d"
+    for budget in range(1, 40):
+        got = cuts(text, budget, codes, known, 2)
+        places = [0, 4, 7, 9, 14, 15]
+        wide = lambda a, b: sum({"i": 1, "W": 4}.get(c, 2) for c in text[a:b])
+        want, at = [], 0
+        while at < len(text):
+            fits = [p for p in places if p > at and wide(at, p) <= budget]
+            if not fits:
+                want = None
+                break
+            at = max(fits)
+            want.append(at)
+        assert got == want, budget
+    assert cuts("", 5, codes, known, 2) == [] and cuts("WW", 7, codes, known, 2) is None
+
+
+def test_subtree_hashes_tell_subtrees_apart(spark):
+    r = random.Random(8)
+
+    def grown(depth):
+        name = r.choice("ab")
+        kids = "".join(grown(depth - 1) for _ in range(r.randint(0, 3))) if depth else ""
+        return f'<hp:{name} id="{r.random()}" x="{r.randint(0, 1)}">{r.choice(["", "t"])}{kids}</hp:{name}>'
+
+    nodes = parts.field_nodes(packages.make_packages(spark.createDataFrame([(f"{i}.hwpx", "hwpx", "".join(grown(4) for _ in range(6))) for i in range(4)], "path string, format string, body string")), "hwpx")
+    rows = {(n.path, n.node): n for n in nodes.collect()}
+    kids = {}
+    for (path, _), n in sorted(rows.items()):
+        kids.setdefault((path, n.parent), []).append(n)
+
+    def said(n):
+        return (n.local, tuple(sorted((k, v) for k, v in n.attrs.items() if k != "id")), n.text or "", tuple(said(k) for k in kids.get((n.path, n.node), [])))
+
+    by_hash, by_tree = {}, {}
+    got = parts.repeat_fill.T.subtree_hashes(nodes).collect()
+    for h in got:
+        shape = said(rows[h.path, h.node])
+        assert by_hash.setdefault((h.h1, h.h2), shape) == shape and by_tree.setdefault(shape, (h.h1, h.h2)) == (h.h1, h.h2)
+    assert len(got) > 100 and 10 < len(by_hash) < len(got)
+
+
+def test_boxes_of_all_sizes(spark):
+    from formloom.operators.records import boxes_overlap
+
+    r = random.Random(2)
+    boxes = [(i % 2, i, r.randint(-50, 400), r.randint(-50, 400), r.choice([1, 3, 7, 40, 300]), r.choice([1, 2, 9, 64, 200])) for i in range(300)]
+    got = sorted((x.page, x.a, x.b) for x in boxes_overlap(spark.createDataFrame(boxes, "page int, id int, x int, y int, w int, h int"), "page").collect())
+    want = sorted((a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5])
+    assert got == want and len(got) > 500
+
+
+def test_style_chains_that_break(spark):
+    from formloom.operators.records import style_properties
+
+    rows = [("d", "a", "p", None, {"x": "1", "y": "1"}, False), ("d", "b", "p", "a", {"y": "2"}, False), ("d", "c", "p", "b", {"z": "3"}, None), ("d", "t", "t", "a", {}, False), ("d", "u", "t", "t", {}, False), ("d", "gone", "p", "none", {}, False)]
+    rows += [("d", "two", "p", "a", {}, False), ("d", "two", "p", "b", {}, False), ("d", "on_two", "p", "two", {}, False), ("d", "l", "p", "m", {}, False), ("d", "m", "p", "l", {}, False), ("d", "to_l", "p", "l", {}, False), ("d", "self", "p", "self", {}, False), ("d", "if", "p", "a", {}, True), ("e", "a", "p", None, None, False)]
+    got = {(r.doc, r.id): (r.reason, r.props) for r in style_properties(spark.createDataFrame(rows, "doc string, id string, type string, parent string, props map<string,string>, conditional boolean"), "doc").collect()}
+    assert got["d", "c"] == (None, {"x": "1", "y": "2", "z": "3"}) and got["e", "a"] == (None, {})
+    said = {"t": "ambiguous-style", "u": "ambiguous-style", "gone": "missing-style", "two": "ambiguous-style", "on_two": "ambiguous-style", "l": "cyclic-style", "m": "cyclic-style", "to_l": "cyclic-style", "self": "cyclic-style", "if": "conditional-style", "b": None}
+    assert {k: got["d", k][0] for k in said} == said
