@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 from formloom.functions import text as X
 from formloom.functions import values as V
 from formloom.operators import coverage as C
-from formloom.operators import flow_checks
+from formloom.operators import flow_checks, projection, repeat_fill
 from formloom.operators import pages as P
+from formloom.operators import tables as T
 from formloom.operators.lineage import cut
 from formloom.sources import containers, markup, packages
 from formloom.sources import hwp as H
@@ -151,6 +152,67 @@ def flow_checked(docs: DataFrame, ready: DataFrame) -> DataFrame:
     return cut(x.withColumn("flow_field", F.col("flow.name")).withColumn("flow_reason", F.col("flow.reason")).drop("flow"))
 
 
+#: A layout profile of repeated rows.
+PROFILE = "struct<version:int,format:string,templateSha256:string,repeatRegions:array<struct<name:string,part:string,tableId:string,headerRows:array<int>,bodyRows:struct<start:int,end:int>,prototypeRow:int,insertBeforeRow:int,maxRows:int,columns:array<struct<name:string,column:int,maxLength:int>>>>>"
+
+
+def repeated_regions(profiles: DataFrame) -> DataFrame:
+    """path, profile_code, region and its fields of profiles (path, profile as JSON): exactly one region, in a section's part, with all of its numbers and columns."""
+    p = profiles.select("path", F.from_json("profile", PROFILE).alias("p"))
+    r = F.get("p.repeatRegions", F.lit(0))
+    whole = (F.size("p.repeatRegions") == 1) & r["part"].rlike(f"^({containers.FIELD_PARTS['hwpx']})$") & (F.length(r["tableId"]) > 0) & (F.size(r["columns"]) > 0)
+    numbers = r["bodyRows"]["start"].isNotNull() & r["bodyRows"]["end"].isNotNull() & r["prototypeRow"].isNotNull() & (r["insertBeforeRow"] == r["bodyRows"]["end"]) & r["headerRows"].isNotNull() & r["maxRows"].isNotNull()
+    columns = F.array_sort(F.transform(r["columns"], lambda c: F.struct(c["column"].alias("column"), c["name"].alias("name"), c["maxLength"].alias("max_length"))))
+    x = p.select("path", F.when(~F.coalesce(whole & numbers, F.lit(False)), "E_INPUT").alias("profile_code"), r.alias("r"), columns.alias("cs"))
+    own = F.transform("cs", lambda c: F.struct(c["name"].alias("name"), F.lit("text").alias("type"), F.lit(1).alias("occurrences"), F.coalesce(c["max_length"], F.lit(X.MAX_LENGTH)).alias("max_length")))
+    none = F.lit(None)
+    field = F.struct(F.col("r.name").alias("name"), F.lit("rows").alias("type"), F.lit(1).alias("occurrences"), none.cast("int").alias("max_length"), F.col("r.maxRows").alias("max_rows"), own.alias("columns"))
+    names = F.transform("cs", lambda c: F.struct(c["name"].alias("name"), c["column"].alias("column")))
+    return x.select("path", "profile_code", F.col("r.part").alias("part"), F.col("r.tableId").alias("table_id"), F.col("r.name").alias("region_name"), F.col("r.bodyRows.start").alias("first"), F.col("r.bodyRows.end").alias("last"), F.col("r.prototypeRow").alias("prototype"), F.col("r.headerRows").alias("headers"), names.alias("columns"), field.alias("rows_field"))
+
+
+def fill_repeated(docs: DataFrame, profiles: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports (path, code, reason, field, records, reused, cloned, removed) and filled documents (path, content) of requests (path, values as JSON) for documents
+    (path, content) with a table whose rows repeat, by layout profiles (path, profile as JSON).
+
+    In order: the document and the profile's envelope (as in inspect), the profile's region, the region in the document's own nodes, the values against the region's rows and
+    the other fields; then the rows, then the other fields, and the result is opened and its rows are read again."""
+    null = F.lit(None).cast("string")
+    info = inspect(docs, None, profiles.select("path", "profile", F.lit(False).alias("registered")))
+    x = requests.select("path", F.try_parse_json("values").alias("v"), "values").join(info.select("path", "code", "reason", "fields"), "path", "left").join(repeated_regions(profiles), "path", "left")
+    # the document's own fields, but for the markers in the region's row
+    inside = F.transform("columns", lambda c: c["name"])
+    others = F.filter("fields", lambda f: ~F.array_contains(F.coalesce(inside, F.array().cast("array<string>")), f["name"]))
+    fields = F.concat(F.transform(others, lambda f: F.struct(*[f[c.split(":")[0]].alias(c.split(":")[0]) for c in ("name", "type", "occurrences", "max_length", "max_rows", "columns")])), F.array("rows_field"))
+    early = F.coalesce(F.when(F.col("fields").isNull(), "E_INPUT"), "code", F.when(F.col("region_name").isNull(), "E_INPUT"), "profile_code")
+    x = cut(x.withColumn("early", early).withColumn("bound", F.when(F.col("early").isNull(), V.bind_verdict(F.coalesce("v", F.parse_json(F.lit("null"))), V.normalized(fields), True))))
+    sound = docs.join(x.filter("early is null").select("path"), "path", "left_semi")
+    every = cut(containers.parts(sound))
+    nodes = cut(markup.node_rows(every.filter(F.col("part").rlike(f"^({containers.FIELD_PARTS['hwpx']})$"))).filter("error is null").drop("error"))
+    regions = x.filter("early is null").select("path", "part", "table_id", "first", "last", "prototype", "headers", "columns")
+    bound = x.filter("early is null and bound is null")
+    rows = bound.select("path", F.posexplode(F.from_json(F.try_element_at(F.from_json("values", "map<string,string>"), F.col("region_name")), "array<map<string,string>>")).alias("record", "values"))
+    new, judged = repeat_fill.filled_parts(nodes, every, regions, rows)
+    made = cut(repeat_fill.repacked(every, new))
+    # texts of the other fields, once the rows stand
+    texts = bound.select("path", V.strings(F.col("v")).alias("values")).filter(F.size("values") > 0)
+    rest = packages.fill_packages(made.withColumn("format", F.lit("hwpx")).join(texts.select("path"), "path"), texts)
+    both = cut(made.join(rest, "path", "left").select("path", F.when(F.col("filled").isNull() & F.col("error").isNull(), F.col("content")).otherwise(F.col("filled")).alias("content"), F.col("error").alias("fill_code")))
+    again = markup.node_rows(containers.parts(both.filter("fill_code is null")).filter(F.col("part").rlike(f"^({containers.FIELD_PARTS['hwpx']})$"))).filter("error is null").drop("error")
+    again = cut(again)
+    read = repeat_fill.Grid(again, regions)
+    got = repeat_fill.region_cells(read, projection.paragraphs(again, "hwpx")).join(regions.select("path", "first", "columns"), "path")
+    said = got.select("path", (F.col("row") - F.col("first")).alias("record"), F.get("columns", F.col("no"))["name"].alias("name"), "text")
+    want = rows.select("path", "record", F.explode("values").alias("name", "value")).select("path", "record", "name", X.newlines(F.col("value")).alias("value"))
+    lost = want.join(said, ["path", "record", "name"], "left").filter("text is null or text != value").select("path").distinct().withColumn("lost", F.lit(True))
+    counts = T.repeat_counts(T.output_rows(rows.groupBy("path").agg(F.count("*").alias("n")).join(regions.select("path", F.col("first").alias("start"), F.col("last").alias("stop"), "prototype"), "path"), "path"), "path", regions.select("path", F.col("first").alias("start"), F.col("last").alias("stop")))
+    n = rows.groupBy("path").agg(F.count("*").alias("records"))
+    r = x.join(judged.withColumnRenamed("reason", "layout"), "path", "left").join(both.select("path", "fill_code"), "path", "left").join(lost, "path", "left").join(n, "path", "left").join(counts, "path", "left")
+    code = F.coalesce("early", F.when(F.col("layout").isNotNull(), "E_LAYOUT"), "bound.code", "fill_code", F.when(F.col("lost"), "E_PRESERVATION"))
+    report = cut(r.select("path", code.alias("code"), F.when(F.col("early").isNotNull(), F.col("reason")).otherwise(F.coalesce("layout", "bound.reason")).alias("reason"), F.when(F.col("early").isNotNull(), null).when(F.col("layout").isNotNull(), F.col("region_name")).otherwise(F.col("bound.field")).alias("field"), "records", "reused", "cloned", "removed"))
+    return report, both.join(report.filter("code is null").select("path"), "path", "left_semi").select("path", "content")
+
+
 def check_map(checks: dict[str, list[str]]) -> Column:
     return F.create_map(*[c for k, v in checks.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
 

@@ -223,7 +223,7 @@ def test_cuts_follow_widths_and_keep_marks():
 
     from formloom.functions.widths import cuts
 
-    codes, known = np.array([ord("i"), ord("W")], np.uint32), np.array([1, 4])
+    codes, known = np.array([ord("W"), ord("i")], np.uint32), np.array([4, 1])
     text = "iii WW \u00e1 b \u0301c d"
     for budget in range(1, 40):
         got = cuts(text, budget, codes, known, 2)
@@ -285,3 +285,25 @@ def test_style_chains_that_break(spark):
     assert got["d", "c"] == (None, {"x": "1", "y": "2", "z": "3"}) and got["e", "a"] == (None, {})
     said = {"t": "ambiguous-style", "u": "ambiguous-style", "gone": "missing-style", "two": "ambiguous-style", "on_two": "ambiguous-style", "l": "cyclic-style", "m": "cyclic-style", "to_l": "cyclic-style", "self": "cyclic-style", "if": "conditional-style", "b": None}
     assert {k: got["d", k][0] for k in said} == said
+
+
+def test_engine_fills_repeated_rows(spark):
+    """A profile acts: its region takes a record's rows, the other field its text; each thing that is wrong has its own code."""
+    body = parts.grid(parts.SOUND) + "<hp:p><hp:run><hp:t>for {{who}}</hp:t></hp:run></hp:p>"
+    made = packages.make_packages(spark.createDataFrame([(f"/d/{i}.hwpx", "hwpx", body if i != 5 else body.replace('noAdjust="0"', 'noAdjust="1"')) for i in range(7)], "path string, format string, body string")).select("path", "content")
+    sha = {r.path: r.sha for r in made.select("path", F.sha2("content", 256).alias("sha")).collect()}
+    region = {"name": "orders", "part": "Contents/section0.xml", "tableId": "rep", "headerRows": [0], "bodyRows": {"start": 1, "end": 3}, "prototypeRow": 2, "insertBeforeRow": 3, "maxRows": 6, "columns": [{"name": "no", "column": 0, "maxLength": 9}, {"name": "priority", "column": 1, "maxLength": 20}]}
+    profile = lambda i, **more: json.dumps({"version": 1, "format": "hwpx", "templateSha256": sha[f"/d/{i}.hwpx"], "repeatRegions": [region | more]})
+    profiles = spark.createDataFrame([(f"/d/{i}.hwpx", profile(i, **({"columns": []} if i == 3 else {})) if i != 4 else profile(i).replace(sha["/d/4.hwpx"], "0" * 64)) for i in range(7)], "path string, profile string")
+    row = lambda n: {"no": str(n), "priority": "a & b\tc"}
+    values = {0: {"orders": [row(1)], "who": "x"}, 1: {"orders": [row(n) for n in range(5)], "who": "y & z"}, 2: {"orders": [row(n) for n in range(7)], "who": "x"}, 3: {}, 4: {}, 5: {"orders": [row(1)], "who": "x"}, 6: {"orders": [{"no": "1"}], "who": "x"}}
+    report, filled = engine.fill_repeated(made, profiles, spark.createDataFrame([(f"/d/{i}.hwpx", json.dumps(v)) for i, v in values.items()], "path string, values string"))
+    got = {int(r.path[3]): r for r in report.collect()}
+    assert {i: r.code for i, r in got.items()} == {0: None, 1: None, 2: "E_FIELDS", 3: "E_INPUT", 4: "E_TEMPLATE_CHANGED", 5: "E_LAYOUT", 6: "E_FIELDS"}, got
+    assert (got[1].records, got[1].reused, got[1].cloned, got[1].removed) == (5, 3, 2, 0) and (got[0].reused, got[0].removed) == (1, 2)
+    assert (got[5].reason, got[5].field) == ("unsupported-anchor", "orders")
+    texts = {}
+    for r in sorted(packages.package_rows(filled.withColumn("format", F.lit("hwpx"))).collect(), key=lambda r: (r.path, r.para_no)):
+        texts.setdefault(int(r.path[3]), []).append(r.text)
+    assert [x for x in texts[1] if x] == ["Orders of one customer", "No", "Priority", *[x for n in range(5) for x in (str(n), "a & b\tc")], "sum", "&c", "the end", "for y & z"]
+    assert [x for x in texts[0] if x][3:5] == ["1", "a & b\tc"] and set(texts) == {0, 1}
