@@ -7,7 +7,9 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import shutil
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,16 +136,19 @@ def register(args, spark: SparkSession) -> dict:
         raise Failed(got["error"])
     manifest = plain(got["manifest"])
     own = os.path.join(args.library, args.id)
-    try:
-        os.makedirs(args.library, exist_ok=True)
-        os.mkdir(own)
-    except FileExistsError:
-        raise Failed("E_OUTPUT_EXISTS") from None
     fields = [{a: f[b] for a, b in (("name", "name"), ("type", "type"), ("occurrences", "occurrences"), ("maxLength", "max_length")) if f[b] is not None} for f in manifest["fields"]]
     said = json.dumps(manifest | {"fields": fields}, ensure_ascii=False, indent=2).encode()
-    # the manifest comes last: without it the folder is no template
-    for name, content in ((manifest["file"], bytes(docs.first()["content"])), ("manifest.json", said)):
-        published(spark, os.path.join(own, name), content)
+    # all of it appears at once under the id, or nothing; what a registration leaves that dies before has a name of its own and blocks nothing
+    stage = os.path.join(args.library, f".{args.id}.{uuid.uuid4().hex}")
+    os.makedirs(stage)
+    try:
+        for name, content in ((manifest["file"], bytes(docs.first()["content"])), ("manifest.json", said)):
+            published(spark, os.path.join(stage, name), content)
+        os.rename(stage, own)
+    except OSError:
+        raise Failed("E_OUTPUT_EXISTS") from None
+    finally:
+        shutil.rmtree(stage, ignore_errors=True)
     return {"id": args.id, "path": own, "manifest": manifest}
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from formloom.functions import text as X
 from formloom.functions import values as V
+from formloom.sources.publish_sink import Taken, put_once
 
 # What a manifest must say.
 ID, HASH, FORMATS, MAX_JSON, MAX_TITLE = r"\A[a-z0-9]+(-[a-z0-9]+)*\z", r"\A[a-f0-9]{64}\z", ("hwp", "hwpx", "docx", "pdf"), 2 << 20, 200
@@ -114,7 +115,7 @@ def registration(new: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def publish(files: DataFrame) -> DataFrame:
-    """path, sha256, error of files (path, content) written without replacing any: E_OUTPUT_EXISTS where one is, E_IO where it can't be
+    """path, error of files (path, content) written without replacing any: E_OUTPUT_EXISTS where one is, E_UNSUPPORTED in a store that can't refuse to replace, E_IO where it can't be
     written. Each goes to a temporary name first and appears whole. A task that is run again finds its own file and counts it as written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,17 +134,17 @@ def publish(files: DataFrame) -> DataFrame:
                     return None if f.size() == len(content) and f.read() == content else "E_OUTPUT_EXISTS"
             with fs.open_output_stream(temporary) as f:
                 f.write(content)
-            if isinstance(fs, pafs.LocalFileSystem):
-                os.link(temporary, at)  # fails if another was faster
-                os.unlink(temporary)
-            else:
-                fs.move(temporary, at)
+            put_once(fs, temporary, at)
             return None
-        except FileExistsError:
-            os.unlink(temporary)
+        except Taken:
             return "E_OUTPUT_EXISTS"
+        except ValueError:
+            return "E_UNSUPPORTED"
         except OSError:
             return "E_IO"
+        finally:
+            if fs.get_file_info(temporary).type != pafs.FileType.NotFound:
+                fs.delete_file(temporary)
 
     return files.select("path", "content").mapInArrow(run, "path string, error string")
 
