@@ -18,9 +18,11 @@ def discover(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def schema_difference(found: DataFrame, declared: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of only one side, with the side: a manifest matches if this is empty."""
-    only = lambda a, b, side: a.select(*on).exceptAll(b.select(*on)).withColumn("side", F.lit(side))
-    return only(found, declared, "found").unionByName(only(declared, found, "declared"))
+    """Rows of only one side, as often as they are there more than on the other, with the side: a manifest matches if this is empty. Each side is read once, and
+    equal rows are counted against each other before they are shuffled."""
+    signed = found.select(*on, F.lit(1).alias("_n")).unionByName(declared.select(*on, F.lit(-1).alias("_n")))
+    more = signed.groupBy(*on).agg(F.sum("_n").alias("_n")).filter("_n != 0")
+    return more.select(*on, F.when(F.col("_n") > 0, "found").otherwise("declared").alias("side"), F.explode(F.array_repeat(F.lit(1), F.abs("_n").cast("int"))).alias("_n")).drop("_n")
 
 
 def catalog(bundled: DataFrame, user: DataFrame) -> DataFrame:

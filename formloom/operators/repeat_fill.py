@@ -138,13 +138,34 @@ def repeat_plan(grid: Grid, regions: DataFrame, records: DataFrame) -> DataFrame
     return before.select(*kept).unionByName(body.select(*kept)).unionByName(after.select(*kept))
 
 
-def filled_parts(nodes: DataFrame, bodies: DataFrame, regions: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def border_verdict(headers: DataFrame, grid: Grid, plan: DataFrame) -> DataFrame:
+    """path, reason of documents whose cells have a border that the header (NODES) doesn't define exactly once, or whose single record would take the last row's border though it differs in
+    more than the bottom line. Documents without definitions aren't judged."""
+    x = cut(P.enclosing(headers, {"bottom": F.col("local") == "bottomBorder"}))
+    fills = x.filter("local = 'borderFill'").select("path", "part", "node", attr("id").alias("border"))
+    hashes = T.subtree_hashes(x.filter("bottom is null").drop("bottom")).select("path", "part", "node", F.struct("h1", "h2").alias("looks"))
+    defined = cut(fills.join(hashes, ["path", "part", "node"]).groupBy("path", "border").agg(F.count("*").alias("times"), F.first("looks").alias("looks")))
+    judged = defined.select("path").distinct()
+    cells = grid.cells.join(judged, "path", "left_semi")
+    unknown = cells.join(defined, ["path", "border"], "left").filter("times is null or times > 1").select("path", F.lit("ambiguous-style").alias("reason"))
+    own = plan.filter("single and record is not null").join(cells, [*PART, "table", "row"]).select(*PART, "table", "last", "no", "border")
+    last = cells.select(*PART, "table", F.col("row").alias("last"), "no", F.col("border").alias("border2"))
+    both = own.join(last, [*PART, "table", "last", "no"]).filter("border != border2").join(defined.select("path", "border", "looks"), ["path", "border"]).join(defined.select("path", F.col("border").alias("border2"), F.col("looks").alias("looks2")), ["path", "border2"])
+    other = both.filter("looks != looks2").select("path", F.lit("incompatible-single-row-border").alias("reason"))
+    return unknown.unionByName(other).groupBy("path").agg(F.min("reason").alias("reason"))
+
+
+def filled_parts(nodes: DataFrame, bodies: DataFrame, regions: DataFrame, records: DataFrame, headers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Filled parts (path, part, body, error) and verdicts (path, reason) of regions (path, part, table_id, first, last, prototype, headers, columns: name and column) and
-    their records (path, record from 0, values). Regions with a reason, and those without records, give no part."""
+    their records (path, record from 0, values). Regions with a reason, and those without records, give no part. headers: nodes of the parts that define borders."""
     grid = Grid(nodes, regions)
     judged = cut(verdicts(grid, P.paragraphs(nodes, "hwpx"), regions))
     fine = regions.join(judged.filter("reason is null"), "path", "left_semi")
     plan = cut(repeat_plan(grid, fine, records))
+    if headers is not None:
+        borders = cut(border_verdict(headers, grid, plan))
+        judged = judged.join(borders.withColumnRenamed("reason", "border_reason"), "path", "left").select("path", F.coalesce("reason", "border_reason").alias("reason"))
+        plan = plan.join(borders.select("path"), "path", "left_anti")
     segments, edits = edits_of(grid, plan, records)
     heights = grid.cells.groupBy(*PART, "table", "row").agg(F.max("height").alias("height"))
     totals = plan.join(heights, [*PART, "table", "row"]).groupBy(*PART, "table").agg(F.count("*").alias("rows"), F.sum("height").alias("height"))

@@ -192,7 +192,8 @@ def fill_repeated(docs: DataFrame, profiles: DataFrame, requests: DataFrame) ->
     regions = x.filter("early is null").select("path", "part", "table_id", "first", "last", "prototype", "headers", "columns")
     bound = x.filter("early is null and bound is null")
     rows = bound.select("path", F.posexplode(F.from_json(F.try_element_at(F.from_json("values", "map<string,string>"), F.col("region_name")), "array<map<string,string>>")).alias("record", "values"))
-    new, judged = repeat_fill.filled_parts(nodes, every, regions, rows)
+    headers = cut(markup.node_rows(every.filter("part = 'Contents/header.xml'")).filter("error is null").drop("error"))
+    new, judged = repeat_fill.filled_parts(nodes, every, regions, rows, headers)
     made = cut(repeat_fill.repacked(every, new))
     # texts of the other fields, once the rows stand
     texts = bound.select("path", V.strings(F.col("v")).alias("values")).filter(F.size("values") > 0)

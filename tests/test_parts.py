@@ -307,3 +307,23 @@ def test_engine_fills_repeated_rows(spark):
         texts.setdefault(int(r.path[3]), []).append(r.text)
     assert [x for x in texts[1] if x] == ["Orders of one customer", "No", "Priority", *[x for n in range(5) for x in (str(n), "a & b\tc")], "sum", "&c", "the end", "for y & z"]
     assert [x for x in texts[0] if x][3:5] == ["1", "a & b\tc"] and set(texts) == {0, 1}
+
+
+def test_borders_of_a_single_record(spark):
+    """Its row takes the last row's border: that may differ in the bottom line alone, and each border is defined once."""
+    head = lambda fills: f'<hh:head xmlns:hh="http://www.hancom.co.kr/hwpml/2011/head">{fills}</hh:head>'.encode()
+    fill = lambda k, left="1", bottom="1": f'<hh:borderFill id="{k}"><hh:leftBorder w="{left}"/><hh:bottomBorder w="{bottom}"/></hh:borderFill>'
+    fine = fill(0) + fill(1) + fill(2) + fill(3, bottom="9") + fill(4)
+    heads = {"fine": fine, "left": fine.replace(fill(3, bottom="9"), fill(3, left="2")), "twice": fine + fill(1), "none": fine.replace(fill(4), "")}
+    docs = []
+    for name, fills in heads.items():
+        entries, _ = containers.open_archive(packages.simple_package([], "hwpx", parts.grid(parts.SOUND)))
+        docs.append((f"{name}.hwpx", "hwpx", bytearray(containers.write_archive([*entries, ("Contents/header.xml", head(fills))]))))
+    made = spark.createDataFrame(docs, "path string, format string, content binary")
+    records = spark.createDataFrame([(f"{n}.hwpx", 0, {"no": "1", "priority": "p"}) for n in heads], "path string, record int, values map<string,string>")
+    every = containers.parts(made)
+    nodes, headers = (node_rows(every.filter(f"part = 'Contents/{p}.xml'")).drop("error") for p in ("section0", "header"))
+    new, judged = parts.repeat_fill.filled_parts(nodes, every, parts.region(made), records, headers)
+    assert {r.path.split(".")[0]: r.reason for r in judged.collect()} == {"fine": None, "left": "incompatible-single-row-border", "twice": "ambiguous-style", "none": "ambiguous-style"}
+    body = [bytes(r.body).decode() for r in new.collect()]
+    assert len(body) == 1 and body[0].count('borderFillIDRef="3"') == 2 and 'borderFillIDRef="1"' not in body[0]
