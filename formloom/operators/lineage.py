@@ -30,3 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def registered(spark: SparkSession, source: type) -> None:
+    """Make a data source known. Sources are looked up in the calling thread's active session, which a thread of its own need not have yet: making a table sets it."""
+    spark.createDataFrame([], "x int")
+    spark.dataSource.register(source)

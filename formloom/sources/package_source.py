@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from formloom.operators.lineage import registered
 from formloom.sources.containers import MAX_DOCUMENT, MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL
 
 SCHEMA = "path string, part string, no int, method int, flags int, crc long, stored long, size long, local long, entries int, archive long, problem string, body binary"
@@ -159,7 +160,7 @@ class PackageParts(DataSource):
 def package_parts(spark: SparkSession, folder: str, columns: tuple[str, ...], pattern: str | None = None) -> DataFrame:
     """Rows of the parts of all archives under folder. Without `body` among the columns, no part is read."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(PackageParts)
+    registered(spark, PackageParts)
     kinds = dict(c.split() for c in SCHEMA.split(", "))
     reader = spark.read.format("package_parts").schema(", ".join(f"{c} {kinds[c]}" for c in columns))
     return (reader.option("pattern", pattern) if pattern else reader).load(folder)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from formloom.operators.lineage import registered
+
 MANIFEST = "manifest.json"
 
 
@@ -140,6 +142,6 @@ class PublishedDocuments(DataSource):
 
 def publish(documents: DataFrame, folder: str, id: str | None = None) -> None:
     """Documents (name, content) under folder, or as the registration id there: all or none."""
-    documents.sparkSession.dataSource.register(PublishedDocuments)
+    registered(documents.sparkSession, PublishedDocuments)
     writer = documents.select("name", "content").write.format("published_documents").mode("append")
     (writer.option("id", id) if id else writer).save(folder)
