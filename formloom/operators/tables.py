@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from formloom.operators.lineage import large
+
 # Reasons come from the formats' own checks, and the properties that make a container unfit.
 FITTING, TEXT_FIT = ("fitText",), ("tcFitText", "noWrap")
 HORIZONTAL = ("lrTb", "tb")
@@ -43,8 +45,9 @@ def region_verdict(regions: DataFrame, tables: DataFrame, cells: DataFrame) -> D
     rows, the prototype strictly inside; new rows go in before the last; columns one by one); a cell's address or span; a body row that
     holds more than its markers; widths of rows; heights of all rows."""
     keys = ["doc", "table_id"]
+    regions, tables, cells = large(regions), large(tables), large(cells)
     n = regions.select("region", *keys).join(tables.groupBy(*keys).agg(F.count("*").alias("found"), F.first("rows").alias("rows"), F.first("columns").alias("table_columns"), F.first("width").alias("table_width"), F.first("height").alias("table_height")), keys, "left")
-    own = regions.join(n.drop(*keys), "region")
+    own = large(regions.join(n.drop(*keys), "region"))
     start, stop = F.col("start"), F.col("stop")
     numbers = F.sequence(F.lit(0), F.greatest(F.size("columns") - 1, F.lit(0)))
     rows_ok = (start >= 1) & (stop < F.col("rows")) & (stop - start >= 2) & (start < F.col("prototype")) & (F.col("prototype") < stop) & (F.col("insert_before") == stop)
