@@ -22,3 +22,37 @@ def test_region_verdict_joins_by_sorting(spark):
 def test_stored_tables_join_by_sorting(spark):
     many = cut(spark.range(10).select("id", F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("n")))
     assert "BroadcastHashJoin" not in plan_of(spark.range(10).join(many.filter("n > 5"), "id"))
+
+
+def test_continued_verdict_says_what_its_sql_says(spark, tmp_path):
+    """A value longer than an entry may hold is a fault in both."""
+    import duckdb
+
+    from formloom.plans import forms, registry
+
+    words = "word " * 500
+    texts = [(i, words * (12 if i in (15, 113, 155) else 2), "en", "s", 1) for i in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(own.execute(f"select doc, reason from ({registry.SQL['pdf_continued_verdict']})").fetchall())
+    assert {r.doc: r.reason for r in forms.pdf_continued_verdict(spark, str(tmp_path)).collect()} == want
+    assert want[15] == want[13] == want[5] == "entry" and want[23] is None
+
+
+def test_chunks_are_worked_out_once(spark):
+    from formloom.plans import forms
+
+    assert "regexp_extract_all" not in plan_of(forms.pdf_page_notes(spark, SF))
+
+
+def test_cycles_end_when_a_round_ends_no_chain(spark, monkeypatch):
+    """Rounds are as many as the longest chain needs, whatever the number of styles."""
+    from formloom.operators import records
+
+    stored = []
+    monkeypatch.setattr(records, "cut", lambda df: stored.append(1) or cut(df))
+    styles = [(10 * k + i, 10 * k + i - 1 if i else (10 * k + 9 if k % 2 else None)) for k in range(400) for i in range(10)]
+    got = {r.id: (r.root, r.depth, r.cycle) for r in records.style_chains(spark.createDataFrame(styles, "id long, parent long")).collect()}
+    assert all(got[i] == ((None, None, True) if i // 10 % 2 else (i // 10 * 10, i % 10, False)) for i, _ in styles)
+    assert len(stored) <= 7
