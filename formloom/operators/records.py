@@ -154,19 +154,23 @@ def level_check(records: DataFrame, doc: str, no: str, level: str) -> DataFrame:
 
 def style_chains(styles: DataFrame) -> DataFrame:
     """id, root, depth, cycle of styles (id, parent): parents are followed by doubling the distance at each round, so a chain of n takes
-    log n joins. A chain that comes back to itself ends at its least member and is a cycle; depth counts parents up to the root."""
+    log n joins and cycles one more. A chain that comes back to itself ends at its least member and is a cycle; depth counts parents up to the root."""
     step = styles.select("id", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth"))
     known = styles.select(F.col("id").alias("known")).distinct()
     # a parent that isn't defined ends the chain as well
     step = step.join(known, F.col("up") == F.col("known"), "left").select("id", F.when(F.col("known").isNotNull(), F.col("up")).alias("up"), "depth", F.when(F.col("known").isNull(), F.col("up")).alias("outside"))
     step = cut(step)
-    rounds = max(1, styles.count().bit_length() + 1)
     state = step.select("id", F.coalesce("outside", F.when(F.col("up").isNull(), F.col("id"))).alias("root"), "up", "depth")
-    for _ in range(rounds):
-        if not state.filter("up is not null").limit(1).count():
+    left = state.filter("up is not null").count()
+    for _ in range(state.count().bit_length() + 1):
+        if not left:
             break
         far = state.select(F.col("id").alias("via"), F.col("root").alias("root2"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
         state = cut(state.join(far, F.col("up") == F.col("via"), "left").select("id", F.coalesce("root", "root2").alias("root"), F.when(F.col("up").isNotNull(), F.col("up2")).alias("up"), (F.col("depth") + F.when(F.col("up").isNotNull(), F.coalesce("depth2", F.lit(0))).otherwise(0)).alias("depth")))
+        before, left = left, state.filter("up is not null").count()
+        # whoever is as far from an end as a round reaches has a style above it for each smaller distance: a round that ends none leaves cycles alone
+        if left == before:
+            break
     return state.select("id", "root", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("cycle"))
 
 
