@@ -1,5 +1,5 @@
 """Whether the text of fields may flow on in a word-processing document, asked of the document's own nodes: what surrounds each field is gathered with
-windows over the part and handed to the verdicts of operators.tables."""
+one pass over the part and handed to the verdicts of operators.tables."""
 
 from __future__ import annotations
 

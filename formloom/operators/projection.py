@@ -1,13 +1,18 @@
-"""The text of paragraphs from rows of nodes (NODES of sources.markup), without a model of the document: for each kind of element, one windowed pass
-keeps which of that kind is open at every place, however they nest."""
+"""The text of paragraphs from rows of nodes (NODES of sources.markup), without a model of the document: one sorted pass keeps which element of each kind
+is open at every place, however they nest."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from formloom.functions import text as X
+from formloom.operators.lineage import spread
 from formloom.sources.containers import PARAGRAPH, WORD
 
 PART = ["path", "part"]
@@ -16,27 +21,37 @@ SPACE = {"docx": WORD, "hwpx": PARAGRAPH}
 OBJECT = "￼"
 
 
-def enclosing(nodes: DataFrame, kinds: dict[str, Column], carried: tuple[str, ...] = ()) -> DataFrame:
+def enclosing(nodes: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     """nodes with a column for each kind: the innermost element of that kind that holds the node (or is it), as a number of a node. kinds: what makes an element one.
 
-    What opens and closes is put in order. Open elements of a kind are counted; a node under n of them lies in the one that opened last as the n-th. All windows
-    are within a part, so they share one exchange."""
-    flags = [F.coalesce(c, F.lit(False)).alias(f"_is_{k}") for k, c in kinds.items()]
-    own = nodes.select("*", *flags)
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in nodes.schema.fields if f.name not in PART]
-    any_kind = F.greatest(*[F.col(f"_is_{k}") for k in kinds]) if len(kinds) > 1 else F.col(f"_is_{next(iter(kinds))}")
-    closing = own.filter(any_kind).select(*PART, *none, *[F.col(f"_is_{k}") for k in kinds], F.col("stop").alias("_at"), F.lit(0).alias("_turn"))
-    events = own.withColumn("_at", F.col("start")).withColumn("_turn", F.lit(1)).unionByName(closing)
-    order = ["_at", "_turn", "node"]
-    upto = Window.partitionBy(*PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = events.repartition(*PART)
-    for k in kinds:
-        x = x.withColumn(f"_level_{k}", F.sum(F.when(F.col(f"_is_{k}"), F.when(F.col("_turn") == 1, 1).otherwise(-1)).otherwise(0)).over(upto))
-    x = x.filter("_turn = 1")
-    for k in kinds:
-        within = Window.partitionBy(*PART, f"_level_{k}").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        x = x.withColumn(k, F.when(F.col(f"_level_{k}") > 0, F.last(F.when(F.col(f"_is_{k}"), F.col("node")), ignorenulls=True).over(within)))
-    return x.select(*nodes.columns, *kinds)
+    A part's nodes are put in order once, for all kinds; beside each stands what is open there, and nothing but that is held."""
+    names, wanted = nodes.columns, list(kinds)
+    mask = F.lit(0)
+    for i, kind in enumerate(kinds.values()):
+        mask = mask + F.when(F.coalesce(kind, F.lit(False)), 1 << i).otherwise(0)
+    ordered = nodes.withColumn("_mask", mask)
+    ordered = spread(ordered, *PART).sortWithinPartitions(*PART, "start", "node")
+    number = nodes.schema["node"].dataType
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in nodes.schema.fields] + [T.StructField(k, number) for k in wanted])
+    none = (None,) * len(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            said = []
+            for *of, node, start, stop, kind in zip(*[batch.column(c).to_pylist() for c in (*PART, "node", "start", "stop", "_mask")], strict=True):
+                if of != key:
+                    key, held = of, []
+                while held and held[-1][0] <= start:
+                    held.pop()
+                if kind:
+                    outer = held[-1][1] if held else none
+                    held.append((stop, tuple(node if kind >> i & 1 else o for i, o in enumerate(outer))))
+                said.append(held[-1][1] if held else none)
+            own = batch.schema.field("node").type
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array([s[i] for s in said], own) for i in range(len(wanted))]], [*names, *wanted])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def pieces(nodes: DataFrame, form: str) -> DataFrame:

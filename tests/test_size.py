@@ -56,3 +56,19 @@ def test_cycles_end_when_a_round_ends_no_chain(spark, monkeypatch):
     got = {r.id: (r.root, r.depth, r.cycle) for r in records.style_chains(spark.createDataFrame(styles, "id long, parent long")).collect()}
     assert all(got[i] == ((None, None, True) if i // 10 % 2 else (i // 10 * 10, i % 10, False)) for i, _ in styles)
     assert len(stored) <= 7
+
+
+def test_enclosing_sorts_a_part_once(spark):
+    from formloom.operators import projection
+    from formloom.sources import markup
+
+    nodes = spark.createDataFrame([], markup.NODES)
+    plan = plan_of(projection.enclosing(nodes, {k: F.col("local") == k for k in ("p", "tbl", "tr", "tc")}))
+    assert "Window" not in plan and plan.count("Sort ") == 1
+
+
+def test_packages_are_made_by_many_tasks(spark):
+    from formloom.sources import packages
+
+    docs = spark.range(8).coalesce(1).select(F.col("id").cast("string").alias("path"), F.lit("docx").alias("format"), F.array(F.lit("x")).alias("lines"))
+    assert packages.make_packages(docs).rdd.getNumPartitions() == 4
