@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from formloom.operators import catalog as K
 from formloom.operators import layout as L
+from formloom.operators.lineage import cut
 from formloom.plans import engine
 from formloom.plans.registry import query, t
 from formloom.sources import containers, markup, packages
@@ -19,7 +20,7 @@ FIRST = "case when c_custkey % 9 in (3, 8) then 'plain' else 'Re {{number}}' end
 
 def made(spark, d):
     c = t(spark, d, "customer").select("c_custkey", F.expr(PATH).alias("path"), F.expr(FORM).alias("format"), F.array(F.expr(FIRST), F.expr(SECOND)).alias("lines"))
-    return packages.make_packages(c)
+    return cut(packages.make_packages(c))  # read by several readers
 
 
 CODE = f"case c_custkey % 9 when 1 then 'E_FIELDS' when 2 then case when {FORM} = 'docx' then 'E_UNSUPPORTED' else 'E_FIELDS' end when 4 then 'E_FIELDS' end"
