@@ -92,10 +92,12 @@ def lookup(targets: DataFrame, files: DataFrame, entries: DataFrame, key: str, v
 def fan_out_changes(before: DataFrame, after: DataFrame, doc: str) -> DataFrame:
     """doc, no, reason of paragraphs (no, text expected, n that it became) whose n paragraphs afterwards (no, text), joined by line ends, are other than expected, and of
     paragraphs left over. Places are running sums, so both sides meet on equal numbers."""
-    placed = fan_out(before, doc, "no", "n").join(before, [doc, "no"])
-    each = placed.select(doc, F.col("no").alias("of"), "text", F.explode(F.sequence("first", "last")).alias("at"))
+    # texts stay out of the rows that a paragraph became: each would carry the whole text
+    each = fan_out(before, doc, "no", "n").select(doc, F.col("no").alias("of"), F.explode(F.sequence("first", "last")).alias("at"))
     now = after.select(doc, F.col("no").cast("long").alias("at"), F.col("text").alias("now"))
     both = each.join(now, [doc, "at"], "full_outer")
-    own = both.filter("of is not null").groupBy(doc, "of").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct("at", "now"))).alias("got"))
+    got = both.filter("of is not null").groupBy(doc, "of").agg(F.array_sort(F.collect_list(F.struct("at", "now"))).alias("got"))
+    said = before.groupBy(doc, F.col("no").alias("of")).agg(F.first("text").alias("text"))
+    own = got.join(said, [doc, "of"])
     changed = own.filter(~F.col("text").eqNullSafe(F.array_join(F.transform("got", lambda x: x["now"]), "\n"))).select(doc, F.col("of").cast("long").alias("no"), F.lit("changed").alias("reason"))
     return changed.unionByName(both.filter("of is null").select(doc, F.col("at").alias("no"), F.lit("left-over").alias("reason")))

@@ -72,3 +72,11 @@ def test_packages_are_made_by_many_tasks(spark):
 
     docs = spark.range(8).coalesce(1).select(F.col("id").cast("string").alias("path"), F.lit("docx").alias("format"), F.array(F.lit("x")).alias("lines"))
     assert packages.make_packages(docs).rdd.getNumPartitions() == 4
+
+
+def test_fan_out_keeps_texts_out_of_exploded_rows(spark):
+    from formloom.plans import documents
+
+    plan = documents.paragraph_fan_out_reread(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "explode(sequence(first" in line]
+    assert exploded and not any("text#" in line for line in exploded)
