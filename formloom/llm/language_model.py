@@ -14,8 +14,8 @@ parent's rates once in each of ROUNDS rounds; in between, seatings of one owner
 asks the owners for its own pairs and words, and adds up its documents' scores. What goes between owners are packed arrays in
 sorted order, so an answer needs no keys. All rows count; nothing is cut off by rarity. A word that occurs once has one table everywhere and is never sent.
 
-Discounts come from the counts of counts (n1 / (n1 + 2 n2)); strengths are fixed. In a sweep a dish moves each of its customers once on average,
-MOVES of them at most, from a start at the expected number of tables. Draws depend on owner and round alone: a task that is run
+Discounts come from the counts of counts (n1 / (n1 + 2 n2)); strengths are fixed. In a sweep a dish moves each of its customers once on average; one of over
+MOVES customers seats all of them at once, from the exact distribution of the number of its tables. The start is about the expected number. Draws depend on owner and round alone: a task that is run
 again draws the same.
 
 Defined results: a null or empty text is its end alone; a null doc_id is learned from; repeated rows count as documents of their own; a text of any length
@@ -45,7 +45,7 @@ ROUNDS = 1
 #: Sweeps of a round before the first sample, and samples (a sweep each).
 BURN = 2
 SAMPLES = 3
-#: Customers of a dish that one sweep moves, at most.
+#: Dishes of up to so many customers move them one by one; larger ones draw the number of their tables.
 MOVES = 16
 STRENGTH = 1.0
 #: Bit of the ids of words that occur once; id of words that training doesn't know.
@@ -263,39 +263,147 @@ def expected_tables(c: np.ndarray, rate: np.ndarray, discount: float) -> np.ndar
     return np.clip(np.round(t), 1, c).astype(np.int64)
 
 
+def one_large(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Sizes of t tables a dish of c customers: all but the first have one."""
+    sizes = np.ones(int(t.sum()), np.int64)
+    sizes[np.cumsum(t) - t] += c - t
+    return sizes
+
+
+def stirling_rows(discount: float, c: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+    """For each c (ascending, distinct): logarithms of the generalised Stirling numbers of c and 1..k, less that of c and 1. Rows follow one another by the ratio
+    of neighbours, q(c + 1, t) = (1 + (c - d t) q(c, t)) / (1 / q(c, t - 1) + c - d (t - 1)): all terms are positive, so nothing cancels or overflows."""
+    width = max(1, int(k.max(initial=1)) - 1)
+    q, top, under, dt = np.zeros(width), np.empty(width), np.empty(width), discount * np.arange(2, width + 2)
+    out, row = [], 1
+    for many, upto in zip(c.tolist(), k.tolist(), strict=True):
+        for n in range(row, many):
+            m = min(n, width)
+            a, b, x = top[:m], under[:m], q[:m]
+            np.subtract(n, dt[:m], out=b)
+            np.multiply(b, x, out=a)
+            a += 1.0
+            b += discount
+            if m > 1:
+                np.divide(1.0, q[: m - 1], out=x[: m - 1])
+                b[1:] += x[: m - 1]
+            np.divide(a, b, out=x)
+        row = many
+        out.append(np.concatenate([[0.0], np.cumsum(np.log(q[: upto - 1]))]))
+    return out
+
+
 class Restaurants:
     """Seatings of dishes with two customers or more: c customers each, dishes in falling order of c; size of each table, tables
-    of a dish next to each other; room is the dish's restaurant, tables the number of tables in each room (those of others included)."""
+    of a dish next to each other; room is the dish's restaurant, tables the number of tables in each room (those of others included).
+
+    A sweep moves every dish as a whole. Dishes of up to MOVES customers move them one by one. The customers of a larger dish are seated at once: the number of their tables is drawn from its
+    distribution given all other dishes, P^t (s + d T)...(s + d (T + t - 1)) S(c, t) with T tables of others. Only that number matters, so their sizes are noted as one large table and single customers."""
 
     def __init__(self, c: np.ndarray, room: np.ndarray, tables: np.ndarray, discount: float, seed: int, sizes: np.ndarray | None = None, t: np.ndarray | None = None, parent: np.ndarray | None = None):
         self.c, self.room, self.discount, self.rng = c.astype(np.int64), room, discount, np.random.default_rng(seed)
         self.tables = tables.astype(np.float64)
         if sizes is None:
             t = expected_tables(self.c, (STRENGTH + discount * self.tables[room]) * parent, discount)
-            sizes = np.ones(int(t.sum()), np.int64)
-            sizes[np.cumsum(t) - t] += self.c - t
+            sizes = one_large(self.c, t)
             np.add.at(self.tables, room, t - 1)  # each dish counted as one table so far
         self.sizes, self.t = sizes.astype(np.int64), t.astype(np.int64)
+        self.large = int(np.searchsorted(-self.c, -MOVES, "left"))
+        # dishes that take turns: the first large one of each room, then the second ones
+        of = self.room[: self.large]
+        order = np.argsort(of, kind="stable")
+        first = np.flatnonzero(np.diff(of[order], prepend=-1))
+        turn = np.empty(self.large, np.int64)
+        turn[order] = np.arange(self.large) - np.repeat(first, np.diff([*first, self.large]))
+        self.turns = [at for _, at in split(turn)]
+        self.kinds, self.kind = np.unique(self.c[: self.large], return_inverse=True)
+        self.reach = np.zeros(len(self.kinds), np.int64)
+        self.known(np.minimum(self.c[: self.large], 2 * self.t[: self.large] + 32), np.arange(self.large))
+
+    def known(self, reach: np.ndarray, dishes: np.ndarray) -> None:
+        """Stirling numbers of these dishes up to reach tables."""
+        before = self.reach.copy()
+        np.maximum.at(self.reach, self.kind[dishes], reach)
+        if (self.reach > before).any():
+            rows = stirling_rows(self.discount, self.kinds, self.reach)
+            self.place = np.cumsum(self.reach) - self.reach
+            self.stirling = np.concatenate(rows)
 
     def sweep(self, parent: np.ndarray) -> None:
-        sizes, rest = self.sizes, []
-        for i in range(min(MOVES, int(self.c.max(initial=0)))):
+        n = self.large
+        few, rest = self.sizes[int(self.t[:n].sum()) :], []
+        for at in self.turns:
+            self.drawn(at, parent)
+        for i in range(min(MOVES, int(self.c[n:].max(initial=0)))):
             m = int(np.searchsorted(-self.c, -i, "left"))  # dishes with more than i customers
-            end = int(self.t[:m].sum())
-            rest.append(sizes[end:])
-            sizes = self.moved(sizes[:end], m, parent)
-        self.sizes = np.concatenate([sizes, *rest[::-1]])
-
-    def moved(self, sizes: np.ndarray, m: int, parent: np.ndarray) -> np.ndarray:
-        """One customer of each of the first m dishes gets up and sits down; sizes: of their tables."""
-        d, c, t, room = self.discount, self.c[:m], self.t[:m], self.room[:m]
+            end = int(self.t[n:m].sum())
+            rest.append(few[end:])
+            few = self.moved(few[:end], slice(n, m), parent)
+        self.sizes = np.concatenate([one_large(self.c[:n], self.t[:n]), few, *rest[::-1]])
+
+    def drawn(self, at: np.ndarray, parent: np.ndarray) -> None:
+        """Numbers of tables of these dishes, each in a room of its own."""
+        if len(at) == 1:
+            return self.drawn_alone(int(at[0]), parent)
+        others = self.tables[self.room[at]] - self.t[at]
+        chance, new = self.rng.random(len(at)), np.zeros(len(at), np.int64)
+        todo = np.arange(len(at))
+        while len(todo):
+            dishes = at[todo]
+            k = self.reach[self.kind[dishes]]
+            starts = np.cumsum(k) - k
+            own = np.repeat(np.arange(len(todo)), k)
+            t = np.arange(len(own)) - starts[own]  # tables less one
+            step = np.log((STRENGTH + self.discount * np.maximum(0.0, others[todo])[own] + self.discount * t) * parent[dishes][own])
+            run = np.cumsum(step)
+            weight = run - (run - step)[starts][own] + self.stirling[self.place[self.kind[dishes]][own] + t]
+            weight -= np.maximum.reduceat(weight, starts)[own]
+            # what lies beyond is counted in as well, until it can't matter
+            short = (weight[starts + k - 1] > -40) & (k < self.c[dishes])
+            mass = np.cumsum(np.exp(weight))
+            before = (mass - np.exp(weight))[starts]
+            goal = before + chance[todo] * (mass[starts + k - 1] - before)
+            got = np.minimum(np.searchsorted(mass, goal, "right"), starts + k - 1) - starts + 1
+            new[todo[~short]] = got[~short]
+            todo = todo[short]
+            if len(todo):
+                self.known(np.minimum(self.c[at[todo]], 2 * k[short]), at[todo])
+        self.tables[self.room[at]] += new - self.t[at]  # every room once
+        self.t[at] = new
+
+    def drawn_alone(self, dish: int, parent: np.ndarray) -> None:
+        """The same for one dish: a room with many large dishes has most turns to itself."""
+        room, kind, before = self.room[dish], self.kind[dish], self.t[dish]
+        others, chance = max(0.0, self.tables[room] - before), self.rng.random()
+        while True:
+            k, place = self.reach[kind], self.place[kind]
+            weight = np.arange(k, dtype=np.float64)
+            weight *= self.discount
+            weight += STRENGTH + self.discount * others
+            weight *= parent[dish]
+            np.log(weight, out=weight)
+            np.cumsum(weight, out=weight)
+            weight += self.stirling[place : place + k]
+            weight -= weight.max()
+            if weight[-1] <= -40 or k >= self.c[dish]:
+                break
+            self.known(np.minimum(self.c[dish : dish + 1], 2 * k), np.array([dish]))
+        mass = np.cumsum(np.exp(weight))
+        new = min(int(np.searchsorted(mass, chance * mass[-1], "right")) + 1, int(k))
+        self.tables[room] += new - before
+        self.t[dish] = new
+
+    def moved(self, sizes: np.ndarray, of: slice, parent: np.ndarray) -> np.ndarray:
+        """One customer of each of these dishes gets up and sits down; sizes: of their tables."""
+        d, c, t, room = self.discount, self.c[of], self.t[of], self.room[of]
+        m = len(c)
         ends = np.cumsum(t)
         people = np.cumsum(sizes)
         start = np.cumsum(c) - c
         at = np.searchsorted(people, start + (self.rng.random(m) * c).astype(np.int64), "right")
         sizes[at] -= 1
         gone = sizes[at] == 0
-        new_weight = np.maximum(0.0, STRENGTH + d * (self.tables[room] - gone)) * parent[:m]
+        new_weight = np.maximum(0.0, STRENGTH + d * (self.tables[room] - gone)) * parent[of]
         new = self.rng.random(m) * (new_weight + c - 1 - d * (t - gone)) < new_weight
         todo = np.flatnonzero(~new)
         people = np.cumsum(sizes)
@@ -313,7 +421,7 @@ class Restaurants:
         fresh = new & ~gone
         grown = np.insert(sizes, ends[fresh], 1)
         change = fresh.astype(np.int64) - (gone & ~new)
-        self.t[:m] += change
+        self.t[of] += change
         self.tables += np.bincount(room, weights=change, minlength=len(self.tables))
         return grown[grown > 0]
 

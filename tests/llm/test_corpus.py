@@ -225,6 +225,29 @@ def test_seating_has_the_posterior(c, rate, d):
     assert abs(house.t.mean() - want) < 0.03 * want + 0.02
 
 
+@pytest.mark.parametrize(("c", "rate", "d", "others"), [(120, 0.9, 0.5, 0), (150, 0.02, 0.7, 90)])
+def test_one_sweep_seats_all_customers(c, rate, d, others):
+    """From a start with all customers at one table, one sweep gives the posterior, however many there are."""
+    s = [1.0]
+    for k in range(1, c):
+        s = [(s[t - 1] if t else 0) + ((k - d * (t + 1)) * s[t] if t < len(s) else 0) for t in range(len(s) + 1)]
+    weight, rise = [], 1.0
+    for t in range(1, c + 1):
+        rise *= rate * (1 + d * (others + t - 1))
+        weight.append(rise * s[t - 1])
+    want = sum(t * x for t, x in enumerate(weight, 1)) / sum(weight)
+    n = 4000
+    house = language_model.Restaurants(np.full(n, c), np.arange(n), np.full(n, 1.0 + others), d, 1, np.full(n, c), np.ones(n))
+    house.sweep(np.full(n, rate))
+    assert want > 2 and abs(house.t.mean() - want) < 0.03 * want
+    assert (house.tables == house.t + others).all() and house.sizes.sum() == n * c and len(house.sizes) == house.t.sum()
+    drawn = []
+    for _ in range(n):  # a dish that has its turn to itself
+        house.drawn_alone(0, np.full(1, rate))
+        drawn.append(house.t[0])
+    assert abs(np.mean(drawn) - want) < 0.04 * want
+
+
 def test_frequent_contexts_are_split():
     u, w = np.zeros(9000, np.uint64), np.arange(9000, dtype=np.uint64)
     assert len(set(language_model.pair_owner(u, w, np.full(9000, 10), 50))) == 1
