@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from formloom.operators import records as R
 from formloom.operators import tables as T
+from formloom.operators.lineage import tasks_for
 from formloom.plans.layout import LINES, lines
 from formloom.plans.registry import query, t
 
@@ -54,7 +55,8 @@ def repeat_source_rows(spark, d):
 
 
 def repeats(spark, d):
-    n = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("region")).agg(F.count("*").alias("n"))
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("region"))
+    n = lines.repartition(tasks_for(lines), "region").groupBy("region").agg(F.count("*").alias("n"))
     return n.select("region", "n", F.lit(2).alias("start"), F.lit(6).alias("stop"), F.lit(4).alias("prototype"))
 
 
