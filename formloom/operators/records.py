@@ -104,14 +104,15 @@ def nesting(tokens: DataFrame, doc: str, no: str, change: str) -> DataFrame:
     return tokens.withColumn("depth", depth).groupBy(doc).agg(F.max("depth").alias("max_depth"), F.min("depth").alias("min_depth"), F.max_by("depth", no).alias("last_depth")).withColumn("balanced", (F.col("min_depth") >= 0) & (F.col("last_depth") == 0))
 
 
-def nearest_ancestor(nodes: DataFrame, ancestors: DataFrame, doc: str) -> DataFrame:
+def nearest_ancestor(nodes: DataFrame, ancestors: DataFrame, doc: str, tasks: int | None = None) -> DataFrame:
     """Each node's innermost container (doc, id, start, stop that nest): one sweep over what opens and closes. Open containers are counted;
-    a node under n of them lies in the one that opened last as the n-th."""
+    a node under n of them lies in the one that opened last as the n-th. tasks: as many as the rows call for (`lineage.tasks_for`), else the session's number."""
     none = F.lit(None).cast("long")
     event = lambda df, at, kind, change, node, anc: df.select(doc, F.col(at).alias("at"), F.lit(kind).alias("kind"), F.lit(change).alias("change"), node.alias("id"), anc.alias("ancestor"))
     own = F.col("id").cast("long")
     # at one place what ends goes first, then nodes, then what begins there
     events = event(ancestors, "stop", 0, -1, none, none).unionByName(event(nodes, "start", 1, 0, own, none)).unionByName(event(ancestors, "start", 2, 1, none, own))
+    events = events.repartition(tasks, doc) if tasks else events
     opened = F.sum("change").over(Window.partitionBy(doc).orderBy("at", "kind", F.coalesce("ancestor", "id")).rowsBetween(Window.unboundedPreceding, 0))
     level = events.withColumn("level", opened).filter("kind > 0")
     last = F.last("ancestor", ignorenulls=True).over(Window.partitionBy(doc, "level").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))

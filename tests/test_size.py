@@ -80,3 +80,14 @@ def test_fan_out_keeps_texts_out_of_exploded_rows(spark):
     plan = documents.paragraph_fan_out_reread(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     exploded = [line for line in plan.splitlines() if "explode(sequence(first" in line]
     assert exploded and not any("text#" in line for line in exploded)
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Each exchange of these queries has as many tasks as lines call for, not as the session shuffles to."""
+    from formloom.operators import lineage
+    from formloom.plans import grids, registry
+
+    monkeypatch.setattr(lineage, "ROWS", 1000)
+    for f in (registry.repeat_rows_fill, registry.nearest_ancestor, registry.subtree_size, grids.repeat_row_counts):
+        dealt = [line for line in plan_of(f(spark, SF)).splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and all(", 6)" in line for line in dealt), f.__name__
