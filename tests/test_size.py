@@ -91,3 +91,15 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     for f in (registry.repeat_rows_fill, registry.nearest_ancestor, registry.subtree_size, grids.repeat_row_counts):
         dealt = [line for line in plan_of(f(spark, SF)).splitlines() if "Exchange hashpartitioning" in line]
         assert dealt and all(", 6)" in line for line in dealt), f.__name__
+
+
+def test_python_gets_few_bytes_at_once(spark):
+    import pyarrow as pa
+
+    from formloom.plans import registry
+
+    got = registry.composed_text(spark, SF)
+    assert "ArrowEvalPython" in plan_of(got) and got.count() > 0
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) <= 5
