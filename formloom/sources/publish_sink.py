@@ -1,7 +1,7 @@
 """Publication in two phases: `df.write.format("published_documents").mode("append").save(folder)` for rows (name, content).
 
-Tasks write to a staging folder of their own attempt and report by commit messages what they wrote. The driver publishes once all tasks have
-ended: each document gets its name without replacing any other (a link locally, a rename that refuses an existing name on HDFS; stores
+Tasks write to a staging folder of their own attempt, with sorted lists of what they wrote, and report by commit messages where these lists are. The driver merges
+the lists and holds no more than a line of each, whatever their length; it publishes once all tasks have ended: each document gets its name without replacing any other (a link locally, a rename that refuses an existing name on HDFS; stores
 that have neither are refused), and a manifest of the whole job comes last. A job with two documents of one name, or a name that is
 taken, publishes nothing: what it put down is taken back. A failed task ends the job, and its stage goes (what a task still writes after that is in a folder that nobody reads); of a task that ran twice, only
 the attempt whose message was committed is published.
@@ -12,11 +12,14 @@ it one. Of several writers of an id, the one whose manifest comes first has it.
 from __future__ import annotations
 
 import hashlib
+import heapq
+import io
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,6 +29,8 @@ from pyspark.sql.types import StructType
 from formloom.operators.lineage import registered
 
 MANIFEST = "manifest.json"
+#: Documents of a sorted list, and lists that are merged at once.
+RUN, WAYS = 50_000, 200
 
 
 def store_of(path: str):
@@ -36,8 +41,25 @@ def store_of(path: str):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    #: name, staged path, bytes, sha256 of each document.
-    files: list[tuple[str, str, int, str]]
+    #: Files that list name, staged path, bytes, sha256 of each document, sorted.
+    lists: list[str]
+
+
+def put_list(store, at: str, files: Iterable[list]) -> str:
+    with store.open_output_stream(at, buffer_size=1 << 16) as f:
+        for x in files:
+            f.write(json.dumps(x).encode() + b"\n")
+    return at
+
+
+def get_list(store, at: str) -> Iterator[list]:
+    with store.open_input_stream(at) as raw, io.TextIOWrapper(raw, "utf-8") as f:
+        for line in f:
+            yield json.loads(line)
+
+
+def merged(store, lists: list[str]) -> Iterator[list]:
+    return heapq.merge(*(get_list(store, at) for at in lists))
 
 
 class Taken(RuntimeError):
@@ -77,7 +99,7 @@ class Publisher(DataSourceWriter):
         task = TaskContext.get()
         own = f"{stage}/{task.partitionId()}-{task.attemptNumber()}-{uuid.uuid4().hex}" if task else f"{stage}/{uuid.uuid4().hex}"
         store.create_dir(own, recursive=True)
-        files = []
+        lists, files = [], []
         for n, row in enumerate(iterator):
             name, content = row["name"], bytes(row["content"])
             if not name or "/" in name or name in (".", "..", MANIFEST) or name.startswith("_"):
@@ -85,33 +107,42 @@ class Publisher(DataSourceWriter):
             at = f"{own}/{n}"
             with store.open_output_stream(at) as f:
                 f.write(content)
-            files.append((name, at, len(content), hashlib.sha256(content).hexdigest()))
-        return Staged(files)
+            files.append([name, at, len(content), hashlib.sha256(content).hexdigest()])
+            if len(files) >= RUN:
+                lists.append(put_list(store, f"{own}/list-{len(lists)}", sorted(files)))
+                files = []
+        if files:
+            lists.append(put_list(store, f"{own}/list-{len(lists)}", sorted(files)))
+        return Staged(lists)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files = sorted(f for m in messages if m is not None for f in m.files)
-        names = [f[0] for f in files]
+        lists = [at for m in messages if m is not None for at in m.lists]
         store, top = store_of(f"{self.folder}/{self.id}" if self.id else self.folder)
-        folder = f"{top}/{self.job}" if self.id else top
-        published: list[str] = []
+        folder, stage = f"{top}/{self.job}" if self.id else top, store_of(self.stage)[1]
+        manifest = f"{top}/{MANIFEST}" if self.id else f"{folder}/_published-{self.job}.json"
+        published = 0
         try:
-            twice = next((a for a, b in zip(names, names[1:], strict=False) if a == b), None)
-            if twice is not None:
-                raise Taken(f"E_OUTPUT_EXISTS: {twice}")
+            store.create_dir(stage, recursive=True)
+            while len(lists) > WAYS:
+                lists = [put_list(store, f"{stage}/{uuid.uuid4().hex}", merged(store, lists[i : i + WAYS])) for i in range(0, len(lists), WAYS)]
+            staged = f"{stage}/manifest"
+            with store.open_output_stream(staged, buffer_size=1 << 16) as f:
+                f.write(f'{{"job": {json.dumps(self.job)}, "documents": ['.encode())
+                last = None
+                for name, _, size, digest in merged(store, lists):
+                    if name == last:
+                        raise Taken(f"E_OUTPUT_EXISTS: {name}")
+                    f.write((", " if last is not None else "").encode() + json.dumps({"name": name, "bytes": size, "sha256": digest}, ensure_ascii=False).encode())
+                    last = name
+                f.write(b"]}")
             store.create_dir(folder, recursive=True)
-            manifest = f"{top}/{MANIFEST}" if self.id else f"{folder}/_published-{self.job}.json"
-            said = json.dumps({"job": self.job, "documents": [{"name": n, "bytes": size, "sha256": digest} for n, _, size, digest in files]}, ensure_ascii=False).encode()
-            staged = f"{store_of(self.stage)[1]}/manifest"
-            store.create_dir(store_of(self.stage)[1], recursive=True)
-            with store.open_output_stream(staged) as f:
-                f.write(said)
-            for name, at, _, _ in files:
+            for name, at, _, _ in merged(store, lists):
                 put_once(store, at, f"{folder}/{name}")
-                published.append(f"{folder}/{name}")
+                published += 1
             put_once(store, staged, manifest)
         except BaseException:
-            for path in published:
-                store.delete_file(path)
+            for name, *_ in islice(merged(store, lists), published):
+                store.delete_file(f"{folder}/{name}")
             if self.id and published:
                 store.delete_dir(folder)
             raise

@@ -65,6 +65,20 @@ def test_reader_reads_what_is_asked(spark, tmp_path, monkeypatch):
     assert [r for p in gone.partitions() for r in gone.read(p)] == []
 
 
+def test_plans_hold_few_bytes_a_package(tmp_path):
+    """What planning hands on is a few bytes for each package, folders below included, and names them all."""
+    import pickle
+
+    (tmp_path / "in" / "er").mkdir(parents=True)
+    names = [f"{'in/er/' if k % 3 == 0 else ''}é{k}.{'zip' if k % 5 else 'txt'}" for k in range(3000)]
+    for n in names:
+        (tmp_path / n).touch()
+    for folder, ahead in ((str(tmp_path), str(tmp_path)), (f"file://{tmp_path}/", f"file://{tmp_path}")):
+        plan = package_source.PartReader({"path": folder}, StructType().add("path", "string")).partitions()
+        assert sorted(x for p in plan for x in p.paths) == sorted(f"{ahead}/{n}" for n in names if n.endswith("zip"))
+        assert len(plan) == 3 and sum(len(pickle.dumps(p)) for p in plan) < 10 * len(names)
+
+
 def test_directories_are_judged_as_rows(spark, tmp_path):
     archive(tmp_path / "fine.zip", [("a.xml", b"1"), ("b.xml", b"2")], comment=b"PK\5\6 not the end")
     archive(tmp_path / "climbs.zip", [("../a", b"1")])
@@ -119,6 +133,29 @@ def test_a_task_that_ran_twice_counts_once(tmp_path):
     assert sorted(f.split("-")[0] for f in os.listdir(tmp_path / "out")) == ["_published", "a"]
 
 
+def test_commit_messages_do_not_grow_with_the_documents(tmp_path, monkeypatch):
+    """Names go by sorted lists in files, which are merged in rounds; duplicates are found and what was put down is taken back across lists."""
+    import pickle
+
+    monkeypatch.setattr(publish_sink, "RUN", 7)
+    monkeypatch.setattr(publish_sink, "WAYS", 3)
+    rows = [{"name": f"{k * 37 % 400}é.docx", "content": b"x" * (k % 5)} for k in range(400)]
+    folder = tmp_path / "out"
+    w = publish_sink.Publisher({"path": str(folder)})
+    w.commit([w.write(iter(rows[:250])), None, w.write(iter(rows[250:])), w.write(iter([]))])
+    said = json.loads((folder / f"_published-{w.job}.json").read_text())["documents"]
+    assert [x["name"] for x in said] == sorted(r["name"] for r in rows) and all((folder / x["name"]).stat().st_size == x["bytes"] for x in said)
+    before = sorted(os.listdir(folder))
+    for more, taken in (([{"name": "zz", "content": b""}, {"name": "zz", "content": b"1"}], "zz"), ([{"name": "0a", "content": b""}, {"name": "7é.docx", "content": b""}], "7é.docx")):
+        again = publish_sink.Publisher({"path": str(folder)})
+        with pytest.raises(publish_sink.Taken, match=taken):
+            again.commit([again.write(iter([r])) for r in more])
+        assert sorted(os.listdir(folder)) == before
+    monkeypatch.setattr(publish_sink, "RUN", 50_000)
+    w = publish_sink.Publisher({"path": str(tmp_path / "two")})
+    assert len(pickle.dumps(w.write(iter(rows)))) < 1000
+
+
 def test_two_writers_of_one_id(tmp_path):
     one, two = (publish_sink.Publisher({"path": str(tmp_path), "id": "letter"}) for _ in range(2))
     mine, other = one.write(iter([{"name": "t.docx", "content": b"1"}])), two.write(iter([{"name": "t.docx", "content": b"2"}]))
