@@ -7,6 +7,7 @@ only thing that the reader says itself (problem)."""
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -76,9 +77,37 @@ def body_of(file, row: dict) -> bytes | None:
     return data if len(data) == row["size"] and zlib.crc32(data) == row["crc"] else None
 
 
+def files_below(store, top: str) -> Iterator[tuple[str, str, int]]:
+    """Path below top, name and size of each file. A local folder's entries come one at a time, so that a large folder isn't held; other stores list a folder at once."""
+    from pyarrow import fs
+
+    todo = [""]
+    while todo:
+        below = todo.pop()
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(f"{top}/{below}") as found:
+                for e in found:
+                    if e.is_dir():
+                        todo.append(f"{below}{e.name}/")
+                    elif e.is_file():
+                        yield below + e.name, e.name, e.stat().st_size
+            continue
+        for f in store.get_file_info(fs.FileSelector(f"{top}/{below}".rstrip("/"))):
+            if f.type == fs.FileType.Directory:
+                todo.append(f"{below}{f.base_name}/")
+            elif f.type == fs.FileType.File:
+                yield below + f.base_name, f.base_name, f.size
+
+
 class Archives(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Paths below a folder, packed: the process that plans holds all of these."""
+
+    def __init__(self, folder: str, below: list[str]):
+        self.folder, self.packed = folder, zlib.compress("\0".join(sorted(below)).encode("utf-8", "surrogateescape")) if below else b""
+
+    @property
+    def paths(self) -> list[str]:
+        return [f"{self.folder}/{x}" for x in zlib.decompress(self.packed).decode("utf-8", "surrogateescape").split("\0")] if self.packed else []
 
 
 class PartReader(DataSourceReader):
@@ -106,18 +135,16 @@ class PartReader(DataSourceReader):
         there = "://" in self.folder or self.folder.startswith("file:")
         store, at = fs.FileSystem.from_uri(self.folder) if there else (fs.LocalFileSystem(), self.folder)
         prefix = self.folder.rstrip("/")
-        files = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and self.pattern.fullmatch(f.base_name))
         out: list[InputPartition] = []
         held, size = [], 0
-        for path, n in files:
-            name = prefix + path[len(at.rstrip("/")) :]
-            if self.wanted("path", name):
-                held.append(name)
+        for below, name, n in files_below(store, at.rstrip("/")):
+            if self.pattern.fullmatch(name) and self.wanted("path", f"{prefix}/{below}"):
+                held.append(below)
                 size += n + (1 << 16)
             if size >= SLICE:
-                out.append(Archives(held))
+                out.append(Archives(prefix, held))
                 held, size = [], 0
-        return [*out, Archives(held)] if held or not out else out
+        return [*out, Archives(prefix, held)] if held or not out else out
 
     def read(self, partition: Archives) -> Iterator[tuple]:
         for path in partition.paths:
