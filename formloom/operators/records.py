@@ -73,10 +73,10 @@ def repeat_fill(records: DataFrame, doc: str, order: list[str], template: str, v
     return records.select(doc, row.alias("row_addr"), X.fill(F.lit(template), m).alias("line"))
 
 
-def run_offsets(runs: DataFrame, doc: str, no: str, text: str) -> DataFrame:
-    """start and stop of each run in the joined text."""
+def run_offsets(runs: DataFrame, doc: str, no: str, text: str, *kept: str) -> DataFrame:
+    """start and stop of each run in the joined text, and the columns that are kept."""
     stop = F.sum(F.length(text)).over(Window.partitionBy(doc).orderBy(no).rowsBetween(Window.unboundedPreceding, 0))
-    return runs.select(doc, no, (stop - F.length(text)).alias("start"), stop.alias("stop"))
+    return runs.select(doc, no, (stop - F.length(text)).alias("start"), stop.alias("stop"), *kept)
 
 
 def covering_runs(spans: DataFrame, runs: DataFrame, doc: str, block: int = 256) -> DataFrame:
@@ -89,13 +89,23 @@ def covering_runs(spans: DataFrame, runs: DataFrame, doc: str, block: int = 256)
     return hit.select(doc, "span_no", "run_no", "start", "stop", "a", "b", (F.row_number().over(Window.partitionBy(doc, "span_no").orderBy("start")) == 1).alias("takes_value"))
 
 
-def replaced_runs(spans: DataFrame, runs: DataFrame, doc: str) -> DataFrame:
-    """doc, run_no, text of runs (run_no, start, stop, text) when each span (span_no, start, stop, value) is replaced: its value goes into the first run that it covers."""
-    hit = covering_runs(spans, runs, doc).join(spans.select(doc, "span_no", "value"), [doc, "span_no"])
-    edit = F.struct((F.greatest("a", "start") - F.col("start")).cast("int").alias("start"), (F.least("b", "stop") - F.col("start")).cast("int").alias("stop"), F.when(F.col("takes_value"), F.col("value")).otherwise("").alias("replacement"))
-    edits = hit.groupBy(doc, "run_no").agg(F.collect_list(edit).alias("edits"))
-    x = runs.join(edits, [doc, "run_no"], "left")
-    return x.select(doc, "run_no", F.when(F.col("edits").isNull(), F.col("text")).otherwise(X.splice(F.col("text"), F.col("edits"))).alias("text"))
+def replaced_runs(spans: DataFrame, runs: DataFrame, doc: str, *kept: str) -> DataFrame:
+    """doc, run_no, text of runs (run_no, start, stop, text) when each span (start, stop, value) is replaced: its value goes into the first run that it covers, the others lose
+    their part. Runs follow one another without gaps and spans don't overlap, so one sweep in the order of places meets in each run the spans that begin there, and
+    of those before it only the last one can reach into it. kept: columns of runs that stay."""
+    none = F.lit(None)
+    span = F.struct(F.col("start").cast("long").alias("a"), F.col("stop").cast("long").alias("b"), "value")
+    r = runs.select(doc, F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), "run_no", F.col("stop").cast("long").alias("stop"), "text", none.cast("struct<a:bigint,b:bigint,value:string>").alias("span"), *kept)
+    s = spans.select(doc, F.col("start").cast("long").alias("at"), F.lit(1).alias("kind"), span.alias("span"))
+    w = Window.partitionBy(doc).orderBy("at", "kind", "run_no").rowsBetween(Window.unboundedPreceding, 0)
+    met = r.unionByName(s, allowMissingColumns=True).select(doc, "at", "kind", F.last("run_no", ignorenulls=True).over(w).alias("run_no"), "stop", "text", F.last("span", ignorenulls=True).over(w).alias("span"), *kept)
+    # spans before the first run are in none
+    own = lambda c: F.max(F.when(F.col("kind") == 0, F.col(c))).alias(c)
+    reaches = (F.col("kind") == 1) | (F.col("span.b") > F.col("at"))
+    per = met.filter("run_no is not null").groupBy(doc, "run_no").agg(own("at"), own("stop"), own("text"), *[own(c) for c in kept], F.collect_list(F.when(reaches, F.struct("kind", "span"))).alias("spans"))
+    hit = F.filter("spans", lambda x: (F.col("stop") > x["span"]["a"]) & (F.col("at") < x["span"]["b"]))
+    edit = lambda x: F.struct((F.greatest(x["span"]["a"], "at") - F.col("at")).cast("int").alias("start"), (F.least(x["span"]["b"], "stop") - F.col("at")).cast("int").alias("stop"), F.when(x["kind"] == 1, x["span"]["value"]).otherwise("").alias("replacement"))
+    return per.withColumn("edits", F.transform(hit, edit)).select(doc, "run_no", F.when(F.size("edits") == 0, F.col("text")).otherwise(X.splice(F.col("text"), F.col("edits"))).alias("text"), *kept)
 
 
 def nesting(tokens: DataFrame, doc: str, no: str, change: str) -> DataFrame:

@@ -103,3 +103,19 @@ def test_python_gets_few_bytes_at_once(spark):
     sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
     texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
     assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) <= 5
+
+
+def test_runs_are_replaced_in_one_sweep(spark):
+    """No join, and each table goes to its documents once; values and runs as by hand, for spans over many runs, of no length and at the ends."""
+    from formloom.operators import records
+    from formloom.plans import registry
+
+    plan = plan_of(registry.multi_run_replacement(spark, SF))
+    assert "Join" not in plan and plan.count("Exchange ") <= 3 and "size(regexp_extract_all" not in plan.split("FileScan")[-1]
+    text = "".join(chr(97 + k % 26) for k in range(60))
+    runs = [(doc, k, text[6 * k : 6 * k + 6]) for doc in (1, 2) for k in range(10)]
+    spans = [(1, 0, 2, "A"), (1, 2, 3, "B"), (1, 5, 31, "C"), (1, 33, 33, "D"), (1, 59, 60, ""), (2, 0, 60, "all"), (3, 0, 1, "none")]
+    r = records.run_offsets(spark.createDataFrame(runs, "doc int, run_no int, text string"), "doc", "run_no", "text", "text")
+    got = {(x.doc, x.run_no): x.text for x in records.replaced_runs(spark.createDataFrame(spans, "doc int, start int, stop int, value string"), r, "doc").collect()}
+    want = {(1, 0): "AB" + text[3:5] + "C", (1, 1): "", (1, 2): "", (1, 3): "", (1, 4): "", (1, 5): text[31:33] + "D" + text[33:36], (1, 9): text[54:59]} | {(1, k): text[6 * k : 6 * k + 6] for k in (6, 7, 8)}
+    assert got == want | {(2, k): "" if k else "all" for k in range(10)}
