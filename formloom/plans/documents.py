@@ -68,12 +68,10 @@ def node_tree(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("docx").alias("format"), F.split("text", "\n", -1).alias("lines"))
     bodies = containers.parts(packages.make_packages(docs)).filter("part = 'word/document.xml'")
     n = markup.node_rows(bodies)
-    paragraph = n.filter("local = 'p'").select("path", F.col("node").alias("p"), F.col("stop").alias("p_stop"), F.col("start").alias("p_start"), "depth", "parent")
-    text = n.filter("local = '#text'").select("path", "start", "text")
-    body = n.filter("local = 'body'").select("path", F.col("depth").alias("body_depth"))
-    per = paragraph.join(body, "path").groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("depth") - F.col("body_depth")).cast("long").alias("depth_from_body"))
-    chars = text.groupBy("path").agg(F.sum(F.length("text")).alias("chars"))
-    return per.join(chars, "path", "left").select(F.col("path").cast("long").alias("doc_id"), F.lit("p").alias("local"), "depth_from_body", "n", F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
+    # a part has one body: one pass over the nodes, which nothing stores
+    of = lambda local, c: F.when(F.col("local") == local, c)
+    per = n.groupBy("path").agg(F.count(of("p", F.lit(1))).alias("n"), (F.max(of("p", F.col("depth"))) - F.max(of("body", F.col("depth")))).cast("long").alias("depth_from_body"), F.sum(of("#text", F.length("text"))).alias("chars"))
+    return per.filter("depth_from_body is not null").select(F.col("path").cast("long").alias("doc_id"), F.lit("p").alias("local"), "depth_from_body", "n", F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
 
 
 FIELD = """'{"name": "title", "type": "text", "maxLength": ' || (p_size + 10) || '}'"""
