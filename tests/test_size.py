@@ -119,3 +119,35 @@ def test_runs_are_replaced_in_one_sweep(spark):
     got = {(x.doc, x.run_no): x.text for x in records.replaced_runs(spark.createDataFrame(spans, "doc int, start int, stop int, value string"), r, "doc").collect()}
     want = {(1, 0): "AB" + text[3:5] + "C", (1, 1): "", (1, 2): "", (1, 3): "", (1, 4): "", (1, 5): text[31:33] + "D" + text[33:36], (1, 9): text[54:59]} | {(1, k): text[6 * k : 6 * k + 6] for k in (6, 7, 8)}
     assert got == want | {(2, k): "" if k else "all" for k in range(10)}
+
+
+def test_node_tree_reads_its_packages_once(spark):
+    from formloom.plans import documents
+
+    plan = plan_of(documents.node_tree(spark, SF))
+    assert "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_a_large_part_is_packed_as_it_is_read(monkeypatch):
+    """Nodes leave their dicts while a part is still read, and yet none of a part that turns out to be malformed goes on."""
+    import pyarrow as pa
+    from formloom.sources import markup
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    bodies = [b"<r>" + b"<p a='1'>x&amp;y<b/>z</p>t" * 50 + end for end in (b"</r>", b"</s>")]
+    batch = pa.RecordBatch.from_arrays([pa.array(["fine", "torn"]), pa.array(["p", "p"]), pa.array(bodies)], ["path", "part", "body"])
+    most = []
+    real = markup.ended_nodes
+    monkeypatch.setattr(markup, "ROWS", 10)
+    monkeypatch.setattr(markup, "ended_nodes", lambda body, pack: real(body, pack and (lambda nodes: (most.append(len(nodes)), pack(nodes)))))
+    got = [r for b in markup.node_rows(Docs())(iter([batch])) for r in b.to_pylist()]
+    want = markup.nodes_of(bodies[0])
+    assert len(most) >= 40 and max(most) < 15
+    assert sorted((r["node"], r["local"], r["start"], r["stop"], r["text"]) for r in got if r["path"] == "fine") == [(n["node"], n["local"], n["start"], n["stop"], n["text"]) for n in want]
+    assert [(r["error"], r["node"]) for r in got if r["path"] == "torn"] == [("E_INPUT", None)]
