@@ -151,3 +151,11 @@ def test_a_large_part_is_packed_as_it_is_read(monkeypatch):
     assert len(most) >= 40 and max(most) < 15
     assert sorted((r["node"], r["local"], r["start"], r["stop"], r["text"]) for r in got if r["path"] == "fine") == [(n["node"], n["local"], n["start"], n["stop"], n["text"]) for n in want]
     assert [(r["error"], r["node"]) for r in got if r["path"] == "torn"] == [("E_INPUT", None)]
+
+
+def test_completion_reads_an_inventory_once(spark):
+    """However many counts there are, an inventory's members, its slots and each slot's members are taken out once."""
+    from formloom.plans import binding
+
+    line = [x for x in plan_of(binding.inventory_completion(spark, SF)).splitlines() if "requires-review" in x]
+    assert len(line) == 1 and line[0].count("variant_get(") <= 12
