@@ -159,3 +159,27 @@ def test_completion_reads_an_inventory_once(spark):
 
     line = [x for x in plan_of(binding.inventory_completion(spark, SF)).splitlines() if "requires-review" in x]
     assert len(line) == 1 and line[0].count("variant_get(") <= 12
+
+
+def test_rows_of_a_form_are_packed_as_they_come(monkeypatch):
+    """No list holds all entries of a large form, names are one object each, and of a file that turns out to be damaged nothing but its error goes on."""
+    import pyarrow as pa
+    from formloom.sources import pdf
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    fine = pdf.simple_form([(f"n{i}", "Tx") for i in range(200)])
+    torn = fine.replace(b"/Type/Catalog", b"/Type/Catalog/X" + b"[" * 62 + b"]" * 62)
+    batch = pa.RecordBatch.from_arrays([pa.array(["fine", "torn"]), pa.array([fine, torn + b"" if torn != fine else None])], ["path", "content"])
+    whole = [r for b in pdf.entry_rows(Docs())(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(pdf, "ROWS", 50)
+    got = list(pdf.entry_rows(Docs())(iter([batch])))
+    key = lambda r: tuple(str(x) for x in r.values())
+    assert max(b.num_rows for b in got) <= 51 and sorted((r for b in got for r in b.to_pylist()), key=key) == sorted(whole, key=key) and sum(r["path"] == "fine" for r in whole) > 1200
+    a, b = (pdf.File(fine).objects[k] for k in (4, 5))
+    assert a["FT"] is b["FT"] and all(x is y for x, y in zip(a, b, strict=True))
