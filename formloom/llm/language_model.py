@@ -270,9 +270,28 @@ def one_large(c: np.ndarray, t: np.ndarray) -> np.ndarray:
     return sizes
 
 
+#: About the microseconds of a row of stirling_rows and of each number in it, and of a number of stirling_integrals.
+ROW, CELL, INTEGRAL = 8.0, 0.003, 7.0
+#: Points of an integral; numbers whose points are held at once.
+POINTS = 32
+AT_ONCE = 512
+
+
+def stirling(discount: float, c: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+    """For each c (ascending, distinct): logarithms of the generalised Stirling numbers of c and 1..k, less that of c and 1. Small c go row by row up to the largest of them, those beyond by
+    integrals, which cost the same for any c: a walk over all rows grows with the largest dish times the number of its tables."""
+    widest = np.maximum.accumulate(np.maximum(1, k))
+    cost = np.concatenate([[0.0], c * (ROW + CELL * widest)]) + INTEGRAL * np.concatenate([np.cumsum(k[::-1])[::-1], [0]])
+    few = int(np.argmin(cost))
+    out = [None] * few + stirling_integrals(discount, c[few:], k[few:])
+    rest = np.array([i for i, x in enumerate(out) if x is None], np.int64)
+    for i, x in zip(rest.tolist(), stirling_rows(discount, c[rest], k[rest]), strict=True):
+        out[i] = x
+    return out
+
+
 def stirling_rows(discount: float, c: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
-    """For each c (ascending, distinct): logarithms of the generalised Stirling numbers of c and 1..k, less that of c and 1. Rows follow one another by the ratio
-    of neighbours, q(c + 1, t) = (1 + (c - d t) q(c, t)) / (1 / q(c, t - 1) + c - d (t - 1)): all terms are positive, so nothing cancels or overflows."""
+    """Rows follow one another by the ratio of neighbours, q(c + 1, t) = (1 + (c - d t) q(c, t)) / (1 / q(c, t - 1) + c - d (t - 1)): all terms are positive, so nothing cancels or overflows."""
     width = max(1, int(k.max(initial=1)) - 1)
     q, top, under, dt = np.zeros(width), np.empty(width), np.empty(width), discount * np.arange(2, width + 2)
     out, row = [], 1
@@ -293,6 +312,51 @@ def stirling_rows(discount: float, c: np.ndarray, k: np.ndarray) -> list[np.ndar
     return out
 
 
+def stirling_integrals(discount: float, c: np.ndarray, k: np.ndarray) -> list[np.ndarray | None]:
+    """The same numbers one by one: S(c, t) is c! / (t! d^t) times the coefficient of x^c in (1 - (1 - x)^d)^t, an integral around 0. Its path, with w = 1 - x, is the parabola w = w0 (1 + iy)^2
+    through the point w0 where the integrand is least on the real line; there steps of 0.4 of its width leave an error far below that of the floating-point numbers. Every second
+    point alone must give nearly the same and the last point nothing, for all t of a c, else None."""
+    many, t = np.repeat(c, k).astype(np.float64), np.concatenate([np.arange(1.0, n + 1) for n in k.tolist()] or [np.zeros(0)])
+    parts = [coefficients(discount, many[i : i + AT_ONCE], t[i : i + AT_ONCE]) for i in range(0, len(t), AT_ONCE)]
+    whole, sure = (np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i in range(2))
+    below = np.cumsum(np.log(np.arange(1.0, int(k.max(initial=0)) + 1) * discount))  # t! d^t
+    ends = np.cumsum(k).tolist()
+    return [whole[a:b] - whole[a] - (below[: b - a] - below[0]) if sure[a:b].all() else None for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def log_less(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Real and imaginary part of log(1 - x - iy), exact for small x and y as well."""
+    return 0.5 * np.log1p(x * (x - 2) + y * y), np.arctan2(-y, 1 - x)
+
+
+def coefficients(d: float, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the coefficients of x^c in (1 - (1 - x)^d)^t, which are t d / c times those of x^(c - 1) in (1 - x)^(d - 1) (1 - (1 - x)^d)^(t - 1); which are sure."""
+    with np.errstate(all="ignore"):  # what goes wrong is not sure
+        # log w0 by Newton's steps: c w / (1 - w) = 1 + (t - 1) d w^d / (1 - w^d)
+        at = np.minimum(np.log(0.5), np.maximum(0.0, np.log(np.maximum(1.0, t * d * c**-d)) / (1 - d)) - np.log(c))
+        for _ in range(8):
+            w, wd = np.exp(at), np.exp(d * at)
+            pull = (t - 1) * d * wd / (1 - wd)
+            off = np.log(c * w / (1 - w)) - np.log1p(pull)
+            at = np.minimum(at - off / (1 / (1 - w) - pull * d / (1 - wd) / (1 + pull)), at / 4)
+        w, wd = np.exp(at), np.exp(d * at)
+        bend = 4 * (c * w / (1 - w) ** 2 - (t - 1) * d * d * wd / (1 - wd) ** 2)
+        step = 0.4 / np.sqrt(bend)
+        y = step[:, None] * np.arange(POINTS)
+        square = y * y
+        long, turn = np.log1p(square), 2 * np.arctan(y)  # of (1 + iy)^2: logarithm of its length, and its angle
+        real, imaginary = log_less(w[:, None] * (1 - square), 2 * w[:, None] * y)
+        size, angle = wd[:, None] * np.exp(d * long), d * turn
+        real_d, imaginary_d = log_less(size * np.cos(angle), size * np.sin(angle))
+        tall = (t - 1) * np.log1p(-wd) - c * np.log1p(-w)
+        height = (t[:, None] - 1) * real_d - c[:, None] * real + (d - 0.5) * long - tall[:, None]
+        value = np.exp(height) * np.cos((t[:, None] - 1) * imaginary_d - c[:, None] * imaginary + (d - 0.5) * turn)
+        value[:, 0] /= 2
+        all_, second = value.sum(axis=1), 2 * value[:, ::2].sum(axis=1)
+        sure = (np.abs(second - all_) < 1e-5 * all_) & (np.exp(height[:, -1]) < 1e-12 * all_)
+        return np.log(t / c * all_ * step) + d * at + tall, sure
+
+
 class Restaurants:
     """Seatings of dishes with two customers or more: c customers each, dishes in falling order of c; size of each table, tables
     of a dish next to each other; room is the dish's restaurant, tables the number of tables in each room (those of others included).
@@ -325,7 +389,7 @@ class Restaurants:
         before = self.reach.copy()
         np.maximum.at(self.reach, self.kind[dishes], reach)
         if (self.reach > before).any():
-            rows = stirling_rows(self.discount, self.kinds, self.reach)
+            rows = stirling(self.discount, self.kinds, self.reach)
             self.place = np.cumsum(self.reach) - self.reach
             self.stirling = np.concatenate(rows)
 
