@@ -392,6 +392,7 @@ class Restaurants:
             rows = stirling(self.discount, self.kinds, self.reach)
             self.place = np.cumsum(self.reach) - self.reach
             self.stirling = np.concatenate(rows)
+            self.steps = self.discount * np.arange(int(self.reach.max()), dtype=np.float64)
 
     def sweep(self, parent: np.ndarray) -> None:
         n = self.large
@@ -441,19 +442,18 @@ class Restaurants:
         others, chance = max(0.0, self.tables[room] - before), self.rng.random()
         while True:
             k, place = self.reach[kind], self.place[kind]
-            weight = np.arange(k, dtype=np.float64)
-            weight *= self.discount
-            weight += STRENGTH + self.discount * others
+            weight = self.steps[:k] + (STRENGTH + self.discount * others)
             weight *= parent[dish]
             np.log(weight, out=weight)
-            np.cumsum(weight, out=weight)
+            np.add.accumulate(weight, out=weight)
             weight += self.stirling[place : place + k]
-            weight -= weight.max()
+            weight -= np.maximum.reduce(weight)
             if weight[-1] <= -40 or k >= self.c[dish]:
                 break
             self.known(np.minimum(self.c[dish : dish + 1], 2 * k), np.array([dish]))
-        mass = np.cumsum(np.exp(weight))
-        new = min(int(np.searchsorted(mass, chance * mass[-1], "right")) + 1, int(k))
+        np.exp(weight, out=weight)
+        mass = np.add.accumulate(weight, out=weight)
+        new = min(int(mass.searchsorted(chance * mass[-1], "right")) + 1, int(k))
         self.tables[room] += new - before
         self.t[dish] = new
 
