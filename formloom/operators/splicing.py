@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.sources.markup import TAG
@@ -23,10 +23,27 @@ tag, which gets these; with content_of (an element's name) the range is that ele
     E_PRESERVATION."""
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     none = [null("map<string,string>", "attributes"), null("string", "content_of")]
-    body = bodies.select("path", "part", F.lit(-1).alias("segment"), F.lit(0).alias("turn"), null("int", "start"), null("int", "stop"), F.col("body").alias("replacement"), *none)
     copied = segments.select("path", "part", "segment", F.lit(0).alias("turn"), "start", "stop", null("binary", "replacement"), *none)
     changed = edits.select("path", "part", "segment", F.lit(1).alias("turn"), "start", "stop", F.col("replacement").cast("binary").alias("replacement"), "attributes", "content_of")
-    script = body.unionByName(copied).unionByName(changed)
+    return run_script(bodies, copied.unionByName(changed))
+
+
+#: What a script's row says of a part: a segment (turn 0) or an edit in it (turn 1).
+STEP = "struct<segment:int,turn:int,start:int,stop:int,replacement:binary,attributes:map<string,string>,content_of:string>"
+
+
+def step(segment: Column, turn: int, start: Column, stop: Column, replacement: Column | None = None, attributes: Column | None = None, content_of: Column | None = None) -> Column:
+    """A script's row as a struct."""
+    null = F.lit(None)
+    return F.struct(segment, F.lit(turn), start, stop, *[null if c is None else c for c in (replacement, attributes, content_of)]).cast(STEP)
+
+
+def run_script(bodies: DataFrame, script: DataFrame) -> DataFrame:
+    """The same for a script (path, part, fields of STEP) of segments and edits."""
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    none = [null("map<string,string>", "attributes"), null("string", "content_of")]
+    body = bodies.select("path", "part", F.lit(-1).alias("segment"), F.lit(0).alias("turn"), null("int", "start"), null("int", "stop"), F.col("body").alias("replacement"), *none)
+    script = body.unionByName(script)
     parts = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = script.repartition(parts, "path", "part").sortWithinPartitions("path", "part", "segment", "turn", "start", "stop")
     return sorted_.mapInArrow(_run, "path string, part string, body binary, error string")

@@ -48,32 +48,47 @@ def region_verdict(regions: DataFrame, tables: DataFrame, cells: DataFrame) -> D
     regions, tables, cells = large(regions), large(tables), large(cells)
     n = regions.select("region", *keys).join(tables.groupBy(*keys).agg(F.count("*").alias("found"), F.first("rows").alias("rows"), F.first("columns").alias("table_columns"), F.first("width").alias("table_width"), F.first("height").alias("table_height")), keys, "left")
     own = large(regions.join(n.drop(*keys), "region"))
+    of = own.select("region", *keys, "start", "stop", F.col("columns").alias("names"), early_reason().alias("early"), "table_columns", "table_width", "table_height")
+    return cell_reasons(of.join(cells, keys, "left"))
+
+
+def early_reason() -> Column:
+    """What a region and its table say before any cell is looked at. Columns: found (how many tables; null or 0: none), rows, table_columns of the table; start, stop, prototype, insert_before, headers,
+    columns of the region."""
     start, stop = F.col("start"), F.col("stop")
     numbers = F.sequence(F.lit(0), F.greatest(F.size("columns") - 1, F.lit(0)))
     rows_ok = (start >= 1) & (stop < F.col("rows")) & (stop - start >= 2) & (start < F.col("prototype")) & (F.col("prototype") < stop) & (F.col("insert_before") == stop)
     heads_ok = F.col("headers") == F.when(start >= 1, F.sequence(F.lit(0), start - 1)).otherwise(F.array().cast("array<int>"))
     columns_ok = (F.size("columns") == F.col("table_columns")) & (F.transform("columns", lambda c: c["column"]) == numbers)
-    placed = column_cursor(cells.withColumn("span", F.col("col_span")).withColumn("key", F.struct("doc", "table_id")), "key", "row", "no", "span")
-    joined = placed.join(own.select("region", *keys, "start", "stop", F.col("columns").alias("names")), keys)
-    body = F.col("row").between(start, stop)
+    return first_reason((F.coalesce("found", F.lit(0)) == 0, "missing-table"), (F.col("found") > 1, "ambiguous-table"), (~F.coalesce(rows_ok & heads_ok & columns_ok, F.lit(False)), "invalid-row-range"))
+
+
+def cell_reasons(cells: DataFrame) -> DataFrame:
+    """region, reason of regions by their cells: rows of cells with what their region says (early, which goes first; start, stop, names, table_columns, table_width, table_height), or one row
+    without a cell. All steps group by the region, so cells that are dealt by it stay where they are."""
+    placed = column_cursor(cells.withColumn("span", F.col("col_span")), "region", "row", "no", "span")
+    body = F.col("row").between(F.col("start"), F.col("stop"))
     marker = F.concat(F.lit("{{"), F.get("names", F.col("no"))["name"], F.lit("}}"))
-    text = F.when(F.col("row") == start, marker).otherwise("")
+    text = F.when(F.col("row") == F.col("start"), marker).otherwise("")
     shape = ~((F.col("row_addr") == F.col("row")) & (F.col("col_addr") == F.col("col")) & (F.col("row_span") == 1) & (F.col("col_span") > 0) & (F.col("width") > 0) & (F.col("height") > 0)) | (body & (F.col("col_span") != 1))
-    per_row = joined.groupBy("region", "row").agg(F.bool_or(F.coalesce(shape, F.lit(True))).alias("shape"), F.bool_or(body & (F.coalesce("text", F.lit("")) != text)).alias("filled"), F.sum("width").alias("w"), F.sum("col_span").alias("c"), F.max("height").alias("h"))
-    per = per_row.join(own.select("region", "table_width", "table_columns"), "region").groupBy("region").agg(F.bool_or("shape").alias("shape"), F.bool_or("filled").alias("filled"), F.bool_or((F.col("w") != F.col("table_width")) | (F.col("c") != F.col("table_columns"))).alias("wide"), F.sum("h").alias("h"))
-    both = own.join(per, "region", "left")
-    reason = first_reason((F.col("found").isNull(), "missing-table"), (F.col("found") > 1, "ambiguous-table"), (~F.coalesce(rows_ok & heads_ok & columns_ok, F.lit(False)), "invalid-row-range"), (F.col("shape").isNull() | F.col("shape"), "unsupported-row-shape"), (F.col("filled"), "nonempty-repeat-row"), (F.col("wide"), "inconsistent-column-width"), (F.col("h") != F.col("table_height"), "inconsistent-table-height"))
-    return both.select("region", reason.alias("reason"))
+    same = [F.first(c).alias(c) for c in ("early", "table_width", "table_columns", "table_height")]
+    per_row = placed.groupBy("region", "row").agg(F.bool_or(F.coalesce(shape, F.lit(True))).alias("shape"), F.bool_or(body & (F.coalesce("text", F.lit("")) != text)).alias("filled"), F.sum("width").alias("w"), F.sum("col_span").alias("c"), F.max("height").alias("h"), *same)
+    per = per_row.groupBy("region").agg(F.bool_or("shape").alias("shape"), F.bool_or("filled").alias("filled"), F.bool_or((F.col("w") != F.col("table_width")) | (F.col("c") != F.col("table_columns"))).alias("wide"), F.sum("h").alias("h"), *same)
+    late = first_reason((F.col("shape"), "unsupported-row-shape"), (F.col("filled"), "nonempty-repeat-row"), (F.col("wide"), "inconsistent-column-width"), (F.col("h") != F.col("table_height"), "inconsistent-table-height"))
+    return per.select("region", F.coalesce("early", late).alias("reason"))
 
 
 def output_rows(records: DataFrame, region: str) -> DataFrame:
     """region, record, source of records (region, n, start, stop, prototype): the row of the template that each record takes. The first
     takes the first, the last the last, those between the rows in turn and then the prototype again and again."""
-    n, start, stop = F.col("n"), F.col("start"), F.col("stop")
     each = records.withColumn("record", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    inner = F.when(start + F.col("record") < stop, start + F.col("record")).otherwise(F.col("prototype"))
-    source = F.when(F.col("record") == 0, start).when(F.col("record") == n - 1, stop).otherwise(inner)
-    return each.select(region, "record", source.cast("int").alias("source"))
+    return each.select(region, "record", source_row(F.col("record"), *map(F.col, ("n", "start", "stop", "prototype"))).alias("source"))
+
+
+def source_row(record: Column, n: Column, start: Column, stop: Column, prototype: Column) -> Column:
+    """The row of the template that one of n records takes."""
+    inner = F.when(start + record < stop, start + record).otherwise(prototype)
+    return F.when(record == 0, start).when(record == n - 1, stop).otherwise(inner).cast("int")
 
 
 def repeat_counts(rows: DataFrame, region: str, body: DataFrame) -> DataFrame:
