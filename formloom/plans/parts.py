@@ -130,7 +130,7 @@ union all select id, row, n + 2, case when row = 0 then 'No' else 'sum' end, cas
 def hwpx_repeat_fill(spark, d):
     """A table of each customer's orders: node rows to judged rows to edits to new packages, which are opened and read again."""
     records = order_records(spark, d)
-    docs = spread(records.select("path").distinct(), "path")
+    docs = spread(records.select("path"), "path").distinct()
     made = packages.make_packages(docs.select("path", F.lit("hwpx").alias("format"), F.lit(grid(SOUND)).alias("body")), dealt=True)
     parts = cut(containers.parts(made))
     new, _ = repeat_fill.filled_tables(sections.table_rows(parts.filter("part = 'Contents/section0.xml'")), parts, region(docs), records)

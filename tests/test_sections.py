@@ -106,3 +106,14 @@ def test_regions_without_tables_or_rows_have_their_reasons(spark):
     docs = spark.createDataFrame([(k, "hwpx", v) for k, v in bodies.items()], "path string, format string, body string")
     got = {x.path: x.reason for x in repeat_fill.verdicts(parts.region(docs), parts.field_tables(packages.make_packages(docs))).collect()}
     assert got == {"none": "missing-table", "two": "ambiguous-table", "bare": "invalid-row-range", "cells": "unsupported-row-shape", "torn": "missing-table", "sound": None}
+
+
+def test_filling_stores_each_step_once(spark, monkeypatch):
+    """Parts, tables with their regions, verdicts and what is filled are stored, nothing else; no node becomes a row."""
+    stored, walked = [], []
+    for module in (parts, repeat_fill):
+        monkeypatch.setattr(module, "cut", lambda df, f=module.cut: stored.append(df.columns) or f(df))
+    monkeypatch.setattr(parts, "node_rows", lambda df: walked.append(df))
+    got = parts.hwpx_repeat_fill(spark, SF)
+    assert len(stored) == 4 and not walked and not any("attrs" in c and "depth" in c for c in stored)
+    assert got.count() == spark.read.parquet(f"{SF}/orders.parquet").selectExpr("count(*) + 2 * count(distinct o_custkey)").first()[0]
